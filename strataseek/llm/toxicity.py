@@ -25,7 +25,7 @@ from .common import saved
 
 #: Labelled rows learned from, candidates for the lexicon and its size, least share of toxic documents and least odds of
 #: a candidate, word beginnings' lengths.
-SAMPLE, CANDIDATES, CUES, SHARE, ODDS, STEM = 20_000, 20_000, 1000, 0.004, 12.0, range(4, 11)
+SAMPLE, CANDIDATES, CUES, SHARE, ODDS, STEM = 20_000, 20_000, 1000, 0.004, 50.0, range(4, 11)
 
 # General words of each class.
 INSULTS = "idiot moron stupid scum loser trash pathetic worthless disgusting imbecile cretin dumbass bastard vermin".split()
