@@ -18,6 +18,7 @@ Null texts are empty. A null doc_id stands after all others. Rows with equal doc
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, block_count, blocked, mix, pack, pack_bytes, unpack, unpack_bytes
 
 #: String length in bytes, gram length, text bytes in a block, text bytes hashed at a time, documents sampled for splitters.
-LENGTH, GRAM, BLOCK_BYTES, PIECE, SAMPLE = 50, 20, 16 << 20, 1 << 20, 2000
+LENGTH, GRAM, BLOCK_BYTES, PIECE, SAMPLE = 50, 20, 16 << 20, 1 << 18, 2000
 #: Strings in one run at most; longer stretches of one gram (as in "aaaa...") continue in a further run.
 RUN = 256
 
@@ -37,25 +38,46 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _U = np.uint64
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+@lru_cache(4)
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, _U)
     if n:
         out[0] = 1
     return np.cumprod(out, dtype=_U)
 
 
-def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on, as numbers that sort like the bytes; data must go on for 8 bytes there."""
-    out = np.zeros(len(at), _U)
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers; tables of a few sizes are remembered."""
+    return _powers(int(base), 1 << max(18, (n - 1).bit_length()))[:n]
+
+
+def symbols(data: np.ndarray) -> np.ndarray:
+    """At each place the 8 bytes from there on, as a number that sorts like the bytes; zeros follow the end."""
+    out = np.zeros(len(data), _U)
     for k in range(8):
-        out = (out << _U(8)) | data[at + k].astype(_U)
+        out[: len(data) - k] |= data[k:].astype(_U) << _U(56 - 8 * k)
+    return out
+
+
+def leads(data: np.ndarray, at: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of the gram (by its hash) in the string at each place; it is there, or the place doesn't matter."""
+    out = np.zeros(len(at), _U)
+    width = LENGTH - GRAM + 1
+    for lo in range(0, len(at), 1 << 14):
+        rows = data[at[lo : lo + (1 << 14), None] + np.arange(LENGTH)]
+        sums = np.zeros((len(rows), LENGTH + 1), _U)
+        np.cumsum(_BYTE[rows] * _power(_BASE, LENGTH), axis=1, out=sums[:, 1:])
+        grams = mix((sums[:, GRAM:] - sums[:, :-GRAM]) * _power(_BACK, width))
+        place = (grams == gram[lo : lo + (1 << 14), None]).argmax(1)
+        for k in range(8):
+            out[lo : lo + (1 << 14)] |= rows[np.arange(len(rows)), place + k].astype(_U) << _U(56 - 8 * k)
     return out
 
 
 def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """The runs of the texts: doc (place in texts), start and n (the strings start .. start + n - 1), gram (hash), lead (the
-    gram's first 8 bytes), same (hash of gram and bytes)."""
-    out = {k: [] for k in ("doc", "start", "n", "gram", "lead", "same")}
+    """The runs of the texts: doc (place in texts), start and n (the strings start .. start + n - 1), gram (hash), same
+    (hash of gram and bytes)."""
+    out = {k: [] for k in ("doc", "start", "n", "gram", "same")}
     group, size = [], 0
     for i, text in enumerate(texts):
         if len(text) >= LENGTH:
@@ -66,25 +88,26 @@ def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
             group, size = [], 0
     if group:
         _runs(group, texts, out)
-    return {k: np.concatenate(v) if v else np.zeros(0, _U if k in ("gram", "lead", "same") else np.int64) for k, v in out.items()}
+    return {k: np.concatenate(v) if v else np.zeros(0, _U if k in ("gram", "same") else np.int64) for k, v in out.items()}
 
 
 def _runs(group: list[int], texts: list[bytes], out: dict) -> None:
     data = np.frombuffer(b"".join(texts[i] for i in group), np.uint8)
     sizes = np.array([len(texts[i]) for i in group])
     begin = np.cumsum(sizes) - sizes
-    back = _powers(_BACK, len(data) + 1)
+    back = _power(_BACK, len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(data) - GRAM + 1])
     width, least, upto = LENGTH - GRAM + 1, grams, 1
     while upto < width:
         step = min(upto, width - upto)
         least = np.minimum(least[:-step], least[step:])
         upto += step
-    valid = np.zeros(len(least), bool)  # strings within one document
-    for b, s in zip(begin, sizes, strict=True):
-        valid[b : b + s - LENGTH + 1] = True
+    edge = np.zeros(len(data) + 1, np.int8)  # strings within one document
+    edge[begin] = 1
+    edge[begin + sizes - LENGTH + 1] -= 1
+    valid = np.cumsum(edge[: len(least)], dtype=np.int8) > 0
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
     at = np.flatnonzero(new & valid)
@@ -96,20 +119,16 @@ def _runs(group: list[int], texts: list[bytes], out: dict) -> None:
         k = np.arange(len(first)) - first
         at, left = np.repeat(at, parts) + k * RUN, np.repeat(n, parts) - k * RUN
         n = np.minimum(left, RUN)
-    last = at + n - 1  # the gram lies in the run's last string
-    place = np.full(len(at), -1, np.int64)
-    for k in range(width):
-        hit = (place < 0) & (grams[last + k] == least[at])
-        place[hit] = last[hit] + k
     doc = np.searchsorted(begin, at, "right") - 1
     own = mix((sums[at + n + LENGTH - 1] - sums[at]) * back[at])
-    for k, v in (("doc", np.array(group)[doc]), ("start", at - begin[doc]), ("n", n), ("gram", least[at]), ("lead", words_at(data, place)), ("same", mix(own + least[at] + n.astype(_U)))):
+    for k, v in (("doc", np.array(group)[doc]), ("start", at - begin[doc]), ("n", n), ("gram", least[at]), ("same", mix(own + least[at] + n.astype(_U)))):
         out[k].append(v)
 
 
 def _texts(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    ids = np.array([NO_ID if x is None else x for x in t.column("doc_id").to_pylist()], np.int64)
-    return ids, [x or b"" for x in t.column("text").to_pylist()]
+    """Ids and texts of a block by id and text: the same order each time, however its rows arrive."""
+    rows = sorted(zip([NO_ID if x is None else x for x in t.column("doc_id").to_pylist()], [x or b"" for x in t.column("text").to_pylist()], strict=True))
+    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
 
 
 def _ask_grams(shards: int):
@@ -153,7 +172,10 @@ def _ask_runs(splitters: np.ndarray):
         least = np.full(len(first), NO_ID)
         np.minimum.at(least, at, ids[r["doc"][hot]])
         rep = hot[first]
-        lo, hi = (np.searchsorted(splitters, r["lead"][rep], side) for side in ("left", "right"))
+        begin = np.cumsum([0, *map(len, texts)])
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        lead = leads(whole, begin[r["doc"][rep]] + r["start"][rep] + r["n"][rep] - 1, r["gram"][rep])  # it is in the last string
+        lo, hi = (np.searchsorted(splitters, lead, side) for side in ("left", "right"))
         bucket = lo + (r["gram"][rep] % (hi - lo + 1).astype(_U)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         home = np.empty(len(rep), np.int64)
@@ -175,32 +197,40 @@ def _ask_runs(splitters: np.ndarray):
     return run
 
 
-def multikey_groups(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places `at` in order of the `length` bytes from each on, and the number of each one's group of equals.
-
-    Multikey quicksort with symbols of 8 bytes: what ties on one symbol is sorted by the next, the rest is settled."""
-    order, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    open_ = np.arange(len(at))  # sorted places whose order isn't settled
-    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        if not len(open_):
+def multikey_groups(symbol: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places `at` in order of the `length` bytes from each on, and the first sorted place of each one's equals.
+
+    Multikey quicksort with symbols of 8 bytes: what ties on one symbol is sorted by the next. A group whose members all
+    equal its first one is settled as a whole, as are single ones."""
+    order = np.argsort(symbol[at])
+    first = symbol[at[order]]
+    steps = [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]
+    head = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(at)))
+    group = np.repeat(head, size)
+    todo = np.flatnonzero(np.repeat(size > 1, size))  # sorted places that may still move
+    for i, k in enumerate(steps):
+        if not len(todo):
             break
-        symbol = words_at(data, at[order[open_]] + k)
-        if k == 0:
-            by = np.argsort(symbol, kind="stable")
-        else:
-            by = np.lexsort((symbol, group[open_]))
-        order[open_], symbol = order[open_][by], symbol[by]
-        own = group[open_]
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])
-        head = np.flatnonzero(new)
-        group[open_] = open_[head][np.cumsum(new) - 1]  # a group is called after its first place
-        alone = np.diff(np.append(head, len(own))) == 1
-        open_ = open_[~np.repeat(alone, np.diff(np.append(head, len(own))))]
+        same = np.ones(len(todo), bool)
+        for j in steps[i:]:
+            same &= symbol[at[order[todo]] + j] == symbol[at[order[group[todo]]] + j]
+        heads = np.flatnonzero(np.append(True, group[todo][1:] != group[todo][:-1]))
+        mixed = ~np.logical_and.reduceat(same, heads)
+        todo = todo[np.repeat(mixed, np.diff(np.append(heads, len(todo))))]
+        if not len(todo):
+            break
+        value = symbol[at[order[todo]] + k]
+        by = np.lexsort((value, group[todo]))
+        order[todo], value, own = order[todo][by], value[by], group[todo]
+        heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (value[1:] != value[:-1])))
+        size = np.diff(np.append(heads, len(todo)))
+        group[todo] = np.repeat(todo[heads], size)
+        todo = todo[np.repeat(size > 1, size)]
     return order, group
 
 
-#: Bytes of runs that a bucket sorts at a time. Runs are taken in ranges of their gram's hash, so equals meet in one.
+#: Bytes of runs for each piece that a bucket sorts at a time.
 SORT_BYTES = 24 << 20
 
 
@@ -214,13 +244,14 @@ def _answer_runs(t: pa.Table) -> pa.Table:
     whose = np.repeat(np.arange(len(counts)), counts)
     at = begin[whose] + np.arange(len(whose)) - first[whose]
     least = doc[whose]
-    # pieces by the first two symbols' hash: equal strings fall in the same piece
+    # pieces by the first symbol's hash: equal strings fall in the same piece
     pieces = max(1, -(-len(data) // SORT_BYTES))
-    piece = (mix(words_at(data, at)) % _U(pieces)).astype(np.int64) if pieces > 1 else np.zeros(len(at), np.int64)
+    symbol = symbols(data)
+    piece = (mix(symbol[at]) % _U(pieces)).astype(np.int64) if pieces > 1 else np.zeros(len(at), np.int64)
     for p in range(pieces):
         own = np.flatnonzero(piece == p)
         if len(own):
-            order, group = multikey_groups(data, at[own], LENGTH)
+            order, group = multikey_groups(symbol, at[own], LENGTH)
             head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             low = np.minimum.reduceat(least[own[order]], head)
             least[own[order]] = np.repeat(low, np.diff(np.append(head, len(own))))
@@ -248,21 +279,19 @@ def _apply(with_text: bool):
             k = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
             doc = r["doc"][hot][whose]
             hit = least[first[mine[whose]] + k] < ids[doc]
-            doc, start = doc[hit], (r["start"][hot][whose] + k)[hit]
-            by = np.argsort(doc, kind="stable")
-            doc, start = doc[by], start[by]
-            head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-            gone = {int(doc[a]): start[a:b] for a, b in zip(head, np.append(head[1:], len(doc)), strict=True)} if len(doc) else {}
-        out = {"doc_id": t.column("doc_id").to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+            doc, start = doc[hit], (r["start"][hot][whose] + k)[hit]  # by document, as the runs are
+            head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+            gone = {int(doc[a]): start[a:b] for a, b in zip(head, np.append(head[1:], len(doc)), strict=True)}
+        out = {"doc_id": [None if i == NO_ID else i for i in ids.tolist()], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for i, text in enumerate(texts):
-            covered = np.zeros(len(text) + 1, np.int32)
+            kept, spans = text, 0
             if i in gone:
-                np.add.at(covered, gone[i], 1)
-                np.add.at(covered, gone[i] + LENGTH, -1)
-                covered = np.cumsum(covered) > 0
-            covered = covered[:-1] > 0
-            kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
-            spans = int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
+                edge = np.zeros(len(text) + 1, np.int32)
+                edge[gone[i]] = 1  # each string's place comes once
+                edge[gone[i] + LENGTH] -= 1
+                covered = np.cumsum(edge[:-1]) > 0
+                kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
+                spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
             for c, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("n_spans", spans), ("kept", kept if with_text else hashlib.sha256(kept).hexdigest())):
                 out[c].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_text else pa.string())
@@ -273,8 +302,11 @@ def _apply(with_text: bool):
 
 def _leads(batches):
     for batch in batches:
-        r = runs([x or b"" for x in batch.column(0).to_pylist()])
-        pick = r["lead"][:: max(1, len(r["lead"]) // (64 * max(1, batch.num_rows)))]
+        texts = [x or b"" for x in batch.column(0).to_pylist()]
+        r = runs(texts)
+        own = np.arange(0, len(r["n"]), max(1, len(r["n"]) // (64 * max(1, batch.num_rows))))
+        begin = np.cumsum([0, *map(len, texts)])
+        pick = leads(np.frombuffer(b"".join(texts), np.uint8), begin[r["doc"][own]] + r["start"][own] + r["n"][own] - 1, r["gram"][own])
         yield pa.RecordBatch.from_arrays([pa.array(pick.view(np.int64), pa.int64())], names=["lead"])
 
 
@@ -288,8 +320,8 @@ def without_repeats(docs: DataFrame, with_text: bool = True, block_bytes: int =
     n = block_count(docs, "text", block_bytes)
     count = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(max(1, count // SAMPLE))) == 0)
-    leads = np.sort(np.array([r["lead"] for r in some.select("text").mapInArrow(_leads, "lead long").limit(128 * SAMPLE).collect()], np.int64).view(_U))
-    splitters = leads[(np.arange(1, n) * len(leads)) // n] if len(leads) else leads
+    found = np.sort(np.array([r["lead"] for r in some.select("text").mapInArrow(_leads, "lead long").limit(128 * SAMPLE).collect()], np.int64).view(_U))
+    splitters = found[(np.arange(1, n) * len(found)) // n] if len(found) else found
     shared = spark.sparkContext.broadcast(splitters)  # n numbers
     dealt = blocked(docs, n)
     grams = dealt.groupBy("_b").applyInArrow(_ask_grams(n), "_b long, shard int, keys binary, several binary")
