@@ -16,8 +16,12 @@ from .common import Words, dropped, mix, saved
 from .components import components
 
 BANDS, ROWS = 25, 5
-#: A pair at the threshold shows this share of equal minima or more in all but about 1 of 20,000 cases (4 deviations).
-SLACK = 4.0
+#: A pair at the threshold falls short of the share of equal minima asked for in about 1 of 4,000 cases (3.5 deviations).
+SLACK = 3.5
+#: Bits of the filter on ids in pairs. Its size is fixed: with more ids it lets more pass, and a join still decides.
+FILTER_BITS = 1 << 22
+#: Pairs of two components that one square proposes before the rest of its pairs is looked at.
+BEST = 4
 #: Members of one bucket are compared in squares of this side.
 SIDE = 1024
 
@@ -115,25 +119,52 @@ def _linked(per: int, of: int):
     return run
 
 
-def _across(least: float):
-    """In one square of a bucket, the pairs of unlike components whose signatures agree enough."""
+def _across(least: float, best: int | None):
+    """In one square of a bucket, the pairs of unlike components whose signatures agree enough; with best, only that many of
+    two components, those that agree most."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, side = (t.column(c).to_numpy() for c in ("doc_id", "c", "side"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
         left, right = (np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2)))
-        out_a, out_b = [], []
+        out = [np.zeros((3, 0))]
         for i in left:
             j = right[comp[right] != comp[i]]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= least]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+            j = j[j > i] if side[i] == 2 else j
+            share = (sig[j] == sig[i]).mean(axis=1)
+            out.append(np.array([np.full(len(j), i), j, share])[:, share >= least])
+        i, j, share = np.concatenate(out, axis=1)
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        if best and len(i):
+            lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            by = np.lexsort((-share, hi, lo))
+            lo, hi = lo[by], hi[by]
+            head = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            place = np.arange(len(by)) - np.repeat(head, np.diff(np.append(head, len(by))))
+            i, j = i[by][place < best], j[by][place < best]
+        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.maximum(ids[i], ids[j]), pa.int64())})
 
     return run
 
 
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """df's rows whose doc_id is in ids, and few others: a bitmap of FILTER_BITS bits is made of ids, whatever their number,
+    so that df needn't be shuffled to be thinned out."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit("filter")), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, cast(p % 64 as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m")).collect()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, m in words:
+        bits[w] = m
+    shared = df.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    at = df.columns
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value[batch.column(len(at)).to_numpy(zero_copy_only=False)])).select(at)
+
+    return df.withColumn("_place", place.cast("long")).mapInArrow(run, df.schema)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 100) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -141,20 +172,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     2. Bands make buckets. In each bucket two centres (smallest doc_id, and one by hash) are paired with every member:
        pairs grow with the members, not with their square. Pairs pass the signature check, then the full sets.
     3. Components of these links. Buckets that still hold several components are compared in squares of SIDE members,
-       only across components, by signature and then by full sets; so no link between components is lost.
+       only across components: first the pairs that agree best, then all that agree enough; so no link between components
+       is lost, while pairs within one, which can't change it, aren't made.
     An empty table gives an empty one; extra columns are ignored."""
     least = per / of - SLACK * np.sqrt(per / of * (1 - per / of) / (BANDS * ROWS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = saved(docs.mapInArrow(_prints(width), "doc_id long, n long, fp binary, bands array<long>, sig binary"), "prints")
     live = prints.where("fp is not null and doc_id is not null")
-    classes = saved(live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = live.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi")
-    sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    classes = saved(live.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("rep"), "x.n", "x.bands"), "classes")
 
-    rows = reps.select("doc_id", "n", F.explode("bands").alias("key"))
+    rows = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("key"))
     order = F.xxhash64("doc_id", F.lit("centre"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.min(F.struct(order.alias("o"), "doc_id", "n")).alias("y"), F.max("doc_id").alias("z")).where("x.doc_id <> z")
     members = saved(rows.join(hubs.select("key", F.col("x.doc_id").alias("c1"), F.col("x.n").alias("n1"), F.col("y.doc_id").alias("c2"), F.col("y.n").alias("n2")), "key"), "members")
+    met = members.select("doc_id").distinct()
+    sigs = saved(_only(live.select("doc_id", "sig"), met).groupBy("doc_id").agg(F.first("sig").alias("sig")), "sigs")
 
     def pairs(c: str, n: str) -> DataFrame:
         sizes = F.lit(of) * F.least("n", n) >= F.lit(per) * F.greatest("n", n)
@@ -166,8 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
 
     def confirmed(p: DataFrame) -> DataFrame:
         ids = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # the class representative's own text: rows with its doc_id
-        texts = docs.join(ids, "doc_id", "left_semi")
+        texts = _only(docs, ids).join(ids, "doc_id", "left_semi")
         sets = saved(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
         out = saved(with_both(p, sets, "shingles").select("a", "b", "sa", "sb").mapInArrow(_linked(per, of), "a long, b long").distinct(), "links")
         dropped(sets)
@@ -177,16 +208,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     links = confirmed(saved(near, "pairs"))
     found = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
 
-    at = members.join(found.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c")), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
-    at = saved(at, "at")
-    split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", F.ceil(F.col("k") / SIDE).cast("int").alias("g"))
-    rest = at.join(split, "key").join(sigs, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
-    squares = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"), F.when(q == F.col("p"), 2).when(F.col("p") < q, 0).otherwise(1).alias("side")))
-    rest = rest.withColumn("s", F.explode(squares)).select("key", "doc_id", "c", "sig", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
-    more = saved(rest.groupBy("key", "i", "j").applyInArrow(_across(least), "a long, b long").where("a <> b").distinct(), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more))
-        found = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
+    tried = None
+    for best in (BEST, None):
+        at = members.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c")), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+        at = saved(at, "at")
+        split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", F.ceil(F.col("k") / SIDE).cast("int").alias("g"))
+        rest = at.join(split, "key").join(sigs, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+        squares = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"), F.when(q == F.col("p"), 2).when(F.col("p") < q, 0).otherwise(1).alias("side")))
+        rest = rest.withColumn("s", F.explode(squares)).select("key", "doc_id", "c", "sig", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
+        more = rest.groupBy("key", "i", "j").applyInArrow(_across(least, best), "a long, b long").where("a <> b").distinct()
+        more = saved(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = more
+        dropped(at)
+        if not more.isEmpty():
+            links = links.unionByName(confirmed(more))
+            found = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
 
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     out = prints.join(whole, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
