@@ -53,6 +53,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+
+
+def frugal(df: DataFrame) -> DataFrame:
+    """df; from here on its session sends at most BATCH_ROWS rows a batch to Python, which bounds both sides' memory."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(conf))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(conf, BATCH_ROWS)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

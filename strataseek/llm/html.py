@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -334,6 +336,6 @@ def _run(batches):
 def page_texts(pages: DataFrame) -> DataFrame:
     """pages (page_id, html, ...) -> page_id, title, text, n_chars, n_lines, one row each; no shuffle. An empty table gives an
     empty one; extra columns are ignored; rows that share a page_id are rendered each."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("binary").alias("html"))
+    pages = frugal(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("binary").alias("html"))
     out = pages.mapInArrow(_run, "page_id long, title string, text string")
     return out.withColumns({"n_chars": F.length("text").cast("long"), "n_lines": F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")})

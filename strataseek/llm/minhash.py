@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, dropped, mix, saved
+from .common import Words, dropped, frugal, mix, saved
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
        is lost, while pairs within one, which can't change it, aren't made.
     An empty table gives an empty one; extra columns are ignored."""
     least = per / of - SLACK * np.sqrt(per / of * (1 - per / of) / (BANDS * ROWS))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = saved(docs.mapInArrow(_prints(width), "doc_id long, n long, fp binary, bands array<long>, sig binary"), "prints")
     live = prints.where("fp is not null and doc_id is not null")
     classes = saved(live.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("rep"), "x.n", "x.bands"), "classes")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, block_count, blocked, crc_mod, mix, pack, unpack
+from .common import Words, block_count, blocked, crc_mod, frugal, mix, pack, unpack
 
 #: Longest n-gram, the Dirichlet weight of each order from 2 on, text bytes in a block.
 ORDER, MU, BLOCK_BYTES = 2, (40.0,), 16 << 20
@@ -144,7 +144,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, b
     mu: the Dirichlet weight of orders 2 to `order`. An empty table gives an empty one; extra columns are ignored."""
     if len(mu) != order - 1:
         raise ValueError("mu needs a weight for each order from 2 on")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     n = block_count(docs, "text", block_bytes)
     dealt = blocked(docs, n)
     words = Words()

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 SPACE = "▁"
 #: Stretches remembered in each of two generations, and the longest one worth remembering.
 MEMORY, LONGEST = 200_000, 64
@@ -161,6 +163,6 @@ def _run(model_file: str, digests: bool):
 def encoded(docs: DataFrame, model_file: str, digests: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_tokens, ids, decoded, checked; with digests, the sha256 of the ids as decimal
     text joined by commas and of the decoded text instead. An empty table gives an empty one; extra columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.mapInArrow(_run(model_file, digests), f"doc_id long, n_tokens long, {kinds}, checked boolean")

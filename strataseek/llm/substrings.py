@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, block_count, blocked, mix, pack, pack_bytes, unpack, unpack_bytes
+from .common import NO_ID, block_count, blocked, frugal, mix, pack, pack_bytes, unpack, unpack_bytes
 
 #: String length in bytes, gram length, text bytes in a block, text bytes hashed at a time, documents sampled for splitters.
-LENGTH, GRAM, BLOCK_BYTES, PIECE, SAMPLE = 50, 20, 16 << 20, 1 << 18, 2000
+LENGTH, GRAM, BLOCK_BYTES, PIECE, SAMPLE = 50, 20, 8 << 20, 1 << 18, 2000
 #: Strings in one run at most; longer stretches of one gram (as in "aaaa...") continue in a further run.
 RUN = 256
 
@@ -231,7 +231,7 @@ def multikey_groups(symbol: np.ndarray, at: np.ndarray, length: int) -> tuple[np
 
 
 #: Bytes of runs for each piece that a bucket sorts at a time.
-SORT_BYTES = 24 << 20
+SORT_BYTES = 8 << 20
 
 
 def _answer_runs(t: pa.Table) -> pa.Table:
@@ -316,7 +316,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True, block_bytes: int =
     hex sha256 of them. Splitters come from about SAMPLE documents, 64 grams each; they steer the load, not the result.
     An empty table gives an empty one; extra columns are ignored."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     n = block_count(docs, "text", block_bytes)
     count = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(max(1, count // SAMPLE))) == 0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import frugal, saved
 
 #: Labelled rows learned from, candidates for the lexicon and its size, least share of toxic documents and least odds of
 #: a candidate, word beginnings' lengths.
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float] | None,
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     every = max(1, math.ceil(marks.count() / SAMPLE))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(every)) == 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     rows = saved(rows.join(marks, "doc_id").select("text", "toxic").groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
