@@ -1,6 +1,474 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine and their SQL, over the driver's tables.
+
+documents, conversations, part, customer and supplier stand for documents, chunks, entities, relations and metadata;
+benchmark holds the questions."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataseek.functions import analysis
+from strataseek.operators import questions as Q
+from strataseek.operators import search as S
+from strataseek.operators import units
+from strataseek.plans.engine import structured_search as _search
+from strataseek.sources import documents as D
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Tables in the shape of the data model.
+
+
+def _chunks(spark, sf_dir):
+    """Lines of documents: id, place, first line as title."""
+    d = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n", -1))
+    d = d.select("doc_id", F.get("lines", 0).alias("section_title"), F.posexplode("lines").alias("chunk_index", "content"))
+    return d.select(F.concat("doc_id", F.lit("_chunk_"), "chunk_index").alias("chunk_id"), "doc_id", "section_title", "content", "chunk_index")
+
+
+def _turns(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.select(F.concat("conv_id", F.lit("_chunk_"), "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.coalesce(F.get(F.split("text", "\n"), 0), F.lit("")).alias("section_title"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def _entities(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("unit"), F.col("p_name").alias("name"), F.col("p_brand").alias("desc"), F.col("p_type").alias("entity_type"), F.col("p_partkey").alias("chunk_id"))
+
+
+def _relations(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(F.concat(F.col("c_custkey"), F.lit("_relation_0")).alias("relation_id"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")).alias("subject"), F.col("c_mktsegment").alias("predicate"), F.col("n_name").alias("object"))
+
+
+def _metas(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("contract_name"), F.col("n_name").alias("insurer"))
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _index(units_df, unit, fields):
+    p = units.postings(units_df, unit, fields)
+    n = units_df.agg(F.count("*").alias("n"))
+    counts = p.groupBy("field", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    by_term = counts.select("field", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    by_field = p.groupBy("field").agg(F.sum("tf").alias("t")).crossJoin(F.broadcast(n)).select("field", (F.col("t") / F.col("n")).alias("avgdl"))
+    return p, by_term, by_field
+
+
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_CHUNKS = r"""chunks as (
+  select doc_id || '_chunk_' || (i - 1) as chunk_id, doc_id, l[1] as section_title, l[i] as content, (i - 1)::int as chunk_index
+  from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents)))"""
+_TURNS = "turns as (select conv_id || '_chunk_' || turn as chunk_id, conv_id as doc_id, turn as chunk_index, coalesce(string_split(text, chr(10))[1], '') as section_title, coalesce(text, '') as content from conversations)"
+_RELATIONS = "rel as (select c_custkey || '_relation_0' as relation_id, case when c_custkey % 7 = 0 then '' else c_name end as subject, c_mktsegment as predicate, n_name as object from customer join nation on c_nationkey = n_nationkey)"
+_METAS = "metas as (select s_suppkey as unit, s_name as contract_name, n_name as insurer from supplier join nation on s_nationkey = n_nationkey)"
+
+
+def _post_sql(source: str, unit: str, fields: list[str]) -> str:
+    each = " union all ".join(f"select '{f}' as field, {unit} as unit, {_TOK.format(f)} as words from {source}" for f in fields)
+    return f"""words as ({each}),
+post as (select field, unit, term, count(*) as tf, dl from (select field, unit, len(words) as dl, unnest(words) as term from words) group by field, unit, term, dl),
+n as (select count(*) as n from {source}),
+by_term as (select field, term, count(*) as df, ln(1 + ((select n from n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from post group by field, term),
+by_field as (select field, sum(tf) / (select n from n) as avgdl from post group by field)"""
+
+
+_BM25 = "idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+
+
+# Units
+
+
+@query(f"with {_CHUNKS} select chunk_id, doc_id, section_title, content, chunk_index from chunks")
+def chunk_flatten(spark, sf_dir):
+    return _chunks(spark, sf_dir)
+
+
+@query("select conv_id || '_chunk_' || turn as chunk_id, coalesce(lag(conv_id || '_chunk_' || turn) over w, '') as prev_chunk_id, coalesce(lead(conv_id || '_chunk_' || turn) over w, '') as next_chunk_id from conversations window w as (partition by conv_id order by turn)")
+def chunk_links(spark, sf_dir):
+    t = S.neighbours(_turns(spark, sf_dir), 1)
+    one = lambda c: F.coalesce(F.get(c, 0), F.lit(""))
+    return t.select("chunk_id", one("prev_ids").alias("prev_chunk_id"), one("next_ids").alias("next_chunk_id"))
+
+
+@query("select p_partkey || '_entity_' || 0 as entity_id, p_name as name, coalesce(p_brand, '') as desc_, coalesce(p_type, '') as entity_type, p_partkey as chunk_id from part")
+def entity_flatten(spark, sf_dir):
+    e = _entities(spark, sf_dir).groupBy("chunk_id").agg(F.collect_list(F.struct("name", "desc", "entity_type")).alias("entities"))
+    docs = e.select(F.lit("d").alias("doc_id"), F.array(F.struct("chunk_id", "entities")).alias("chunks"))
+    return units.entities(docs).select("entity_id", "name", F.col("desc").alias("desc_"), "entity_type", "chunk_id")
+
+
+@query(f"with {_RELATIONS} select relation_id, subject, predicate, object from rel union all select relation_id, object, predicate, subject from rel union all select relation_id, object || ' ' || predicate, predicate, case when subject = '' then ' ' || predicate else subject end from rel")
+def relation_augment(spark, sf_dir):
+    return units.augmented(_relations(spark, sf_dir))
+
+
+@query(f"with {_METAS} select unit as doc_id, coalesce(contract_name, '') as contract_name, coalesce(insurer, '') as insurer from metas")
+def meta_project(spark, sf_dir):
+    return units.metas(_metas(spark, sf_dir).select(F.col("unit").alias("doc_id"), F.struct("contract_name", "insurer").alias("meta")))
+
+
+# Analysis and statistics
+
+
+@query(f"select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOK.format('text')}) as term from documents) group by doc_id, term")
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(f"select doc_id, count(*) as n_tokens from (select doc_id, unnest({_TOK.format('text')}) as term from documents) where length(term) >= 2 and term not in ({', '.join(repr(w) for w in analysis.STOP_WORDS)}) group by doc_id")
+def stop_filtered_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(analysis.without_stop_words(analysis.tokens(F.col("text")))).cast("long").alias("n_tokens"))
+    return d.where("n_tokens > 0")
+
+
+@query(f"with {_post_sql('documents', 'doc_id', ['text'])} select (select n from n) as n_units, count(distinct unit) as n_nonempty, count(*) as n_postings, count(distinct term) as n_terms, sum(tf)::bigint as n_tokens from post")
+def corpus_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    p = units.postings(d, "doc_id", ["text"]).agg(F.countDistinct("unit").alias("n_nonempty"), F.count("*").alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    return d.agg(F.count("*").alias("n_units")).crossJoin(p)
+
+
+@query(f"with {_post_sql('documents', 'doc_id', ['text'])} select term, df, round(idf, 6) as idf from by_term")
+def term_stats(spark, sf_dir):
+    _, t, _ = _index(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return t.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+# Searches
+
+_ASK = ["the", "of", "and", "thing"]
+_DOCS = f"with {_post_sql('documents', 'doc_id', ['text'])}, q as (select unnest({_ASK!r}) as term), hits as (select unit, round(sum({_BM25}), 6) as score from q join post using (term) join by_term using (field, term) join by_field using (field) group by unit)"
+
+
+def _ask(spark, channel="content", field="text", words=None):
+    return spark.createDataFrame([(0, channel, field, w, "term", 1.0) for w in words or _ASK], "query_id long, channel string, field string, term string, kind string, boost double")
+
+
+@query(f"with {_post_sql('documents', 'doc_id', ['text'])} select unit as doc_id, round({_BM25}, 6) as score from post join by_term using (field, term) join by_field using (field) where term = 'the'")
+def term_search(spark, sf_dir):
+    h = S.bm25(_ask(spark, words=["the"]), *_index(table(spark, sf_dir, "documents"), "doc_id", ["text"]))
+    return h.select(F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_DOCS + " select unit as doc_id, score from hits")
+def multi_term_or(spark, sf_dir):
+    h = S.bm25(_ask(spark), *_index(table(spark, sf_dir, "documents"), "doc_id", ["text"]))
+    return h.select(F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_DOCS + " select unit as doc_id, score, row_number() over (order by score desc, unit)::int as rank from hits qualify rank <= 10")
+def bm25_topk(spark, sf_dir):
+    h = S.bm25(_ask(spark), *_index(table(spark, sf_dir, "documents"), "doc_id", ["text"]))
+    return S.ranked(h, ["query_id"], 10).select(F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(_DOCS + " select unit as doc_id, score, row_number() over (order by score desc, unit)::int as rank from hits where unit in (select doc_id from documents where lang = 'de') qualify rank <= 10")
+def bm25_doc_filtered(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    inside = d.where("lang = 'de'").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("unit"))
+    h = S.bm25(_ask(spark), *_index(d, "doc_id", ["text"]), docs=inside)
+    return S.ranked(h, ["query_id"], 10).select(F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(r"""with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as t from documents)
+select doc_id as unit, 2 + (list_contains(t, 'of'))::int as n_hits from w where list_contains(t, 'the') and len(list_filter(t, lambda x: x[1:3] = 'thi')) > 0 and not list_contains(t, 'der')""")
+def parser_and(spark, sf_dir):
+    p = units.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    h = S.parsed_search(p, "the thi* NOT der")
+    of = p.where("term = 'of'").select("unit", F.lit(1).alias("of"))
+    return h.join(of, "unit", "left").select("unit", (F.col("n_hits") + F.coalesce("of", F.lit(0))).cast("int").alias("n_hits"))
+
+
+_NAMES = ["gree", "blu", "lac", "red", "rose", "ivor"]
+_FUZZY = f"""with vocab as (select distinct unnest({_TOK.format('p_name')}) as term from part), q as (select unnest({_NAMES!r}) as asked),
+near as (select asked, term from q join vocab on term[1] = asked[1] and abs(length(term) - length(asked)) <= 1 and levenshtein(asked, term) <= 1 where regexp_matches(term, '^[a-z0-9]+$'))"""
+
+
+def _near(spark, sf_dir):
+    p, t, _ = _index(_entities(spark, sf_dir), "unit", ["name"])
+    v = t.where(F.col("term").rlike("^[a-z0-9]+$"))
+    return p, S.fuzzy_terms(_ask(spark, "entity", "name", _NAMES).withColumn("kind", F.lit("fuzzy")), v)
+
+
+@query(_FUZZY + " select asked, term from near")
+def fuzzy_vocab(spark, sf_dir):
+    return _near(spark, sf_dir)[1].select("asked", "term")
+
+
+@query(_FUZZY + f", post as (select distinct p_partkey::varchar as unit, unnest({_TOK.format('p_name')}) as term from part) select unit, count(*)::double as score from near join post using (term) group by unit")
+def fuzzy_search(spark, sf_dir):
+    p, near = _near(spark, sf_dir)
+    _, t, f = _index(_entities(spark, sf_dir), "unit", ["name"])
+    return S.bm25(near.select("query_id", "channel", "field", "term", "kind", "boost"), p, t, f).select("unit", "score")
+
+
+_FIELDS = [("topic", "Long insured Title", "section_title", "exact_then_fuzzy", 1.0), ("body", "some TEXT", "content", "substring", 0.5), ("who", "Ann B", "name", "fuzzy", 0.8), ("none", None, "content", "fuzzy", 1.0), ("lost", "words", "entity_names", "fuzzy", 1.0)]
+
+
+@query("""select * from (values ('title','section_title','long','term',1.0::double),('title','section_title','long','fuzzy',0.6),('title','section_title','insured','term',1.0),('title','section_title','title','term',1.0),
+('content','content','some','term',0.5),('content','content','text','term',0.5),('entity','name','ann','term',0.8),('entity','name','ann','fuzzy',0.4),('entity','name','b','term',0.8),('entity','name','b','fuzzy',0.4)) t(channel, field, term, kind, boost)""")
+def match_dispatch(spark, sf_dir):
+    f = spark.createDataFrame([(0, *r[1:]) for r in _FIELDS], "query_id long, value string, target string, match_method string, weight double")
+    return S.field_terms(f).select("channel", "field", "term", "kind", F.round("boost", 6).alias("boost"))
+
+
+_FREE = f"with {_TURNS}, {_post_sql('turns', 'chunk_id', ['content', 'section_title'])}, q as (select item_id as query_id, unnest({_TOK.format('text')}) as term from benchmark)"
+_CHANNELS = f"""{_FREE}, hits as (select query_id, case field when 'content' then 'content' else 'title' end as channel, unit, round(sum(case field when 'content' then 0.3 else 1.0 end * {_BM25}), 6) as score
+from q join post using (term) join by_term using (field, term) join by_field using (field) group by query_id, channel, unit),
+cut as (select *, row_number() over (partition by query_id, channel order by score desc, unit)::int as rank from hits qualify rank <= 20)"""
+
+
+def _turn_index(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    p, a, b = _index(t, "chunk_id", ["content", "section_title"])
+    return {"postings": p, "terms": a, "fields": b, "owner": t.select(F.col("chunk_id").alias("unit"), "chunk_id", "doc_id")}
+
+
+def _turn_terms(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    title = S.field_terms(q.select("query_id", F.col("text").alias("value"), F.lit("section_title").alias("target"), F.lit("substring").alias("match_method"), F.lit(1.0).alias("weight")))
+    return title.unionByName(S.free_text_terms(q))
+
+
+def _cut(spark, sf_dir, channel):
+    i = _turn_index(spark, sf_dir)
+    h = S.bm25(_turn_terms(spark, sf_dir).where(F.col("channel") == channel), i["postings"], i["terms"], i["fields"]).withColumn("score", F.round("score", 6))
+    return S.ranked(h, ["query_id", "channel"], 20)
+
+
+@query(f"{_CHANNELS} select query_id, unit, score, rank from cut where channel = 'content'")
+def content_channel(spark, sf_dir):
+    return _cut(spark, sf_dir, "content").select("query_id", "unit", "score", "rank")
+
+
+@query(f"{_CHANNELS} select query_id, unit, score, rank from cut where channel = 'title'")
+def title_channel(spark, sf_dir):
+    return _cut(spark, sf_dir, "title").select("query_id", "unit", "score", "rank")
+
+
+@query(f"{_FREE} select query_id, count(*)::bigint as n_terms, round(0.3 * count(*), 6)::double as boost from q group by query_id")
+def free_text_fallback(spark, sf_dir):
+    return S.free_text_terms(_questions(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("boost"), 6).alias("boost"))
+
+
+@query("select doc_id, 1.0::double as score from documents")
+def every_query(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1.0).alias("score"))
+
+
+_NORM = f"{_CHANNELS}, norm as (select query_id, channel, unit as chunk_id, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as score from cut window w as (partition by query_id, channel))"
+
+
+@query(f"{_NORM} select query_id, channel, chunk_id, round(score, 6) as score from norm")
+def minmax_normalize(spark, sf_dir):
+    both = _cut(spark, sf_dir, "content").unionByName(_cut(spark, sf_dir, "title"))
+    return S.normalized(both.withColumnRenamed("unit", "chunk_id")).select("query_id", "channel", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_FUSED = f"""{_NORM}, weighted as (select query_id, chunk_id, score, w, sum(w) over (partition by query_id, chunk_id, channel) as x, channel from norm join (values ('content', 0.1::double), ('title', 0.2)) c(channel, w) using (channel)),
+active as (select query_id, sum(w) as all_ from (select distinct query_id, channel, w from weighted) group by query_id),
+fused as (select query_id, chunk_id, round(sum(w / all_ * score), 6) as score from weighted join active using (query_id) group by query_id, chunk_id)"""
+
+
+@query(f"{_FUSED} select query_id, chunk_id, score from fused")
+def weighted_fusion(spark, sf_dir):
+    both = _cut(spark, sf_dir, "content").unionByName(_cut(spark, sf_dir, "title"))
+    w = spark.createDataFrame([("content", 0.1), ("title", 0.2)], "channel string, weight double")
+    return S.fused(S.normalized(both.withColumnRenamed("unit", "chunk_id")), w).withColumn("score", F.round("score", 6))
+
+
+_FOUND = f"{_FUSED}, best as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from fused qualify rank <= 10), found as (select * from best where score >= 0.01)"
+
+
+def _found(spark, sf_dir):
+    w = spark.createDataFrame([("entity", 0.4), ("relation", 0.3), ("title", 0.2), ("content", 0.1)], "channel string, weight double")
+    return _search(_turn_terms(spark, sf_dir), _turn_index(spark, sf_dir), w, 10)
+
+
+@query(f"{_FOUND} select query_id, chunk_id, score, rank, doc_id, coalesce(prev, '') as prev_chunk_id, coalesce(next, '') as next_chunk_id from found join (select chunk_id, doc_id, lag(chunk_id) over w as prev, lead(chunk_id) over w as next from turns window w as (partition by doc_id order by chunk_index)) using (chunk_id)")
+def structured_search(spark, sf_dir):
+    """All questions at once: title and content channels, fusion, top 10, threshold, neighbours."""
+    near = S.neighbours(_turns(spark, sf_dir), 1)
+    h = _found(spark, sf_dir).join(near, "chunk_id")
+    one = lambda c: F.coalesce(F.get(c, 0), F.lit(""))
+    return h.select("query_id", "chunk_id", "score", "rank", "doc_id", one("prev_ids").alias("prev_chunk_id"), one("next_ids").alias("next_chunk_id"))
+
+
+def _unit_hits_sql(cte: str, source: str, unit: str, fields: list[str], words: list[str], owner: str) -> str:
+    return f"with {cte}{_post_sql(source, unit, fields)}, q as (select unnest({words!r}) as term), hits as (select unit, round(sum({_BM25}), 6) as score from q join post using (term) join by_term using (field, term) join by_field using (field) group by unit) select {owner} as chunk_id, max(score) as score from hits group by 1"
+
+
+@query(_unit_hits_sql("u as (select p_partkey::varchar as unit, p_name as name, p_brand as \"desc\" from part), ", "u", "unit", ["name", '"desc"'], ["green", "brand", "12"], "unit::bigint").replace("""'"desc"' as field""", "'desc' as field"))
+def entity_channel_max(spark, sf_dir):
+    e = _entities(spark, sf_dir)
+    ask = _ask(spark, "entity", "name", ["green", "brand", "12"]).unionByName(_ask(spark, "entity", "desc", ["green", "brand", "12"]))
+    h = S.bm25(ask, *_index(e, "unit", ["name", "desc"])).withColumn("score", F.round("score", 6))
+    return S.best_per_chunk(S.ranked(h, ["query_id", "channel"], 10**9), e.select("unit", "chunk_id")).select("chunk_id", "score")
+
+
+@query(_unit_hits_sql(f"{_RELATIONS}, u as (select relation_id || '#' || k as unit, s as subject, p as predicate, o as object from (select relation_id, 0 as k, subject as s, predicate as p, object as o from rel union all select relation_id, 1, object, predicate, subject from rel union all select relation_id, 2, object || ' ' || predicate, predicate, case when subject = '' then ' ' || predicate else subject end from rel)), ", "u", "unit", ["subject", "predicate", "object"], ["building", "france", "machinery"], "string_split(unit, '_')[1]::bigint"))
+def relation_channel_max(spark, sf_dir):
+    r = units.augmented(_relations(spark, sf_dir))
+    # the three readings of a relation are units of their own
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("relation_id").orderBy("subject", "predicate", "object")
+    r = r.withColumn("unit", F.concat("relation_id", F.lit("#"), F.row_number().over(w))).withColumn("chunk_id", F.split_part("relation_id", F.lit("_"), F.lit(1)).cast("long"))
+    ask = None
+    for f in ("subject", "predicate", "object"):
+        a = _ask(spark, "relation", f, ["building", "france", "machinery"])
+        ask = a if ask is None else ask.unionByName(a)
+    h = S.bm25(ask, *_index(r, "unit", ["subject", "predicate", "object"])).withColumn("score", F.round("score", 6))
+    return S.best_per_chunk(h, r.select("unit", "chunk_id")).select("chunk_id", "score")
+
+
+@query(f"with {_METAS}, {_post_sql('metas', 'unit', ['insurer', 'contract_name'])}, q(filter_ix, term) as (values (0, 'france'), (1, 'germany'), (1, 'supplier')), hits as (select filter_ix, unit, round(sum({_BM25}), 6) as score from q join post using (term) join by_term using (field, term) join by_field using (field) group by filter_ix, unit), top as (select filter_ix, unit, row_number() over (partition by filter_ix order by score desc, unit) as r from hits) select distinct unit as doc_id from top where r <= 2")
+def meta_top2_filter(spark, sf_dir):
+    ask = spark.createDataFrame([(i, "meta", f, w, "term", 1.0) for i, w in ((0, "france"), (1, "germany"), (1, "supplier")) for f in ("insurer", "contract_name")], "query_id long, channel string, field string, term string, kind string, boost double")
+    h = S.bm25(ask, *_index(_metas(spark, sf_dir), "unit", ["insurer", "contract_name"]))
+    return S.meta_documents(h.withColumn("filter_ix", F.col("query_id")).withColumn("query_id", F.lit(0))).select(F.col("unit").alias("doc_id"))
+
+
+@query("select chunk_id, coalesce(prev, '') as prev_ids, coalesce(next, '') as next_ids from (select conv_id || '_chunk_' || turn as chunk_id, lag(conv_id || '_chunk_' || turn) over w as prev, lead(conv_id || '_chunk_' || turn) over w as next from conversations window w as (partition by conv_id order by turn))")
+def adjacency_1(spark, sf_dir):
+    return S.neighbours(_turns(spark, sf_dir), 1).select("chunk_id", F.array_join("prev_ids", ",").alias("prev_ids"), F.array_join("next_ids", ",").alias("next_ids"))
+
+
+@query("select conv_id || '_chunk_' || turn as chunk_id, concat_ws(',', lag(k, 1) over w, lag(k, 2) over w, lag(k, 3) over w) as prev_ids from (select *, conv_id || '_chunk_' || turn as k from conversations) window w as (partition by conv_id order by turn)")
+def adjacency_n(spark, sf_dir):
+    """By pointers, as stored documents have them."""
+    t = S.neighbours(_turns(spark, sf_dir), 1).select("chunk_id", F.get("prev_ids", 0).alias("prev_chunk_id"))
+    return S.linked_neighbours(t, t, 3, "prev_chunk_id", "ids").select("chunk_id", F.array_join("ids", ",").alias("prev_ids"))
+
+
+# Questions
+
+_KEYS = D.keyword_table
+_WORDS = ", ".join(f"('{c['id']}', {i}, {g}, {len(k['words'])}, {float(k['weight'])}::double, '{w}', {float(c['classification'].get('threshold') or 0)}::double)" for i, c in enumerate(D.categories()) if c["classification"]["method"] == "keyword" for g, k in enumerate(c["classification"]["keywords"]) for w in k["words"])
+_CLASSIFY = rf"""with k(category_id, priority, group_ix, group_size, weight, word, threshold) as (values {_WORDS}),
+w as (select {{id}} as query_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '[\p{{{{L}}}}\p{{{{N}}}}]+'), string_split(text, '')))) as word from {{src}}),
+s as (select query_id, category_id, priority, threshold, round(sum(weight / group_size), 6) as score from w join k using (word) group by all),
+b as (select *, row_number() over (partition by query_id order by score desc, priority) as r from s where score >= threshold and score > 0)
+select q.{{id}} as query_id, coalesce(category_id, 'policy') as category_id, coalesce(score, 0.0)::double as score from {{src}} q left join b on b.query_id = q.{{id}} and r = 1""".replace("{{{{", "{{").replace("}}}}", "}}")
+
+
+@query(_CLASSIFY.format(id="item_id", src="benchmark"))
+def classify_keyword(spark, sf_dir):
+    return Q.classified(_questions(spark, sf_dir), D.keyword_table(spark), "policy")
+
+
+@query(_CLASSIFY.format(id="doc_id", src="documents"))
+def classify_default(spark, sf_dir):
+    return Q.classified(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"), D.keyword_table(spark), "policy")
+
+
+@query("select event_id, (props::json->>'k')::bigint as k from events")
+def llm_json_parse(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("select event_id, (props::json->>'k') as k from events")
+def json_rescue(spark, sf_dir):
+    """Answers wrapped in talk: the JSON between the first and the last brace."""
+    raw = F.concat(F.lit('Here it is: {"query": '), F.col("props"), F.lit(', "filter": {"doc_ids": []}} - done'))
+    return table(spark, sf_dir, "events").select("event_id", F.get(Q.parsed_answers(raw), 0)["query"]["k"].alias("k"))
+
+
+@query("select item_id as query_id, case when item_id % 2 = 0 then 'given' else text end as query_text from benchmark")
+def fallback_query(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    got = F.when(F.col("query_id") % 2 == 0, F.create_map(F.lit("query_text"), F.lit("given")))
+    return q.select("query_id", Q.with_fallback(got, F.col("text"))["query_text"].alias("query_text"))
+
+
+@query("select item_id as query_id, 'query_text' as field_name, case when item_id % 3 = 0 then 'PLACEHOLDER' else text end as value, 'content' as target from benchmark union all select item_id, 'topic', null, 'section_title' from benchmark where item_id % 3 <> 0")
+def placeholder_query(spark, sf_dir):
+    q = _questions(spark, sf_dir).select("query_id", F.create_map(F.lit("query_text"), F.when(F.col("query_id") % 3 != 0, F.col("text"))).alias("fields"))
+    s = spark.createDataFrame([("topic", "section_title", "fuzzy", 1.0), ("query_text", "content", "substring", 1.0)], "field_name string, target string, match_method string, weight double")
+    return Q.query_fields(q, s).select("query_id", "field_name", "value", "target")
+
+
+@query("""select 'q' || item_id as qid, 0 as seq, text || chr(10) || 'A. yes' || chr(10) || 'B. no' as query from benchmark where item_id % 2 = 0
+union all select 'q' || item_id, 0, text || chr(10) || 'A. yes' from benchmark where item_id % 2 = 1 union all select 'q' || item_id, 1, text || chr(10) || 'B. no' from benchmark where item_id % 2 = 1""")
+def option_fanout(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return Q.fanned_out(q.select(F.concat(F.lit("q"), "query_id").alias("qid"), F.col("text").alias("question"), F.create_map(F.lit("B"), F.lit("no"), F.lit("A"), F.lit("yes")).alias("options"), F.when(F.col("query_id") % 2 == 0, "tf").otherwise("multi").alias("answer_format")))
+
+
+def _asked(spark, sf_dir):
+    """Hits of pairs of questions, as of one question's two options."""
+    h = _found(spark, sf_dir)
+    return h.select(F.floor(F.col("query_id") / 2).cast("long").alias("qid"), (F.col("query_id") % 2).alias("seq"), "rank", "chunk_id", "score")
+
+
+@query(f"{_FOUND} select query_id // 2 as qid, query_id % 2 as seq, rank, chunk_id, score from found qualify row_number() over (partition by query_id // 2, chunk_id order by query_id % 2, rank) = 1")
+def dedupe_first(spark, sf_dir):
+    return Q.first_hits(_asked(spark, sf_dir))
+
+
+@query(f"{_FOUND} select query_id, doc_id, chunk_id, score from found join turns using (chunk_id) qualify row_number() over (partition by query_id, doc_id order by score desc, chunk_id) = 1")
+def top1_per_doc(spark, sf_dir):
+    h = _found(spark, sf_dir).join(_turns(spark, sf_dir).select("chunk_id", "doc_id"), "chunk_id")
+    return Q.best_per_document(h).select("query_id", "doc_id", "chunk_id", "score")
+
+
+@query(f"{_FOUND}, n as materialized (select query_id, doc_id, chunk_id, score, row_number() over (partition by query_id, doc_id order by score desc, chunk_id) as n from found join turns using (chunk_id)) select query_id, doc_id, chunk_id, score from n where score > 0.2 or n = 1".replace(", n as materialized", ", nn as materialized").replace("from n where score", "from nn where score"))
+def score_cut(spark, sf_dir):
+    h = _found(spark, sf_dir).join(_turns(spark, sf_dir).select("chunk_id", "doc_id"), "chunk_id")
+    return Q.cut_with_rescue(h).select("query_id", "doc_id", "chunk_id", "score")
+
+
+@query(f"with {_TURNS} select chunk_id from turns where not contains(replace(section_title, ' ', ''), 'ofthe')")
+def exclude_title(spark, sf_dir):
+    return Q.without_title(_turns(spark, sf_dir), "ofthe").select("chunk_id")
+
+
+_RENDER = """with h as (select conv_id, turn, role, coalesce(text, '') as content, row_number() over (partition by conv_id, role order by turn) as n from conversations),
+p as (select conv_id, turn, case when n = 1 then '## ' || role || chr(10) || chr(10) else '' end || content as t from h)
+select conv_id as qid, '# talk ' || conv_id || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by turn) as text from p group by conv_id"""
+
+
+@query(_RENDER)
+def group_order_render(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return Q.evidence(t.select(F.col("conv_id").alias("qid"), F.lit(0).alias("doc_seq"), F.concat(F.lit("talk "), "conv_id").alias("name"), F.col("role").alias("section_path"), F.col("turn").alias("chunk_index"), F.coalesce("text", F.lit("")).alias("content")))
+
+
+@query("select conv_id, role, min(turn) as turn from conversations group by conv_id, role")
+def heading_once(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.lit(0.0).alias("score"), F.format_string("%020d", "turn").alias("chunk_id"))
+    return Q.ranked_first(t, ["conv_id", "role"]).select("conv_id", "role", "turn")
+
+
+@query(r"select name, max(page_id) as doc_id from (select page_id, regexp_replace(regexp_extract(url, '[^/]+$'), '\.[^./]*$', '') as name from pages) where name <> '' group by name")
+def name_to_id_map(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(D.stem(F.col("url")).alias("name"), "page_id")
+    return p.where("name <> ''").groupBy("name").agg(F.max("page_id").alias("doc_id"))
+
+
+@query("select item_id as query_id, 'You answer ' || case item_id % 3 when 0 then 'research' when 1 then 'insurance' else 'general' end || ' questions (' || case when item_id % 2 = 0 then 'multiple choice' else 'single choice' end || ').' || chr(10) || chr(10) || 'evidence' || chr(10) || chr(10) || text as prompt from benchmark")
+def answer_prompt_route(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    qid = F.concat(F.when(F.col("query_id") % 3 == 0, "res").when(F.col("query_id") % 3 == 1, "ins").otherwise("xyz"), F.lit("_a_"), "query_id")
+    return q.select("query_id", Q.answer_prompt(qid, F.when(F.col("query_id") % 2 == 0, "multi").otherwise("mcq"), F.col("text"), F.lit("evidence")).alias("prompt"))
