@@ -24,7 +24,7 @@ from .common import frugal
 
 SPACE = "▁"
 #: Stretches remembered in each of two generations, and the longest one worth remembering.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 600_000, 64
 
 
 class Encoder:
@@ -35,7 +35,6 @@ class Encoder:
         self.pieces = [s.id_to_piece(i) for i in range(s.get_piece_size())]
         special = [s.is_control(i) or s.is_unknown(i) or s.is_byte(i) or s.is_unused(i) for i in range(len(self.pieces))]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
-        self.score = {p: s.get_score(i) for p, i in self.ids.items()}
         self.bytes = {i: int(self.pieces[i][3:-1], 16) for i in range(len(self.pieces)) if s.is_byte(i)}
         self.byte_ids = {v: k for k, v in self.bytes.items()}
         self.silent = {i for i in range(len(self.pieces)) if s.is_control(i)}
@@ -48,55 +47,60 @@ class Encoder:
             self.stretch = re.compile(r"(?s).+")
         else:
             self.stretch = re.compile(f"(?s){SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]+") if inner else re.compile("(?s).")
+        # symbols are numbered: pieces by id, then characters that only occur inside pieces
+        number = dict(self.ids)
+        for c in sorted({c for p in joined for c in p}):
+            number.setdefault(c, len(self.pieces) + len(number))
+        self.characters = {p: i for p, i in number.items() if len(p) == 1}
+        ranks = {x: k for k, x in enumerate(sorted({-s.get_score(self.ids[p]) for p in joined}))}
+        #: two adjacent symbols -> the rank of their join's score, and the join
+        self.joins = {number[p[:k]] << 20 | number[p[k:]]: ranks[-s.get_score(self.ids[p])] << 20 | self.ids[p] for p in joined for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.plain = [p.replace(SPACE, " ") for p in self.pieces]
 
     def agenda(self, text: str) -> list[int]:
-        symbols = list(text)
-        left, right = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-        score, heap = self.score, []
-
-        def propose(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (s := score.get(symbols[i] + symbols[j])) is not None:
-                heap.append((-s, i, j, len(symbols[i]) + len(symbols[j])))
-
-        for i in range(len(symbols) - 1):
-            propose(i, i + 1)
+        """The agenda holds rank and left place of each proposed join in one number; the smallest is the next to be made. A
+        proposal is void if the symbols that are now at its place don't join at its rank."""
+        symbols, joins = [self.characters.get(c, -1) for c in text], self.joins.get
+        n = len(symbols)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(v >> 20) << 32 | i for i in range(n - 1) if (v := joins(symbols[i] << 20 | symbols[i + 1])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, j, n = heapq.heappop(heap)
-            if not symbols[i] or not symbols[j] or right[i] != j or len(symbols[i]) + len(symbols[j]) != n:
-                continue  # one of the two has been merged meanwhile
-            symbols[i] += symbols[j]
-            symbols[j] = ""
-            right[i] = k = right[j]
+            proposal = pop(heap)
+            i = proposal & 0xFFFFFFFF
+            j = after[i]
+            if j < 0 or symbols[i] < 0 or (v := joins(symbols[i] << 20 | symbols[j])) is None or v >> 20 != proposal >> 32:
+                continue
+            symbols[i], symbols[j] = v & 0xFFFFF, -2
+            after[i] = k = after[j]
             if k >= 0:
-                left[k] = i
-            for a, b in ((left[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (s := score.get(symbols[a] + symbols[b])) is not None:
-                    heapq.heappush(heap, (-s, a, b, len(symbols[a]) + len(symbols[b])))
+                before[k] = i
+                if (v := joins(symbols[i] << 20 | symbols[k])) is not None:
+                    push(heap, (v >> 20) << 32 | i)
+            k = before[i]
+            if k >= 0 and (v := joins(symbols[k] << 20 | symbols[i])) is not None:
+                push(heap, (v >> 20) << 32 | k)
         out: list[int] = []
-        for s in symbols:
-            if s:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                elif self.byte_ids:
-                    out += [self.byte_ids[b] for b in s.encode()]
-                else:
-                    out.append(self.unknown)
+        for i, x in enumerate(symbols):
+            if 0 <= x < len(self.pieces):
+                out.append(x)
+            elif x != -2:
+                out += [self.byte_ids[b] for b in text[i].encode()] if self.byte_ids else [self.unknown]
         return out
 
     def parts(self, text: str) -> list[tuple]:
         """(ids, the ids as text) of each stretch."""
         if not text:
             return []
-        new, get = self.new, self.new.get
+        get = self.new.get
         return [get(x) or self._learned(x) for x in self.stretch.findall(SPACE + text.replace(" ", SPACE))]
 
     def _learned(self, x: str) -> tuple:
         if (found := self.old.get(x)) is None:
-            cut = [0, *(i for i in range(1, len(x)) if x[i - 1 : i + 1] not in self.pairs), len(x)]
+            cut = [] if x[1:].isalpha() else [0, *(i for i in range(1, len(x)) if x[i - 1 : i + 1] not in self.pairs), len(x)]
             if len(cut) > 2:
                 ids = tuple(chain.from_iterable((self.new.get(p) or self._learned(p))[0] for p in (x[a:b] for a, b in zip(cut, cut[1:]))))
             else:
@@ -104,8 +108,7 @@ class Encoder:
             found = (ids, ",".join(map(str, ids)))
         if len(x) <= LONGEST:
             if len(self.new) >= MEMORY:
-                self.old = dict(self.new)
-                self.new.clear()
+                self.old, self.new = self.new, {}
             self.new[x] = found
         return found
 
