@@ -2,7 +2,8 @@
 
 A text's spaces become U+2581, one is put before it, and adjacent symbol pairs whose join is a piece are merged, the best
 score first, of equal scores the leftmost. Joins never reach over a character pair that no piece holds, so a text falls
-into stretches that are encoded apart and remembered. Characters without a piece become byte pieces.
+into stretches that are encoded apart and remembered. A batch's new stretches are encoded together: their agendas are one
+column, and each round makes the next join of every stretch. Characters without a piece become byte pieces.
 
 Each Arrow batch is also encoded and decoded by the sentencepiece library; `checked` says whether both agree.
 Null texts are empty and have no ids. Rows that share a doc_id are encoded each.
@@ -16,6 +17,7 @@ import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,43 @@ from .common import frugal
 SPACE = "▁"
 #: Stretches remembered in each of two generations, and the longest one worth remembering.
 MEMORY, LONGEST = 600_000, 64
+#: Stretches of more symbols have an agenda of their own, a heap.
+JOINT = 40
+NEVER = 1 << 40
+
+
+class Pairs:
+    """Vectorised lookup of two symbols' join: an open-addressed table, at most a quarter full."""
+
+    def __init__(self, joins: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(joins)) for x in (joins.keys(), joins.values()))
+        self.bits = max(4, (4 * len(joins)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, join) of each pair; rank NEVER where they don't join."""
+        rank, join = np.full(len(left), NEVER, np.int64), np.zeros(len(left), np.int64)
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[at] << 20 | right[at]
+        slot = self._slot(key)
+        while len(at):
+            there = self.keys[slot]
+            same = there == key
+            v = self.values[slot[same]]
+            rank[at[same]], join[at[same]] = v >> 20, v & 0xFFFFF
+            on = ~same & (there >= 0)
+            at, key, slot = at[on], key[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return rank, join
 
 
 class Encoder:
@@ -55,6 +94,12 @@ class Encoder:
         ranks = {x: k for k, x in enumerate(sorted({-s.get_score(self.ids[p]) for p in joined}))}
         #: two adjacent symbols -> the rank of their join's score, and the join
         self.joins = {number[p[:k]] << 20 | number[p[k:]]: ranks[-s.get_score(self.ids[p])] << 20 | self.ids[p] for p in joined for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        self.table = Pairs(self.joins)
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.letters = {i: c for c, i in self.characters.items()}
+        codes = {ord(c): i for c, i in self.characters.items()}
+        self.codes = np.full(max(codes, default=0) + 1, -1, np.int64)
+        self.codes[list(codes)] = list(codes.values())
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.plain = [p.replace(SPACE, " ") for p in self.pieces]
@@ -88,32 +133,90 @@ class Encoder:
             if 0 <= x < len(self.pieces):
                 out.append(x)
             elif x != -2:
-                out += [self.byte_ids[b] for b in text[i].encode()] if self.byte_ids else [self.unknown]
+                out += self.apart(text[i])
         return out
 
-    def parts(self, text: str) -> list[tuple]:
-        """(ids, the ids as text) of each stretch."""
-        if not text:
-            return []
+    def apart(self, character: str) -> list[int]:
+        """The ids of a character without a piece."""
+        return [self.byte_ids[b] for b in character.encode()] if self.byte_ids else [self.unknown]
+
+    def agendas(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, none empty. Column rank holds every proposed join; each round makes the best of each text, the
+        leftmost of equal ones, and proposes its two neighbours anew. Texts without proposals leave the columns."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        symbol = np.where(code < len(self.codes), self.codes[np.minimum(code, len(self.codes) - 1)], -1)
+        symbol = np.where(symbol < 0, -1 - code, symbol)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        own = np.arange(len(texts))
+        last = np.cumsum(size) - 1
+        rank, join = self.table.joined(symbol, np.append(symbol[1:], -1))
+        rank[last] = NEVER
+        out: list[list[int]] = [[]] * len(texts)
+        while len(own):
+            first = last - size + 1
+            least = np.minimum.reduceat(rank, first)
+            over = least == NEVER
+            if over.any():
+                gone = np.repeat(over, size)
+                ids, at = symbol[gone], 0
+                odd = np.logical_or.reduceat((ids < 0) | (ids >= len(self.pieces)), np.cumsum(size[over]) - size[over])
+                ids = ids.tolist()
+                for k, n, x in zip(own[over].tolist(), size[over].tolist(), odd.tolist()):
+                    out[k] = self._spelled(ids[at : at + n]) if x else ids[at : at + n]
+                    at += n
+                symbol, rank, join = symbol[~gone], rank[~gone], join[~gone]
+                own, size, least = own[~over], size[~over], least[~over]
+                if not len(own):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            text = np.repeat(np.arange(len(own)), size)[hit]
+            i = hit[np.append(True, text[1:] != text[:-1])]
+            symbol[i] = join[i]
+            rest = np.ones(len(symbol), bool)
+            rest[i + 1] = False
+            symbol, rank, join = symbol[rest], rank[rest], join[rest]
+            size = size - 1
+            last = np.cumsum(size) - 1
+            i = i - np.arange(len(i))
+            rank[i] = NEVER
+            to_right, to_left = i[i < last], i[i > last - size + 1]
+            left = np.concatenate([to_right, to_left - 1])
+            rank[left], join[left] = self.table.joined(symbol[left], symbol[left + 1])
+        return out
+
+    def _spelled(self, symbols: list[int]) -> list[int]:
+        return list(chain.from_iterable([x] if 0 <= x < len(self.pieces) else self.apart(chr(-1 - x) if x < 0 else self.letters[x]) for x in symbols))
+
+    def parts(self, texts: list[str]) -> list[list[tuple]]:
+        """(ids, the ids as text) of each stretch of each text."""
+        rows = [self.stretch.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
+        if len(self.new) >= MEMORY:
+            self.old, self.new = self.new, {}
+        found = self._learned({x for row in rows for x in row if x not in self.new})
+        self.new.update((x, y) for x, y in found.items() if len(x) <= LONGEST)
         get = self.new.get
-        return [get(x) or self._learned(x) for x in self.stretch.findall(SPACE + text.replace(" ", SPACE))]
-
-    def _learned(self, x: str) -> tuple:
-        if (found := self.old.get(x)) is None:
-            cut = [] if x[1:].isalpha() else [0, *(i for i in range(1, len(x)) if x[i - 1 : i + 1] not in self.pairs), len(x)]
-            if len(cut) > 2:
-                ids = tuple(chain.from_iterable((self.new.get(p) or self._learned(p))[0] for p in (x[a:b] for a, b in zip(cut, cut[1:]))))
-            else:
-                ids = tuple(self.agenda(x))
-            found = (ids, ",".join(map(str, ids)))
-        if len(x) <= LONGEST:
-            if len(self.new) >= MEMORY:
-                self.old, self.new = self.new, {}
-            self.new[x] = found
+        return [[get(x) or found[x] for x in row] for row in rows]
+
+    def _learned(self, stretches: set[str]) -> dict[str, tuple]:
+        found = {x: y for x in stretches if (y := self.old.get(x)) is not None}
+        cuts = {x: self._cut(x) for x in stretches if x not in found}
+        fresh = list({p: None for c in cuts.values() for p in c})
+        joint = [p for p in fresh if len(p) <= JOINT]
+        ids = dict(zip(joint, self.agendas(joint))) if joint else {}
+        ids.update((p, self.agenda(p)) for p in fresh if len(p) > JOINT)
+        for x, c in cuts.items():
+            one = tuple(ids[c[0]] if len(c) == 1 else chain.from_iterable(map(ids.__getitem__, c)))
+            found[x] = (one, ",".join(map(self.names.__getitem__, one)))
         return found
 
+    def _cut(self, x: str) -> list[str]:
+        if x[1:].isalpha():
+            return [x]
+        at = [0, *(i for i in range(1, len(x)) if x[i - 1 : i + 1] not in self.pairs), len(x)]
+        return [x[a:b] for a, b in zip(at, at[1:])]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.parts(text)))
+        return list(chain.from_iterable(p[0] for p in self.parts([text])[0]))
 
     def decode(self, ids: list[int]) -> str:
         if self.bytes.keys().isdisjoint(ids) and self.silent.isdisjoint(ids):
@@ -148,8 +251,7 @@ def _run(model_file: str, digests: bool):
                 texts = [(x or b"").decode(errors="replace") for x in batch.column(1).to_pylist()]
                 theirs = e.library.encode(texts, num_threads=1)
                 cols = [[], [], [], []]
-                for text, other in zip(texts, theirs, strict=True):
-                    parts = e.parts(text)
+                for parts, other in zip(e.parts(texts), theirs, strict=True):
                     ids = list(chain.from_iterable([p[0] for p in parts]))
                     back = e.decode(ids)
                     same = ids == other and back == e.library.decode(other)
