@@ -151,6 +151,16 @@ def test_pieces(docs, rows):
     assert {r.ids_sha256 for r in digests} == {hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got}
 
 
+def test_joint_agendas():
+    """All stretches at once, one by one by the heap, and the library give the same ids, whether remembered or not."""
+    e, r = pieces.encoder(piece_model()), random.Random(8)
+    texts = ["".join(r.choice("abeéüß▁  \u4e2d\u65e5🙂\u0301\n.,$019Athe ing\x00ﬁ") for _ in range(r.randint(0, 90))) for _ in range(1500)]
+    stretches = [t[: pieces.JOINT] for t in texts if t]
+    assert e.agendas(stretches) == [e.agenda(t) for t in stretches]
+    for _ in range(2):
+        assert [[i for ids, _ in row for i in ids] for row in e.parts(texts)] == e.library.encode(texts)
+
+
 def test_base_patterns():
     r = random.Random(2)
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
