@@ -22,12 +22,25 @@ SLACK = 3.5
 FILTER_BITS = 1 << 22
 #: Pairs of two components that one square proposes before the rest of its pairs is looked at.
 BEST = 4
+#: Minima, a byte each, of the sharper signatures by which the last pass chooses what to hold against full sets.
+SHARP = 1024
 #: Members of one bucket are compared in squares of this side.
 SIDE = 1024
 
 _rng = np.random.default_rng(20240607)
-_A = (_rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and summands of n universal hashes."""
+    return (_rng.integers(0, 2**63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), _rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
+_HASHES, _SHARP_HASHES = _hashes(BANDS * ROWS), _hashes(SHARP)
+
+
+def _least(share: float, n: int) -> float:
+    """The share of n equal minima that a pair of similarity `share` reaches, but for SLACK deviations."""
+    return share - SLACK * np.sqrt(share * (1 - share) / n)
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -48,12 +61,14 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, hashes: tuple[np.ndarray, np.ndarray] = _HASHES) -> np.ndarray:
     """Multiply-shift universal hashes' minima, 32 bits each."""
-    least = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        part = shingles[None, i : i + 4096]
-        np.minimum(least, (part * _A[:, None] + _B[:, None]).min(axis=1), out=least)
+    a, b = hashes
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = (1 << 19) // len(a)
+    for i in range(0, len(shingles), step):
+        part = shingles[None, i : i + step]
+        np.minimum(least, (part * a[:, None] + b[:, None]).min(axis=1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
@@ -92,6 +107,20 @@ def _sets(width: int):
     return run
 
 
+def _sharp(width: int):
+    """The low bytes of SHARP minima: unlike minima agree in one case of 256, which only lets a few more pairs pass."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = shingle_sets(part.column(1).to_pylist(), width)
+                sigs = [minima(s, _SHARP_HASHES).astype(np.uint8).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary())], names=["doc_id", "sig"])
+
+    return run
+
+
 def _alike(least: float):
     """Keeps pairs whose signatures agree in a share of at least `least` of the minima."""
 
@@ -119,13 +148,13 @@ def _linked(per: int, of: int):
     return run
 
 
-def _across(least: float, best: int | None):
+def _across(least: float, best: int | None, kind: type):
     """In one square of a bucket, the pairs of unlike components whose signatures agree enough; with best, only that many of
     two components, those that agree most."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, side = (t.column(c).to_numpy() for c in ("doc_id", "c", "side"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), kind).reshape(len(ids), -1)
         left, right = (np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2)))
         out = [np.zeros((3, 0))]
         for i in left:
@@ -172,10 +201,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     2. Bands make buckets. In each bucket two centres (smallest doc_id, and one by hash) are paired with every member:
        pairs grow with the members, not with their square. Pairs pass the signature check, then the full sets.
     3. Components of these links. Buckets that still hold several components are compared in squares of SIDE members,
-       only across components: first the pairs that agree best, then all that agree enough; so no link between components
-       is lost, while pairs within one, which can't change it, aren't made.
+       only across components: first the pairs that agree best, then all whose sharper signatures agree enough; so no link
+       between components is lost, while pairs within one, which can't change it, aren't made.
     An empty table gives an empty one; extra columns are ignored."""
-    least = per / of - SLACK * np.sqrt(per / of * (1 - per / of) / (BANDS * ROWS))
+    least = _least(per / of, BANDS * ROWS)
     docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = saved(docs.mapInArrow(_prints(width), "doc_id long, n long, fp binary, bands array<long>, sig binary"), "prints")
     live = prints.where("fp is not null and doc_id is not null")
@@ -213,10 +242,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
         at = members.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c")), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
         at = saved(at, "at")
         split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", F.ceil(F.col("k") / SIDE).cast("int").alias("g"))
-        rest = at.join(split, "key").join(sigs, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+        rest = at.join(split, "key")
+        if best:
+            own, enough, kind = sigs, least, np.uint32
+        else:
+            ids = saved(rest.select("doc_id").distinct(), "ids")
+            texts = _only(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sharp(width), "doc_id long, sig binary")
+            own, enough, kind = texts.groupBy("doc_id").agg(F.first("sig", ignorenulls=True).alias("sig")), _least(per / of, SHARP), np.uint8
+        rest = rest.join(own, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
         squares = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"), F.when(q == F.col("p"), 2).when(F.col("p") < q, 0).otherwise(1).alias("side")))
         rest = rest.withColumn("s", F.explode(squares)).select("key", "doc_id", "c", "sig", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
-        more = rest.groupBy("key", "i", "j").applyInArrow(_across(least, best), "a long, b long").where("a <> b").distinct()
+        more = rest.groupBy("key", "i", "j").applyInArrow(_across(enough, best, kind), "a long, b long").where("a <> b").distinct()
         more = saved(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = more
         dropped(at)
