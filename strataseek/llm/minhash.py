@@ -72,6 +72,14 @@ def minima(shingles: np.ndarray, hashes: tuple[np.ndarray, np.ndarray] = _HASHES
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Rows of minima -> rows of the keys of their bands."""
+    band = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), (len(sig), BANDS))
+    for k in range(ROWS):
+        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS].astype(np.uint64))
+    return band.view(np.int64)
+
+
 def _prints(width: int):
     def run(batches):
         for batch in batches:
@@ -86,11 +94,8 @@ def _prints(width: int):
                             rows[k].append(None)
                         continue
                     sig = minima(s)
-                    band = mix(np.arange(BANDS, dtype=np.uint64))
-                    for k in range(ROWS):
-                        band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[k::ROWS].astype(np.uint64))
                     rows["fp"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    rows["bands"].append(band.view(np.int64))
+                    rows["bands"].append(band_keys(sig[None])[0])
                     rows["sig"].append(sig.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["fp"], pa.binary()), pa.array(rows["bands"], pa.list_(pa.int64())), pa.array(rows["sig"], pa.binary())], names=list(rows))
 
@@ -148,20 +153,28 @@ def _linked(per: int, of: int):
     return run
 
 
-def _across(least: float, best: int | None, kind: type):
-    """In one square of a bucket, the pairs of unlike components whose signatures agree enough; with best, only that many of
-    two components, those that agree most."""
+def _across(least: float, best: int | None):
+    """In one square of a bucket, the pairs of unlike components whose signatures, the sharper ones where given, agree enough;
+    with best, only that many of two components, those that agree most. A pair comes from the first bucket that it shares."""
+    size = 4 * BANDS * ROWS
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, side = (t.column(c).to_numpy() for c in ("doc_id", "c", "side"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), kind).reshape(len(ids), -1)
+        rows = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sig = np.ascontiguousarray(rows[:, :size]).view(np.uint32)
+        keys = band_keys(sig)
+        earlier = keys[:, : (keys[0] == t.column("key")[0].as_py()).argmax()]
+        if rows.shape[1] > size:
+            sig = rows[:, size:]
         left, right = (np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2)))
         out = [np.zeros((3, 0))]
         for i in left:
             j = right[comp[right] != comp[i]]
             j = j[j > i] if side[i] == 2 else j
             share = (sig[j] == sig[i]).mean(axis=1)
-            out.append(np.array([np.full(len(j), i), j, share])[:, share >= least])
+            j, share = j[share >= least], share[share >= least]
+            new = ~(earlier[j] == earlier[i]).any(axis=1)
+            out.append(np.array([np.full(len(j), i), j, share])[:, new])
         i, j, share = np.concatenate(out, axis=1)
         i, j = i.astype(np.int64), j.astype(np.int64)
         if best and len(i):
@@ -244,15 +257,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
         split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("key", F.ceil(F.col("k") / SIDE).cast("int").alias("g"))
         rest = at.join(split, "key")
         if best:
-            own, enough, kind = sigs, least, np.uint32
+            own, enough = sigs, least
         else:
             ids = saved(rest.select("doc_id").distinct(), "ids")
             texts = _only(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sharp(width), "doc_id long, sig binary")
-            own, enough, kind = texts.groupBy("doc_id").agg(F.first("sig", ignorenulls=True).alias("sig")), _least(per / of, SHARP), np.uint8
+            sharp = texts.groupBy("doc_id").agg(F.first("sig", ignorenulls=True).alias("sharp"))
+            own, enough = sigs.join(sharp, "doc_id").select("doc_id", F.concat("sig", "sharp").alias("sig")), _least(per / of, SHARP)
         rest = rest.join(own, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
         squares = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"), F.when(q == F.col("p"), 2).when(F.col("p") < q, 0).otherwise(1).alias("side")))
         rest = rest.withColumn("s", F.explode(squares)).select("key", "doc_id", "c", "sig", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.side").alias("side"))
-        more = rest.groupBy("key", "i", "j").applyInArrow(_across(enough, best, kind), "a long, b long").where("a <> b").distinct()
+        more = rest.groupBy("key", "i", "j").applyInArrow(_across(enough, best), "a long, b long").where("a <> b").distinct()
         more = saved(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = more
         dropped(at)
