@@ -253,6 +253,34 @@ def test_media(spark):
     assert len(media.fingerprint(None)) == len(media.fingerprint(b"RIFF")) == 0
 
 
+def test_alignments_against_brute_force(spark):
+    """Recall over all offsets: bit errors spread evenly, long held tones, several lengths, shifted copies."""
+    r = np.random.default_rng(6)
+    draw = lambda n: r.integers(0, 1 << 32, n, np.uint32)
+    flip = lambda x, k: x ^ np.array([sum(1 << int(b) for b in r.choice(32, k, False)) for _ in x], np.uint32)
+    base, held = draw(88), np.concatenate([np.full(40, 7, np.uint32), draw(48)])
+    rows = {0: base, 1: flip(base, 6), 2: flip(base[9:], 5), 3: flip(np.concatenate([draw(11), base]), 6), 4: flip(base, 9), 5: draw(15), 6: draw(0)}
+    rows |= {20: held, 21: np.concatenate([draw(24), np.full(30, 7, np.uint32), flip(held[48:], 4)]), 22: np.concatenate([draw(30), flip(held, 3), draw(9)])}
+    rows |= {k: draw(int(r.integers(10, 120))) for k in (40, 41, 42, 43)}
+    want = {}
+    for q in (0, 20, 40):
+        for i, y in rows.items():
+            for k in range(-len(rows[q]) + 16, len(y) - 15):
+                a, b = (rows[q][-k:], y) if k < 0 else (rows[q], y[k:])
+                n = min(len(a), len(b))
+                e = int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n) if n >= 16 else 1.0
+                if i != q and e <= 0.2:
+                    want[q, i] = min(want.get((q, i), (e, abs(k), k, n)), (e, abs(k), k, n))
+    assert {(0, 1), (0, 2), (0, 3), (20, 21), (20, 22)} <= set(want) and (0, 4) not in want
+    table = spark.createDataFrame([(i, x.astype(int).tolist()) for i, x in rows.items()], "rec_id long, prints array<long>")
+    for g in media.aligned(table).collect():
+        own = {i: v for (q, i), v in want.items() if q == g.rec_id}
+        assert g.n_matches == len(own)
+        if own:
+            i = min(own, key=lambda i: (own[i][0], i))
+            assert (g.best_id, g.best_bit_error, g.best_shift, g.best_overlap) == (i, own[i][0], *own[i][2:])
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>")
