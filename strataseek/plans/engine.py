@@ -82,12 +82,24 @@ class Retriever:
             raise ValueError(f"no category {name!r}; there are {[c['name'] for c in self.categories]}")
         return found
 
-    def extract(self, question: str, category: str) -> str | None:
-        return Q.extracted(self.extractor, self.schemas[self.category(category)["id"]], question) if self.extractor else None
+    def extract(self, question: str, category: str, key: str = "fields") -> str | None:
+        """The model's answer for the schema's fields, or for its filters."""
+        schema = self.schemas[self.category(category)["id"]]
+        return Q.extracted(self.extractor, schema | {"fields": schema[key]}, question) if self.extractor else None
+
+    def filter_documents(self, raw: str | None, filters: DataFrame, alias_targets: bool = False) -> DataFrame:
+        """doc_id: the best documents of each filter group in the model's answer, by metadata; none without an answer."""
+        groups = self.spark.createDataFrame([(raw,)], "raw string").select(F.posexplode(Q.parsed_answers(F.col("raw")).getField("query")).alias("query_id", "fields"))
+        terms = S.field_terms(Q.query_fields(groups, filters).where("not placeholder"), alias_targets).where("channel = 'meta'")
+        exact = terms.where("kind = 'term'")
+        terms = exact.unionByName(S.fuzzy_terms(terms.where("kind = 'fuzzy'"), self.index["terms"]).select(exact.columns))
+        hits = S.bm25(terms, self.index["postings"], self.index["terms"], self.index["fields"])
+        return S.meta_documents(hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("filter_ix"), "unit", "score")).select(F.col("unit").alias("doc_id"))
 
     def retrieve(self, question: str, options: RetrieveOptions | None = None, category_name: str | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank, the chunk and its neighbours' ids, category and warning; a query_id for each
-        extracted group."""
+        extracted group. The model is asked for the schema's filters and for its fields, each on its own; the documents of all
+        filter groups restrict every query."""
         if not 1 <= len(question) <= 500:
             raise ValueError("a question has 1 to 500 characters")
         o = options or RetrieveOptions()
@@ -101,11 +113,12 @@ class Retriever:
         terms = S.field_terms(Q.query_fields(groups, rows("fields")), o.alias_targets).unionByName(S.free_text_terms(groups))
         exact, fuzzy = terms.where("kind = 'term'"), terms.where("kind = 'fuzzy'")
         terms = exact.unionByName(S.fuzzy_terms(fuzzy, self.index["terms"]).select(exact.columns))
-        docs = None
+        docs, warning = None, None if raw else "no extraction: searched by free text"
         if "metas" in self.tables and schema.get("filters"):
-            m = S.field_terms(Q.query_fields(groups, rows("filters")).where("not placeholder"))
-            hits = S.bm25(m.where("kind = 'term'"), self.index["postings"], self.index["terms"], self.index["fields"]).withColumn("filter_ix", F.lit(0))
-            docs = S.meta_documents(hits).withColumnRenamed("unit", "doc_id")
+            raw_filters = self.extract(question, cid, "filters")
+            docs = groups.select("query_id").crossJoin(self.filter_documents(raw_filters, rows("filters"), o.alias_targets))
+            if self.extractor and raw_filters is None and not warning:
+                warning = "no filter extraction: searched all documents"
         if o.doc_ids:
             own = groups.select("query_id").crossJoin(spark.createDataFrame([(d,) for d in o.doc_ids], "doc_id string"))
             docs = own if docs is None or docs.isEmpty() else own.join(docs, ["query_id", "doc_id"], "left_semi")
@@ -113,4 +126,4 @@ class Retriever:
         weights = spark.createDataFrame([(c, float(w[f"{c}_channel"])) for c in ("entity", "relation", "title", "content")], "channel string, weight double")
         hits = structured_search(terms, self.index, weights, o.top_k, docs, o.min_score)
         near = S.neighbours(self.tables["chunks"], o.adjacent_count if o.include_adjacent else 0)
-        return hits.join(near, "chunk_id").withColumns({"category": F.lit(cid), "warning": F.lit(None if raw else "no extraction: searched by free text")})
+        return hits.join(near, "chunk_id").withColumns({"category": F.lit(cid), "warning": F.lit(warning)})

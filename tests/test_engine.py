@@ -84,6 +84,22 @@ def test_retriever(spark, folder):
         r.category("unknown")
 
 
+def test_metadata_filter(spark, folder):
+    asked = []
+
+    def model(question, prompt):
+        asked.append(prompt)
+        if "contract_name" not in prompt:
+            return '[{"query": {"clause": "Section 1"}, "filter": {"doc_ids": []}}]'
+        return json.dumps([{"query": {"insurer": None, "contract_name": x}, "filter": {"doc_ids": []}} for x in names])
+
+    r = Retriever(spark, str(folder / "docs"), str(folder / "index"), "insurance", model)
+    for names, want in ((["theft"], {"d2"}), (["theft", "flood"], {"d0", "d2"}), (["flooo"], {"d0", "d1", "d2"}), ([], {"d0", "d1", "d2"}), (["thef"], {"d2"})):
+        asked.clear()
+        got = r.retrieve("damage part 1", RetrieveOptions(top_k=50), "Policies").collect()
+        assert len(asked) == 2 and {x.doc_id for x in got} == want and not any(x.warning for x in got)
+
+
 def test_stream(spark, folder):
     q = index_stream(spark, str(folder / "docs" / "d0"), str(folder / "live"), str(folder / "cp"))
     q.awaitTermination(120)
