@@ -14,13 +14,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+#: Runs of Han characters, and runs of other letters and digits.
+HAN_RUNS = r"(\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+)"
+
+
 def cjk_tokens(text: Column) -> Column:
     """As tokens(), with runs of Han characters as overlapping pairs (a single one as itself)."""
     def pairs(t: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
         return F.when(t.rlike(r"^\p{IsHan}+$"), cut).otherwise(F.array(t))
 
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(HAN_RUNS), F.lit(1))
     return F.flatten(F.transform(runs, pairs))
 
 
@@ -29,9 +33,9 @@ def without_stop_words(words: Column, stop: list[str] = STOP_WORDS, least: int =
     return F.filter(words, lambda t: ~t.isin(stop) & (F.length(t) >= least))
 
 
-def query_tokens(text: Column) -> Column:
+def query_tokens(text: Column, analyze=tokens) -> Column:
     """Query side: trimmed, blanks dropped, no stop filter."""
-    return F.filter(F.transform(tokens(text), F.trim), lambda t: t != "")
+    return F.filter(F.transform(analyze(text), F.trim), lambda t: t != "")
 
 
 ANALYZERS = {"words": tokens, "cjk": cjk_tokens}

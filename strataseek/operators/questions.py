@@ -7,22 +7,28 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataseek.functions.analysis import tokens
+from strataseek.functions.analysis import HAN_RUNS, cjk_tokens, tokens
 
 
-def keyword_scores(questions: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_scores(questions: DataFrame, keywords: DataFrame, analyze=tokens) -> DataFrame:
     """questions (query_id, text) -> (query_id, category_id, priority, threshold, score): over groups, weight times the
     share of listed words found; a one-character word is looked for among characters. Case counts. Words meet tokens in
-    an equi-join; keywords are configuration and broadcast."""
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    an equi-join; keywords are configuration and broadcast. With cjk_tokens, Han characters don't join the words beside them
+    and a word with Han characters is found wherever the text contains it."""
+    cjk = analyze is cjk_tokens
+    words = F.regexp_extract_all(F.col("text"), F.lit(HAN_RUNS if cjk else r"([\p{L}\p{N}]+)"), F.lit(1))
     bits = questions.select("query_id", F.explode(F.array_union(words, F.filter(F.split("text", ""), lambda c: c != ""))).alias("word"))
-    hits = bits.join(F.broadcast(keywords), "word")
+    inside = F.col("word").rlike(r"\p{IsHan}") & (F.length("word") > 1)
+    hits = bits.join(F.broadcast(keywords.where(~inside) if cjk else keywords), "word")
+    if cjk:
+        held = questions.join(F.broadcast(keywords.where(inside)), F.contains("text", "word"))
+        hits = hits.unionByName(held.select(hits.columns))
     return hits.groupBy("query_id", "category_id", "priority", "threshold").agg(F.round(F.sum(F.col("weight") / F.col("group_size")), 6).alias("score"))
 
 
-def classified(questions: DataFrame, keywords: DataFrame, default: str) -> DataFrame:
+def classified(questions: DataFrame, keywords: DataFrame, default: str, analyze=tokens) -> DataFrame:
     """The best category that reaches its threshold (the earliest of equals; a score of 0 never wins), else the default."""
-    s = keyword_scores(questions, keywords).where("score >= threshold and score > 0")
+    s = keyword_scores(questions, keywords, analyze).where("score >= threshold and score > 0")
     best = s.groupBy("query_id").agg(F.min_by(F.struct("category_id", "score"), F.struct(-F.col("score"), F.col("priority"))).alias("b"))
     return questions.join(best, "query_id", "left").select("query_id", F.coalesce("b.category_id", F.lit(default)).alias("category_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 

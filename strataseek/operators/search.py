@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataseek.functions.analysis import query_tokens
+from strataseek.functions.analysis import query_tokens, tokens
 
 K1, B = 1.2, 0.75
 FUZZY_BOOST = {"exact_then_fuzzy": 0.6, "fuzzy": 0.5}
@@ -18,7 +18,7 @@ CHANNEL_LIMIT = {"title": 20, "content": 20, "entity": 10000, "relation": 10000,
 ALIASES = {"entity_name": "name", "entity_names": "name", "relation_predicates": "predicate"}
 
 
-def field_terms(fields: DataFrame, alias_targets: bool = False) -> DataFrame:
+def field_terms(fields: DataFrame, alias_targets: bool = False, analyze=tokens) -> DataFrame:
     """fields (query_id, value, target, match_method, weight) -> (query_id, channel, field, term, kind, boost).
 
     Null values and targets outside every channel fall out; each token is an exact term at its weight, and for the fuzzy
@@ -27,15 +27,15 @@ def field_terms(fields: DataFrame, alias_targets: bool = False) -> DataFrame:
     if alias_targets:
         fields = fields.replace(ALIASES, subset=["target"])
     places = spark.createDataFrame([(c, f) for c, fs in CHANNEL_FIELDS.items() for f in fs], "channel string, field string")
-    t = fields.where("value is not null").join(F.broadcast(places), F.col("target") == F.col("field")).withColumn("term", F.explode(query_tokens(F.col("value"))))
+    t = fields.where("value is not null").join(F.broadcast(places), F.col("target") == F.col("field")).withColumn("term", F.explode(query_tokens(F.col("value"), analyze)))
     fuzzy = reduce(lambda c, m: c.when(F.col("match_method") == m[0], m[1]), FUZZY_BOOST.items(), F.when(F.lit(False), 0.0))
     kinds = F.array_compact(F.array(F.struct(F.lit("term").alias("kind"), F.lit(1.0).alias("x")), F.when(fuzzy.isNotNull() & (F.length("term") <= FUZZY_LENGTH), F.struct(F.lit("fuzzy").alias("kind"), fuzzy.alias("x")))))
     return t.withColumn("k", F.explode(kinds)).select("query_id", "channel", "field", "term", "k.kind", (F.col("weight") * F.col("k.x")).alias("boost"))
 
 
-def free_text_terms(texts: DataFrame, boost: float = FREE_TEXT_BOOST) -> DataFrame:
+def free_text_terms(texts: DataFrame, boost: float = FREE_TEXT_BOOST, analyze=tokens) -> DataFrame:
     """texts (query_id, text): each token a content term."""
-    return texts.select("query_id", F.lit("content").alias("channel"), F.lit("content").alias("field"), F.explode(query_tokens(F.col("text"))).alias("term"), F.lit("term").alias("kind"), F.lit(boost).alias("boost"))
+    return texts.select("query_id", F.lit("content").alias("channel"), F.lit("content").alias("field"), F.explode(query_tokens(F.col("text"), analyze)).alias("term"), F.lit("term").alias("kind"), F.lit(boost).alias("boost"))
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, prefix: int = 1) -> DataFrame:

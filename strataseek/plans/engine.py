@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataseek.functions.analysis import ANALYZERS
 from strataseek.operators import questions as Q
 from strataseek.operators import search as S
 from strataseek.operators import units
@@ -40,10 +41,14 @@ def structured_search(terms: DataFrame, index: dict[str, DataFrame], weights: Da
 
 
 class Retriever:
-    """Over a folder of JSON documents, its tables stored under index_path. kind: default or insurance (with metadata)."""
+    """Over a folder of JSON documents, its tables stored under index_path. kind: default or insurance (with metadata).
+    analyzer: words, or cjk for Chinese; each other analyzer's tables are stored in a folder of their own."""
 
-    def __init__(self, spark: SparkSession, documents: str, index_path: str, kind: str = "default", extractor: Q.Extractor | None = None, rebuild: bool = False):
+    def __init__(self, spark: SparkSession, documents: str, index_path: str, kind: str = "default", extractor: Q.Extractor | None = None, rebuild: bool = False, analyzer: str = "words"):
         self.spark, self.documents, self.index_path, self.kind, self.extractor = spark, documents, index_path, kind, extractor
+        self.analyze = ANALYZERS[analyzer]
+        if analyzer != "words":
+            self.index_path = f"{index_path}/{analyzer}"
         self.categories = D.categories()
         self.schemas = D.schemas(self.categories)
         self.rebuild_index() if rebuild else self._open(False)
@@ -60,7 +65,7 @@ class Retriever:
             parts.append(("metas", "doc_id", ["insurer", "contract_name"]))
         post, stats, fields = [], [], []
         for name, unit, names in parts:
-            p = D.stored_index(self.spark, self.index_path, {f"{name}_postings": units.postings(t[name], unit, names)}, rebuild)[f"{name}_postings"]
+            p = D.stored_index(self.spark, self.index_path, {f"{name}_postings": units.postings(t[name], unit, names, self.analyze)}, rebuild)[f"{name}_postings"]
             a, b = units.statistics(p, t[name].count())
             post.append(p), stats.append(a), fields.append(b)
         union = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(union(xs[1:]))
@@ -74,7 +79,7 @@ class Retriever:
     def classify(self, question: str) -> str:
         q = self.spark.createDataFrame([(0, question)], "query_id long, text string")
         default = next(c["id"] for c in self.categories if c["classification"]["method"] == "default")
-        return Q.classified(q, D.keyword_table(self.spark, self.categories), default).first()["category_id"]
+        return Q.classified(q, D.keyword_table(self.spark, self.categories), default, self.analyze).first()["category_id"]
 
     def category(self, name: str) -> dict:
         found = next((c for c in self.categories if name in (c["name"], c["id"])), None)
@@ -90,7 +95,7 @@ class Retriever:
     def filter_documents(self, raw: str | None, filters: DataFrame, alias_targets: bool = False) -> DataFrame:
         """doc_id: the best documents of each filter group in the model's answer, by metadata; none without an answer."""
         groups = self.spark.createDataFrame([(raw,)], "raw string").select(F.posexplode(Q.parsed_answers(F.col("raw")).getField("query")).alias("query_id", "fields"))
-        terms = S.field_terms(Q.query_fields(groups, filters).where("not placeholder"), alias_targets).where("channel = 'meta'")
+        terms = S.field_terms(Q.query_fields(groups, filters).where("not placeholder"), alias_targets, self.analyze).where("channel = 'meta'")
         exact = terms.where("kind = 'term'")
         terms = exact.unionByName(S.fuzzy_terms(terms.where("kind = 'fuzzy'"), self.index["terms"]).select(exact.columns))
         hits = S.bm25(terms, self.index["postings"], self.index["terms"], self.index["fields"])
@@ -110,7 +115,7 @@ class Retriever:
         groups = spark.createDataFrame([(raw, question)], "raw string, question string").withColumn("got", F.coalesce(Q.parsed_answers(F.col("raw")).getField("query"), F.array(F.lit(None).cast("map<string,string>"))))
         groups = groups.select(F.posexplode("got").alias("query_id", "fields"), "question").select(F.col("query_id").cast("long"), Q.with_fallback(F.col("fields"), F.col("question")).alias("fields"), F.col("question").alias("text"))
         rows = lambda key: spark.createDataFrame([(f["field_name"], f["target_index_field"], f["match_method"], float(f["weight"])) for f in schema.get(key) or []], "field_name string, target string, match_method string, weight double")
-        terms = S.field_terms(Q.query_fields(groups, rows("fields")), o.alias_targets).unionByName(S.free_text_terms(groups))
+        terms = S.field_terms(Q.query_fields(groups, rows("fields")), o.alias_targets, self.analyze).unionByName(S.free_text_terms(groups, analyze=self.analyze))
         exact, fuzzy = terms.where("kind = 'term'"), terms.where("kind = 'fuzzy'")
         terms = exact.unionByName(S.fuzzy_terms(fuzzy, self.index["terms"]).select(exact.columns))
         docs, warning = None, None if raw else "no extraction: searched by free text"

@@ -100,6 +100,24 @@ def test_metadata_filter(spark, folder):
         assert len(asked) == 2 and {x.doc_id for x in got} == want and not any(x.warning for x in got)
 
 
+def test_chinese(spark, tmp_path):
+    for i, text in enumerate(["本保险合同承担火灾损失责任", "本公司负责赔偿盗窃事故"]):
+        (tmp_path / f"d{i}.json").write_text(json.dumps(document(i, text), ensure_ascii=False))
+    r = Retriever(spark, str(tmp_path), str(tmp_path / "index"), "insurance", analyzer="cjk")
+    asked = "请问火灾损失怎么赔?"
+    got = r.retrieve(asked, RetrieveOptions(top_k=50), "General").collect()
+    assert {x.doc_id for x in got} == {"d0"}
+    assert Retriever(spark, str(tmp_path), str(tmp_path / "index"), "insurance").retrieve(asked, None, "General").count() == 0
+    r.extractor = lambda question, prompt: json.dumps([{"query": {"contract_name": "盗窃事故"}, "filter": {"doc_ids": []}}])
+    assert {x.doc_id for x in r.retrieve("本公司保险合同", RetrieveOptions(top_k=50), "Policies").collect()} == {"d1"}
+    keywords = [{"id": "fire", "classification": {"method": "keyword", "keywords": [{"words": ["火灾损失", "ESG报告"], "weight": 1.0}, {"words": ["ESG"], "weight": 1.0}]}}]
+    q = spark.createDataFrame([(0, asked), (1, "看ESG报告吗"), (2, "火灾的损失")], "query_id long, text string")
+    scores = {x.query_id: x.score for x in Q.keyword_scores(q, D.keyword_table(spark, keywords), analysis.cjk_tokens).collect()}
+    assert scores == {0: 0.5, 1: 1.5}
+    r.categories = keywords + [c for c in r.categories if c["id"] == "general"]
+    assert r.classify(asked) == "fire" and r.classify("火灾的损失") == "general"
+
+
 def test_stream(spark, folder):
     q = index_stream(spark, str(folder / "docs" / "d0"), str(folder / "live"), str(folder / "cp"))
     q.awaitTermination(120)
