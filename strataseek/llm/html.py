@@ -2,7 +2,9 @@
 spacing, lists and aligned table cells.
 
 All visible text is kept: nothing is judged to be boilerplate. Not visible: script, style, template, head but for the
-title, comments, elements with the hidden attribute, aria-hidden="true", display:none or visibility:hidden, hidden inputs.
+title, comments, elements with the hidden attribute, display:none or visibility:hidden, hidden inputs, passwords, and of svg
+what only names or defines (title, desc, metadata, defs, symbol) and of math its annotations. aria-hidden hides from screen
+readers only, so its text is kept. Text that an svg paints only by <use> of its defs isn't followed.
 Null and empty pages give empty text. Broken markup never fails: open elements end with their parent or with the page.
 """
 
@@ -21,9 +23,15 @@ from .common import frugal
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template noscript iframe noembed noframes object canvas audio video svg math datalist".split())
-BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table ul caption tr".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form article section fieldset".split())
+UNSEEN = frozenset("script style template noscript iframe noembed noframes object canvas audio video datalist".split())
+#: Not painted inside svg and math; elements in which HTML goes on; and start tags that end an open svg or math.
+UNSEEN_FOREIGN = frozenset("title desc metadata defs symbol annotation annotation-xml".split())
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Inputs whose value isn't painted as text.
+UNSEEN_INPUTS = frozenset("hidden password checkbox radio file image range color".split())
+BLOCK = frozenset("xmp html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table ul caption tr".split())
+SPACED = frozenset("xmp p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form article section fieldset".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 #: A start tag ends these open elements, looked for up to the nearest of the second set.
 ENDS = {
@@ -56,6 +64,10 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
+
+
 class Builder:
     """Open elements as a stack; text as strings among a node's children."""
 
@@ -65,6 +77,17 @@ class Builder:
         self.title = ""
         self.root.children.append(self.body)
         self.stack = [self.root, self.body]
+        self.any_foreign = False
+
+    def _foreign(self) -> int:
+        """The place on the stack of the svg or math whose content comes next, else 0."""
+        if self.any_foreign:
+            for i in range(len(self.stack) - 1, 1, -1):
+                if self.stack[i].tag in ("svg", "math"):
+                    return i
+                if self.stack[i].tag in HTML_AGAIN:
+                    return 0
+        return 0
 
     def _end(self, tags, stops) -> None:
         for i in range(len(self.stack) - 1, 1, -1):
@@ -78,16 +101,34 @@ class Builder:
     def start(self, tag: str, raw: str, closed: bool) -> None:
         if tag in ("html", "head", "body"):
             return
+        foreign = self._foreign()
+        if foreign and tag in BREAKOUT:
+            del self.stack[foreign:]
+            foreign = 0
+        if tag in ("svg", "math"):
+            self.any_foreign = True
+        if foreign:
+            return self._start_foreign(tag, raw, closed)
         if tag in BLOCK and tag not in ("html", "body", "tr", "caption"):
             self._end({"p"}, SCOPE)
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.start("tr", "", False)  # implied
-        attrs = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
+        node = Node(tag, _attributes(raw))
+        self.stack[-1].children.append(node)
+        if tag not in VOID and not (closed and tag in ("svg", "math")):
+            self.stack.append(node)
+
+    def _start_foreign(self, tag: str, raw: str, closed: bool) -> None:
+        attrs = _attributes(raw)
+        if tag in UNSEEN_FOREIGN or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"):
+            attrs["hidden"] = ""
+        elif tag in ("text", "mtd") or tag == "tspan" and not attrs.keys().isdisjoint(("x", "y", "dy")) or self.stack[-1].tag == "mfrac":
+            attrs["\0apart"] = ""  # painted at a place of its own
         node = Node(tag, attrs)
         self.stack[-1].children.append(node)
-        if tag not in VOID and not (closed and tag in ("svg", "math", "path")):
+        if not closed:
             self.stack.append(node)
 
     def end(self, tag: str) -> None:
@@ -124,14 +165,15 @@ class Builder:
             elif m[2]:
                 tag = m[2].lower()
                 self.start(tag, m[3], bool(m[4]))
-                if tag in RAW:
+                if tag in RAW and not (tag == "title" and self.stack[-1].tag == "title" and "hidden" in self.stack[-1].attrs) and not (m[4] and self._foreign()):
                     close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                     inner = page[at : close.start() if close else n]
-                    if tag in ("title", "textarea"):
-                        if tag == "title" and not self.title:
-                            self.title = _SPACE.sub(" ", entities.unescape(inner)).strip()
-                        elif tag == "textarea":
-                            self.text(inner)
+                    if tag == "title" and not self.title:
+                        self.title = _SPACE.sub(" ", entities.unescape(inner)).strip()
+                    elif tag == "textarea":
+                        self.text(inner)
+                    elif tag == "xmp":
+                        self.stack[-1].children.append(inner)
                     at = close.end() if close else n
                     self.end(tag)
             elif m[0].startswith("<![CDATA["):
@@ -141,7 +183,7 @@ class Builder:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return node.tag in UNSEEN or node.tag == "title" or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or "style" in a and _HIDING.search(a["style"]) is not None or node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return node.tag in UNSEEN or node.tag == "title" or bool(a) and ("hidden" in a or "style" in a and _HIDING.search(a["style"]) is not None or node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
 def width(s: str) -> int:
@@ -216,8 +258,10 @@ class Renderer:
                 self.text(node.attrs["alt"], False)
             return
         if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("button", "submit", "reset", "text") and node.attrs.get("value"):
-                self.text(node.attrs["value"], False)
+            kind = node.attrs.get("type", "text").strip().lower()
+            shown = node.attrs.get("alt" if kind == "image" else "value")
+            if shown and (kind == "image" or kind not in UNSEEN_INPUTS):
+                self.text(shown, False)
             return
         if tag == "table":
             self._break(2)
@@ -227,7 +271,7 @@ class Renderer:
                 self.gap = 1
             self._break(2)
             return
-        pre = pre or tag in ("pre", "textarea")
+        pre = pre or tag in ("pre", "textarea", "xmp")
         gap = 2 if tag in SPACED else 1 if tag in BLOCK else 0
         if tag in ("ul", "ol") and self.prefix:
             gap = 1
@@ -252,6 +296,10 @@ class Renderer:
         todo += [("call", f, False) for f in after] + [("in", c, pre) for c in reversed(node.children)]
         if tag in ("option", "td", "th", "button", "label"):
             todo.insert(len(todo) - len(node.children), ("call", lambda: self.text(" ", False), False))
+        if "\0apart" in node.attrs:
+            space = ("call", lambda: self.text(" ", False), False)
+            todo.insert(len(todo) - len(node.children), space)
+            todo.append(space)
 
 
 #: Table cells whose text is longer than this don't widen their column.

@@ -243,6 +243,20 @@ def test_html():
     assert html.rendered("") == ("", "") and html.rendered("<div>" * 3000 + "x")[1] == "x" and html.rendered("<p")[1] == "<p"
 
 
+def test_html_visible():
+    shown = lambda page: html.rendered(page)[1]
+    assert shown("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> hold") == "Let x= 1 2 hold"
+    svg = "<svg><title>no</title><defs><text>no</text></defs><style>no</style><rect/><text/><text x=1>Label <tspan>on</tspan>e</text><text>two</text><g display=none><text>no</text></g></svg>"
+    assert html.rendered(f"<title>T</title>a{svg}b") == ("T", "a Label one two b") and html.rendered(svg) == ("", "Label one two")
+    assert shown("<svg><foreignObject><p>in<br/>side</foreignObject></svg>") == "in\nside" and shown("<svg><defs><p>after") == "after"
+    assert shown("x<xmp><b>&amp;\n y</xmp>z") == "x\n\n<b>&amp;\n y\n\nz"
+    assert shown("<span aria-hidden=true>seen</span><span hidden>no</span>") == "seen"
+    for kind in ("search", "email", "url", "tel", "number", "date", "text", "unknown"):
+        assert shown(f"<input type={kind} value=v1>") == "v1"
+    assert shown("<input value=v1><input type=hidden value=no><input type=password value=no><input type=checkbox value=no>") == "v1"
+    assert shown("<desc>plain</desc> <symbol>tags</symbol>") == "plain tags"
+
+
 def test_media(spark):
     r = np.random.default_rng(4)
     a, b = r.standard_normal(64).tolist(), r.standard_normal(64).tolist()
