@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import frugal, saved
 
-#: Labelled rows learned from, candidates for the lexicon and its size, least share of toxic documents and least odds of
-#: a candidate, word beginnings' lengths.
+#: Labelled rows learned from, candidates that the bound on chance reckons with, the lexicon's size, least share of toxic
+#: documents and least odds of a candidate, word beginnings' lengths.
 SAMPLE, CANDIDATES, CUES, SHARE, ODDS, STEM = 20_000, 20_000, 1000, 0.004, 50.0, range(4, 11)
 
 # General words of each class.
@@ -155,17 +155,27 @@ def _decoded(column) -> list[str]:
     return [(x or b"").decode(errors="replace") for x in column.to_pylist()]
 
 
-def _count_stems(wanted: set[str] | None):
+def _count_stems(batches):
     """Documents that hold each stem, summed within the batch."""
+    for batch in batches:
+        n = Counter()
+        for text in _decoded(batch.column("text")):
+            n.update(_stems(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["stem", "n"])
 
-    def run(batches):
-        for batch in batches:
-            n = Counter()
-            for text in _decoded(batch.column("text")):
-                n.update(_stems(text) if wanted is None else _stems(text) & wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["stem", "n"])
 
-    return run
+def stem_odds(rows: DataFrame, bad: int, good: int) -> DataFrame:
+    """rows (text, toxic) -> stem, hits, odds, strong: each stem of enough toxic texts, with the odds that it speaks for
+    toxic; strong ones reach ODDS and hardly pass by chance. Counts meet in a join; no stem is left out for its frequency."""
+    least = max(3, math.ceil(SHARE * bad))
+    count = lambda toxic, n: rows.where(F.col("toxic") == toxic).mapInArrow(_count_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias(n))
+    both = count(1, "hits").where(F.col("hits") >= least).join(count(0, "misses"), "stem", "left").fillna(0, ["misses"])
+    odds = ((F.col("hits") + 0.5) / (bad + 1)) / ((F.col("misses") + 0.5) / (good + 1))
+    # of CANDIDATES forms without bearing on the label, about one passes by chance (a likelihood-ratio bound)
+    share, all_ = bad / (bad + good), F.col("hits") + F.col("misses")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (all_ * p))).otherwise(0.0)
+    sure = part(F.col("hits"), share) + part(F.col("misses"), 1 - share) >= math.log(CANDIDATES)
+    return both.select("stem", "hits", odds.alias("odds"), ((odds >= ODDS) & sure).alias("strong"))
 
 
 def _sums(lexicon_cues):
@@ -212,18 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float] | None,
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return None, DEFAULT
-    least = max(3, math.ceil(SHARE * bad))
-    found = rows.where("toxic = 1").mapInArrow(_count_stems(None), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    hits = {r["stem"]: r["n"] for r in found.orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()}
-    wanted = spark.sparkContext.broadcast(set(hits))
-    clean = rows.where("toxic = 0").mapInArrow(lambda b: _count_stems(wanted.value)(b), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    misses = {r["stem"]: r["n"] for r in clean.collect()}  # CANDIDATES rows at most
-    odds = {s: ((n + 0.5) / (bad + 1)) / ((misses.get(s, 0) + 0.5) / (good + 1)) for s, n in hits.items()}
-    # of CANDIDATES forms without bearing on the label, about one passes by chance (a likelihood-ratio bound)
-    share, chance = bad / (bad + good), math.log(CANDIDATES)
-    part = lambda k, n, p: k * math.log(k / (n * p)) if k else 0.0
-    sure = lambda n, c: part(n, n + c, share) + part(c, n + c, 1 - share) >= chance
-    strong = {s for s, o in odds.items() if o >= ODDS and sure(hits[s], misses.get(s, 0))}
+    found = stem_odds(rows, bad, good).where(F.col("strong") | F.col("stem").isin(sorted(INSULTS))).collect()
+    hits, odds, strong = {r["stem"]: r["hits"] for r in found}, {r["stem"]: r["odds"] for r in found}, {r["stem"] for r in found if r["strong"]}
     # the longest form that keeps nearly all of its beginning's documents; of the rest, those not under another cue
     cues: dict[str, float] = {}
     for s in sorted(strong, key=lambda s: (-hits[s], len(s.rstrip("*")), s)):

@@ -214,6 +214,21 @@ def test_toxicity(spark):
     assert toxicity.clean_documents(docs, labels).count() == 302
 
 
+def test_rare_insults(spark, monkeypatch):
+    """An insult counts however many harmless words are more frequent in toxic texts."""
+    monkeypatch.setattr(toxicity, "CANDIDATES", 40)
+    letters = "abcdefghijklmnop"
+    common = " ".join(f"word{a}{b}" for a in letters for b in letters[:6])
+    rows = [(common + (" grumbfool" if i % 8 == 0 else " zorkface" if i % 8 == 4 else "") + f" {letters[i % 16]}{i}", int(i % 4 == 0)) for i in range(400)]
+    got = {r.stem: r for r in toxicity.stem_odds(spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, toxic int"), 100, 300).collect()}
+    want = lambda hits, misses: ((hits + 0.5) / 101) / ((misses + 0.5) / 301)
+    assert got["wordaa"].odds == pytest.approx(want(100, 300)) and not got["wordaa"].strong and len(got) > 96
+    assert all(got[s].hits == 50 and got[s].strong and got[s].odds == pytest.approx(want(50, 0)) for s in ("grumbfool", "grum*", "zorkface"))
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in rows)), "doc_id long, text string")
+    cues, _ = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    assert any(c.startswith("grum") for c in cues) and any(c.startswith("zork") for c in cues) and not any(c.startswith("word") for c in cues)
+
+
 def test_clauses():
     g = toxicity.Grammar(toxicity.Lexicon(None))
     p = lambda t: {k for k, v in zip(toxicity.PATTERNS, g.patterns(t), strict=True) if v}
