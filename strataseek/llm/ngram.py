@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Words, block_count, blocked, crc_mod, frugal, mix, pack, unpack
 
 #: Longest n-gram, the Dirichlet weight of each order from 2 on, text bytes in a block.
-ORDER, MU, BLOCK_BYTES = 2, (40.0,), 16 << 20
+ORDER, MU, BLOCK_BYTES = 3, (40.0, 20.0), 16 << 20
 HOLD_OUT = 10
 _START, _END = b" ", b""  # no word equals these
 

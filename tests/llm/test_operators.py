@@ -12,7 +12,7 @@ import pytest
 
 from strataseek.llm import html, media, minhash, mixing, ngram, pieces, pii, substrings, toxicity, vectors
 from strataseek.llm.components import components
-from strataseek.llm.queries import piece_model
+from strataseek.llm.queries import QUERIES, piece_model
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _b int, key string, size long"
 
@@ -143,6 +143,14 @@ def test_ngrams(docs, rows, order):
     assert collections.Counter((r.doc_id, r.n_tokens, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
 
 
+def test_registered_order(spark, tmp_path):
+    """The registered query's score depends on more than the word before."""
+    rows = [(i, "a x b . c x d . " * 5) for i in range(1, 40)] + [(100, "a x b"), (101, "a x d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[100].score > got[101].score + 0.5 and got[100].base_score == pytest.approx(got[101].base_score, abs=0.05)
+
+
 def test_pieces(docs, rows):
     got = pieces.encoded(docs, piece_model()).collect()
     assert len(got) == len(rows) and all(r.checked for r in got)
