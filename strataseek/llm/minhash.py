@@ -1,6 +1,6 @@
 """Near-duplicate documents: many universal hash minima, banding, signature and full-set verification, components.
 
-Rows sharing a doc_id are one document; a null doc_id or a text without words links with nothing and is kept.
+Rows sharing a doc_id are one document, linked by any of its texts; a null doc_id or a text without words links with nothing and is kept.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.min(F.struct(order.alias("o"), "doc_id", "n")).alias("y"), F.max("doc_id").alias("z")).where("x.doc_id <> z")
     members = saved(rows.join(hubs.select("key", F.col("x.doc_id").alias("c1"), F.col("x.n").alias("n1"), F.col("y.doc_id").alias("c2"), F.col("y.n").alias("n2")), "key"), "members")
     met = members.select("doc_id").distinct()
-    sigs = saved(_only(live.select("doc_id", "sig"), met).groupBy("doc_id").agg(F.first("sig").alias("sig")), "sigs")
+    sigs = saved(_only(live.select("doc_id", "sig"), met).distinct(), "sigs")  # each text's, where rows share a doc_id
 
     def pairs(c: str, n: str) -> DataFrame:
         sizes = F.lit(of) * F.least("n", n) >= F.lit(per) * F.greatest("n", n)
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
         else:
             ids = saved(rest.select("doc_id").distinct(), "ids")
             texts = _only(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sharp(width), "doc_id long, sig binary")
-            sharp = texts.groupBy("doc_id").agg(F.first("sig", ignorenulls=True).alias("sharp"))
+            sharp = texts.where("sig is not null").select("doc_id", F.col("sig").alias("sharp")).distinct()
             own, enough = sigs.join(sharp, "doc_id").select("doc_id", F.concat("sig", "sharp").alias("sig")), _least(per / of, SHARP)
         rest = rest.join(own, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
         squares = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"), F.when(q == F.col("p"), 2).when(F.col("p") < q, 0).otherwise(1).alias("side")))

@@ -68,6 +68,17 @@ def test_minhash(docs, rows):
     assert minhash.kept_documents(docs).columns == docs.columns
 
 
+def test_minhash_texts_of_one_id(spark):
+    """A doc_id with rows of different texts links by each of them."""
+    r = random.Random(11)
+    rows = []
+    for k in range(0, 60, 10):
+        texts = [words(r, 80) for _ in range(3)]
+        rows += [(k, t) for t in texts] + [(k + 1 + i, t + " changed") for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=4).collect()
+    assert len(got) == len(rows) and all(g.component_id == g.doc_id // 10 * 10 for g in got)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]
