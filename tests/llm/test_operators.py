@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from strataseek.llm import html, media, minhash, mixing, ngram, pieces, pii, substrings, toxicity, vectors
 from strataseek.llm.components import components
 from strataseek.llm.queries import QUERIES, piece_model
@@ -329,6 +330,45 @@ def test_alignments_against_brute_force(spark):
             assert (g.best_id, g.best_bit_error, g.best_shift, g.best_overlap) == (i, own[i][0], *own[i][2:])
 
 
+def test_pipeline(spark, tmp_path):
+    """The five stages one after the other, each against brute force on the rows of the stage before; the mix against the
+    report of op 5, which has SQL."""
+    r = random.Random(9)
+    rows = []
+    for i in range(160):
+        t = rows[-1][1] + " end" if i % 20 == 3 else words(r, 40)
+        rows.append((i, t + (" you grumbfool. " if i % 4 == 0 else " fine. ") + words(r, 5) + (" call (555) 123-4567 or a.b@c.de now" if i % 7 == 1 else "")))
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "encoding"]
+    out, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.saved(stage(spark, now, str(tmp_path)), name)
+        out[name] = now.collect()
+    texts = lambda name: {x.doc_id: x.text for x in out[name]}
+    assert texts("toxicity") == {i: t for i, t in rows if i % 4}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts("toxicity").items() for w in [tokens(t)]}
+    up = {i: i for i in sets}
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    kept = {i: t for i, t in texts("toxicity").items() if find(i) == i}
+    assert texts("near_duplicates") == kept and 0 < len(kept) < len(sets)
+    masked = {i: t.replace("(555) 123-4567", "[PHONE]").replace("a.b@c.de", "[EMAIL]") for i, t in kept.items()}
+    assert texts("personal_data") == masked and masked != kept
+    report = mixing.mix_report(spark.createDataFrame(out["personal_data"])).collect()
+    times = {x.doc_id: x.taken // x["size"] for x in report}
+    assert collections.Counter((x.doc_id, x.text) for x in out["mixing"]) == collections.Counter({(i, masked[i]): n for i, n in times.items() if n})
+    library = pieces.encoder(piece_model()).library
+    want = collections.Counter((x.doc_id, tuple(library.encode([x.text])[0])) for x in out["mixing"])
+    assert collections.Counter((x.doc_id, tuple(x.ids)) for x in out["encoding"]) == want and all(x.checked for x in out["encoding"])
+    assert collections.Counter((x.doc_id, tuple(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>")
