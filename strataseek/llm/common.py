@@ -130,6 +130,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Slots:
+    """Vectorised lookup of whole numbers from 0 on by 63-bit keys: an open-addressed table, at most half full."""
+
+    def __init__(self, n: int):
+        self.used = 0
+        self._make(max(4, (2 * n).bit_length()))
+
+    def _make(self, bits: int) -> None:
+        self.bits, self.keys, self.values = bits, np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: distinct, none there yet."""
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self._make((2 * self.used).bit_length())
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        there, out = self.keys[slot], self.values[slot]
+        at = np.flatnonzero((there != keys) & (there >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[at]]
+            out[at] = self.values[slot[at]]
+            at = at[(there != keys[at]) & (there >= 0)]
+        return out
+
+
 def crc_mod(doc_id: int | None, mod: int) -> int:
     """crc32 of the id's text, mod; a null id counts as the empty text (0)."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -171,14 +172,32 @@ def test_pieces(docs, rows):
     assert {r.ids_sha256 for r in digests} == {hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got}
 
 
-def test_joint_agendas():
+def test_joint_agendas(monkeypatch):
     """All stretches at once, one by one by the heap, and the library give the same ids, whether remembered or not."""
     e, r = pieces.encoder(piece_model()), random.Random(8)
-    texts = ["".join(r.choice("abeéüß▁  \u4e2d\u65e5🙂\u0301\n.,$019Athe ing\x00ﬁ") for _ in range(r.randint(0, 90))) for _ in range(1500)]
-    stretches = [t[: pieces.JOINT] for t in texts if t]
-    assert e.agendas(stretches) == [e.agenda(t) for t in stretches]
+    draw = lambda n: "".join(r.choice("abeéüß▁  \u4e2d\u65e5🙂\u0301\n.,$019Athe ing\x00ﬁ") for _ in range(n))
+    texts = [draw(r.randint(0, 90)) for _ in range(1500)] + ["the " * 3000, "a" * 900, " " * 300, draw(5000), "<0x0A>", "<s>▁▁"]
+    want = e.library.encode(texts)
+    split = lambda ids, n: [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
     for _ in range(2):
-        assert [[i for ids, _ in row for i in ids] for row in e.parts(texts)] == e.library.encode(texts)
+        ids, n = e.encode(texts)
+        assert split(ids, n) == want and e.decoded(ids, n) == e.library.decode(want)
+    assert [e.encode_alone(x) for x in texts] == want
+    monkeypatch.setattr(pieces, "CHARACTERS", 64)
+    monkeypatch.setattr(pieces, "MEMORY", 50)
+    for at in range(0, len(texts), 100):  # long texts in parts, memory given up again and again
+        assert split(*e.encode(texts[at : at + 100])) == want[at : at + 100]
+
+
+def test_stretches_with_one_hash(monkeypatch):
+    """Two stretches taken for one give wrong ids, which the library's show, and the text is encoded again alone."""
+    e = pieces.Encoder(piece_model())
+    monkeypatch.setattr(pieces, "encoder", lambda _: e)
+    monkeypatch.setattr(pieces, "mix", lambda x: x * np.uint64(0))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [b"one other text", b"the thing", None]})
+    (got,) = pieces._run(piece_model(), False)([rows])
+    assert got.column("checked").to_pylist() == [True] * 3 and got.column("ids").to_pylist() == e.library.encode(["one other text", "the thing", ""])
+    assert e.encode(["one other text"])[0].tolist() != got.column("ids")[0].as_py()
 
 
 def test_base_patterns():
