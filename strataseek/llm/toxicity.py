@@ -1,13 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon transducer reads a word's letters and writes its class: INSULT, THREAT, TARGET, NEGATION, REPORT or nothing, with
-a weight. A clause transducer reads the classes and writes pattern weights: an insult or threat alone, aimed at a target,
-negated or reported. The two are composed; each clause (up to . ! ? ; : or a line's end) is read from the start state,
-and what counts is the matched clauses' patterns, not words. A logistic layer turns a document's pattern sums into a score.
-
-The lexicon has a few general English words; insults are learned as words or word beginnings from labelled documents, on
-a sample bounded by SAMPLE rows. Labels, language, source and id are no input of a score. Null and empty texts match
-nothing and get the lowest score. Unlabelled tables leave the general words and default weights.
+a weight. A clause transducer reads the classes and writes patterns: an insult alone or aimed at a target, a threat at a
+target, either of them negated or reported. The two are composed; each clause (up to . ! ? ; : or a line's end) is read from
+the start state, and of each pattern the clause's best match counts, once: what is scored are matched clauses, not words.
+
+A logistic layer turns a document's sums over clauses into a score. Its signs are the grammar's: an insult asserted of a
+target weighs at least as much as one alone, threats never speak against toxicity, and what is negated or reported never for
+it. Where labels say nothing of a pattern, its weight stays at the grammar's own.
+
+The classes' general words are given for the four languages of the texts; insults are learned besides, as words or word
+beginnings, from labelled documents, on a sample bounded by SAMPLE rows of which near copies count once. Labels, language,
+source and id are no input of a score. Null and empty texts match nothing and get the lowest score. Unlabelled tables
+leave the general words and the grammar's own weights.
 """
 
 from __future__ import annotations
@@ -23,21 +28,39 @@ from pyspark.sql import functions as F
 
 from .common import frugal, saved
 
-#: Labelled rows learned from, candidates that the bound on chance reckons with, the lexicon's size, least share of toxic
-#: documents and least odds of a candidate, word beginnings' lengths.
-SAMPLE, CANDIDATES, CUES, SHARE, ODDS, STEM = 20_000, 20_000, 1000, 0.004, 50.0, range(4, 11)
-
-# General words of each class.
-INSULTS = "idiot moron stupid scum loser trash pathetic worthless disgusting imbecile cretin dumbass bastard vermin".split()
-THREATS = "kill murder hurt destroy shoot stab strangle beat burn hang".split()
-TARGETS = "you your yours u ur he she they them his her their him this these those all everyone people".split()
-NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't won't cannot can't without hardly".split()
-REPORTS = "said says say called calls claimed claims wrote writes quoted quote reported reports told according".split()
+#: Labelled rows learned from, least share of toxic documents and least odds of a learned insult, word beginnings' lengths,
+#: words in the shingles by which near copies are told. ODDS: of 5 to 50, what cross-validation on training rows found best.
+SAMPLE, SHARE, ODDS, STEM, SHINGLE = 20_000, 0.004, 12.0, range(4, 11), 5
+
+# General words of each class in English, German, Spanish and French.
+INSULTS = (
+    "idiot moron stupid scum loser trash pathetic worthless disgusting imbecile cretin dumbass bastard vermin "
+    "dummkopf abschaum arschloch schwachkopf idiota imbécil estúpido basura escoria imbécile crétin ordure connard"
+).split()
+THREATS = (
+    "kill murder hurt destroy shoot stab strangle beat burn hang "
+    "töten töte umbringen erschießen erschieße verprügeln erwürgen matar mataré golpear estrangular apuñalar tuer tuerai frapper étrangler poignarder"
+).split()
+TARGETS = (
+    "you your yours u ur he she they them his her their him this these those all everyone people "
+    "du dich dir dein deine ihr euch euer ihm ihnen diese dieser alle tú tu usted ustedes ellos ellas él ella todos toi vous ton votre ils elles cette ces tous"
+).split()
+NEGATIONS = (
+    "not no never isn't aren't wasn't don't doesn't didn't won't cannot can't without hardly "
+    "nicht kein keine keinen nie niemals ohne nunca jamás sin ni pas jamais aucun aucune sans"
+).split()
+REPORTS = (
+    "said says say called calls claimed claims wrote writes quoted quote reported reports told according "
+    "sagte sagt nannte nennt behauptete schrieb zitierte laut dijo dice llamó afirmó escribió según dit disait appelé affirmé écrit selon"
+).split()
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
 PATTERNS = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_negated")
-#: Log-odds per unit of each pattern's log sum and the intercept where there are no labels.
-DEFAULT = np.array([1.2, 1.5, 0.6, 0.6, 1.5, 0.3, -2.0])
+#: The layer's inputs are logs of sums of patterns: asserted insults, of these the aimed ones, insults that aren't asserted,
+#: threats, negated threats; 1 for the intercept. Then the grammar's own weights, and their signs.
+INPUTS = np.array([[1, 1, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0], [0, 0, 1, 1, 0, 0], [0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 0, 1]], float)
+DEFAULT = np.array([1.2, 1.1, -0.5, 2.0, -0.5, -2.0])
+SIGN = np.array([1, 1, -1, 1, -1])
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 
 
@@ -50,7 +73,7 @@ class Lexicon:
         self.open: dict[int, tuple[int, float]] = {}
         for kind, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             for w in words:
-                self.add(w, kind, 1.0)
+                self.add(w, kind, 3.0 if kind == THREAT else 1.0)
         for w in INSULTS if cues is None else ():
             self.add(w, INSULT, 3.0)
         for w, weight in (cues or {}).items():
@@ -128,17 +151,21 @@ class Grammar:
             kinds.add(known[w][0])
         if INSULT not in kinds and THREAT not in kinds:
             return sums  # no accepting path
-        state, held = self.START, 0.0
+        state, held, best = self.START, 0.0, {}
         for w in words:
             kind, weight = known[w]
             if kind < 0:
-                state = self.START
+                for p, x in best.items():
+                    sums[PATTERNS.index(p)] += x
+                state, best = self.START, {}
                 continue
             state, out = self.arcs[state, kind]
             if kind in (INSULT, THREAT):
                 held = weight
             for p in out:
-                sums[PATTERNS.index(p)] += held if kind == TARGET else weight
+                best[p] = max(best.get(p, 0.0), held if kind == TARGET else weight)
+        for p, x in best.items():
+            sums[PATTERNS.index(p)] += x
         return sums
 
 
@@ -169,15 +196,46 @@ def stem_odds(rows: DataFrame, bad: int, good: int) -> DataFrame:
     toxic; strong ones reach ODDS and hardly pass by chance. Counts meet in a join; no stem is left out for its frequency."""
     least = max(3, math.ceil(SHARE * bad))
     count = lambda toxic, n: rows.where(F.col("toxic") == toxic).mapInArrow(_count_stems, "stem string, n long").groupBy("stem").agg(F.sum("n").alias(n))
-    both = count(1, "hits").where(F.col("hits") >= least).join(count(0, "misses"), "stem", "left").fillna(0, ["misses"])
+    both = saved(count(1, "hits").where(F.col("hits") >= least).join(count(0, "misses"), "stem", "left").fillna(0, ["misses"]), "stems")
+    tried = max(2, both.count())
     odds = ((F.col("hits") + 0.5) / (bad + 1)) / ((F.col("misses") + 0.5) / (good + 1))
-    # of CANDIDATES forms without bearing on the label, about one passes by chance (a likelihood-ratio bound)
+    # of the stems tried, were they without bearing on the label, about one passes by chance (a likelihood-ratio bound)
     share, all_ = bad / (bad + good), F.col("hits") + F.col("misses")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (all_ * p))).otherwise(0.0)
-    sure = part(F.col("hits"), share) + part(F.col("misses"), 1 - share) >= math.log(CANDIDATES)
+    sure = part(F.col("hits"), share) + part(F.col("misses"), 1 - share) >= math.log(tried)
     return both.select("stem", "hits", odds.alias("odds"), ((odds >= ODDS) & sure).alias("strong"))
 
 
+def chosen(hits: dict[str, int], odds: dict[str, float], strong: set[str]) -> dict[str, float]:
+    """Learned insults with weights: of forms that begin alike, the longest that keeps nearly all of its beginning's
+    documents; of the rest, those under no other. General words are added unless the labels say otherwise."""
+    fuller: dict[str, int] = {}  # a beginning -> the most documents of a longer strong form
+    for t in strong:
+        word = t.rstrip("*")
+        for k in STEM:
+            if k < len(word) or k == len(word) and not t.endswith("*"):
+                fuller[word[:k]] = max(fuller.get(word[:k], 0), hits[t])
+    cues: dict[str, float] = {}
+    for s in sorted(strong, key=lambda s: (-hits[s], len(s.rstrip("*")), s)):
+        word = s.rstrip("*")
+        if s.endswith("*") and fuller.get(word, 0) >= 0.9 * hits[s] or any(f"{word[:k]}*" in cues for k in STEM if k <= len(word)):
+            continue
+        cues[s] = min(8.0, math.log(odds[s]))
+    return cues | {w: 3.0 for w in INSULTS if w not in cues and odds.get(w, 2.0) >= 2.0}
+
+
+def _keyed(batches):
+    """Rows with a key that most near copies share: the least hash of the text's shingles."""
+    import xxhash
+
+    for batch in batches:
+        keys = []
+        for text in batch.column("text").to_pylist():
+            w = text.lower().split()
+            keys.append(min(xxhash.xxh3_64_intdigest(b" ".join(w[k : k + SHINGLE])) for k in range(max(1, len(w) - SHINGLE + 1))) >> 1)
+        yield batch.append_column("key", pa.array(keys, pa.int64()))
+
+
 def _sums(lexicon_cues):
     def run(batches):
         g = Grammar(Lexicon(lexicon_cues))
@@ -189,27 +247,31 @@ def _sums(lexicon_cues):
 
 
 def _features(sums: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.log1p(sums), np.ones(len(sums))])
+    return np.column_stack([np.log1p(sums @ INPUTS.T), np.ones(len(sums))])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-penalised Newton steps; pattern weights stay at zero or above."""
-    w = np.zeros(x.shape[1])
+    """Newton steps, held near the grammar's own weights by a ridge and to their signs."""
+    w = DEFAULT.copy()
     ridge = np.append(np.full(x.shape[1] - 1, 0.05), 1e-3)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * (w - DEFAULT))
         step *= min(1, 2 / (np.abs(step).max() + 1e-12))
-        w = w + step
-        w[:-1] = np.maximum(w[:-1], 0)
-        if np.abs(step).max() < 1e-6:
+        new = w + step
+        new[:-1] = np.where(new[:-1] * SIGN > 0, new[:-1], 0)
+        w, moved = new, np.abs(new - w).max()
+        if moved < 1e-6:
             break
     return w
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float] | None, np.ndarray]:
-    """Insult cues with weights, and the logistic layer, from labelled documents with crc32(doc_id) mod 5 != 0."""
+    """Insults with weights, and the logistic layer, from labelled documents with crc32(doc_id) mod 5 != 0.
+
+    The sample's ids (SAMPLE or a few more, by a hash) are broadcast, so no text is moved to be joined; of rows that share
+    their least shingle and their label, one is learned from."""
     spark = docs.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
@@ -217,26 +279,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float] | None,
     every = max(1, math.ceil(marks.count() / SAMPLE))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(every)) == 0)
     rows = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    rows = saved(rows.join(marks, "doc_id").select("text", "toxic").groupBy(F.xxhash64("text")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
+    rows = rows.join(F.broadcast(marks), "doc_id").select("text", "toxic").mapInArrow(_keyed, "text binary, toxic int, key long")
+    rows = saved(rows.groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return None, DEFAULT
     found = stem_odds(rows, bad, good).where(F.col("strong") | F.col("stem").isin(sorted(INSULTS))).collect()
-    hits, odds, strong = {r["stem"]: r["hits"] for r in found}, {r["stem"]: r["odds"] for r in found}, {r["stem"] for r in found if r["strong"]}
-    # the longest form that keeps nearly all of its beginning's documents; of the rest, those not under another cue
-    cues: dict[str, float] = {}
-    for s in sorted(strong, key=lambda s: (-hits[s], len(s.rstrip("*")), s)):
-        stem = s.rstrip("*")
-        longer = [t for t in strong if t != s and s.endswith("*") and (t.startswith(stem)) and hits[t] >= 0.9 * hits[s]]
-        if longer or any(stem.startswith(c.rstrip("*")) and c.endswith("*") for c in cues):
-            continue
-        cues[s] = min(8.0, math.log(odds[s]))
-        if len(cues) >= CUES:
-            break
-    for w in INSULTS:  # general words, unless the labels say otherwise
-        if w not in cues and odds.get(w, 2.0) >= 2.0:
-            cues[w] = 3.0
+    cues = chosen({r["stem"]: r["hits"] for r in found}, {r["stem"]: r["odds"] for r in found}, {r["stem"] for r in found if r["strong"]})
     shared = spark.sparkContext.broadcast(cues)
     got = rows.mapInArrow(lambda b: _sums(shared.value)(b), "toxic int, x array<double>").collect()  # SAMPLE rows, or nearly
     x, y = _features(np.array([r["x"] for r in got])), np.array([r["toxic"] for r in got], float)

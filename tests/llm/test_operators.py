@@ -253,12 +253,11 @@ def test_toxicity(spark):
     assert toxicity.clean_documents(docs, labels).count() == 302
 
 
-def test_rare_insults(spark, monkeypatch):
+def test_rare_insults(spark):
     """An insult counts however many harmless words are more frequent in toxic texts."""
-    monkeypatch.setattr(toxicity, "CANDIDATES", 40)
     letters = "abcdefghijklmnop"
-    common = " ".join(f"word{a}{b}" for a in letters for b in letters[:6])
-    rows = [(common + (" grumbfool" if i % 8 == 0 else " zorkface" if i % 8 == 4 else "") + f" {letters[i % 16]}{i}", int(i % 4 == 0)) for i in range(400)]
+    common, r = [f"word{a}{b}" for a in letters for b in letters[:6]], random.Random(2)
+    rows = [(" ".join(r.sample(common, len(common))) + (" grumbfool" if i % 8 == 0 else " zorkface" if i % 8 == 4 else "") + f" {letters[i % 16]}{i}", int(i % 4 == 0)) for i in range(400)]
     got = {r.stem: r for r in toxicity.stem_odds(spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, toxic int"), 100, 300).collect()}
     want = lambda hits, misses: ((hits + 0.5) / 101) / ((misses + 0.5) / 301)
     assert got["wordaa"].odds == pytest.approx(want(100, 300)) and not got["wordaa"].strong and len(got) > 96
@@ -276,6 +275,58 @@ def test_clauses():
     assert p("i will kill you") == {"threat_aimed"} and p("kill. you") == set()
 
 
+def auc(scores, labels):
+    p, q = (np.array([x for x, y in zip(scores, labels, strict=True) if y == k]) for k in (1, 0))
+    return (p[:, None] > q).mean() + (p[:, None] == q).mean() / 2
+
+
+def cue_count(cues, text):
+    return sum(t in cues or any(t[:k] + "*" in cues for k in toxicity.STEM) for t in toxicity._TOKEN.findall(text.lower()))
+
+
+def test_grammar_beats_word_list():
+    """Negated, reported and unaimed words are told from clauses that assert an insult of someone, in four languages."""
+    toxic = ["you are an idiot", "du bist ein dummkopf", "tú eres idiota", "tu toi crétin", "i will kill you", "they are scum and trash", "ich töte dich"]
+    clean = ["you are not an idiot", "du bist kein dummkopf", "tú no eres idiota", "toi pas crétin", "she said he is an idiot", "laut ihm ein dummkopf", "put out the trash", "kill the process", "i will not kill you", "according to them he is scum"]
+    g, cues = toxicity.Grammar(toxicity.Lexicon(None)), dict.fromkeys([*toxicity.INSULTS, *toxicity.THREATS])
+    x = toxicity._features(np.array([g.patterns(t) for t in toxic + clean]))
+    y = [1] * len(toxic) + [0] * len(clean)
+    assert auc(x @ toxicity.DEFAULT, y) == 1.0 and auc([cue_count(cues, t) for t in toxic + clean], y) < 0.7
+    w = toxicity.fit_logistic(x, np.array(y, float))
+    assert w[0] >= 0 and w[1] >= 0 and w[2] <= 0 and w[3] >= 0 and w[4] <= 0 and auc(x @ w, y) == 1.0
+
+
+def test_clauses_count_once():
+    g = toxicity.Grammar(toxicity.Lexicon({"scum": 4.0, "fool": 2.0}))
+    assert g.patterns("scum scum fool").tolist() == [4, 0, 0, 0, 0, 0] and g.patterns("scum. you scum. fool").tolist() == [6, 4, 0, 0, 0, 0]
+
+
+def test_toxicity_held_out(spark):
+    """On rows never learned from: few clean documents flagged, and ranked no worse than by the number of learned words."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    cues, weights = toxicity.learn(docs, labels)
+    rows = docs.join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").select("text", "toxic").collect()
+    g, y = toxicity.Grammar(toxicity.Lexicon(cues)), [r.toxic for r in rows]
+    z = toxicity._features(np.array([g.patterns(r.text or "") for r in rows])) @ weights
+    assert auc(z, y) >= auc([cue_count(cues, r.text or "") for r in rows], y) and auc(z, y) > 0.96
+    assert sum(z[k] >= 0 for k, t in enumerate(y) if t) >= 85 and sum(z[k] >= 0 for k, t in enumerate(y) if not t) <= 8
+
+
+def test_toxicity_edges(spark):
+    """Near copies are learned from once; repeated ids, clashing columns and null labels do no harm."""
+    r = random.Random(4)
+    base = words(r, 60) + " zzcopy "
+    rows = [(i, (base if i < 40 else words(r, 40)) + (f" x{i}" if i < 40 else " grumbfool you" if i % 4 == 0 else " fine")) for i in range(300)]
+    toxic = [(i, int(i < 40 or i % 4 == 0)) for i in range(300)] + [(7, 0), (8, None), (None, 1)]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows + rows[:5]] + [(None, "you grumbfool", "k", 1)], "doc_id long, text string, key string, toxic int")
+    labels = spark.createDataFrame(toxic, "doc_id long, toxic int")
+    cues, _ = toxicity.learn(docs, labels)
+    assert any(c.startswith("grum") for c in cues) and not any(c.startswith("zzco") for c in cues)
+    got = toxicity.scored(docs, labels).collect()
+    assert len(got) == 306 and len({(x.doc_id, x.score) for x in got}) == 301 and [x.predicted for x in got if x.doc_id is None] == [1]
+    assert toxicity.clean_documents(docs, labels).columns == docs.columns
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((300, 16))
