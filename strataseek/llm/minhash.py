@@ -274,12 +274,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
             links = links.unionByName(confirmed(more))
             found = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
 
+    for used in (members, sigs, links):
+        dropped(used)
     whole = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = prints.join(whole, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # texts without words have no fp; a key of their own keeps them from meeting in one task
+    own = prints.withColumn("fp", F.coalesce("fp", F.concat(F.lit("-"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")).cast("binary")))
+    out = own.join(whole, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def kept_documents(docs: DataFrame, width: int = 5, per: int = 80, of: int = 100) -> DataFrame:
     """docs without the near-duplicates: of each component the document with the smallest doc_id stays, with all its columns."""
     gone = near_duplicates(docs, width, per, of).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # no name of docs clashes
+    return rows.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by hash-threshold histograms. DataFrame operations only.
 
 Sizes are words: runs of characters other than space and \\x09-\\x0D (null text: 0). Sources stand by code point, null
-last; their weights repeat WEIGHTS. A null doc_id hashes like an empty one. Rows with the same doc_id share a hash and
-are taken together. A source without words takes nothing. An empty table gives an empty one.
+last; their weights repeat WEIGHTS. The hash is of doc_id (null: empty) and text, so rows with one id or without one are
+spread by their texts; rows alike in both share a hash and are taken together. A source without words takes nothing. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ def _words(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _hash(doc_id: F.Column) -> F.Column:
-    """48 bits of the id's md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _hash(doc_id: F.Column, text: F.Column) -> F.Column:
+    """48 bits of an md5, the same in any engine."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _placed(sources: DataFrame) -> DataFrame:
@@ -38,15 +40,20 @@ def _placed(sources: DataFrame) -> DataFrame:
     return ranged.withColumn("own", own).join(before, "range").select("source", "source_size", (F.col("own") + F.coalesce("before", F.lit(0))).alias("pos"))
 
 
+def _exact(n: F.Column) -> F.Column:
+    return n.cast("decimal(19,0)")
+
+
 def _targets(sources: DataFrame) -> DataFrame:
     """source, source_size -> target: shares by weight, held to MOST times the source's size; the excess goes to the
-    others by weight until none is above. Each round is one aggregate to a single row; sums are exact integers."""
+    others by weight until none is above. Each round is one aggregate to a single row; sums are exact integers, products
+    are decimals of 38 digits, so they can't overflow."""
     weight = F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("pos") % len(WEIGHTS)).cast("int"))
     t = saved(_placed(sources).select("source", "source_size", weight.cast("long").alias("w")), "weights")
     total = t.agg(F.sum("source_size").alias("n")).first()["n"] or 0
     full, left, weights = F.lit(False), PER * total, None  # left: the budget of the sources not yet full, times OF
     while True:
-        over = F.lit(OF * MOST) * F.col("source_size") * F.lit(weights or 0) < F.lit(left) * F.col("w")
+        over = _exact(F.col("source_size")) * _exact(F.lit(OF * MOST * (weights or 0))) < _exact(F.lit(str(left))) * F.col("w").cast("decimal(2,0)")
         now = full if weights is None else full | over
         row = t.agg(F.sum(F.when(now, F.col("source_size"))).alias("s"), F.sum(F.when(~now, F.col("w"))).alias("w"), F.count(F.when(now, 1)).alias("k")).first()
         if weights is not None and row["k"] == count:  # noqa: F821
@@ -58,15 +65,18 @@ def _targets(sources: DataFrame) -> DataFrame:
     return t.withColumn("target", F.when(full, F.col("source_size") * F.lit(float(MOST))).otherwise(share))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> its rows with size, source_size, target and copies.
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, hash of each row: what the mix is decided by, read from the texts once."""
+    text = F.col("text")
+    return saved(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), _words(text).alias("size"), _hash(F.col("doc_id"), text).alias("hash")), "sizes")
+
 
-    Each document is taken floor(target / source_size) times; what then is missing comes from the documents whose hash
-    lies under the source's threshold. A histogram by source and leading hash bits finds the bucket in which the
+def _plan(slim: DataFrame) -> DataFrame:
+    """slim (source, size, hash) -> a row for each source: _source, _source_size, _target, _whole, _low.
+
+    Each document is taken floor(target / source_size) = _whole times; what then is missing comes from the documents whose
+    hash lies under the source's threshold _low. A histogram by source and leading hash bits finds the bucket in which the
     cumulated size crosses the budget; only that bucket is resolved by the next bits, down to single hashes."""
-    keep = docs.columns
-    mark = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")).withColumns({"_size": _words(F.col("_row.text")), "_hash": _hash(F.col("_row.doc_id"))})
-    slim = saved(docs.select(F.col("source").alias("source"), _words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("hash")), "sizes")
     # a hot source is summed within each task first, so its rows never meet
     sources = _targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = saved(sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
@@ -87,10 +97,13 @@ def mixed(docs: DataFrame) -> DataFrame:
         end = F.col("low") + F.lit(width << STEP)
         bound = saved(bound.join(cut, F.col("s").eqNullSafe(F.col("source")), "left").select("source", F.coalesce("at", end).alias("low"), F.coalesce("left", F.lit(0.0)).alias("rest")), "bound")
     plan = sources.select("source", "source_size", "target", "whole").join(bound.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s"))).select(*[F.col(c).alias(f"_{c}") for c in ("source", "source_size", "target", "whole", "low")])
-    plan = saved(plan, "plan")
-    rows = mark.join(F.broadcast(plan) if _small(plan) else plan, F.col("_row.source").eqNullSafe(F.col("_source")))
-    copies = (F.col("_whole") + F.when(F.col("_hash") < F.col("_low"), 1).otherwise(0)).cast("long")
-    return rows.select("_row", "_size", "_source_size", F.col("_target"), F.least(copies, F.lit(MOST)).alias("_copies"))
+    return saved(plan, "plan")
+
+
+def _copies(rows: DataFrame, source: str, hash_: str, plan: DataFrame) -> DataFrame:
+    """rows with their source's plan and _copies, the times that the mix takes each."""
+    copies = (F.col("_whole") + F.when(F.col(hash_) < F.col("_low"), 1).otherwise(0)).cast("long")
+    return rows.join(F.broadcast(plan) if _small(plan) else plan, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_copies", F.least(copies, F.lit(MOST)))
 
 
 #: A table of a row for each source is broadcast up to this many rows; above, Spark joins by the key.
@@ -103,12 +116,15 @@ def _small(df: DataFrame) -> bool:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    return mixed(docs).select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    slim = _sizes(docs)
+    return _copies(slim, "source", "hash", _plan(slim)).select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for each copy, none for those not taken, with the columns of docs."""
-    return mixed(docs).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(1)))).where("_copies > 0").select("_row.*") if docs.columns else docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_hash", _hash(F.col("_row.doc_id"), F.col("_row.text")))
+    taken = _copies(rows, "_row.source", "_hash", _plan(_sizes(docs)))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"), F.lit(1)))).where("_copies > 0").select("_row.*")
 
 
 #: What mix_report gives, sorted instead of thresholded.
@@ -116,7 +132,7 @@ ORACLE = r"""
 with d as (
   select doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint as h
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 12))::bigint as h
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size,

@@ -67,7 +67,8 @@ def test_minhash(docs, rows):
     assert len(got) == len(rows)
     for r in got:
         assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == (None if r.doc_id is None else find(r.doc_id)) and r.kept == (r.doc_id is None or find(r.doc_id) == r.doc_id)
-    assert minhash.kept_documents(docs).columns == docs.columns
+    for d in (docs, docs.withColumnRenamed("key", "_gone").withColumnRenamed("size", "fp")):
+        assert minhash.kept_documents(d).columns == d.columns and minhash.kept_documents(d, width=4).count() == sum(r.kept for r in got)
 
 
 def test_minhash_texts_of_one_id(spark):
@@ -106,10 +107,25 @@ def test_mixing(docs, rows):
         assert abs(sum(r.taken for r in own) - target) <= max(r["size"] for r in own) * 2
     assert sorted(map(tuple, mixing.mix_report(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs.withColumnRenamed("key", "_source").withColumnRenamed("size", "_hash")).columns[-2:] == ["_source", "_hash"]
     worded = [r for r in mixing.mixed_documents(docs).collect() if tokens(r.text)]
     assert len(worded) == sum(r.taken // r["size"] for r in got if r["size"])
 
 
+def test_mixing_many_and_unnamed(spark):
+    """Products beyond 64 bits; sources whose rows have no id, or one id, still come near their targets."""
+    n = 3000
+    big = spark.range(n).selectExpr("concat('s', id) as source", "9000000000000 + id as source_size")
+    got = mixing._targets(big).agg({"target": "sum"}).first()[0]
+    assert got == pytest.approx(1.5 * sum(9000000000000 + i for i in range(n)))
+    rows = [(None if s == "a" else 7, f"w{k} " * (1 + k % 5), s) for s in "abc" for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    assert len({r.target for r in got}) == 3
+    for target in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == target) - target) <= 10
+
+
 @pytest.mark.parametrize("block", [substrings.BLOCK_BYTES, 4000])
 def test_substrings(docs, rows, block):
     least = {}
