@@ -2,14 +2,17 @@
 target weights, and what remains is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet to the shared
-folder and reads it for the next. All stages but the last return the columns of documents."""
+folder and reads it for the next, then drops the one before. All stages but the last return the columns of documents.
+
+An empty table passes through every stage; a null text is never toxic, near another, masked or chosen before others, and has
+no pieces; rows with a null doc_id stay and repeated rows are judged each, but near duplicates fold by doc_id."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strataseek.llm import minhash, mixing, pieces, pii, toxicity
-from strataseek.llm.common import saved, table
+from strataseek.llm.common import dropped, saved, table
 from strataseek.llm.queries import piece_model
 
 
@@ -49,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
