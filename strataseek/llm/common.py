@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import math
 import re
 import tempfile
@@ -70,6 +73,26 @@ def frugal(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(run):
+    """run, an iterator function; afterwards the worker, which Spark keeps for later stages, gives its free
+    memory back to the system."""
+
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return over_batches
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

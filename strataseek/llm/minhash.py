@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, dropped, frugal, mix, saved
+from .common import Words, dropped, frugal, lean, mix, saved
 from .components import components
 
 BANDS, ROWS = 25, 5
@@ -191,20 +191,11 @@ def _across(least: float, best: int | None):
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
     """df's rows whose doc_id is in ids, and few others: a bitmap of FILTER_BITS bits is made of ids, whatever their number,
-    so that df needn't be shuffled to be thinned out."""
+    and broadcast as 64-bit words, so that df needn't be shuffled to be thinned out."""
     place = F.pmod(F.xxhash64("doc_id", F.lit("filter")), F.lit(FILTER_BITS))
-    words = ids.select(place.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, cast(p % 64 as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m")).collect()  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, m in words:
-        bits[w] = m
-    shared = df.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
-    at = df.columns
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value[batch.column(len(at)).to_numpy(zero_copy_only=False)])).select(at)
-
-    return df.withColumn("_place", place.cast("long")).mapInArrow(run, df.schema)
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("_bits"))
+    words = saved(words, "bitmap")  # FILTER_BITS / 64 rows at most
+    return df.join(F.broadcast(words), F.shiftright(place, 6) == F.col("_word")).where(F.expr("shiftright(_bits, cast(pmod(xxhash64(doc_id, 'filter'), 64L) as int)) & 1 = 1")).select(df.columns)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 100) -> DataFrame:
@@ -219,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     An empty table gives an empty one; extra columns are ignored."""
     least = _least(per / of, BANDS * ROWS)
     docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prints = saved(docs.mapInArrow(_prints(width), "doc_id long, n long, fp binary, bands array<long>, sig binary"), "prints")
+    prints = saved(docs.mapInArrow(lean(_prints(width)), "doc_id long, n long, fp binary, bands array<long>, sig binary"), "prints")
     live = prints.where("fp is not null and doc_id is not null")
     classes = saved(live.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("rep"), "x.n", "x.bands"), "classes")
 
@@ -241,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
     def confirmed(p: DataFrame) -> DataFrame:
         ids = p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = _only(docs, ids).join(ids, "doc_id", "left_semi")
-        sets = saved(texts.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
+        sets = saved(texts.mapInArrow(lean(_sets(width)), "doc_id long, shingles binary"), "sets")
         out = saved(with_both(p, sets, "shingles").select("a", "b", "sa", "sb").mapInArrow(_linked(per, of), "a long, b long").distinct(), "links")
         dropped(sets)
         return out
@@ -260,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
             own, enough = sigs, least
         else:
             ids = saved(rest.select("doc_id").distinct(), "ids")
-            texts = _only(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(_sharp(width), "doc_id long, sig binary")
+            texts = _only(docs, ids).join(ids, "doc_id", "left_semi").mapInArrow(lean(_sharp(width)), "doc_id long, sig binary")
             sharp = texts.where("sig is not null").select("doc_id", F.col("sig").alias("sharp")).distinct()
             own, enough = sigs.join(sharp, "doc_id").select("doc_id", F.concat("sig", "sharp").alias("sig")), _least(per / of, SHARP)
         rest = rest.join(own, "doc_id").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))

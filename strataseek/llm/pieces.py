@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, frugal, mix
+from .common import Slots, frugal, lean, mix
 
 SPACE = "▁"
 #: Stretches remembered, and ids of them.
@@ -83,7 +83,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """What is remembered: hash -> place, and by place the start and number of its ids."""
-        self.known, self.start, self.count, self.flat = Slots(MEMORY), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known, self.start, self.count, self.flat = Slots(1 << 14), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def agenda(self, text: str) -> list[int]:
         """The agenda holds rank and left place of each proposed join in one number; the smallest is the next to be made. A
@@ -291,7 +291,7 @@ def _taken(flat: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarra
 
 @lru_cache(2)
 def encoder(model_file: str) -> Encoder:
-    """One for each Python worker; its memory of stretches is bounded."""
+    """One for each Python worker; its memory of stretches is bounded and lasts for a task."""
     return Encoder(model_file)
 
 
@@ -321,6 +321,7 @@ def _run(model_file: str, digests: bool):
 
     def run(batches):
         e = encoder(model_file)
+        e._forget()  # what an earlier task learned
         for whole in batches:
             size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)))
             at = 0
@@ -328,8 +329,9 @@ def _run(model_file: str, digests: bool):
                 to = max(at + 1, int(np.searchsorted(size, size[at] + CHARACTERS, "right")) - 1)
                 yield some(e, whole.slice(at, to - at))
                 at = to
+        e._forget()
 
-    return run
+    return lean(run)
 
 
 def encoded(docs: DataFrame, model_file: str, digests: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import frugal, lean
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -414,7 +414,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     each. An empty table gives an empty one; extra columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
     docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return docs.mapInArrow(lambda b: _report(shared.value)(b), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(lean(lambda b: _report(shared.value)(b)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list) -> str:
@@ -440,5 +440,5 @@ def masked_documents(docs: DataFrame) -> DataFrame:
                 new = [None if t is None else masked(t, base + more) for t, (base, more) in zip(texts, find([t or "" for t in texts], shared.value), strict=True)]
                 yield batch.set_column(text_at, batch.schema.field(text_at), pa.array(new, batch.schema.field(text_at).type))
 
-    out = frugal(docs).mapInArrow(run, docs.schema)
+    out = frugal(docs).mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, saved
+from .common import frugal, lean, saved
 
 #: Labelled rows learned from, least share of toxic documents and least odds of a learned insult, word beginnings' lengths,
 #: words in the shingles by which near copies are told. ODDS: of 5 to 50, what cross-validation on training rows found best.
@@ -312,7 +312,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     cues, weights = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((cues, weights))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = rows.mapInArrow(lambda b: _score(*shared.value)(b), "doc_id long, score double")
+    out = rows.mapInArrow(lean(lambda b: _score(*shared.value)(b)), "doc_id long, score double")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -330,4 +330,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             sums = np.array([g.patterns(t) for t in texts]).reshape(batch.num_rows, len(PATTERNS))
             yield batch.filter(pa.array(_features(sums) @ weights < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
