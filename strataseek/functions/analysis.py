@@ -38,4 +38,5 @@ def query_tokens(text: Column, analyze=tokens) -> Column:
     return F.filter(F.transform(analyze(text), F.trim), lambda t: t != "")
 
 
+#: cjk gives the same as words where no Han character occurs, but for words of Han and other letters.
 ANALYZERS = {"words": tokens, "cjk": cjk_tokens}

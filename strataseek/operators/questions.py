@@ -45,14 +45,19 @@ def extraction_prompt(schema: dict, question: str) -> str:
     return f"Fill these fields from the question; use null where it says nothing.\n{fields}\n\nQuestion: {question}\nAnswer as JSON: [{{\"query\": {{{example}}}, \"filter\": {{\"doc_ids\": []}}}}]"
 
 
-def extracted(extractor: Extractor, schema: dict, question: str, attempts: int = 2) -> str | None:
-    """The raw answer; None once every attempt has failed, which the caller turns into the free-text fallback."""
+class Failed(Exception):
+    """Every attempt to extract failed; says how the last one did."""
+
+
+def extracted(extractor: Extractor, schema: dict, question: str, attempts: int = 2) -> str:
+    """The raw answer; Failed once every attempt has failed, which the caller turns into a warning and free text."""
+    last: Exception | None = None
     for _ in range(attempts):
         try:
             return extractor(question, extraction_prompt(schema, question))
-        except Exception:
-            continue
-    return None
+        except Exception as e:  # whatever the model's client raises
+            last = e
+    raise Failed(f"{type(last).__name__}: {last}")
 
 
 def parsed_answers(raw: F.Column) -> F.Column:
@@ -138,3 +143,78 @@ def answer_prompt(qid: F.Column, kind: F.Column, question: F.Column, text: F.Col
     domain = F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv])
     what = F.when(kind == "multi", "multiple choice").otherwise("single choice")
     return F.concat(F.lit("You answer "), F.coalesce(domain[F.split_part(qid, F.lit("_"), F.lit(1))], F.lit("general")), F.lit(" questions ("), what, F.lit(").\n\n"), text, F.lit("\n\n"), question)
+
+
+def filter_groups(answers: DataFrame, filters: DataFrame) -> DataFrame:
+    """answers (query_id, raw) x a schema's filters -> (query_id, filter_ix, field_name, value, target, match_method, weight):
+    a group for each object in the model's answer, with the filters that it fills."""
+    groups = answers.select("query_id", F.posexplode(parsed_answers(F.col("raw")).getField("query")).alias("filter_ix", "fields"))
+    f = groups.crossJoin(F.broadcast(filters)).withColumn("value", F.expr("try_element_at(fields, field_name)"))
+    return f.where("value is not null").select("query_id", "filter_ix", "field_name", "value", "target", "match_method", "weight")
+
+
+def field_map(fields: DataFrame) -> DataFrame:
+    """(query_id, field_name, value, ...) -> (query_id, fields): each query's values by field name, as JSON in name order."""
+    pairs = F.array_sort(F.collect_list(F.struct("field_name", "value")))
+    return fields.where("value is not null").groupBy("query_id").agg(F.to_json(F.map_from_entries(pairs)).alias("fields"))
+
+
+def responses(questions: DataFrame, hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """questions (query_id, question, category, fields, warning) and hits (query_id, rank, chunk_id, score) -> a record each:
+    total (hits found), returned (at most `limit`) and results, best first; questions without hits have an empty list."""
+    h = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("all"))
+    some = F.coalesce("all", F.array().cast("array<struct<rank:int,chunk_id:string,score:double>>"))
+    cut = F.slice(some, 1, limit) if limit else some
+    out = questions.join(h, "query_id", "left").withColumns({"total": F.size(some).cast("long"), "results": cut})
+    return out.withColumn("returned", F.size("results").cast("long")).drop("all")
+
+
+def with_schema(categories: DataFrame, schemas: DataFrame, default: str) -> DataFrame:
+    """categories (query_id, category_id) -> adds schema_id: the category's own schema, else the default's."""
+    have = schemas.select(F.col("category_id").alias("schema_id")).distinct()
+    return categories.join(F.broadcast(have), F.col("category_id") == F.col("schema_id"), "left").withColumn("schema_id", F.coalesce("schema_id", F.lit(default)))
+
+
+def named_documents(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """questions (qid, doc_ids: document names) x names (name, doc_id) -> (qid, seq, name, doc_id); doc_id is null for a name
+    that isn't there."""
+    q = questions.select("qid", F.posexplode("doc_ids").alias("seq", "name"))
+    return q.join(names, "name", "left").select("qid", "seq", "name", "doc_id")
+
+
+def require_names(named: DataFrame) -> DataFrame:
+    """named, or a KeyError that lists unknown names (the first hundred)."""
+    lost = [r["name"] for r in named.where("doc_id is null").select("name").distinct().orderBy("name").limit(100).collect()]
+    if lost:
+        raise KeyError(f"no document is named {', '.join(lost)}")
+    return named
+
+
+def with_names(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """hits (doc_id, ...) -> those of named documents, with their name; of several names the last one."""
+    return hits.join(names.groupBy("doc_id").agg(F.max("name").alias("name")), "doc_id")
+
+
+def question_prompt(question: F.Column, options: F.Column, names: F.Column) -> F.Column:
+    """The question to retrieve for: the question, its options, and the documents' ids by name as JSON."""
+    return F.concat_ws("\n\n", question, options, F.concat(F.lit("Documents: "), F.to_json(names)))
+
+
+def reversed_map(m: F.Column) -> F.Column:
+    """value -> key; of equal values the last key."""
+    swapped = F.transform(F.map_entries(m), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value")))
+    last = F.filter(swapped, lambda e, i: ~F.exists(F.slice(swapped, i + 2, F.greatest(F.size(swapped) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def parsed_reply(raw: F.Column) -> F.Column:
+    """struct<think, answer, usage>: an answering model's JSON, or the JSON from its first brace to its last; null if neither
+    parses or there is no answer."""
+    kind = "think string, answer string, usage long"
+    read = lambda x: F.when(F.from_json(x, kind)["answer"].isNotNull(), F.from_json(x, kind))
+    return F.coalesce(read(raw), read(F.nullif(F.regexp_extract(raw, r"[{][\s\S]*[}]", 0), F.lit(""))))
+
+
+def skipped(df: DataFrame, n: int, by: str = "qid") -> DataFrame:
+    """df without the first n rows by `by`."""
+    return df.orderBy(by).offset(n)

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from strataseek.functions.analysis import query_tokens, tokens
 
+# Scoring parameters, boosts, limits and the fields of each channel.
 K1, B = 1.2, 0.75
 FUZZY_BOOST = {"exact_then_fuzzy": 0.6, "fuzzy": 0.5}
 FUZZY_LENGTH, FREE_TEXT_BOOST, LEAST_SCORE = 4, 0.3, 0.01
 CHANNEL_FIELDS = {"title": ["section_title", "section_path"], "content": ["content"], "entity": ["name", "desc"], "relation": ["subject", "predicate", "object"], "meta": ["insurer", "contract_name"]}
 CHANNEL_LIMIT = {"title": 20, "content": 20, "entity": 10000, "relation": 10000, "meta": 10000}
+#: Up to so many distinct asked terms, postings are read by term (pushed to the files); beyond, they are joined.
+MOST_TERMS = 2000
 #: Names that schemas use for channel fields, followed only on request.
 ALIASES = {"entity_name": "name", "entity_names": "name", "relation_predicates": "predicate"}
 
@@ -47,19 +50,39 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, prefix: int = 1) -> Dat
     return t.join(v, ["field", "p"]).where(near).drop("p")
 
 
+def asked_only(terms: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Each table's rows of the asked terms: by a filter that reaches sorted files, or by a semi join if there are many."""
+    words = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(words) <= MOST_TERMS:
+        return [t.where(F.col("term").isin(words)) for t in tables]
+    return [t.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi") for t in tables]
+
+
 def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """terms (query_id, channel, field, term, kind, boost) -> (query_id, channel, unit, score). A fuzzy match scores its
-    boost; the statistics are those of the whole index. docs (query_id, unit): restricts queries that have rows there."""
-    if docs is not None:
-        some = docs.select("query_id").distinct().withColumn("limited", F.lit(True))
-    words = post.join(by_term, ["field", "term"]).join(F.broadcast(by_field), "field")
-    hits = terms.join(words, ["field", "term"])
+    boost; the statistics are those of the whole index. docs (query_id, unit): restricts queries that have rows there.
+
+    Postings and statistics are first cut to the asked terms, hits then to the documents; only hits meet the statistics."""
+    post, by_term = asked_only(terms, post, by_term)
+    hits = terms.join(post, ["field", "term"])
     if docs is not None:
-        hits = hits.join(F.broadcast(some), "query_id", "left").join(docs.select("query_id", "unit", F.lit(True).alias("inside")), ["query_id", "unit"], "left").where("limited is null or inside")
+        limited = docs.select("query_id").distinct()
+        hits = hits.join(docs, ["query_id", "unit"], "left_semi").unionByName(hits.join(limited, "query_id", "left_anti"))
+    hits = hits.join(by_term.select("field", "term", "idf"), ["field", "term"]).join(F.broadcast(by_field), "field")  # a row for each field
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "channel", "unit").agg(F.sum(F.when(F.col("kind") == "fuzzy", F.col("boost")).otherwise(F.col("boost") * weight)).alias("score"))
 
 
+def every(units: DataFrame, queries: DataFrame, channel: str = "content") -> DataFrame:
+    """units (unit) x queries (query_id): every unit matches with score 1. For questions whose free text has no tokens."""
+    return queries.select("query_id").crossJoin(units.select("unit")).select("query_id", F.lit(channel).alias("channel"), "unit", F.lit(1.0).alias("score"))
+
+
+def tokenless(texts: DataFrame, analyze=tokens) -> DataFrame:
+    """texts (query_id, text) -> query_id of those without tokens."""
+    return texts.where(F.coalesce(F.size(query_tokens(F.col("text"), analyze)), F.lit(0)) <= 0).select("query_id")
+
+
 def ranked(hits: DataFrame, by: list[str], k: int | Column, tie: str = "unit", score: str = "score") -> DataFrame:
     """The k best of each group, by rounded score and then by id."""
     w = Window.partitionBy(*by).orderBy(F.round(score, 6).desc(), F.col(tie))
@@ -113,9 +136,9 @@ def linked_neighbours(hits: DataFrame, chunks: DataFrame, n: int, pointer: str,
     return at.withColumn(out, F.array_compact(F.array(*names)) if n else F.array().cast("array<string>")).drop("_at", *[f"_h{i}" for i in range(n)])
 
 
-def parsed(text: str) -> list[tuple[str, str]]:
-    """A query string as (sign, token): words are required, after OR optional, after NOT or - excluded; a trailing *
-    asks for a prefix, quotes for all of their words."""
+def parsed(text: str) -> list[tuple[str, tuple[str, ...]]]:
+    """A query string as (sign, tokens): words are required, after OR optional, after NOT or - excluded; a trailing * asks
+    for a prefix; a quoted phrase is one part of several tokens."""
     import re
 
     out, sign = [], "+"
@@ -127,23 +150,56 @@ def parsed(text: str) -> list[tuple[str, str]]:
             continue
         if word.startswith("-") and len(word) > 1:
             sign, word = "-", word[1:]
-        star = "*" if word.endswith("*") else ""
-        out += [(sign, t + star) for t in re.findall(r"\w+", (quoted or word).lower())]
+        if quoted:
+            if phrase := tuple(re.findall(r"\w+", quoted.lower())):
+                out.append((sign, phrase))
+        else:
+            star = "*" if word.endswith("*") else ""
+            out += [(sign, (t + star,)) for t in re.findall(r"\w+", word.lower())]
         sign = "+"
     return out
 
 
-def parsed_search(post: DataFrame, text: str) -> DataFrame:
-    """(unit, n_hits): units that satisfy the parsed query in any field."""
+def phrase_units(places: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
+    """places (field, unit, term, positions) -> unit, field that hold the tokens one after the other: each place, less the
+    token's place in the phrase, is a start; a start that every token has is a match. Token order in the text decides."""
+    at = F.create_map(*[F.lit(x) for t in dict.fromkeys(phrase) for x in (t, ",".join(str(i) for i, u in enumerate(phrase) if u == t))])
+    hits = places.where(F.col("term").isin(*set(phrase))).withColumn("i", F.explode(F.split(at[F.col("term")], ","))).withColumn("p", F.explode("positions"))
+    starts = hits.groupBy("field", "unit", (F.col("p") - F.col("i").cast("int")).alias("start")).agg(F.countDistinct("i").alias("n"))
+    return starts.where(F.col("n") == len(phrase)).select("unit", "field").distinct()
+
+
+def parsed_search(post: DataFrame, text: str, places: DataFrame | None = None) -> DataFrame:
+    """(unit, n_hits): units that satisfy the parsed query in any field; n_hits counts the parts found. Phrases are looked up
+    in places (field, unit, term, positions); without it, a phrase asks for all of its words."""
     parts = parsed(text)
+    if places is None:
+        parts = [(s, (t,)) for s, ts in parts for t in ts]
     test = lambda t: F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t
-    hit = [(s, F.max(F.when(test(t), 1).otherwise(0)).alias(f"h{i}")) for i, (s, t) in enumerate(parts)]
-    if not hit:
+    words = [(i, ts[0]) for i, (_, ts) in enumerate(parts) if len(ts) == 1]
+    found = [phrase_units(places, ts).select("unit", F.lit(i).alias("part")) for i, (_, ts) in enumerate(parts) if len(ts) > 1]
+    if not parts:
         return post.select("unit").distinct().withColumn("n_hits", F.lit(0))
-    wanted = reduce(lambda a, b: a | b, [test(t) for _, t in parts])
-    u = post.where(wanted).groupBy("unit").agg(*[h for _, h in hit])
-    c = lambda sign: [F.col(f"h{i}") for i, (s, _) in enumerate(hit) if s == sign]
+    if words:
+        which = F.array_compact(F.array(*[F.when(test(t), i) for i, t in words]))
+        found.append(post.where(reduce(lambda a, b: a | b, [test(t) for _, t in words])).select("unit", F.explode(which).alias("part")))
+    u = reduce(lambda a, b: a.unionByName(b), found).groupBy("unit").agg(*[F.max((F.col("part") == i).cast("int")).alias(f"h{i}") for i in range(len(parts))])
+    c = lambda sign: [F.col(f"h{i}") for i, (s, _) in enumerate(parts) if s == sign]
     ok = [x == 1 for x in c("+")] + [x == 0 for x in c("-")]
     if c("?"):
         ok.append(reduce(lambda a, b: a | b, [x == 1 for x in c("?")]))
     return u.where(reduce(lambda a, b: a & b, ok)).select("unit", reduce(lambda a, b: a + b, c("+") + c("?"), F.lit(0)).alias("n_hits"))
+
+
+def direct_search(text: str, fields: list[str], post: DataFrame, by_term: DataFrame, by_field: DataFrame, limit: int = 10, places: DataFrame | None = None) -> DataFrame:
+    """(unit, score, rank): a parsed query over several fields, BM25 of its wanted words, the `limit` best by score and id."""
+    spark = post.sparkSession
+    words = sorted({t for s, ts in parsed(text) if s != "-" for t in ts})
+    exact = [(0, "direct", f, t, "term", 1.0) for f in fields for t in words if not t.endswith("*")]
+    terms = spark.createDataFrame(exact, "query_id long, channel string, field string, term string, kind string, boost double")
+    for t in (t[:-1] for t in words if t.endswith("*")):
+        more = by_term.where(F.col("field").isin(fields) & F.col("term").startswith(t)).select(F.lit(0).cast("long").alias("query_id"), F.lit("direct").alias("channel"), "field", "term", F.lit("term").alias("kind"), F.lit(1.0).alias("boost"))
+        terms = terms.unionByName(more)
+    inside = parsed_search(post.where(F.col("field").isin(fields)), text, places)
+    hits = inside.select("unit").join(bm25(terms.distinct(), post, by_term, by_field).select("unit", F.round("score", 6).alias("score")), "unit", "left").fillna(0.0, ["score"])
+    return hits.orderBy(F.col("score").desc(), "unit").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "unit")))  # limit rows

@@ -48,6 +48,13 @@ def postings(units: DataFrame, unit: str, fields: list[str], analyze=tokens) ->
     return t.select("field", "unit", F.explode("words").alias("term"), F.size("words").cast("long").alias("dl")).groupBy("field", "unit", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def places(units: DataFrame, unit: str, fields: list[str], analyze=tokens) -> DataFrame:
+    """(field, unit, term, positions): where in a field each term stands, counted in tokens, for phrases."""
+    each = [F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("words")) for f in fields]
+    t = units.select(F.col(unit).alias("unit"), F.inline(F.array(*each)))
+    return t.select("field", "unit", F.posexplode("words").alias("p", "term")).groupBy("field", "unit", "term").agg(F.array_sort(F.collect_list("p")).alias("positions"))
+
+
 def statistics(post: DataFrame, units: int | F.Column) -> tuple[DataFrame, DataFrame]:
     """(by term: field, term, df, idf), (by field: field, avgdl)."""
     n = units if isinstance(units, F.Column) else F.lit(units)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strataseek.functions.analysis import ANALYZERS
 from strataseek.operators import questions as Q
@@ -28,50 +31,80 @@ class RetrieveOptions:
             raise ValueError("top_k is 1 to 100, min_score 0 to 1, adjacent_count 0 to 5")
 
 
-def structured_search(terms: DataFrame, index: dict[str, DataFrame], weights: DataFrame, top_k: int, docs: DataFrame | None = None, least: float = S.LEAST_SCORE) -> DataFrame:
+def structured_search(terms: DataFrame, index: dict[str, DataFrame], weights: DataFrame, top_k: int, docs: DataFrame | None = None, least: float = S.LEAST_SCORE, tokenless: DataFrame | None = None) -> DataFrame:
     """terms as of search.field_terms; index: postings (field, unit, term, tf, dl), terms, fields, owner (unit, chunk_id,
-    doc_id). Hits are limited in each channel, folded to chunks, normalized, fused, and cut."""
+    doc_id). Hits are limited in each channel, folded to chunks, normalized, fused, and cut. tokenless (query_id): queries
+    whose free text has no tokens; every chunk matches their content."""
     inside = None
     if docs is not None:
         inside = docs.select("query_id", "doc_id").join(index["owner"], "doc_id").select("query_id", "unit").distinct()
     hits = S.bm25(terms, index["postings"], index["terms"], index["fields"], inside)
+    if tokenless is not None:
+        chunks = index["owner"].where("unit = chunk_id").select("unit")
+        if inside is None:  # equal scores rank by id, so more than the limit can't count
+            every = S.every(chunks.orderBy("unit").limit(S.CHANNEL_LIMIT["content"]), tokenless)
+        else:
+            every = S.every(chunks.join(inside.select("unit").distinct(), "unit", "left_semi"), tokenless).join(inside, ["query_id", "unit"], "left_semi")
+        hits = hits.unionByName(every)
     limit = F.create_map(*[F.lit(x) for kv in S.CHANNEL_LIMIT.items() for x in kv])
     hits = S.ranked(hits.withColumn("score", F.round("score", 6)), ["query_id", "channel"], limit[F.col("channel")])
     return S.top(S.fused(S.normalized(S.best_per_chunk(hits, index["owner"].select("unit", "chunk_id"))), weights), top_k, least)
 
 
+#: The fields of each stored unit, as direct searches look through them.
+SEARCHED = {"chunks": ("chunk_id", ["content", "section_title", "section_path"]), "entities": ("entity_id", ["name", "desc", "entity_type"]), "relations": ("unit", ["subject", "predicate", "object"]), "metas": ("doc_id", ["insurer", "contract_name"])}
+
+
 class Retriever:
     """Over a folder of JSON documents, its tables stored under index_path. kind: default or insurance (with metadata).
-    analyzer: words, or cjk for Chinese; each other analyzer's tables are stored in a folder of their own."""
+    analyzer: cjk, which reads Chinese as pairs of characters and other text as words, or words; each has its own tables.
+    config: a folder with categories.yaml and schemas, else the package's."""
 
-    def __init__(self, spark: SparkSession, documents: str, index_path: str, kind: str = "default", extractor: Q.Extractor | None = None, rebuild: bool = False, analyzer: str = "words"):
-        self.spark, self.documents, self.index_path, self.kind, self.extractor = spark, documents, index_path, kind, extractor
+    def __init__(self, spark: SparkSession, documents: str, index_path: str, kind: str = "default", extractor: Q.Extractor | None = None, rebuild: bool = False, analyzer: str = "cjk", config: str | None = None):
+        self.spark, self.documents, self.index_path, self.kind, self.extractor = spark, documents, f"{index_path}/{analyzer}", kind, extractor
         self.analyze = ANALYZERS[analyzer]
-        if analyzer != "words":
-            self.index_path = f"{index_path}/{analyzer}"
-        self.categories = D.categories()
-        self.schemas = D.schemas(self.categories)
+        self.categories = D.categories(folder=config)
+        self.schemas = D.schemas(self.categories, config)
         self.rebuild_index() if rebuild else self._open(False)
 
     def _open(self, rebuild: bool) -> None:
         docs = (D.insurance_documents if self.kind == "insurance" else D.json_documents)(self.spark, self.documents)
-        chunks, entities, relations = units.chunks(docs), units.entities(docs), units.relations(docs).withColumn("unit", F.concat("relation_id", F.lit("#"), F.monotonically_increasing_id()))
-        tables = {"chunks": chunks, "entities": entities, "relations": relations}
+        tables = {"chunks": units.chunks(docs), "entities": units.entities(docs), "relations": units.relations(docs).withColumn("unit", F.concat("relation_id", F.lit("#"), F.monotonically_increasing_id()))}
         if self.kind == "insurance":
             tables["metas"] = units.metas(docs)
         self.tables = t = D.stored_index(self.spark, self.index_path, tables, rebuild)
-        parts = [("chunks", "chunk_id", ["section_title", "section_path", "content"]), ("entities", "entity_id", ["name", "desc"]), ("relations", "unit", ["subject", "predicate", "object"])]
-        if "metas" in t:
-            parts.append(("metas", "doc_id", ["insurer", "contract_name"]))
         post, stats, fields = [], [], []
-        for name, unit, names in parts:
-            p = D.stored_index(self.spark, self.index_path, {f"{name}_postings": units.postings(t[name], unit, names, self.analyze)}, rebuild)[f"{name}_postings"]
-            a, b = units.statistics(p, t[name].count())
-            post.append(p), stats.append(a), fields.append(b)
+        for name in t:
+            found = D.stored_postings(self.spark, self.index_path, name, t[name], *SEARCHED[name], self.analyze, rebuild)
+            post.append(found[0]), stats.append(found[1]), fields.append(found[2])
         union = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(union(xs[1:]))
         owner = union([t["chunks"].select(F.col("chunk_id").alias("unit"), "chunk_id", "doc_id"), t["entities"].select(F.col("entity_id").alias("unit"), "chunk_id", "doc_id"), t["relations"].select("unit", "chunk_id", "doc_id")])
         self.index = {"postings": union(post), "terms": union(stats), "fields": union(fields), "owner": owner}
 
+    def schema(self, name: str) -> StructType | None:
+        """The columns of a stored table: chunks, entities, relations, or metas where there are any."""
+        return self.tables[name].schema if name in self.tables else None
+
+    def direct(self, name: str, text: str, limit: int = 10) -> DataFrame:
+        """The units of a stored table that satisfy a parsed query in any field, with unit, score and rank, best first."""
+        unit, fields = SEARCHED[name]
+        places = None
+        if any(len(t) > 1 for _, t in S.parsed(text)):
+            places = D.stored_index(self.spark, self.index_path, {f"{name}_places": units.places(self.tables[name], unit, fields, self.analyze)})[f"{name}_places"]
+        post = self.index["postings"].where(F.col("field").isin(fields))
+        hits = S.direct_search(text, fields, post, self.index["terms"], self.index["fields"], limit, places)
+        found = self.tables[name].withColumnRenamed(unit, "unit") if unit != "unit" else self.tables[name]
+        return found.join(F.broadcast(hits), "unit").orderBy("rank")  # limit rows
+
+    def search_chunks(self, text: str, limit: int = 10) -> DataFrame:
+        return self.direct("chunks", text, limit)
+
+    def search_entities(self, text: str, limit: int = 10) -> DataFrame:
+        return self.direct("entities", text, limit)
+
+    def search_relations(self, text: str, limit: int = 10) -> DataFrame:
+        return self.direct("relations", text, limit)
+
     def rebuild_index(self) -> None:
         """All tables, metadata included."""
         self._open(True)
@@ -88,14 +121,27 @@ class Retriever:
         return found
 
     def extract(self, question: str, category: str, key: str = "fields") -> str | None:
-        """The model's answer for the schema's fields, or for its filters."""
-        schema = self.schemas[self.category(category)["id"]]
+        """The model's answer for the schema's fields, or for its filters; None without a model."""
+        schema = self.schema_of(category)
         return Q.extracted(self.extractor, schema | {"fields": schema[key]}, question) if self.extractor else None
 
+    def schema_of(self, category: str) -> dict:
+        """The category's field schema, or the default category's where it has none."""
+        default = next(c["id"] for c in self.categories if c["classification"]["method"] == "default")
+        return self.schemas.get(self.category(category)["id"]) or self.schemas[default]
+
+    def _asked(self, question: str, category: str, key: str) -> tuple[str | None, str | None]:
+        """(the model's answer, how it failed)."""
+        try:
+            return self.extract(question, category, key), None
+        except Q.Failed as e:
+            return None, str(e)
+
     def filter_documents(self, raw: str | None, filters: DataFrame, alias_targets: bool = False) -> DataFrame:
         """doc_id: the best documents of each filter group in the model's answer, by metadata; none without an answer."""
-        groups = self.spark.createDataFrame([(raw,)], "raw string").select(F.posexplode(Q.parsed_answers(F.col("raw")).getField("query")).alias("query_id", "fields"))
-        terms = S.field_terms(Q.query_fields(groups, filters).where("not placeholder"), alias_targets, self.analyze).where("channel = 'meta'")
+        groups = Q.filter_groups(self.spark.createDataFrame([(0, raw)], "query_id long, raw string"), filters)
+        groups = groups.withColumn("query_id", F.col("filter_ix").cast("long"))
+        terms = S.field_terms(groups, alias_targets, self.analyze).where("channel = 'meta'")
         exact = terms.where("kind = 'term'")
         terms = exact.unionByName(S.fuzzy_terms(terms.where("kind = 'fuzzy'"), self.index["terms"]).select(exact.columns))
         hits = S.bm25(terms, self.index["postings"], self.index["terms"], self.index["fields"])
@@ -109,8 +155,8 @@ class Retriever:
             raise ValueError("a question has 1 to 500 characters")
         o = options or RetrieveOptions()
         cid = self.category(category_name)["id"] if category_name else self.classify(question)
-        schema = self.schemas[cid]
-        raw = self.extract(question, cid)
+        schema = self.schema_of(cid)
+        raw, failed = self._asked(question, cid, "fields")
         spark = self.spark
         groups = spark.createDataFrame([(raw, question)], "raw string, question string").withColumn("got", F.coalesce(Q.parsed_answers(F.col("raw")).getField("query"), F.array(F.lit(None).cast("map<string,string>"))))
         groups = groups.select(F.posexplode("got").alias("query_id", "fields"), "question").select(F.col("query_id").cast("long"), Q.with_fallback(F.col("fields"), F.col("question")).alias("fields"), F.col("question").alias("text"))
@@ -118,17 +164,31 @@ class Retriever:
         terms = S.field_terms(Q.query_fields(groups, rows("fields")), o.alias_targets, self.analyze).unionByName(S.free_text_terms(groups, analyze=self.analyze))
         exact, fuzzy = terms.where("kind = 'term'"), terms.where("kind = 'fuzzy'")
         terms = exact.unionByName(S.fuzzy_terms(fuzzy, self.index["terms"]).select(exact.columns))
-        docs, warning = None, None if raw else "no extraction: searched by free text"
+        docs, warning = None, None if raw else "no extraction: searched by free text" + (f" ({failed})" if failed else "")
         if "metas" in self.tables and schema.get("filters"):
-            raw_filters = self.extract(question, cid, "filters")
+            raw_filters, failed = self._asked(question, cid, "filters")
             docs = groups.select("query_id").crossJoin(self.filter_documents(raw_filters, rows("filters"), o.alias_targets))
             if self.extractor and raw_filters is None and not warning:
-                warning = "no filter extraction: searched all documents"
+                warning = "no filter extraction: searched all documents" + (f" ({failed})" if failed else "")
         if o.doc_ids:
             own = groups.select("query_id").crossJoin(spark.createDataFrame([(d,) for d in o.doc_ids], "doc_id string"))
             docs = own if docs is None or docs.isEmpty() else own.join(docs, ["query_id", "doc_id"], "left_semi")
         w = schema["default_channel_weights"]
         weights = spark.createDataFrame([(c, float(w[f"{c}_channel"])) for c in ("entity", "relation", "title", "content")], "channel string, weight double")
-        hits = structured_search(terms, self.index, weights, o.top_k, docs, o.min_score)
-        near = S.neighbours(self.tables["chunks"], o.adjacent_count if o.include_adjacent else 0)
-        return hits.join(near, "chunk_id").withColumns({"category": F.lit(cid), "warning": F.lit(warning)})
+        hits = structured_search(terms, self.index, weights, o.top_k, docs, o.min_score, S.tokenless(groups, self.analyze))
+        near, n = hits.join(self.tables["chunks"], "chunk_id"), o.adjacent_count if o.include_adjacent else 0
+        for pointer, out in (("prev_chunk_id", "prev_ids"), ("next_chunk_id", "next_ids")):
+            near = S.linked_neighbours(near, self.tables["chunks"], n, pointer, out)
+        given = groups.select("query_id", F.to_json("fields").alias("extracted_fields"))
+        return near.join(F.broadcast(given), "query_id").withColumns({"category": F.lit(cid), "warning": F.lit(warning)})
+
+    def respond(self, question: str, options: RetrieveOptions | None = None, category_name: str | None = None) -> dict:
+        """retrieve() as one record: request_id, question, category, warning, and for each extracted group its fields, results
+        (top_k at most), total and returned."""
+        rows = self.retrieve(question, options, category_name).orderBy("query_id", "rank").collect()  # top_k rows a group
+        groups: dict[int, list] = {}
+        for r in rows:
+            groups.setdefault(r["query_id"], []).append(r.asDict(recursive=True))
+        out = [{"extracted_fields": json.loads(g[0]["extracted_fields"]), "results": g, "total": len(g), "returned": len(g)} for g in groups.values()]
+        category = rows[0]["category"] if rows else (self.category(category_name)["id"] if category_name else self.classify(question))
+        return {"request_id": str(uuid.uuid4()), "question": question, "category": category, "groups": out, "total": sum(g["total"] for g in out), "returned": sum(g["returned"] for g in out), "warning": rows[0]["warning"] if rows else "nothing found"}

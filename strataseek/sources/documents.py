@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import tempfile
+import uuid
 from importlib import resources
+from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataseek.functions.analysis import tokens
+from strataseek.operators import units
+
 _s = T.StringType()
 
 
@@ -30,6 +38,14 @@ DOCUMENT = _struct("doc_id", "doc_type", version_ts=T.LongType(), structured_dat
 QUESTION = _struct("qid", "domain", "split", "question", options=T.MapType(_s, _s), answer_format=_s, type=_s, doc_ids=T.ArrayType(_s))
 
 
+def accepted(df: DataFrame) -> DataFrame:
+    """Of documents as read from files: no `latest` copies, nothing in `versions` folders, none that don't parse, have no
+    chunks or whose first chunk has no tree."""
+    file = F.col("_metadata.file_path")
+    df = df.where(~file.rlike(r"/latest\.json$") & ~file.rlike(r"/versions/[^/]+$"))
+    return df.where("_corrupt_record is null and doc_id is not null and size(chunks) > 0 and chunks[0].doc_tree is not null")
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Every document below path but `latest` copies and `versions` folders. Files that don't parse, documents without
     chunks and ones whose first chunk has no tree are left out; a missing path gives an empty table."""
@@ -37,10 +53,7 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], T.StructType([f for f in DOCUMENT if f.name != "_corrupt_record"]).add("doc_tree", T.ArrayType(_tree(3))))
     df = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    file = F.col("_metadata.file_path")
-    df = df.where(~file.rlike(r"/latest\.json$") & ~file.rlike(r"/versions/[^/]+$"))
-    df = df.where("_corrupt_record is null and doc_id is not null and size(chunks) > 0 and chunks[0].doc_tree is not null")
-    return df.withColumn("doc_tree", F.array(F.expr("try_element_at(chunks, 1).doc_tree"))).drop("_corrupt_record")
+    return accepted(df).withColumn("doc_tree", F.array(F.expr("try_element_at(chunks, 1).doc_tree"))).drop("_corrupt_record")
 
 
 def insurance_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -56,28 +69,38 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def name_map(spark: SparkSession, path: str) -> DataFrame:
-    """(name, doc_id): the stem of each status file's file_path; of equal names the last id."""
+    """(name, doc_id): the stem of each status file's file_path; of equal names the id of the last status file by path."""
     df = spark.read.schema("file_path string, doc_id string").option("multiLine", True).json(path)
-    return df.select(stem(F.col("file_path")).alias("name"), "doc_id").groupBy("name").agg(F.max("doc_id").alias("doc_id"))
+    return last_ids(df.select(stem(F.col("file_path")).alias("name"), "doc_id", F.col("_metadata.file_path").alias("file")), "file")
+
+
+def last_ids(rows: DataFrame, order: str) -> DataFrame:
+    """rows (name, doc_id, order) -> (name, doc_id): of each name the id that comes last."""
+    return rows.groupBy("name").agg(F.max_by("doc_id", order).alias("doc_id"))
 
 
 def stem(path: F.Column) -> F.Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def categories(text: str | None = None) -> list[dict]:
-    """Category configuration in file order; entries without id, name, schema file or a known method are skipped."""
-    text = text or resources.files("strataseek").joinpath("config/categories.yaml").read_text()
+def _config(folder: str | None):
+    return Path(folder) if folder else resources.files("strataseek").joinpath("config")
+
+
+def categories(text: str | None = None, folder: str | None = None) -> list[dict]:
+    """Category configuration in file order, from `folder` or the package; entries without id, name, schema file or a known
+    method are skipped."""
+    text = text or _config(folder).joinpath("categories.yaml").read_text(encoding="utf-8")
     found = (yaml.safe_load(text) or {}).get("categories") or []
     return [c for c in found if isinstance(c, dict) and {"id", "name", "schema_file"} <= c.keys() and (c.get("classification") or {}).get("method") in ("keyword", "llm", "default")]
 
 
-def schemas(found: list[dict] | None = None) -> dict[str, dict]:
-    """Field schemas by category id; missing or invalid files are skipped."""
+def schemas(found: list[dict] | None = None, folder: str | None = None) -> dict[str, dict]:
+    """Field schemas by category id, from the folder's or the package's `schemas`; missing or invalid files are skipped."""
     out = {}
-    for c in found or categories():
+    for c in found or categories(folder=folder):
         try:
-            out[c["id"]] = json.loads(resources.files("strataseek").joinpath(f"config/schemas/{c['schema_file']}").read_text())
+            out[c["id"]] = json.loads(_config(folder).joinpath("schemas", Path(c["schema_file"]).name).read_text(encoding="utf-8"))
         except (OSError, ValueError):
             continue
     return out
@@ -99,6 +122,42 @@ def stored_index(spark: SparkSession, path: str, tables: dict[str, DataFrame], r
     return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
+def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str], analyze=tokens, rebuild: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms with df and idf, fields with avgdl) of a table's units, stored under path; the first two in order of
+    field and term, so that a filter on terms skips files and row groups."""
+    order = lambda df: df.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
+    post = stored_index(spark, path, {f"{name}_postings": order(units.postings(table, unit, fields, analyze))}, rebuild)[f"{name}_postings"]
+    terms, by_field = units.statistics(post, table.count())
+    stats = stored_index(spark, path, {f"{name}_terms": order(terms), f"{name}_fields": by_field}, rebuild)
+    return post, stats[f"{name}_terms"], stats[f"{name}_fields"]
+
+
+_scratch: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession, key: str) -> str:
+    """A folder of this session for key, below spark.checkpoint.dir, or where Spark runs in this process and that is unset, a
+    temporary one. It is removed at exit."""
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _scratch:
+        root = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.gettempdir()
+        _scratch[at] = f"{root.rstrip('/')}/strataseek-index-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _scratch[at])
+    return _scratch[at]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session has ended: whoever owns the folder clears it
+        pass
+
+
 def append_lines(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 

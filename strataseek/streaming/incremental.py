@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from strataseek.operators import units
-from strataseek.sources.documents import DOCUMENT
+from strataseek.sources.documents import DOCUMENT, accepted
 
 
 def index_stream(spark: SparkSession, source: str, index: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch's chunks and their postings under `index`, once for each file: a batch that is run again after a
+    """The documents that a scan of the folder would take (sources.documents.accepted). Appends each batch's chunks and their postings under `index`, once for each file: a batch that is run again after a
     failure replaces its own folder."""
     docs = spark.readStream.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(source)
+    docs = accepted(docs)
 
     def append(batch: DataFrame, number: int) -> None:
-        chunks = units.chunks(batch.where("_corrupt_record is null"))
+        chunks = units.chunks(batch)
         chunks.write.mode("overwrite").parquet(f"{index}/chunks/batch={number}")
         units.postings(chunks, "chunk_id", ["section_title", "content"]).write.mode("overwrite").parquet(f"{index}/postings/batch={number}")
 
