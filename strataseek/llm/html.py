@@ -5,7 +5,10 @@ All visible text is kept: nothing is judged to be boilerplate. Not visible: scri
 title, comments, elements with the hidden attribute, display:none or visibility:hidden, hidden inputs, passwords, and of svg
 what only names or defines (title, desc, metadata, defs, symbol) and of math its annotations. aria-hidden hides from screen
 readers only, so its text is kept. Text that an svg paints only by <use> of its defs isn't followed.
-Null and empty pages give empty text. Broken markup never fails: open elements end with their parent or with the page.
+Null and empty pages give empty text. Broken markup never fails: open elements end with their parent or with the page, a tag
+that never ends is text. Any page takes time in proportion to its length and that of its text: tags are found by one scan,
+open elements by their names' places on the stack, and nested tables are rendered from an explicit stack. Indentation stops
+growing at DEEP levels.
 """
 
 from __future__ import annotations
@@ -48,10 +51,14 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "a": ({"a"}, {"table", "td", "th", "caption", "object"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: End tags that reach across such elements.
+ACROSS = frozenset("table tr td th tbody thead tfoot caption button template".split())
 #: Elements that an end tag doesn't reach across, and those whose paragraphs a block's start doesn't end.
 SCOPE = frozenset("table td th caption html object template button".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=[ \t\n\r\f]*([\"'])")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -69,7 +76,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class Builder:
-    """Open elements as a stack; text as strings among a node's children."""
+    """Open elements as a stack, and the places of each name on it; text as strings among a node's children."""
 
     def __init__(self):
         self.root = Node("html")
@@ -77,36 +84,37 @@ class Builder:
         self.title = ""
         self.root.children.append(self.body)
         self.stack = [self.root, self.body]
-        self.any_foreign = False
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, tags) -> int:
+        """The place on the stack of the innermost open element of these names, else 0."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def _close(self, place: int) -> None:
+        """Ends the element at the place and all within it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
 
     def _foreign(self) -> int:
         """The place on the stack of the svg or math whose content comes next, else 0."""
-        if self.any_foreign:
-            for i in range(len(self.stack) - 1, 1, -1):
-                if self.stack[i].tag in ("svg", "math"):
-                    return i
-                if self.stack[i].tag in HTML_AGAIN:
-                    return 0
-        return 0
+        place = self._last(("svg", "math"))
+        return place if place and place > self._last(HTML_AGAIN) else 0
 
     def _end(self, tags, stops) -> None:
-        for i in range(len(self.stack) - 1, 1, -1):
-            tag = self.stack[i].tag
-            if tag in stops:
-                return
-            if tag in tags:
-                del self.stack[i:]
-                return self._end(tags, stops)
+        while (place := self._last(tags)) > self._last(stops):
+            self._close(place)
 
     def start(self, tag: str, raw: str, closed: bool) -> None:
         if tag in ("html", "head", "body"):
             return
         foreign = self._foreign()
         if foreign and tag in BREAKOUT:
-            del self.stack[foreign:]
+            self._close(foreign)
             foreign = 0
-        if tag in ("svg", "math"):
-            self.any_foreign = True
         if foreign:
             return self._start_foreign(tag, raw, closed)
         if tag in BLOCK and tag not in ("html", "body", "tr", "caption"):
@@ -118,7 +126,7 @@ class Builder:
         node = Node(tag, _attributes(raw))
         self.stack[-1].children.append(node)
         if tag not in VOID and not (closed and tag in ("svg", "math")):
-            self.stack.append(node)
+            self._push(node)
 
     def _start_foreign(self, tag: str, raw: str, closed: bool) -> None:
         attrs = _attributes(raw)
@@ -129,57 +137,83 @@ class Builder:
         node = Node(tag, attrs)
         self.stack[-1].children.append(node)
         if not closed:
-            self.stack.append(node)
+            self._push(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             return self.start("br", "", True)
-        if tag == "p" and not any(n.tag == "p" for n in self.stack):
-            return self.start("p", "", False) or self.end("p")
-        if re.fullmatch("h[1-6]", tag):
-            tags = {"h1", "h2", "h3", "h4", "h5", "h6"}
-        else:
-            tags = {tag}
-        for i in range(len(self.stack) - 1, 1, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in SCOPE and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "button", "template"):
-                return
+        if tag == "p" and not self.places.get("p"):
+            self.start("p", "", False)
+        tags = HEADINGS if tag in HEADINGS else (tag,)
+        place = self._last(tags)
+        if place and (tag in ACROSS or place >= self._last(SCOPE)):
+            self._close(place)
 
     def text(self, s: str) -> None:
         if s:
             self.stack[-1].children.append(entities.unescape(s) if "&" in s else s)
 
     def build(self, page: str) -> Node:
-        at, n = 0, len(page)
-        while at < n:
-            m = _TOKEN.search(page, at)
-            if not m:
-                self.text(page[at:])
-                break
-            self.text(page[at : m.start()])
-            at = m.end()
-            if m[1]:
-                self.end(m[1].lower())
-            elif m[2]:
-                tag = m[2].lower()
-                self.start(tag, m[3], bool(m[4]))
-                if tag in RAW and not (tag == "title" and self.stack[-1].tag == "title" and "hidden" in self.stack[-1].attrs) and not (m[4] and self._foreign()):
-                    close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                    inner = page[at : close.start() if close else n]
-                    if tag == "title" and not self.title:
-                        self.title = _SPACE.sub(" ", entities.unescape(inner)).strip()
-                    elif tag == "textarea":
-                        self.text(inner)
-                    elif tag == "xmp":
-                        self.stack[-1].children.append(inner)
-                    at = close.end() if close else n
-                    self.end(tag)
-            elif m[0].startswith("<![CDATA["):
-                self.text(m[0][9:].removesuffix("]]>"))
+        at, text, n, end = 0, 0, len(page), page.rfind(">")  # no tag ends after `end`
+        unclosed = {'"': n + 1, "'": n + 1}  # from here on, no such quote follows
+        while (at := page.find("<", at)) >= 0:
+            c = page[at + 1 : at + 2]
+            if c in ("!", "?"):
+                self.text(page[text:at])
+                if page.startswith("<!--", at):
+                    to = page.find("-->", at + 4)
+                elif page.startswith("<![CDATA[", at):
+                    to = page.find("]]>", at)
+                    self.text(page[at + 9 : to if to >= 0 else n])
+                else:
+                    to = page.find(">", at) - 2 if at < end else -1
+                at = text = to + 3 if to >= 0 else n
+                continue
+            m = _NAME.match(page, at + 1 + (c == "/"))
+            if not m or c != "/" and m.end() > end:
+                at += 1
+                continue
+            self.text(page[text:at])
+            tag = m[0].lower()
+            if c == "/":
+                to = page.find(">", m.end()) if m.end() <= end else -1
+                at = text = to + 1 if to >= 0 else n
+                self.end(tag)
+                continue
+            to = self._tag_end(page, m.end(), end, unclosed)
+            closed = page[to - 1] == "/" and to > m.end()
+            at = text = to + 1
+            self.start(tag, page[m.end() : to - closed], closed)
+            if tag in RAW and not (tag == "title" and self.stack[-1].tag == "title" and "hidden" in self.stack[-1].attrs) and not (closed and self._foreign()):
+                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                inner = page[at : close.start() if close else n]
+                if tag == "title" and not self.title:
+                    self.title = _SPACE.sub(" ", entities.unescape(inner)).strip()
+                elif tag == "textarea":
+                    self.text(inner)
+                elif tag == "xmp":
+                    self.stack[-1].children.append(inner)
+                at = text = close.end() if close else n
+                self.end(tag)
+        self.text(page[text:])
         return self.root
 
+    @staticmethod
+    def _tag_end(page: str, at: int, end: int, unclosed: dict[str, int]) -> int:
+        """The place of the > that ends a tag whose attributes start at `at`: not one within a quoted value. A quote that
+        never closes is a character like others. at <= end, so there is a >."""
+        start = at
+        while m := _STOP.search(page, at):
+            if not m[1]:
+                return m.start()
+            close = page.find(m[1], m.end()) if m.end() < unclosed[m[1]] else -1
+            if close < 0:
+                unclosed[m[1]] = min(unclosed[m[1]], m.end())
+            elif close > end:  # nothing would end the tag
+                break
+            at = close + 1 if close >= 0 else m.end()
+        return page.find(">", start)
+
 
 def hidden(node: Node) -> bool:
     a = node.attrs
@@ -190,47 +224,54 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in s)
 
 
+#: Levels of indentation.
+DEEP = 50
+
+
 class Renderer:
     """Lines of text; a pending gap of 1 (new line) or 2 (blank line) stands before the next text."""
 
     def __init__(self):
-        self.lines: list[str] = [""]
+        self.lines: list[str] = []  # finished ones
+        self.parts: list[str] = []  # of the line at hand
         self.gap = 0
         self.prefix: list[str] = []
         self.mark = ""
 
     def _break(self, gap: int) -> None:
-        if self.lines != [""]:
+        if self.lines or self.parts:
             self.gap = max(self.gap, gap)
 
     def _open(self) -> None:
         if self.gap:
-            self.lines[-1] = self.lines[-1].rstrip()
-            self.lines += [""] * self.gap
-            self.gap = 0
-        if not self.lines[-1] and (self.prefix or self.mark):
-            lead = "".join(self.prefix)
-            self.lines[-1] = lead[: len(lead) - len(self.mark)] + self.mark if self.mark else lead
+            self.lines.append("".join(self.parts).rstrip())
+            self.lines += [""] * (self.gap - 1)
+            self.parts, self.gap = [], 0
+        if not self.parts and (self.prefix or self.mark):
+            lead = "".join(self.prefix[:DEEP])
+            self.parts.append(lead[: len(lead) - len(self.mark)] + self.mark if self.mark else lead)
             self.mark = ""
 
+    def _put(self, s: str) -> None:
+        self._open()
+        self.parts.append(s)
+
     def text(self, s: str, pre: bool) -> None:
         if pre:
             for i, line in enumerate(s.replace("\r\n", "\n").split("\n")):
                 if i:
                     self.gap += 1
                 if line:
-                    self._open()
-                    self.lines[-1] += line
+                    self._put(line)
             return
-        s = _SPACE.sub(" ", s).replace("\xad", "").replace("​", "")
-        if s.startswith(" ") and (self.gap or not self.lines[-1] or self.lines[-1].endswith(" ")):
+        s = _SPACE.sub(" ", s).replace("\xad", "").replace("\u200b", "")
+        if s.startswith(" ") and (self.gap or not self.parts or self.parts[-1].endswith(" ")):
             s = s[1:]
         if s:
-            self._open()
-            self.lines[-1] += s
+            self._put(s)
 
-    def walk(self, top: Node) -> str:
-        """Iterative, so that deep nesting can't exhaust the stack."""
+    def walk(self, top: Node):
+        """Yields the cells of tables, to be sent their texts; returns the text. Iterative, as nesting may be deep."""
         todo: list[tuple] = [("in", top, False)]
         while todo:
             what, node, pre = todo.pop()
@@ -238,16 +279,26 @@ class Renderer:
                 node()
             elif isinstance(node, str):
                 self.text(node, pre)
-            elif not hidden(node):
+            elif hidden(node):
+                continue
+            elif node.tag == "table":
+                lines = yield from table_lines(node)
+                self._break(2)
+                for line in lines:
+                    self._put(line)
+                    self.gap = 1
+                self._break(2)
+            else:
                 self._element(node, pre, todo)
-        while len(self.lines) > 1 and not self.lines[-1].strip():
-            self.lines.pop()
-        return "\n".join(x.rstrip() for x in self.lines)
+        lines = [*self.lines, "".join(self.parts)]
+        while len(lines) > 1 and not lines[-1].strip():
+            lines.pop()
+        return "\n".join(x.rstrip() for x in lines)
 
     def _element(self, node: Node, pre: bool, todo: list) -> None:
         tag = node.tag
         if tag == "br":
-            if self.lines != [""]:
+            if self.lines or self.parts:
                 self.gap += 1
             return
         if tag == "hr":
@@ -263,14 +314,6 @@ class Renderer:
             if shown and (kind == "image" or kind not in UNSEEN_INPUTS):
                 self.text(shown, False)
             return
-        if tag == "table":
-            self._break(2)
-            for line in table_lines(node):
-                self._open()
-                self.lines[-1] += line
-                self.gap = 1
-            self._break(2)
-            return
         pre = pre or tag in ("pre", "textarea", "xmp")
         gap = 2 if tag in SPACED else 1 if tag in BLOCK else 0
         if tag in ("ul", "ol") and self.prefix:
@@ -306,8 +349,13 @@ class Renderer:
 COLUMN = 40
 
 
-def table_lines(table: Node) -> list[str]:
-    """Each row's cells, padded to their column's width; a cell of several lines continues below; spans take their place."""
+#: Fixed value: the most columns that a cell may span by the HTML standard.
+SPAN = 1000
+
+
+def table_lines(table: Node):
+    """Each row's cells, padded to their column's width; a cell of several lines continues below; spans take their place.
+    Yields the nodes to be rendered and is sent their texts; returns the lines."""
     rows, captions, groups = [], [], [table]
     while groups:
         g = groups.pop()
@@ -323,12 +371,15 @@ def table_lines(table: Node) -> list[str]:
             elif isinstance(c, str) and c.strip():
                 captions.append(c)
         groups += found[::-1]
-    lines = [x for c in captions for x in (_rendered(c) if isinstance(c, Node) else c.strip()).split("\n") if x]
+    lines = []
+    for c in captions:
+        text = (yield inner(c)) if isinstance(c, Node) else c.strip()
+        lines += [x for x in text.split("\n") if x]
     grid: list[dict[int, list[str]]] = [{} for _ in rows]
-    taken: set[tuple[int, int]] = set()
     number = lambda s, most: min(most, max(1, int(s))) if re.fullmatch(r"\d{1,6}", s) else 1
+    below: list[tuple[int, int, int]] = []  # columns from, to, and the last row of cells that reach down, by column
     for y, row in enumerate(rows):
-        x = 0
+        x, k, new = 0, 0, []
         for c in row.children:
             if isinstance(c, str):
                 if c.strip():
@@ -336,41 +387,77 @@ def table_lines(table: Node) -> list[str]:
                 continue
             if hidden(c):
                 continue
-            while (y, x) in taken:
-                x += 1
-            across, down = number(c.attrs.get("colspan", ""), 100), number(c.attrs.get("rowspan", ""), len(rows) - y)
-            taken.update((y + j, x + i) for j in range(down) for i in range(across))
-            grid[y][x] = _rendered(c).split("\n")
+            while k < len(below) and below[k][0] <= x:
+                x = max(x, below[k][1])
+                k += 1
+            across, down = number(c.attrs.get("colspan", ""), SPAN), number(c.attrs.get("rowspan", ""), len(rows) - y)
+            grid[y][x] = (yield inner(c)).split("\n")
+            if down > 1:
+                new.append((x, x + across, y + down - 1))
             x += across
+        below = _joined([b for b in below if b[2] > y], new)
     widths: dict[int, int] = {}
     for row in grid:
         for x, cell in row.items():
             w = max(map(width, cell))
             widths[x] = max(widths.get(x, 0), w if w <= COLUMN else 0)
-    columns = sorted(widths)
+    begin, upto = {}, 0
+    for x in sorted(widths):
+        begin[x] = upto
+        upto += widths[x] + 2
     for row in grid:
         for k in range(max((len(c) for c in row.values()), default=0)):
-            parts = []
-            for x in columns:
-                s = row[x][k] if x in row and k < len(row[x]) else ""
-                parts.append(s + " " * max(0, widths[x] - width(s)))
-            line = "  ".join(parts).rstrip()
-            if line:
+            parts, at, more = [], 0, 0  # more: what wider cells have pushed the rest of the line by
+            for x in row:  # in order of columns
+                cell = row[x][k] if k < len(row[x]) else ""
+                if cell:
+                    w = width(cell)
+                    parts += [" " * (begin[x] + more - at), cell]
+                    at = begin[x] + more + w
+                    more += max(0, w - widths[x])
+            if line := "".join(parts).rstrip():
                 lines.append(line)
     return lines
 
 
-def _rendered(node: Node) -> str:
-    inner = Node("div", {k: v for k, v in node.attrs.items() if k != "style"})
-    inner.children = node.children
-    return Renderer().walk(inner)
+def _joined(old: list[tuple], new: list[tuple]) -> list[tuple]:
+    """Spans in order of columns; neighbours that end with the same row as one."""
+    out: list[tuple] = []
+    for a, b, last in sorted(old + new) if new else old:
+        if out and out[-1][1] == a and out[-1][2] == last:
+            out[-1] = (out[-1][0], b, last)
+        else:
+            out.append((a, b, last))
+    return out
+
+
+def inner(node: Node) -> Node:
+    """A cell's content as a block of its own."""
+    out = Node("div", {k: v for k, v in node.attrs.items() if k != "style"})
+    out.children = node.children
+    return out
+
+
+def text_of(node: Node) -> str:
+    """Renders a node; cells within cells stand on a stack of their own."""
+    open_, sent = [Renderer().walk(node)], None
+    while True:
+        try:
+            cell = open_[-1].send(sent)
+            open_.append(Renderer().walk(cell))
+            sent = None
+        except StopIteration as e:
+            open_.pop()
+            sent = e.value
+            if not open_:
+                return sent
 
 
 def rendered(page: str) -> tuple[str, str]:
     """(title, visible text)."""
     b = Builder()
     b.build(page)
-    return b.title, Renderer().walk(b.body)
+    return b.title, text_of(b.body)
 
 
 def _run(batches):

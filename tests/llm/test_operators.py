@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -378,6 +379,64 @@ def test_html_visible():
     assert shown("<desc>plain</desc> <symbol>tags</symbol>") == "plain tags"
 
 
+BROKEN = {
+    "bare attributes": "<a " + 'b="c" ' * 18, "quotes": "<a " + '"' * 32, "nested tables": "<table><tr><td>" * 2000 + "x", "nested divisions": "<div>" * 20000 + "x",
+    "open tags": "<a " * 20000, "spans": "<table>" + "<tr>" + "<td colspan=100 rowspan=500>x</td>" * 500 + "</table>", "rows with spans": "<table>" + "<tr><td colspan=100 rowspan=500>x" * 500,
+    "ends": "<div>" * 5000 + "</i>" * 20000, "paragraphs": "<p><button>" + "<div>" * 5000 + "<p>x" * 5000, "comments": "<!--" * 20000, "ends of p": "</p>" * 20000, "lists": "<ul><li>x" * 5000,
+    "inline": "<b>x</b> " * 30000, "signs": "<" * 100_000, "columns": "<table><tr>" + "<td>x" * 20000, "quoted": "<a b='" * 10000, "foreign": "<svg><text>" * 5000,
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_html_broken(name):
+    """Any bytes are rendered in time that grows with the page's length."""
+    start = time.thread_time()
+    html.rendered(BROKEN[name])
+    assert time.thread_time() - start < 2
+
+
+def test_html_any_bytes():
+    r = random.Random(12)
+    for _ in range(3000):
+        page = "".join(r.choice(["<", ">", "/", '"', "'", "=", " ", "table", "td", "tr", "p", "<!--", "-->", "svg", "&lt;", "x", "<li>", "\n", "é"]) for _ in range(r.randint(0, 40)))
+        assert isinstance(html.rendered(page)[1], str)
+
+
+def test_html_against_brute_force():
+    """Random trees: the words of what is visible, in order, and nothing of what isn't; with end tags left out where implied."""
+    r = random.Random(13)
+    optional = {"p", "li", "dt", "dd", "td", "th", "tr", "tbody", "option"}
+    inside = {"ul": ["li"], "ol": ["li"], "dl": ["dt", "dd"], "table": ["tr"], "tr": ["td", "th"]}
+    hide = [" hidden", " style='display:none'", ' style="visibility: hidden"']
+
+    def tree(depth, seen, words_):
+        tag = r.choice(["div", "section", "span", "b", "ul", "ol", "dl", "table", "script", "h2", "blockquote", "i"])
+        return element(tag, depth, seen, words_)
+
+    def element(tag, depth, seen, words_):
+        attrs = r.choice(hide) if r.random() < 0.1 else ""
+        seen = seen and not attrs and tag != "script"
+        body = ""
+        for _ in range(r.randint(1, 3)):
+            if tag in inside:
+                body += element(r.choice(inside[tag]), depth + 1, seen, words_)
+            elif tag != "script" and depth < 6 and r.random() < 0.5:
+                body += tree(depth + 1, seen, words_)
+            else:
+                w = f"w{len(words_)}"
+                words_.append((w, seen))
+                body += f" {w} "
+        close = "" if tag in optional and r.random() < 0.7 else f"</{tag}>"
+        return f"<{tag}{attrs}>{body}{close}"
+
+    for _ in range(400):
+        words_: list = []
+        page = "".join(tree(0, True, words_) for _ in range(3))
+        got = re.findall(r"w\d+", html.rendered(page)[1])
+        want = [w for w, seen in words_ if seen]
+        assert sorted(got) == sorted(want) and ("<table" in page or got == want)
+
+
 def test_media(spark):
     r = np.random.default_rng(4)
     a, b = r.standard_normal(64).tolist(), r.standard_normal(64).tolist()
