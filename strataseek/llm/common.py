@@ -81,12 +81,13 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return over_batches
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """This process's free memory goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only glibc has it
@@ -103,11 +104,18 @@ def block_count(docs: DataFrame, column: str, block_bytes: int) -> int:
     return max(partitions(docs.sparkSession), math.ceil(total / block_bytes), 1)
 
 
+#: Blocks that get a name each.
+NAMED = 4096
+
+
 def blocked(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """docs dealt to n blocks by a hash of key, one block a partition; column _b names the block.
+    """docs dealt to n blocks by a hash of key; column _b names the block.
 
-    The values of _b are chosen so that Spark's own hash sends each to another partition."""
+    Up to NAMED blocks, the values of _b are chosen so that Spark's own hash sends each to another partition. Beyond, they are
+    plain numbers, of which a partition gets one or a few: so many tasks even out, and no plan holds a literal a block."""
     spark = docs.sparkSession
+    if n > NAMED:
+        return docs.withColumn("_b", F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(n))).repartition(n, "_b")
     place = F.pmod(F.hash(F.col("id")), F.lit(n))
     names, upto = {}, 0
     while len(names) < n:

@@ -6,9 +6,15 @@ P(w | h) = (c(h w) + mu P(w | shorter h)) / (c(h) + mu) the arcs and the failure
 The empty history reads a word with (c + 0.1) / (N + 0.1 (V + 1)).
 
 Distribution: documents are dealt to blocks by a hash of their id. Each block sends its distinct n-grams, as sorted packed
-64-bit hashes with their training counts, to shards by hash range; a shard adds up and answers each block in the order it
-asked. So an n-gram crosses the network once for each block that holds it, however often it occurs, and no task or the
-driver holds the corpus's counts. A block then runs its part of the automaton, left to right over each document.
+64-bit hashes with their training counts, to shards by hash range; a shard adds up and answers each block, in the order it
+asked, with what the other blocks add to its counts. So an n-gram crosses the network once for each block that holds it,
+however often it occurs, and no task or the driver holds the corpus's counts.
+
+A block then takes its documents in parts of about PART tokens, builds for each part what of the automaton it can reach -
+every state and arc - and runs it, left to right, over each document, many at a time: each carries its state, reads a token by an arc or, where the state has none, goes
+on from the state behind its failure arc, and adds up the logarithms of the weights. A long document is read in stretches of
+STRETCH tokens; a stretch first reads the order - 1 tokens before it from the empty history, unscored, which leads to the
+state that the document has there, as a state is the longest known history.
 
 Null and empty texts hold the end token only. A null doc_id is held out. Rows that share a doc_id are scored each.
 """
@@ -20,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, block_count, blocked, crc_mod, frugal, mix, pack, unpack
+from .common import Slots, Words, block_count, blocked, crc_mod, frugal, give_back, mix, pack, unpack
 
 #: Longest n-gram, the Dirichlet weight of each order from 2 on, text bytes in a block.
 ORDER, MU, BLOCK_BYTES = 3, (40.0, 20.0), 16 << 20
 HOLD_OUT = 10
+#: Tokens that are read one after the other; tokens, in whole documents, that an automaton is built for.
+STRETCH, PART = 256, 1 << 19
 _START, _END = b" ", b""  # no word equals these
 
 
@@ -39,7 +47,8 @@ class Grams:
         for chunk in t.column("text").chunks:
             for x in chunk:
                 rows += [[start], words.numbers(x.as_py()), [end]]
-        tokens = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        tokens = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        del rows
         self.first = tokens == start
         self.begin = np.flatnonzero(self.first)
         self.train = np.array([crc_mod(i, HOLD_OUT) != 0 for i in self.ids], bool)
@@ -58,7 +67,7 @@ class Grams:
                 valid = np.zeros_like(valid)
                 valid[1:] = before[:-1] & ~self.first[1:]
             own, at = np.unique(key[valid], return_inverse=True)
-            place = np.full(len(key), -1, np.int64)
+            place = np.full(len(key), -1, np.int32)
             place[valid] = at
             self.at.append(place)
             self.keys.append(own)
@@ -81,6 +90,8 @@ def _ask(order: int, shards: int):
                     for c, v in zip(out, (s, k, pack(g.keys[k][lo:hi], delta=True), pack(g.counts[k][lo:hi])), strict=True):
                         out[c].append(v)
         n = len(out["shard"])
+        del g
+        give_back()
         return pa.table({"_b": pa.array([t.column("_b")[0].as_py()] * n, pa.int64()), "shard": pa.array(out["shard"], pa.int32()), "k": pa.array(out["k"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     return run
@@ -96,11 +107,12 @@ def _answer(start_key: int):
             counts = np.concatenate([unpack(r["counts"], np.uint32) for r in own])
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+            others = totals[at] - counts
             words = distinct != np.uint64(start_key)
             n, v = (int(totals[words].sum()), int((totals[words] > 0).sum())) if k == 0 else (0, 0)
             ends = np.cumsum([len(x) for x in keys])
             for r, end, x in zip(own, ends, keys, strict=True):
-                for c, y in zip(out, (r["_b"], r["shard"], k, n, v, pack(totals[at[end - len(x) : end]])), strict=True):
+                for c, y in zip(out, (r["_b"], r["shard"], k, n, v, pack(others[end - len(x) : end])), strict=True):
                     out[c].append(y)
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
@@ -108,6 +120,87 @@ def _answer(start_key: int):
     return run
 
 
+class Automaton:
+    """States are the histories seen in training, by order; 0 is the empty history."""
+
+    def __init__(self, places: list[np.ndarray], counts: list[np.ndarray], mu: tuple[float, ...], n: int, v: int):
+        """places: by order, the key that ends at each token, or -1; counts: of each order's keys in all training documents."""
+        order, self.words = len(counts), len(counts[0])
+        seen = [c > 0 for c in counts]
+        base = 1
+        state = []  # of each key: its state, or -1
+        for k in range(order - 1):
+            state.append(np.where(seen[k], base + np.cumsum(seen[k]) - 1, -1))
+            base += int(seen[k].sum())
+        weight = (counts[0] + 0.1) / (n + 0.1 * (v + 1))
+        self.known, self.read_log = seen[0], np.log10(weight)  # what the empty history reads
+        self.read_to = np.maximum(state[0], 0) if order > 1 else np.zeros(self.words, np.int64)
+        self.fail_log, self.fail_to = np.zeros(base), np.zeros(base, np.int64)
+        keys, logs, to = [], [], []
+        for k in range(1, order):
+            where = np.flatnonzero(places[k] >= 0)
+            first = np.zeros(len(counts[k]), np.int64)
+            first[places[k][where]] = where  # one of the tokens at which each key ends
+            history, word, suffix = places[k - 1][first - 1], places[0][first], places[k - 1][first]
+            c = counts[k - 1][history]
+            weight = (counts[k] + mu[k - 1] * weight[suffix]) / (c + mu[k - 1])
+            arc = seen[k]
+            keys.append(state[k - 1][history[arc]] * self.words + word[arc])
+            logs.append(np.log10(weight[arc]))
+            to.append(state[k][arc] if k < order - 1 else state[k - 1][suffix[arc]])
+            own = state[k - 1] >= 0  # histories of order k, and where they fail to: their own suffixes
+            self.fail_log[state[k - 1][own]] = np.log10(mu[k - 1] / (counts[k - 1][own] + mu[k - 1]))
+            if k < order - 1:
+                self.fail_to[state[k][arc]] = state[k - 1][suffix[arc]]
+        self.arcs = Slots(sum(map(len, keys)))
+        self.arc_log, self.arc_to = (np.concatenate(x) if x else np.zeros(0) for x in (logs, to))
+        if keys:
+            self.arcs.put(np.concatenate(keys), np.arange(len(self.arc_log)))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each state reads a word -> the next states and the logarithms of the weights on the way."""
+        log, to = self.read_log[word], self.read_to[word]
+        at = np.flatnonzero(state > 0)
+        failed = np.zeros(len(state))
+        while len(at):
+            arc = self.arcs.get(state[at] * self.words + word[at])
+            hit = arc >= 0
+            log[at[hit]], to[at[hit]] = self.arc_log[arc[hit]], self.arc_to[arc[hit]]
+            at = at[~hit]
+            failed[at] += self.fail_log[state[at]]
+            state[at] = self.fail_to[state[at]]
+            at = at[state[at] > 0]
+        return to, log + failed
+
+    def read(self, word: np.ndarray, begin: np.ndarray, end: np.ndarray, back: int) -> np.ndarray:
+        """word: tokens; documents from begin (their start token, unscored) to end -> the sum of logarithms of each."""
+        parts = -(-(end - begin - 1) // STRETCH)
+        doc = np.repeat(np.arange(len(begin)), parts)
+        lo = begin[doc] + 1 + STRETCH * (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts))
+        hi = np.minimum(lo + STRETCH, end[doc])
+        at = np.maximum(lo - back, begin[doc])
+        by = np.argsort(at - hi, kind="stable")  # the longest first, so that those still reading stand in front
+        lo, hi, at, doc = lo[by], hi[by], at[by], doc[by]
+        state, total, still = np.zeros(len(doc), np.int64), np.zeros(len(doc)), len(doc)
+        while still:
+            new, log = self.step(state[:still], word[at[:still]])
+            state[:still] = new
+            total[:still] += np.where(at[:still] >= lo[:still], log, 0.0)
+            at += 1
+            while still and at[still - 1] >= hi[still - 1]:
+                still = int(np.searchsorted(-(hi - at)[:still], 0, "left"))
+        return np.bincount(doc, total, len(begin))
+
+
+def _reached(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """places with the keys they hold numbered anew, in the same order, and those keys' counts."""
+    used = np.zeros(len(counts) + 1, bool)
+    used[places] = True  # -1 marks the last
+    used[-1] = False
+    number = np.append(np.cumsum(used[:-1], dtype=np.int32) - 1, np.int32(-1))
+    return number[places], counts[used[:-1]]
+
+
 def _score(order: int, mu: tuple[float, ...]):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         g = Grams(t, order)
@@ -116,24 +209,24 @@ def _score(order: int, mu: tuple[float, ...]):
         counts = []
         for k in range(order):
             own = sorted((r for r in rows if r["k"] == k), key=lambda r: r["shard"])
-            counts.append(np.concatenate([unpack(r["totals"], np.int64) for r in own] or [np.zeros(0, np.int64)]))
-        c1 = counts[0][g.at[0]]
-        p = (c1 + 0.1) / (n + 0.1 * (v + 1))
-        read = ~g.first
-        base, known = np.where(read, np.log10(p), 0.0), read & (c1 > 0)
-        held = c1  # how often the state reached at each position was seen: the longest history that ends there
-        for k in range(1, order):
-            arc = g.at[k] >= 0
-            history = np.zeros(len(p), np.int64)
-            history[1:] = held[:-1]
-            both = np.where(arc, counts[k][g.at[k]] if len(counts[k]) else 0, 0)
-            weight = history + mu[k - 1]
-            p = np.where(arc & (history > 0), (both + mu[k - 1] * p) / weight, p)  # no such state: its failure arc weighs 1
-            held = both
-        score = np.where(read, np.log10(p), 0.0)
-        add = lambda x: np.add.reduceat(x, g.begin) if len(g.begin) else np.zeros(0, x.dtype)
-        size = np.diff(np.append(g.begin, len(p))) - 1
-        return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "held_out": pa.array(~g.train), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(add(known.astype(np.int64))), "train_tokens": pa.array(np.full(len(size), n, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(score))})
+            counts.append(g.counts[k] + np.concatenate([unpack(r["totals"], np.int64) for r in own] or [np.zeros(0, np.int64)]))
+        begin = g.begin
+        end = np.append(begin[1:], len(g.first))[: len(begin)]
+        score, base, known = np.zeros(len(begin)), np.zeros(len(begin)), np.zeros(len(begin), np.int64)
+        lo = 0
+        while lo < len(begin):  # whole documents
+            hi = max(lo + 1, int(np.searchsorted(end, begin[lo] + PART, "right")))
+            span = slice(begin[lo], end[hi - 1])
+            places, own = zip(*(_reached(g.at[k][span], counts[k]) for k in range(order)), strict=True)
+            a, first = Automaton(places, own, mu, n, v), begin[lo:hi] - begin[lo]
+            score[lo:hi] = a.read(places[0], first, end[lo:hi] - begin[lo], order - 1)
+            read = ~g.first[span]
+            base[lo:hi] = np.add.reduceat(np.where(read, a.read_log[places[0]], 0.0), first)
+            known[lo:hi] = np.add.reduceat((read & a.known[places[0]]).astype(np.int64), first)
+            lo = hi
+        size = end - begin - 1
+        give_back()
+        return pa.table({"doc_id": pa.array(g.ids, pa.int64()), "held_out": pa.array(~g.train), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(size), n, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 import corpus_pipeline
@@ -173,6 +174,38 @@ def test_ngrams(docs, rows, order):
     assert collections.Counter((r.doc_id, r.n_tokens, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == want
 
 
+def test_automaton_parts(monkeypatch):
+    """A block read in parts or at once gives the same scores."""
+    r = random.Random(21)
+    t = pa.table({"_b": pa.array([0] * 40), "doc_id": pa.array(range(40), pa.int64()), "text": pa.array([words(r, r.choice([0, 5, 300, 900])).encode() for _ in range(40)], pa.binary())})
+    asked = ngram._ask(3, 4)(t)
+    start = int(ngram.Grams(t, 3).start_key)
+    answers = pa.concat_tables(ngram._answer(start)(asked.filter(pa.compute.equal(asked["shard"], s))) for s in range(4))
+    whole = ngram._score(3, (40.0, 20.0))(t, answers).to_pydict()
+    monkeypatch.setattr(ngram, "PART", 700)
+    monkeypatch.setattr(ngram, "STRETCH", 7)
+    parts = ngram._score(3, (40.0, 20.0))(t, answers).to_pydict()
+    assert all(parts[c] == pytest.approx(whole[c]) for c in whole) and min(whole["score"]) < -100
+
+
+def test_automaton(rows):
+    """From each state, the weights of all words and of an unknown one sum to one; long documents are read in stretches."""
+    held = next(i for i in range(10**6, 10**7) if zlib.crc32(str(i).encode()) % 10 == 0)
+    t = pa.table({"doc_id": pa.array([i for i, _ in rows] + [held], pa.int64()), "text": pa.array([(x or "").encode() for _, x in rows] + [b"never seen words"], pa.binary())})
+    g = ngram.Grams(t, 3)
+    counts = [c.astype(np.int64) for c in g.counts]
+    words = np.unique(g.at[0][~g.first])
+    n, v = int(counts[0][words].sum()), int((counts[0][words] > 0).sum())
+    a = ngram.Automaton(g.at, counts, (40.0, 20.0), n, v)
+    assert len(a.fail_to) > 300 and (a.fail_to < np.arange(len(a.fail_to)) + 1).all()
+    known, unknown = words[counts[0][words] > 0], words[counts[0][words] == 0][:1]
+    assert len(unknown)
+    for state in [0, 1, 2, *random.Random(3).sample(range(len(a.fail_to)), 40)]:
+        ask = np.concatenate([known, unknown])
+        _, log = a.step(np.full(len(ask), state), ask)
+        assert (10**log).sum() == pytest.approx(1.0)
+
+
 def test_registered_order(spark, tmp_path):
     """The registered query's score depends on more than the word before."""
     rows = [(i, "a x b . c x d . " * 5) for i in range(1, 40)] + [(100, "a x b"), (101, "a x d")]
