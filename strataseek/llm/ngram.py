@@ -7,8 +7,9 @@ The empty history reads a word with (c + 0.1) / (N + 0.1 (V + 1)).
 
 Distribution: documents are dealt to blocks by a hash of their id. Each block sends its distinct n-grams, as sorted packed
 64-bit hashes with their training counts, to shards by hash range; a shard adds up and answers each block, in the order it
-asked, with what the other blocks add to its counts. So an n-gram crosses the network once for each block that holds it,
-however often it occurs, and no task or the driver holds the corpus's counts.
+asked, with what the other blocks add to its counts and whether another block holds it. So an n-gram crosses the network once
+for each block that holds it, however often it occurs, and no task or the driver holds the corpus's counts. Orders above two
+are asked for one after the other, and only n-grams whose two shorter ones other blocks hold too: no other can occur there.
 
 A block then takes its documents in parts of about PART tokens, builds for each part what of the automaton it can reach -
 every state and arc - and runs it, left to right, over each document, many at a time: each carries its state, reads a token by an arc or, where the state has none, goes
@@ -73,21 +74,46 @@ class Grams:
             self.keys.append(own)
             self.counts.append(np.bincount(at[trained[valid]], minlength=len(own)).astype(np.uint32))
 
-    def cuts(self, k: int, shards: int) -> np.ndarray:
-        """Where the keys of order k+1 pass from shard to shard: shards are equal ranges of the hash."""
-        edges = np.array([(s << 64) // shards for s in range(shards)], np.uint64)
-        return np.append(np.searchsorted(self.keys[k], edges), len(self.keys[k]))
+    def asked(self, k: int, shared: np.ndarray | None) -> np.ndarray:
+        """Which keys of order k+1 are asked for; shared: which of order k other blocks hold."""
+        if k < 2:
+            return np.ones(len(self.keys[k]), bool)
+        where = np.flatnonzero(self.at[k] >= 0)
+        both = shared[self.at[k - 1][where - 1]] & shared[self.at[k - 1][where]]
+        out = np.zeros(len(self.keys[k]), bool)
+        out[self.at[k][where[both]]] = True
+        return out
 
+    def answered(self, rows: list[dict], upto: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By order, for each key: what other blocks add to its count, and whether another block holds it."""
+        others, shared = [], []
+        for k in range(upto):
+            ask = self.asked(k, shared[-1] if shared else None)
+            own = sorted((r for r in rows if r["k"] == k), key=lambda r: r["shard"])
+            o, s = np.zeros(len(ask), np.int64), np.zeros(len(ask), bool)
+            if own:
+                o[ask] = np.concatenate([unpack(r["others"], np.int64) for r in own])
+                s[ask] = np.concatenate([np.unpackbits(unpack(r["shared"], np.uint8), count=int.from_bytes(r["others"][:8], "little")) for r in own]) > 0
+            others.append(o)
+            shared.append(s)
+        return others, shared
 
-def _ask(order: int, shards: int):
-    def run(t: pa.Table) -> pa.Table:
-        g, out = Grams(t, order), {"shard": [], "k": [], "keys": [], "counts": []}
-        for k in range(order):
-            cut = g.cuts(k, shards)
+
+def _ask(orders: range, shards: int):
+    """Asks for n-grams of these lengths, less one; answers: those to the shorter ones, if any."""
+
+    def run(t: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        g, out = Grams(t, orders.stop), {"shard": [], "k": [], "keys": [], "counts": []}
+        shared = g.answered(answers.to_pylist(), orders.start)[1][-1] if answers is not None else None
+        edges = np.array([(s << 64) // shards for s in range(shards)], np.uint64)  # shards are equal ranges of the hash
+        for k in orders:
+            ask = g.asked(k, shared)
+            keys, counts = g.keys[k][ask], g.counts[k][ask]
+            cut = np.append(np.searchsorted(keys, edges), len(keys))
             for s in range(shards):
                 lo, hi = cut[s], cut[s + 1]
                 if k == 0 or hi > lo:  # every shard hears of every block, so that N and V reach it
-                    for c, v in zip(out, (s, k, pack(g.keys[k][lo:hi], delta=True), pack(g.counts[k][lo:hi])), strict=True):
+                    for c, v in zip(out, (s, k, pack(keys[lo:hi], delta=True), pack(counts[lo:hi])), strict=True):
                         out[c].append(v)
         n = len(out["shard"])
         del g
@@ -97,24 +123,29 @@ def _ask(order: int, shards: int):
     return run
 
 
+def _of_one(run):
+    """run with its first argument alone; Spark goes by the number of arguments."""
+    return lambda t: run(t)
+
+
 def _answer(start_key: int):
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        out = {"_b": [], "shard": [], "k": [], "n": [], "v": [], "totals": []}
+        out = {"_b": [], "shard": [], "k": [], "n": [], "v": [], "others": [], "shared": []}
         for k in sorted({r["k"] for r in rows}):
             own = [r for r in rows if r["k"] == k]
             keys = [unpack(r["keys"], np.uint64, delta=True) for r in own]
             counts = np.concatenate([unpack(r["counts"], np.uint32) for r in own])
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            distinct, at, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
             totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-            others = totals[at] - counts
+            others, shared = totals[at] - counts, blocks[at] > 1
             words = distinct != np.uint64(start_key)
             n, v = (int(totals[words].sum()), int((totals[words] > 0).sum())) if k == 0 else (0, 0)
             ends = np.cumsum([len(x) for x in keys])
             for r, end, x in zip(own, ends, keys, strict=True):
-                for c, y in zip(out, (r["_b"], r["shard"], k, n, v, pack(others[end - len(x) : end])), strict=True):
+                for c, y in zip(out, (r["_b"], r["shard"], k, n, v, pack(others[end - len(x) : end]), pack(np.packbits(shared[end - len(x) : end]))), strict=True):
                     out[c].append(y)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
 
     return run
@@ -206,10 +237,7 @@ def _score(order: int, mu: tuple[float, ...]):
         g = Grams(t, order)
         rows = answers.to_pylist()
         n, v = sum(r["n"] for r in rows), sum(r["v"] for r in rows)
-        counts = []
-        for k in range(order):
-            own = sorted((r for r in rows if r["k"] == k), key=lambda r: r["shard"])
-            counts.append(g.counts[k] + np.concatenate([unpack(r["totals"], np.int64) for r in own] or [np.zeros(0, np.int64)]))
+        counts = [c + o for c, o in zip(g.counts, g.answered(rows, order)[0], strict=True)]
         begin = g.begin
         end = np.append(begin[1:], len(g.first))[: len(begin)]
         score, base, known = np.zeros(len(begin)), np.zeros(len(begin)), np.zeros(len(begin), np.int64)
@@ -242,6 +270,11 @@ def lm_scores(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, b
     dealt = blocked(docs, n)
     words = Words()
     words[_START]
-    asked = dealt.groupBy("_b").applyInArrow(_ask(order, n), "_b long, shard int, k int, keys binary, counts binary")
-    totals = asked.groupBy("shard").applyInArrow(_answer(int(mix(words.hashes())[0])), "_b long, shard int, k int, n long, v long, totals binary")
-    return dealt.groupBy("_b").cogroup(totals.groupBy("_b")).applyInArrow(_score(order, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answer, kinds = _answer(int(mix(words.hashes())[0])), "_b long, shard int, k int, n long, v long, others binary, shared binary"
+    answers = None
+    for orders in [range(0, min(order, 2)), *(range(k, k + 1) for k in range(2, order))]:
+        blocks, ask, asks = dealt.groupBy("_b"), _ask(orders, n), "_b long, shard int, k int, keys binary, counts binary"
+        asked = blocks.applyInArrow(_of_one(ask), asks) if answers is None else blocks.cogroup(answers.groupBy("_b")).applyInArrow(ask, asks)
+        got = asked.groupBy("shard").applyInArrow(answer, kinds)
+        answers = got if answers is None else answers.unionByName(got)
+    return dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(_score(order, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

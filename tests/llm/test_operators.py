@@ -148,7 +148,7 @@ def test_substrings(docs, rows, block):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4])
 def test_ngrams(docs, rows, order):
     n = collections.Counter()
     seqs = [(i, [b" ", *tokens(t), b""], i is not None and zlib.crc32(str(i).encode()) % 10 != 0) for i, t in rows]
@@ -157,7 +157,7 @@ def test_ngrams(docs, rows, order):
             for k in range(1, order + 1):
                 n.update(tuple(s[p : p + k]) for p in range(len(s) - k + 1))
     N, V = sum(c for g, c in n.items() if len(g) == 1 and g != (b" ",)), sum(1 for g in n if len(g) == 1 and g != (b" ",))
-    mu = (40.0, 20.0)[: order - 1]
+    mu = (40.0, 20.0, 10.0)[: order - 1]
     want = collections.Counter()
     for i, s, _ in seqs:
         base = score = 0
@@ -178,9 +178,13 @@ def test_automaton_parts(monkeypatch):
     """A block read in parts or at once gives the same scores."""
     r = random.Random(21)
     t = pa.table({"_b": pa.array([0] * 40), "doc_id": pa.array(range(40), pa.int64()), "text": pa.array([words(r, r.choice([0, 5, 300, 900])).encode() for _ in range(40)], pa.binary())})
-    asked = ngram._ask(3, 4)(t)
     start = int(ngram.Grams(t, 3).start_key)
-    answers = pa.concat_tables(ngram._answer(start)(asked.filter(pa.compute.equal(asked["shard"], s))) for s in range(4))
+
+    def answered(asked):
+        return pa.concat_tables(ngram._answer(start)(asked.filter(pa.compute.equal(asked["shard"], s))) for s in range(4) if s in asked["shard"].to_pylist())
+
+    answers = answered(ngram._ask(range(2), 4)(t))
+    assert ngram._ask(range(2, 3), 4)(t, answers).num_rows == 0  # one block: no other holds its n-grams
     whole = ngram._score(3, (40.0, 20.0))(t, answers).to_pydict()
     monkeypatch.setattr(ngram, "PART", 700)
     monkeypatch.setattr(ngram, "STRETCH", 7)
