@@ -5,11 +5,15 @@ a document with the same least gram make a run. So equal strings lie in runs of
 not one for each byte, has to travel.
 
 1. Blocks of documents send the distinct least grams they hold to shards; a shard says which occur in several documents.
-2. Runs on such grams go to buckets, range-partitioned by the gram's leading bytes at sampled splitters; a splitter that
-   repeats marks a heavy prefix, which is dealt by the gram's hash among the buckets it spans. Equal runs of a block
-   travel once, with the smallest doc_id, so a passage that a third of all documents hold reaches a bucket once a block.
-3. A bucket sorts the strings of its runs by multikey quicksort over 8-byte symbols, compares neighbours, also across the
-   edges of the pieces it sorts at a time, and answers each run with the smallest doc_id of each of its strings.
+2. A run on such a gram stands for the suffix that starts at its gram. Suffixes are range-partitioned by their own leading
+   8 bytes at sampled splitters. A splitter that repeats marks heavy leading bytes: suffixes with these go on as single
+   strings, dealt by the strings' hashes among the buckets that the splitter spans, so no one of them gets a heavy suffix
+   whole. Equal runs of a block travel once, with the smallest doc_id, so a passage that a third of all documents hold
+   reaches a bucket once a block.
+3. A bucket sorts the strings of its suffixes by multikey quicksort over 8-byte symbols, in pieces that end between unlike
+   first symbols, compares neighbours, and answers each run with the smallest doc_id of each of its strings. Strings that
+   are equal have equal grams, so they never lie on both sides of a bucket's or a piece's boundary; what lies next to one
+   need not be compared across it.
 4. Blocks mark what their documents repeat from a smaller doc_id.
 
 Null texts are empty. A null doc_id stands after all others. Rows with equal doc_id don't repeat each other.
@@ -159,6 +163,20 @@ def _answer_grams(t: pa.Table) -> pa.Table:
     return pa.table({"_b": pa.array([r["_b"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int32()), "n": pa.array([len(x) for x in keys], pa.int64()), "bits": pa.array([pack(x) for x in bits], pa.binary())})
 
 
+def _singled(r: dict, heavy: np.ndarray, lo: np.ndarray, hi: np.ndarray, whole: np.ndarray, begin: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The runs with the heavy ones as single strings, by document and start; lo and hi, the buckets of each, go along."""
+    n = np.where(heavy, r["n"], 1)
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    out = {c: v[of] for c, v in r.items()}
+    out["start"] = out["start"] + k
+    one = heavy[of]
+    out["n"] = np.where(one, 1, out["n"])
+    at = begin[out["doc"][one]] + out["start"][one]
+    out["same"][one] = np.concatenate([mix((_BYTE[whole[at[i : i + (1 << 14), None] + np.arange(LENGTH)]] * _power(_BASE, LENGTH)).sum(1, dtype=_U)) for i in range(0, len(at), 1 << 14)])
+    return out, lo[of], hi[of]
+
+
 def _ask_runs(splitters: np.ndarray):
     def run(t: pa.Table, bits: pa.Table) -> pa.Table:
         ids, texts = _texts(t)
@@ -167,16 +185,20 @@ def _ask_runs(splitters: np.ndarray):
         said = sorted(bits.to_pylist(), key=lambda x: x["shard"])
         shared = np.concatenate([np.unpackbits(unpack(x["bits"], np.uint8), count=x["n"]) for x in said]) > 0 if said else np.zeros(0, bool)
         hot = np.flatnonzero(shared[np.searchsorted(keys, r["gram"])]) if len(keys) else np.zeros(0, np.int64)
-        # equal runs travel once, with their smallest doc_id
-        _, first, at = np.unique(r["same"][hot], return_index=True, return_inverse=True)
-        least = np.full(len(first), NO_ID)
-        np.minimum.at(least, at, ids[r["doc"][hot]])
-        rep = hot[first]
+        r = {k: v[hot] for k, v in r.items()}
         begin = np.cumsum([0, *map(len, texts)])
         whole = np.frombuffer(b"".join(texts), np.uint8)
+        # equal runs travel once, with their smallest doc_id
+        _, rep, at = np.unique(r["same"], return_index=True, return_inverse=True)
         lead = leads(whole, begin[r["doc"][rep]] + r["start"][rep] + r["n"][rep] - 1, r["gram"][rep])  # it is in the last string
         lo, hi = (np.searchsorted(splitters, lead, side) for side in ("left", "right"))
-        bucket = lo + (r["gram"][rep] % (hi - lo + 1).astype(_U)).astype(np.int64)
+        if (hi > lo).any():
+            r, lo, hi = _singled(r, (hi > lo)[at], lo[at], hi[at], whole, begin)
+            _, rep, at = np.unique(r["same"], return_index=True, return_inverse=True)
+            lo, hi = lo[rep], hi[rep]
+        least = np.full(len(rep), NO_ID)
+        np.minimum.at(least, at, ids[r["doc"]])
+        bucket = lo + (r["same"][rep] % (hi - lo + 1).astype(_U)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         home = np.empty(len(rep), np.int64)
         home[order] = np.arange(len(rep))
@@ -189,7 +211,8 @@ def _ask_runs(splitters: np.ndarray):
             for c, v in zip(out, (b, int(home[part[0]]), pack(r["n"][j].astype(np.uint16)), pack(least[part]), pack_bytes(data), None), strict=True):
                 out[c].append(v)
         if out["bucket"]:  # which runs were sent, for the last step: goes with the first bucket's rows and back
-            out["hot"][0] = pack_bytes(pack(hot, delta=True).__len__().to_bytes(8, "little") + pack(hot, delta=True) + pack(mine))
+            parts = [pack(r["doc"].astype(np.int64), delta=True), pack(r["start"].astype(np.uint32)), pack(r["n"].astype(np.uint16)), pack(mine.astype(np.uint32))]
+            out["hot"][0] = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
         n = len(out["bucket"])
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({"_b": pa.array([t.column("_b")[0].as_py()] * n, pa.int64())} | {c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
@@ -244,11 +267,13 @@ def _answer_runs(t: pa.Table) -> pa.Table:
     whose = np.repeat(np.arange(len(counts)), counts)
     at = begin[whose] + np.arange(len(whose)) - first[whose]
     least = doc[whose]
-    # pieces by the first symbol's hash: equal strings fall in the same piece
+    # pieces are ranges of the first symbol: equal strings fall in the same piece
     pieces = max(1, -(-len(data) // SORT_BYTES))
     symbol = symbols(data)
-    piece = (mix(symbol[at]) % _U(pieces)).astype(np.int64) if pieces > 1 else np.zeros(len(at), np.int64)
-    for p in range(pieces):
+    edges = np.sort(symbol[at[:: max(1, len(at) // (256 * pieces))]]) if pieces > 1 else symbol[:0]
+    edges = np.unique(edges[(np.arange(1, pieces) * len(edges)) // pieces])
+    piece = np.searchsorted(edges, symbol[at], "right") if len(edges) else np.zeros(len(at), np.int64)
+    for p in range(len(edges) + 1):
         own = np.flatnonzero(piece == p)
         if len(own):
             order, group = multikey_groups(symbol, at[own], LENGTH)
@@ -267,19 +292,20 @@ def _apply(with_text: bool):
         gone: dict[int, np.ndarray] = {}
         said = sorted(answers.to_pylist(), key=lambda x: x["at"])
         if said:
-            r = runs(texts)
-            own = unpack_bytes(next(x["hot"] for x in said if x["hot"]))
-            size = int.from_bytes(own[:8], "little")
-            hot, mine = unpack(own[8 : 8 + size], np.int64, delta=True), unpack(own[8 + size :], np.int64)
+            sent, own = next(x["hot"] for x in said if x["hot"]), []
+            while sent:
+                size = 8 + int.from_bytes(sent[:8], "little")
+                own.append(sent[8:size])
+                sent = sent[size:]
+            at, first_string, count, mine = unpack(own[0], np.int64, delta=True), *(unpack(x, kind).astype(np.int64) for x, kind in zip(own[1:], (np.uint32, np.uint16, np.uint32), strict=True))
             n = np.concatenate([unpack(x["n"], np.uint16).astype(np.int64) for x in said])
             least = np.concatenate([unpack(x["least"], np.int64, delta=True) for x in said])
             first = np.cumsum(n) - n
-            count = r["n"][hot]
-            whose = np.repeat(np.arange(len(hot)), count)
+            whose = np.repeat(np.arange(len(at)), count)
             k = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
-            doc = r["doc"][hot][whose]
+            doc = at[whose]
             hit = least[first[mine[whose]] + k] < ids[doc]
-            doc, start = doc[hit], (r["start"][hot][whose] + k)[hit]  # by document, as the runs are
+            doc, start = doc[hit], (first_string[whose] + k)[hit]  # by document, as the runs are
             head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
             gone = {int(doc[a]): start[a:b] for a, b in zip(head, np.append(head[1:], len(doc)), strict=True)}
         out = {"doc_id": [None if i == NO_ID else i for i in ids.tolist()], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}

@@ -148,6 +148,42 @@ def test_substrings(docs, rows, block):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+def test_heavy_suffixes(spark, monkeypatch):
+    """One gram before and after which texts differ holds most of the runs: single strings, several buckets, small pieces."""
+    monkeypatch.setattr(substrings, "SORT_BYTES", 2000)
+    r = random.Random(31)
+    gram, noise = "".join(r.choice("qwertz") for _ in range(60)), lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, noise(r.randint(0, 40)) + gram + noise(r.randint(0, 40))) for i in range(150)] + [(150 + i, "a" * r.randint(40, 400) + noise(30)) for i in range(20)]
+    least: dict = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            least.setdefault(t[p : p + 50], i)
+    want = {}
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if least[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        want[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    singled, real = [], substrings._singled
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=2000).collect()
+    assert {x.doc_id: bytes(x.kept).decode() for x in got} == want
+    # the same with every suffix heavy
+    block = pa.table({"_b": pa.array([0] * len(rows)), "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t.encode() for _, t in rows], pa.binary())})
+    monkeypatch.setattr(substrings, "_singled", lambda *a: singled.append(1) or real(*a))
+    bits = substrings._answer_grams(substrings._ask_grams(1)(block))
+    every = np.sort(substrings.leads(*_run_leads([t.encode() for _, t in rows])))
+    asked = substrings._ask_runs(np.repeat(np.unique(every), 3))(block, bits)
+    answers = pa.concat_tables(substrings._answer_runs(asked.filter(pa.compute.equal(asked["bucket"], b))) for b in set(asked["bucket"].to_pylist()))
+    out = substrings._apply(True)(block, answers).to_pylist()
+    assert singled and {x["doc_id"]: x["kept"].decode() for x in out} == want and asked.num_rows > 20
+
+
+def _run_leads(texts):
+    r, begin = substrings.runs(texts), np.cumsum([0, *map(len, texts)])
+    return np.frombuffer(b"".join(texts), np.uint8), begin[r["doc"]] + r["start"] + r["n"] - 1, r["gram"]
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_ngrams(docs, rows, order):
     n = collections.Counter()
