@@ -2,8 +2,9 @@
 
 Equal vectors fold into classes. Each class is projected on many random lines. A table orders the classes by the signs of a
 few lines (each a window open to one side) and then by the value on one more; a query-centred window of half width WIDTH on
-that value collides with its neighbours of the same signs. A pair's collisions are counted over all tables; pairs that reach
-a count calibrated for RECALL at the threshold are verified in double precision.
+that value collides with its neighbours of the same signs. A pair's collisions are counted over all tables, and no single one
+selects a pair: it has to reach a count, COUNT or more, calibrated for RECALL at the threshold. Then it is verified in double
+precision.
 
 The signs grow with the logarithm of the number of classes, so a cell keeps about CELL of unrelated ones, and the tables grow
 to keep the recall. A cell that a large group fills is dealt in squares of SIDE members, each a task's size.
@@ -18,45 +19,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pack, partitions, saved, unpack
+from .common import frugal, give_back, lean, mix, pack, partitions, saved, unpack
 from .components import components
 
-RECALL, CELL, WIDTH, SIDE = 0.995, 48, 0.75, 2048
+RECALL, STRAY, COUNT, CELL, WIDTH, SIDE = 0.995, 0.01, 4, 48, 0.75, 2048
 
 
 def calibrated(classes: int, cosine: float) -> tuple[int, int, int]:
-    """(signs, tables, count): the fewest tables for which a pair at the threshold collides at least twice with RECALL, and
-    the largest count that keeps it."""
+    """(signs, tables, count): the fewest tables, and the largest count, for which a pair at the threshold reaches the count
+    with RECALL while a pair at right angles reaches it with STRAY at most."""
     signs = max(0, math.ceil(math.log2(max(1, classes) / CELL)))
-    p = (1 - math.acos(cosine) / math.pi) ** signs * math.erf(WIDTH / math.sqrt(2 * (2 - 2 * cosine)) / math.sqrt(2))
-    below = lambda m, c: sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(c))
-    tables = 4
-    while below(tables, 2) > 1 - RECALL:
+    collide = lambda c: (1 - math.acos(c) / math.pi) ** signs * math.erf(WIDTH / math.sqrt(2 - 2 * c) / math.sqrt(2))
+    below = lambda m, c, p: sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(c))
+    near, far, tables, count = collide(cosine), collide(0.0), COUNT, 0
+    while True:
+        while below(tables, count + 1, near) <= 1 - RECALL:
+            count += 1
+        if count >= COUNT and 1 - below(tables, count, far) <= STRAY:
+            return signs, tables, count
         tables += 1
-    count = 2
-    while below(tables, count + 1) <= 1 - RECALL:
-        count += 1
-    return signs, tables, count
+
+
+#: Vectors projected at a time.
+SLICE = 512
 
 
 def _unit(column) -> np.ndarray:
-    x = np.array(column.to_pylist(), float)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(signs: int, tables: int, slices: int):
+def _cells(signs: int, tables: int):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column("embedding"))
-            lines = np.random.default_rng(20240229).standard_normal((x.shape[1], tables * (signs + 1)))
-            v = (x @ lines).reshape(len(x), tables, signs + 1)
-            cell = ((v[:, :, 1:] > 0) * (1 << np.arange(signs, dtype=np.int64))).sum(2) if signs else np.zeros(v.shape[:2], np.int64)
-            n = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("vec_id").to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(cell.ravel()), pa.array(v[:, :, 0].ravel())], names=["vec_id", "t", "cell", "value"])
+        lines = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                x = _unit(batch.column("embedding"))
+                if lines is None:
+                    lines = np.random.default_rng(20240229).standard_normal((x.shape[1], tables * (signs + 1)))
+                v = (x @ lines).reshape(len(x), tables, signs + 1)
+                cell = ((v[:, :, 1:] > 0) * (1 << np.arange(signs, dtype=np.int64))).sum(2) if signs else np.zeros(v.shape[:2], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("vec_id").to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(cell.ravel()), pa.array(v[:, :, 0].ravel())], names=["vec_id", "t", "cell", "value"])
 
-    return run
+    return lean(run)
 
 
 def _collide(parts: int):
@@ -91,6 +97,7 @@ def _count(least: int):
         a, b = a[by], b[by]
         head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         keep = head[np.diff(np.append(head, len(a))) >= least]
+        give_back()
         return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
     return run
@@ -102,16 +109,17 @@ def _verified(cosine: float):
             if batch.num_rows:
                 yield batch.filter(pa.array((_unit(batch.column("xa")) * _unit(batch.column("xb"))).sum(1) >= cosine)).select(["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> vec_id, n_links, component_id, kept, one row each.
 
     Vectors that are null or zero, hold null or non-finite numbers, or have a null vec_id link with nothing. Only vectors of
-    one length compare. Rows that share a vec_id and vector are copies of each other. An empty table gives an empty one."""
+    one length compare. Rows with equal vectors are copies of each other; rows that share a vec_id are one vector, linked by any
+    of its rows. An empty table gives an empty one; extra columns are ignored."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = frugal(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.size("embedding") > 0
     fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
@@ -136,7 +144,7 @@ def _pairs(classes: DataFrame, cosine: float) -> DataFrame:
     parts = partitions(classes.sparkSession)
     signs, tables, count = calibrated(classes.count(), cosine)
     low = max(0, signs - 5)  # cells go to tasks in groups of 2**low
-    rows = saved(classes.select("vec_id", "embedding").mapInArrow(_cells(signs, tables, parts), "vec_id long, t int, cell long, value double"), "cells")
+    rows = saved(classes.select("vec_id", "embedding").mapInArrow(_cells(signs, tables), "vec_id long, t int, cell long, value double"), "cells")
     large = rows.groupBy("t", "cell").agg(F.count("*").alias("k")).where(F.col("k") > SIDE // 4).select("t", "cell", F.ceil(F.col("k") / (SIDE // 4)).cast("int").alias("g"))
     at = rows.join(large, ["t", "cell"], "left")
     group = F.shiftright("cell", low) if low else F.col("cell")

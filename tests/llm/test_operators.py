@@ -432,6 +432,26 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905)) and got[165].component_id == 5
 
 
+@pytest.mark.parametrize("classes", [0, 10, 3000, 10**6, 10**9])
+def test_calibration(classes):
+    """Pairs at the threshold reach the count with the recall asked for, by simulation; unrelated ones hardly ever."""
+    signs, tables, count = vectors.calibrated(classes, 0.9)
+    assert count >= vectors.COUNT
+    r = np.random.default_rng(0)
+    for cosine, least, most in ((0.9, 0.99, 1.0), (0.0, 0.0, 0.03)):
+        x, z = r.standard_normal((400, tables, signs + 1)), r.standard_normal((400, tables, signs + 1))
+        y = cosine * x + math.sqrt(1 - cosine**2) * z
+        hits = ((x[:, :, 1:] > 0) == (y[:, :, 1:] > 0)).all(2) & (np.abs(x[:, :, 0] - y[:, :, 0]) <= vectors.WIDTH)
+        assert least <= (hits.sum(1) >= count).mean() <= most
+
+
+def test_vectors_edges(spark):
+    """Repeated ids, clashing names, ties at the threshold."""
+    rows = [(1, [1.0, 0.0], 9), (1, [1.0, 0.0], 9), (2, [0.9, math.sqrt(0.19)], 9), (2, [0.0, -1.0], 9), (3, [2.0, 0.0], 9), (None, [1.0, 0.0], 9)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies int")).collect()
+    assert len(got) == 6 and {(g.vec_id, g.component_id) for g in got} == {(1, 1), (2, 1), (3, 1), (None, None)}
+
+
 def test_html():
     page = "<title>T &amp; t</title><body><p>One<p>Two <b>bold</b><ul><li>a<li>b<ol><li>c</ol></ul><div hidden>no</div><div style='display: none'>no</div><script>no</script><table><tr><th>Name<th>N<tr><td>Ann<td>1</table><pre>x\n  y</pre><br>end"
     assert html.rendered(page) == ("T & t", "One\n\nTwo bold\n\n- a\n- b\n  1. c\n\nName  N\nAnn   1\n\nx\n  y\n\n\nend")
