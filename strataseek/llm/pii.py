@@ -3,8 +3,9 @@ the patterns miss (phones without a plus, other separators, spelled-out addresse
 
 The net is trained in numpy from generated labelled spans (seeded, the same in every run). Text is cut into overlapping
 windows; each is decoded by Viterbi; spans that touch an inner window edge are left to the neighbour that holds them
-whole; the rest of a document's spans is reconciled at once by weighted interval scheduling. An added span passes its
-kind's check and touches no base span.
+whole, or where none does, to a window of LONG characters around the edge; the rest of a document's spans is reconciled at
+once by weighted interval scheduling. What is personal data the net says; an added span besides passes its kind's check (its
+digits' number, range or check digit, an address's parts) and touches no base span.
 
 A window that has neither an at sign nor four digits can't hold a span that passes a check, so it isn't decoded; the
 result is that of decoding every window. Null texts are empty. Positions count code points.
@@ -27,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 #: Characters in a window, its step, windows decoded at a time.
 WINDOW, STEP, BATCH = 192, 112, 256
+#: Characters in a window around a span that no window holds whole.
+LONG = 640
 EMBED, HIDDEN = 10, 16
 
 # The base patterns.
@@ -80,22 +83,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-# Checks of added spans.
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|\.) ?[\])}]) ?[A-Za-z0-9-]+)+", re.I)
-_SPLIT_IP = re.compile(r"[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}")
-_NUMBER = re.compile(r"\(?[0-9](?:[ ()./-]{0,2}[0-9])+")
+# Checks of added spans: what is written for an at sign or a dot counts as one.
+_AT, _DOT = re.compile(r" ?(?:@|[\[({] ?at ?[\])}]) ?", re.I), re.compile(r" ?(?:\.|[\[({] ?(?:dot|\.) ?[\])}]) ?", re.I)
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
 
 
 def passes(kind: int, text: str) -> bool:
-    digits = _digits(text)
     if kind == 0:
-        return _MAIL.fullmatch(text) is not None
+        local, at, host = _DOT.sub(".", _AT.sub("@", text)).partition("@")
+        return bool(local and at) and not re.search(r"[\s@]", local + host) and re.fullmatch(r"[^.]+(?:\.[^.]+)*\.[A-Za-z]{2,}", host) is not None
+    if any(c.isalpha() for c in text):
+        return False
+    digits, groups = _digits(text), re.findall("[0-9]+", text)
     if kind == 1:
-        return _SPLIT_IP.fullmatch(text) is not None and all(int(x) <= 255 for x in re.findall("[0-9]+", text))
+        return len(groups) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in groups)
     if kind == 2:
-        return _NUMBER.fullmatch(text) is not None and 13 <= len(digits) <= 19 and luhn(digits)
-    groups = re.findall("[0-9]+", text)
-    return _NUMBER.fullmatch(text.lstrip("+")) is not None and 9 <= len(digits) <= 15 and len(groups) >= 3 and max(map(len, groups)) <= 8
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15 and len(groups) >= 2 and not _DATE.match(text)
 
 
 # Characters: ASCII as they are, letters beyond it as one, all else as one.
@@ -221,7 +225,8 @@ def labelled_lines(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     num = lambda k: "".join(str(d) for d in r.integers(0, 10, k))
     syl = "an be chi de er fo gu ha in jo ka li mo ne ou pa que ra st ti un ve wh xa yo zu é ü ß ñ tion ing the le der la".split()
     word = lambda: "".join(pick(syl) for _ in range(r.integers(1, 5)))
-    host = lambda: f"{word()}{num(r.integers(0, 2))}".encode("ascii", "ignore").decode() or "host"
+    name = lambda: f"{word()}{num(r.integers(0, 2))}".encode("ascii", "ignore").decode() or "host"
+    host = lambda: f"{name()}-{name()}" if r.random() < 0.15 else name()
     tld = lambda: pick(["com", "org", "net", "de", "fr", "example.com", "co.uk"])
 
     def card() -> str:
@@ -233,21 +238,21 @@ def labelled_lines(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     def phone() -> str:
         s = pick([" ", "-", ".", " "])
         a, b, c = num(3), num(3), num(4)
-        return pick([f"+{r.integers(1, 99)} ({a}) {b}-{c}", f"+{r.integers(1, 99)}{s}{a}{s}{b}{s}{c}", f"({a}) {b}-{c}", f"({a}){s}{b}{s}{c}", f"{a}{s}{b}{s}{c}", f"00{r.integers(10, 99)}{s}{a}{s}{b}{s}{c}", f"0{num(2)}{s}{num(3)}{s}{num(2)}{s}{num(2)}", f"0{num(3)}/{num(3)}-{num(3)}"])
+        return pick([f"+{r.integers(1, 99)} ({a}) {b}-{c}", f"+{r.integers(1, 99)}{s}{a}{s}{b}{s}{c}", f"({a}) {b}-{c}", f"({a}){s}{b}{s}{c}", f"{a}{s}{b}{s}{c}", f"00{r.integers(10, 99)}{s}{a}{s}{b}{s}{c}", f"0{num(2)}{s}{num(3)}{s}{num(2)}{s}{num(2)}", f"0{num(3)}/{num(3)}-{num(3)}", f"0{num(r.integers(2, 4))}{pick([' ', '/', '-'])}{num(r.integers(6, 9))}", f"{num(2)}{s}{num(3)}{s}{num(2)}{s}{num(2)}", f"{a}.{b}.{c}"])
 
     def ip() -> str:
-        dot = pick([".", ".", ".", "[.]", "(.)"])
+        dot = pick([".", ".", "[.]", "(.)", " . "])
         return dot.join(str(x) for x in r.integers(0, 256, 4))
 
     def email() -> str:
         local = pick([host(), f"{host()}.{host()}", f"{host()}_{num(2)}", f"{host()}.{num(2)}"])
-        at = pick(["@", "@", "@", " [at] ", "[at]", " (at) ", "(at)", " @ ", "{at}"])
-        dot = "." if "@" in at else pick([".", " [dot] ", " (dot) ", "[dot]", "(dot)"])
+        at = pick(["@", "@", "@", " [at] ", "[at]", " (at) ", "(at)", " @ ", "@ ", "{at}", " {at} "])
+        dot = "." if "@" in at else pick([".", ".", " [dot] ", " (dot) ", "[dot]", "(dot)"])
         return f"{local}{at}{host()}{dot}{tld().replace('.', dot)}"
 
     def other() -> str:
         y = r.integers(1950, 2030)
-        return pick([f"{y}", f"{y}-{r.integers(1, 12):02d}-{r.integers(1, 28):02d}", f"{num(2)}/{num(2)}/{y}", f"{num(2)}:{num(2)}:{num(2)}", num(r.integers(1, 9)), f"{num(1)},{num(3)},{num(3)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{num(1)}.{num(4)}", f"#{num(5)}", f"@{word()}", f"{num(12)}", f"{num(20)}", "".join(pick("0123456789abcdef") for _ in range(32)), f"${num(3)}.{num(2)}", f"{y}-{y + 3}", f"{num(2)} {num(2)}", f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"http://{host()}.{tld()}/{num(4)}", "| - |", "*** ### $$$", f"at {word()}", f"({word()})"])
+        return pick([f"{y}", f"{y}-{r.integers(1, 12):02d}-{r.integers(1, 28):02d}", f"{num(2)}/{num(2)}/{y}", f"{num(2)}:{num(2)}:{num(2)}", num(r.integers(1, 9)), f"{num(1)},{num(3)},{num(3)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{num(1)}.{num(4)}", f"#{num(5)}", f"@{word()}", f"{num(12)}", f"{num(20)}", "".join(pick("0123456789abcdef") for _ in range(32)), f"${num(3)}.{num(2)}", f"{y}-{y + 3}", f"{num(2)} {num(2)}", f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"http://{host()}.{tld()}/{num(4)}", "| - |", "*** ### $$$", f"at {word()}", f"({word()})", f"{num(2)}.{num(4)}, {num(2)}.{num(4)}", f"{num(3)}-{num(1)}, {num(1)}-{num(1)}", f"{y} {y + 2} {y + 9}"])
 
     make = (email, ip, card, phone)
     xs, ys = np.full((n, SPAN), 130), np.zeros((n, SPAN), np.int64)
@@ -350,25 +355,39 @@ def reconciled(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def find(texts: list[str], net: Net) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text."""
-    base = [base_spans(t) for t in texts]
-    places = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    got: list[list] = [[] for _ in texts]
+def _decoded(texts: list[str], net: Net, places: list[tuple[int, int]], size: int):
+    """Spans in the windows of `size` characters at places (text, start): (text, whole, weight, kind, start, end); a span that
+    touches an edge within its text is not whole."""
     for at in range(0, len(places), BATCH):
         part = places[at : at + BATCH]
-        x = np.full((len(part), WINDOW), 130)
+        x = np.full((len(part), size), 130)
         for row, (i, s) in enumerate(part):
-            c = codes(texts[i][s : s + WINDOW])
+            c = codes(texts[i][s : s + size])
             x[row, : len(c)] = c
         x = x[:, : max(8, int((x < 130).sum(1).max()))]
         tags, margin = net.decode(x)
         for row in np.flatnonzero(tags.any(1)):
             i, s = part[row]
-            n = min(WINDOW, len(texts[i]) - s)
+            n = min(size, len(texts[i]) - s)
             for kind, a, b in spans_of_tags(tags[row][:n]):
-                if (a > 0 or s == 0) and (b < n or s + n == len(texts[i])):
-                    got[i].append((round(float(margin[row][a:b].sum()) + 0.01 * (b - a), 4), kind, s + a, s + b))
+                whole = (a > 0 or s == 0) and (b < n or s + n == len(texts[i]))
+                yield i, whole, round(float(margin[row][a:b].sum()) + 0.01 * (b - a), 4), kind, s + a, s + b
+
+
+def find(texts: list[str], net: Net) -> list[tuple[list, list]]:
+    """(base spans, added spans) of each text."""
+    base = [base_spans(t) for t in texts]
+    got: list[list] = [[] for _ in texts]
+    cut: list[tuple[int, int, int]] = []
+    for i, whole, weight, kind, a, b in _decoded(texts, net, [(i, s) for i, t in enumerate(texts) for s in windows(t)], WINDOW):
+        if whole:
+            got[i].append((weight, kind, a, b))
+        else:
+            cut.append((i, a, b))
+    around = sorted({(i, max(0, (a + b - LONG) // 2)) for i, a, b in cut if not any(c <= a and b <= d for _, _, c, d in got[i])})
+    for i, whole, weight, kind, a, b in _decoded(texts, net, around, LONG):
+        if whole and b - a > WINDOW - STEP:  # shorter ones were whole in some window
+            got[i].append((weight, kind, a, b))
     out = []
     for text, own, more in zip(texts, base, got, strict=True):
         taken = np.zeros(len(text) + 1, bool) if more else None
