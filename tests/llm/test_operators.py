@@ -650,6 +650,48 @@ def test_pipeline(spark, tmp_path):
     assert collections.Counter((x.doc_id, tuple(x.ids)) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, repeated rows, ties, one very long text, extra columns whose names the stages use themselves."""
+    r = random.Random(17)
+    long = words(r, 4000)
+    rows = [(i, words(r, 30) + (" you grumbfool" if i % 4 == 0 else ""), "en", f"s{i % 2}", 1, "g", 7) for i in range(60)]
+    rows += [(60, long, "en", "s0", 1, "g", 7), (61, long, None, "s1", None, None, None), (62, None, "en", None, 1, "g", 7), (63, "", "en", None, 1, "g", 7), (None, "no id here", "en", "s0", 1, "g", 7), (None, None, None, None, None, None, None), rows[1], rows[1]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone string, _row int"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] + [(None, 1), (5, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.saved(stage(spark, now, str(tmp_path)), name)
+        out[name] = now.collect()
+        assert name == "encoding" or now.columns == docs.columns
+    count = lambda name: collections.Counter((x.doc_id, x.text) for x in out[name])
+    assert count("toxicity") == collections.Counter((x[0], x[1]) for x in rows if "grumbfool" not in (x[1] or ""))
+    assert count("near_duplicates") == count("toxicity") - collections.Counter([(61, long)]) and count("near_duplicates")[rows[1][0], rows[1][1]] == 3
+    assert count("personal_data") == count("near_duplicates")
+    assert set(count("mixing")) <= set(count("personal_data")) and max(count("mixing").values()) <= 6
+    assert collections.Counter(x.doc_id for x in out["encoding"]) == collections.Counter(x.doc_id for x in out["mixing"]) and all(x.checked for x in out["encoding"])
+
+
+def test_pipeline_empty(spark, tmp_path):
+    now = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        assert now.count() == 0 and (name == "encoding" or now.columns[:2] == ["doc_id", "text"])
+
+
+def test_aligned_edges(spark):
+    """Ties go to the smallest id, repeated ids are rows of their own, recordings without prints match nothing."""
+    r = np.random.default_rng(8)
+    x, y = (r.integers(0, 1 << 32, 40).tolist() for _ in range(2))
+    rows = [(20, x), (20, x), (3, x), (5, x), (40, []), (60, None), (80, y), (None, y), (100, y[:10])]
+    got = sorted(media.aligned(spark.createDataFrame(rows, "rec_id long, prints array<long>")).collect(), key=str)
+    by = collections.defaultdict(list)
+    for g in got:
+        by[g.rec_id].append((g.n_matches, g.best_id, g.best_bit_error))
+    assert by[20] == [(3, 3, 0.0)] * 2 and by[40] == by[80] == by[100] == [(0, None, None)] and None not in by
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>")
