@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import inspect
 import math
 import re
 import tempfile
@@ -127,6 +128,66 @@ def blocked(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("_b", F.get(ids, slot)).repartition(n, "_b")
 
 
+class Route:
+    """How n blocks and as many shards write to each other. Every block has something for nearly every shard, n * n parcels. Up
+    to NAMED blocks they go as rows. Beyond, a block's parcels for a lane of FAN neighbouring shards go as one row; the rows of
+    FAN neighbouring blocks for a lane meet and are repacked as one row for each of its shards. So n * n / FAN rows travel, twice,
+    and a row keeps its size however many blocks there are, as FAN grows with the root of n."""
+
+    def __init__(self, n: int):
+        self.fan = math.isqrt(n - 1) + 1 if n > NAMED else 0
+
+    def send(self, groups, run, schema: str, sender: str, receiver: str) -> DataFrame:
+        """groups (grouped, or cogrouped, by sender) with run applied, whose rows name sender and receiver by numbers below
+        n -> rows by receiver, for open()."""
+        if not self.fan:
+            return groups.applyInArrow(run, schema)
+        fan = self.fan
+
+        def bundled(t: pa.Table) -> pa.Table:
+            lane = np.asarray(t.column(receiver)) // fan
+            own = np.unique(lane)
+            whose = t.column(sender)[0].as_py() // fan if len(own) else 0
+            return pa.table({"lane": pa.array(own, pa.int64()), "part": pa.array([whose] * len(own), pa.int64()), "data": pa.array([_written(t.filter(pa.array(lane == x))) for x in own], pa.binary())})
+
+        def repacked(t: pa.Table) -> pa.Table:
+            rows = pa.concat_tables([_read(x) for x in t.column("data").to_pylist()])
+            to = np.asarray(rows.column(receiver))
+            own = np.unique(to)
+            return pa.table({receiver: pa.array(own, pa.int64()), "data": pa.array([_written(rows.filter(pa.array(to == x))) for x in own], pa.binary())})
+
+        first = groups.applyInArrow((lambda t: bundled(run(t))) if _arguments(run) == 1 else (lambda t, u: bundled(run(t, u))), "lane long, part long, data binary")
+        return first.groupBy("lane", "part").applyInArrow(lambda t: repacked(t), f"{receiver} long, data binary")
+
+    def open(self, run):
+        """run, whose last argument is a table of rows that send() gave."""
+        if not self.fan:
+            return run
+        if _arguments(run) == 1:
+            return lambda t: run(_unpacked(t))
+        return lambda t, u: run(t, _unpacked(u))
+
+
+def _arguments(run) -> int:
+    return len(inspect.signature(run).parameters)
+
+
+def _written(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _unpacked(t: pa.Table) -> pa.Table:
+    """The rows of the parcels; a receiver without parcels gets no rows and no columns."""
+    return pa.concat_tables([_read(x) for x in t.column("data").to_pylist()]) if t.num_rows else pa.table({})
+
+
 # Packed columns: numbers as byte planes under zstd. Sorted 64-bit hashes take about 5 bytes each, small counts a fraction of one.
 
 

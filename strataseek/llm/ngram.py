@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, Words, block_count, blocked, crc_mod, frugal, give_back, mix, pack, unpack
+from .common import Route, Slots, Words, block_count, blocked, crc_mod, frugal, give_back, mix, pack, unpack
 
 #: Longest n-gram, the Dirichlet weight of each order from 2 on, text bytes in a block.
 ORDER, MU, BLOCK_BYTES = 3, (40.0, 20.0), 16 << 20
@@ -102,7 +102,7 @@ class Grams:
 def _ask(orders: range, shards: int):
     """Asks for n-grams of these lengths, less one; answers: those to the shorter ones, if any."""
 
-    def run(t: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+    def run(t: pa.Table, answers: pa.Table | None) -> pa.Table:
         g, out = Grams(t, orders.stop), {"shard": [], "k": [], "keys": [], "counts": []}
         shared = g.answered(answers.to_pylist(), orders.start)[1][-1] if answers is not None else None
         edges = np.array([(s << 64) // shards for s in range(shards)], np.uint64)  # shards are equal ranges of the hash
@@ -124,8 +124,8 @@ def _ask(orders: range, shards: int):
 
 
 def _of_one(run):
-    """run with its first argument alone; Spark goes by the number of arguments."""
-    return lambda t: run(t)
+    """run without answers yet; Spark goes by the number of arguments."""
+    return lambda t: run(t, None)
 
 
 def _answer(start_key: int):
@@ -271,10 +271,13 @@ def lm_scores(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, b
     words = Words()
     words[_START]
     answer, kinds = _answer(int(mix(words.hashes())[0])), "_b long, shard int, k int, n long, v long, others binary, shared binary"
-    answers = None
+    answers, route = None, Route(n)
     for orders in [range(0, min(order, 2)), *(range(k, k + 1) for k in range(2, order))]:
         blocks, ask, asks = dealt.groupBy("_b"), _ask(orders, n), "_b long, shard int, k int, keys binary, counts binary"
-        asked = blocks.applyInArrow(_of_one(ask), asks) if answers is None else blocks.cogroup(answers.groupBy("_b")).applyInArrow(ask, asks)
-        got = asked.groupBy("shard").applyInArrow(answer, kinds)
+        if answers is None:
+            asked = route.send(blocks, _of_one(ask), asks, "_b", "shard")
+        else:
+            asked = route.send(blocks.cogroup(answers.groupBy("_b")), route.open(ask), asks, "_b", "shard")
+        got = route.send(asked.groupBy("shard"), route.open(answer), kinds, "shard", "_b")
         answers = got if answers is None else answers.unionByName(got)
-    return dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(_score(order, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(route.open(_score(order, mu)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, block_count, blocked, frugal, mix, pack, pack_bytes, unpack, unpack_bytes
+from .common import NO_ID, Route, block_count, blocked, frugal, mix, pack, pack_bytes, unpack, unpack_bytes
 
 #: String length in bytes, gram length, text bytes in a block, text bytes hashed at a time, documents sampled for splitters.
 LENGTH, GRAM, BLOCK_BYTES, PIECE, SAMPLE = 50, 20, 8 << 20, 1 << 18, 2000
@@ -283,7 +283,7 @@ def _answer_runs(t: pa.Table) -> pa.Table:
     # a run's answers differ little from string to string
     ends = np.cumsum([x.sum() for x in n])
     answers = [pack(least[e - x.sum() : e], delta=True) for e, x in zip(ends, n, strict=True)]
-    return pa.table({"_b": pa.array([r["_b"] for r in rows], pa.int64()), "at": pa.array([r["at"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.binary()), "least": pa.array(answers, pa.binary()), "hot": pa.array([r["hot"] for r in rows], pa.binary())})
+    return pa.table({"_b": pa.array([r["_b"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "at": pa.array([r["at"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.binary()), "least": pa.array(answers, pa.binary()), "hot": pa.array([r["hot"] for r in rows], pa.binary())})
 
 
 def _apply(with_text: bool):
@@ -307,7 +307,7 @@ def _apply(with_text: bool):
             hit = least[first[mine[whose]] + k] < ids[doc]
             doc, start = doc[hit], (first_string[whose] + k)[hit]  # by document, as the runs are
             head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-            gone = {int(doc[a]): start[a:b] for a, b in zip(head, np.append(head[1:], len(doc)), strict=True)}
+            gone = {int(doc[a]): start[a:b] for a, b in zip(head, np.append(head, len(doc))[1:], strict=True)}
         out = {"doc_id": [None if i == NO_ID else i for i in ids.tolist()], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for i, text in enumerate(texts):
             kept, spans = text, 0
@@ -350,8 +350,9 @@ def without_repeats(docs: DataFrame, with_text: bool = True, block_bytes: int =
     splitters = found[(np.arange(1, n) * len(found)) // n] if len(found) else found
     shared = spark.sparkContext.broadcast(splitters)  # n numbers
     dealt = blocked(docs, n)
-    grams = dealt.groupBy("_b").applyInArrow(_ask_grams(n), "_b long, shard int, keys binary, several binary")
-    bits = grams.groupBy("shard").applyInArrow(_answer_grams, "_b long, shard int, n long, bits binary")
-    asked = dealt.groupBy("_b").cogroup(bits.groupBy("_b")).applyInArrow(lambda t, b: _ask_runs(shared.value)(t, b), "_b long, bucket int, at long, n binary, doc binary, data binary, hot binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer_runs, "_b long, at long, n binary, least binary, hot binary")
-    return dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(_apply(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if with_text else 'string'}")
+    route = Route(n)
+    grams = route.send(dealt.groupBy("_b"), _ask_grams(n), "_b long, shard int, keys binary, several binary", "_b", "shard")
+    bits = route.send(grams.groupBy("shard"), route.open(_answer_grams), "_b long, shard int, n long, bits binary", "shard", "_b")
+    runs_asked = route.send(dealt.groupBy("_b").cogroup(bits.groupBy("_b")), route.open(lambda t, b: _ask_runs(shared.value)(t, b)), "_b long, bucket int, at long, n binary, doc binary, data binary, hot binary", "_b", "bucket")
+    answers = route.send(runs_asked.groupBy("bucket"), route.open(_answer_runs), "_b long, bucket int, at long, n binary, least binary, hot binary", "bucket", "_b")
+    return dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(route.open(_apply(with_text)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if with_text else 'string'}")

@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 
 import corpus_pipeline
-from strataseek.llm import html, media, minhash, mixing, ngram, pieces, pii, substrings, toxicity, vectors
+from strataseek.llm import common, html, media, minhash, mixing, ngram, pieces, pii, substrings, toxicity, vectors
 from strataseek.llm.components import components
 from strataseek.llm.queries import QUERIES, piece_model
 
@@ -148,6 +148,15 @@ def test_substrings(docs, rows, block):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+def test_routes(spark, docs, rows, monkeypatch):
+    """Parcels bundled by lanes and repacked give what single rows give, for many small blocks."""
+    sorted_ = lambda df: sorted(map(str, df.collect()))
+    plain = sorted_(substrings.without_repeats(docs, block_bytes=1500)), sorted_(ngram.lm_scores(docs.limit(40), 3, (40.0, 20.0), block_bytes=1500))
+    monkeypatch.setattr(common, "NAMED", 4)
+    assert common.Route(5).fan == 3 and common.Route(4).fan == 0
+    assert (sorted_(substrings.without_repeats(docs, block_bytes=1500)), sorted_(ngram.lm_scores(docs.limit(40), 3, (40.0, 20.0), block_bytes=1500))) == plain
+
+
 def test_heavy_suffixes(spark, monkeypatch):
     """One gram before and after which texts differ holds most of the runs: single strings, several buckets, small pieces."""
     monkeypatch.setattr(substrings, "SORT_BYTES", 2000)
@@ -219,7 +228,7 @@ def test_automaton_parts(monkeypatch):
     def answered(asked):
         return pa.concat_tables(ngram._answer(start)(asked.filter(pa.compute.equal(asked["shard"], s))) for s in range(4) if s in asked["shard"].to_pylist())
 
-    answers = answered(ngram._ask(range(2), 4)(t))
+    answers = answered(ngram._ask(range(2), 4)(t, None))
     assert ngram._ask(range(2, 3), 4)(t, answers).num_rows == 0  # one block: no other holds its n-grams
     whole = ngram._score(3, (40.0, 20.0))(t, answers).to_pydict()
     monkeypatch.setattr(ngram, "PART", 700)
