@@ -124,11 +124,16 @@ def stored_index(spark: SparkSession, path: str, tables: dict[str, DataFrame], r
 
 def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str], analyze=tokens, rebuild: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, terms with df and idf, fields with avgdl) of a table's units, stored under path; the first two in order of
-    field and term, so that a filter on terms skips files and row groups."""
-    order = lambda df: df.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-    post = stored_index(spark, path, {f"{name}_postings": order(units.postings(table, unit, fields, analyze))}, rebuild)[f"{name}_postings"]
+    field and term, so that a filter on terms skips files and row groups. Ranges end within a term too, so a term that most
+    units hold spreads over many. Postings are kept while they are sampled for the ranges and then written."""
+    order = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
+    raw = units.postings(table, unit, fields, analyze).persist()
+    try:
+        post = stored_index(spark, path, {f"{name}_postings": order(raw, "field", "term", "unit")}, rebuild)[f"{name}_postings"]
+    finally:
+        raw.unpersist()
     terms, by_field = units.statistics(post, table.count())
-    stats = stored_index(spark, path, {f"{name}_terms": order(terms), f"{name}_fields": by_field}, rebuild)
+    stats = stored_index(spark, path, {f"{name}_terms": order(terms, "field", "term"), f"{name}_fields": by_field}, rebuild)
     return post, stats[f"{name}_terms"], stats[f"{name}_fields"]
 
 
