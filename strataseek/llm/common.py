@@ -61,16 +61,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Rows of whole texts that go to a Python worker at a time.
-BATCH_ROWS = 1000
+#: Rows, and bytes of rows, that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def frugal(df: DataFrame) -> DataFrame:
-    """df; from here on its session sends at most BATCH_ROWS rows a batch to Python, which bounds both sides' memory."""
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(conf))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(conf, BATCH_ROWS)
+    """df; from here on its session sends at most BATCH_ROWS rows and BATCH_BYTES bytes (or one row) a batch to Python, which
+    bounds both sides' memory. Spark reads these settings when a query runs, so they stay; lower ones are left alone."""
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        conf = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = re.fullmatch(r"(-?\d+)[bB]?", str(df.sparkSession.conf.get(conf)))  # one with a unit was set by hand
+        if now and not 0 < int(now[1]) <= most:
+            df.sparkSession.conf.set(conf, most)
     return df
 
 
