@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html, media, minhash, mixing, ngram, pieces, pii, substrings, toxicity, vectors
+from . import alerts, html, media, minhash, mixing, ngram, packing, pieces, pii, resampling, substrings, toxicity, vectors
 from .common import table
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> str:
+    """The path of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -55,5 +57,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_personal_data, op5_mix_sources, op6_toxicity, op7_suffix_dedup, op8_chroma_fingerprints, op9_sentencepiece, op10_lm_scoring)}
-ORACLES = {"op5_mix_sources": mixing.ORACLE}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, towards the texts of benchmark."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_missing_follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.missing_follow_ups(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.packed(table(spark, sf_dir, "documents"), piece_model("byte_bpe_50k.json"))
+    return pieces_.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_embedding_near_dedup, op4_personal_data, op5_mix_sources, op6_toxicity, op7_suffix_dedup, op8_chroma_fingerprints, op9_sentencepiece, op10_lm_scoring, op11_importance_resampling, op12_missing_follow_up, op13_packing)}
+ORACLES = {"op5_mix_sources": mixing.ORACLE, "op11_importance_resampling": resampling.ORACLE, "op12_missing_follow_up": alerts.ORACLE}
