@@ -10,8 +10,8 @@ Scores add to each weight a Gumbel number made of the doc_id, so that the highes
 proportion to the weights. Ranks come from a range sort: places in a partition, plus the sizes of those before (a row for each
 partition).
 
-A null text has no words, a null doc_id draws as an empty text and comes last of equals. Rows that share a doc_id and a text are
-summed together and given back as often as they were there; they have ranks of their own. With an empty target or corpus the
+A null text has no words, a null doc_id draws as an empty text and comes last of equals. Rows that share a doc_id are
+documents each, with ranks of their own. With an empty target or corpus the
 counts are 0 and the formula still holds. An empty table gives an empty one; other columns are ignored.
 """
 
@@ -21,6 +21,7 @@ import math
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .common import frugal, lean, saved
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 10, 2024
 #: Features above one part in HEAVY of the corpus are broadcast: there can't be more than HEAVY.
-HEAVY = 10_000
+HEAVY = 50_000
 #: Bytes as words see them: A-Z in lower case, ASCII other than letters and digits as spaces.
 _SEEN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -44,15 +45,18 @@ def _features(text: bytes | None, width: int) -> tuple[int, Counter]:
 
 
 def _counts(width: int):
-    """Rows (doc_id, key, text) -> for each a row without feature, with the number of its words, and one for each feature."""
+    """Rows (doc_id, text) -> for each a row without feature, with its doc_id and the number of its words, and one for each
+    feature; `row` numbers the rows of docs."""
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words, found = _features(text, width)
-                n = 1 + len(found)
-                cols = [pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([None, *found], pa.binary()), pa.array([words, *found.values()], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "feature", "n"])
+                rest = [None] * len(found)
+                cols = [pa.array([row] * (1 + len(found)), pa.int64()), pa.array([doc, *rest], pa.int64()), pa.array([None, *found], pa.binary()), pa.array([words, *found.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "feature", "n"])
+                row += 1
 
     return lean(_merged(run))
 
@@ -75,10 +79,10 @@ def _merged(run, rows: int = 50_000):
 
 
 def feature_counts(docs: DataFrame, width: int = 1) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, key, feature, n): for each row one without feature, where n counts its words, and
-    one for each distinct feature. key tells texts of one doc_id apart."""
-    d = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.length("text")).alias("key"), F.col("text").cast("binary").alias("text"))
-    out = d.mapInArrow(_counts(width), "doc_id long, key long, feature binary, n long")
+    """docs (doc_id, text, ...) -> (row, doc_id, feature, n): for each row of docs one without feature, where n counts its words,
+    and one for each distinct feature, without doc_id. Rows are numbered by partition: save the table before it is read twice."""
+    d = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    out = d.mapInArrow(_counts(width), "row long, doc_id long, feature binary, n long")
     return out.withColumn("feature", F.col("feature").cast("string"))
 
 
@@ -111,18 +115,17 @@ def weighted(docs: DataFrame, target: DataFrame, width: int = 1, buckets: int =
     gain = F.broadcast(gains(own, dictionary(feature_counts(target.select(F.lit(None).alias("doc_id"), "text"), width), buckets), buckets))  # a row for each bucket
     priced = own.join(gain, "bucket").select("feature", "gain", "n")
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
-    heavy = priced.where(F.col("n") * HEAVY > total)
+    heavy = priced.where(F.col("n") * HEAVY > total).select("feature", F.col("gain").alias("heavy"))
     light = priced.where(F.col("n") * HEAVY <= total).select("feature", F.col("gain").alias("light"))
-    c = counts.join(F.broadcast(heavy.select("feature", F.col("gain").alias("heavy"))), "feature", "left")
-    marks = F.when(F.col("feature").isNull(), 1).otherwise(0)
-    amount = F.when(F.col("feature").isNull(), 0).otherwise(F.col("n"))
-    # summed by document once before the join, so that only its infrequent features travel apart
-    here = c.where("feature is null or heavy is not null").select("doc_id", "key", marks.alias("rows"), F.when(F.col("feature").isNull(), F.col("n")).otherwise(0).alias("words"), amount.alias("features"), (amount * F.coalesce("heavy", F.lit(0))).alias("weight"))
-    there = c.where("feature is not null and heavy is null").select("feature", "doc_id", "key", "n").join(light.hint("shuffle_hash"), "feature")
-    there = there.select("doc_id", "key", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("words"), F.col("n").alias("features"), (F.col("n") * F.col("light")).alias("weight"))
-    d = here.unionByName(there).groupBy("doc_id", "key").agg(*[F.sum(x).alias(x) for x in ("rows", "words", "features", "weight")])
-    each = lambda x: F.expr(f"{x} div rows")
-    return d.select("doc_id", each("words").alias("n_words"), each("features").alias("n_features"), each("weight").alias("weight"), F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("_")).drop("_")
+    c = counts.join(F.broadcast(heavy), "feature", "left")  # HEAVY rows at most
+    mark = F.col("feature").isNull()
+    own = lambda x: F.when(mark, F.col(x))
+    here = c.where(mark | F.col("heavy").isNotNull()).select("row", own("doc_id").alias("doc_id"), own("n").alias("words"), F.when(mark, 0).otherwise(F.col("n")).alias("features"), F.when(mark, 0).otherwise(F.col("n") * F.col("heavy")).alias("weight"))
+    there = c.where(~mark & F.col("heavy").isNull()).select("feature", "row", "n").join(light.hint("shuffle_hash"), "feature")
+    none = F.lit(None).cast("long")
+    there = there.select("row", none.alias("doc_id"), none.alias("words"), F.col("n").alias("features"), (F.col("n") * F.col("light")).alias("weight"))
+    d = here.unionByName(there).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("words").alias("n_words"), F.sum("features").alias("n_features"), F.sum("weight").alias("weight"))
+    return d.drop("row")
 
 
 def resampled(docs: DataFrame, target: DataFrame, width: int = 1, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
