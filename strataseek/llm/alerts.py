@@ -5,15 +5,15 @@ is kept by bucket of clients, not by client. Each batch brings every bucket a ti
 also where the bucket has no events, so deadlines pass without traffic. A bucket keeps a dictionary of its clients' open
 obligations and one heap that orders buffered events and deadlines together. Events before the watermark are late; the others
 wait in the heap until the watermark has passed them, since a later batch may still bring an earlier one. A deadline whose
-obligation was cancelled stays in the heap and is passed over when it comes up. After the last batch a tick at the end of time
-empties all buckets.
+obligation was cancelled stays in the heap and is passed over when it comes up. With the last batch comes a second
+tick, at the end of time, which empties all buckets.
 
 The rows of a bucket travel as packed numbers, one row for a bucket and an Arrow batch, so a client with a third of all events is
 a few rows. Watermarks are maxima by batch, a row for each; nothing else goes to the driver and nothing is broadcast.
 
 Times are wall-clock microseconds since 1970, whatever the session's zone. Rows with a null client or time are no events. Error
-clicks that are equal in all of clicks' own columns count once; sales that are equal count each, which matters to late counts
-only. A null arrival, or one beyond the span, falls into the last batch, one before the start into the first; a null id is hashed
+clicks that are equal in all of clicks' own columns count once: they come in one batch to one bucket, which tells rows of one
+client and time apart by a 64-bit hash of these columns. Sales that are equal count each, which matters to late counts only. A null arrival, or one beyond the span, falls into the last batch, one before the start into the first; a null id is hashed
 as the empty text. Other columns are ignored. Empty tables give an empty result.
 """
 
@@ -37,7 +37,8 @@ CLICK, SALE, DEADLINE, TICK = 0, 1, 2, 3
 #: Beyond every time; four times it still is a long.
 NEVER = 1 << 60
 CLICKS = ["click_id", "ts", "arrived_at", "client_id", "kind", "value", "props"]
-EVENTS = "bucket long, client_id long, time_us long, kind int, batch int"
+#: A tick's client_id is its batch and its time the watermark.
+EVENTS = "bucket long, client_id long, time_us long, kind int, row_hash long, batch int"
 ALERTS = "batch int, client_id long, opened_us long, due_us long, n_rows long"
 
 
@@ -53,12 +54,12 @@ def batch_number(arrived: Column, row_id: Column, batches: int, start_us: int, s
 
 
 def events(clicks: DataFrame, sales: DataFrame, batches: int, start_us: int, span_hours: int, delay_hours: int) -> DataFrame:
-    """(client_id, time_us, kind, batch) of error clicks and sales."""
+    """(client_id, time_us, kind, row_hash, batch) of error clicks and sales; equal clicks have equal hashes."""
     number = lambda i: batch_number(F.col("arrived_at"), F.col(i), batches, start_us, span_hours, delay_hours)
-    c = clicks.select(*CLICKS).where("kind = 'error' and client_id is not null and ts is not null").distinct()
+    c = clicks.where("kind = 'error' and client_id is not null and ts is not null")
     s = sales.where("client_id is not null and sold_at is not null")
-    c = c.select("client_id", wall_micros(F.col("ts")).alias("time_us"), F.lit(CLICK).alias("kind"), number("click_id").alias("batch"))
-    return c.unionByName(s.select("client_id", wall_micros(F.col("sold_at")).alias("time_us"), F.lit(SALE).alias("kind"), number("sale_id").alias("batch")))
+    c = c.select("client_id", wall_micros(F.col("ts")).alias("time_us"), F.lit(CLICK).alias("kind"), F.xxhash64(*CLICKS).alias("row_hash"), number("click_id").alias("batch"))
+    return c.unionByName(s.select("client_id", wall_micros(F.col("sold_at")).alias("time_us"), F.lit(SALE).alias("kind"), F.lit(0).cast("long").alias("row_hash"), number("sale_id").alias("batch")))
 
 
 class Bucket:
@@ -102,32 +103,38 @@ class Bucket:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """EVENTS -> for each bucket in an Arrow batch: its rows as client and key, end to end, and its tick if it is there."""
+    """EVENTS without batch -> for each bucket in an Arrow batch: its rows as client, key and hash, end to end."""
     for b in batches:
-        bucket, client, time, kind, number = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in b.columns)
+        bucket, client, time, kind, row_hash = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
         order = np.argsort(bucket, kind="stable")
         own, first = np.unique(bucket[order], return_index=True)
-        rows = []
-        for x, at in zip(own.tolist(), np.split(order, first[1:]), strict=True):
-            tick, some = at[kind[at] == TICK], at[kind[at] != TICK]
-            told = (int(number[tick[0]]), int(time[tick[0]])) if len(tick) else (None, None)
-            rows.append((x, *told, np.stack([client[some].astype(np.int64), time[some] * 4 + kind[some]]).tobytes()))
-        cols = zip(*rows, strict=True) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "batch", "watermark", "data"])
+        rows = np.stack([client, time * 4 + kind, row_hash])[:, order]
+        data = [x.tobytes() for x in np.split(rows, first[1:], axis=1)] if len(own) else []
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+
+def _once(client: np.ndarray, key: np.ndarray, row_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without repeats of clicks that are equal in client, time and hash."""
+    order = np.lexsort((row_hash, key, client))
+    client, key, row_hash = client[order], key[order], row_hash[order]
+    same = (client[1:] == client[:-1]) & (key[1:] == key[:-1]) & (row_hash[1:] == row_hash[:-1]) & (key[1:] % 4 == CLICK)
+    new = np.append(True, ~same) if len(key) else np.zeros(0, bool)
+    return client[new], key[new]
 
 
 def _stepped(window_us: int):
     def run(key, frames, state):
-        parts, batch, watermark = [np.zeros((2, 0), np.int64)], None, None
-        for f in frames:
-            parts += [np.frombuffer(x, np.int64).reshape(2, -1) for x in f["data"]]
-            for b, w in f.loc[f["batch"].notna(), ["batch", "watermark"]].itertuples(index=False):
-                batch, watermark = int(b), int(w)
-        bucket = Bucket(window_us, tuple(bytes(x) for x in state.get) if state.exists else None)
-        client, keys = np.concatenate(parts, axis=1)
-        out = bucket.step(batch, watermark, client, keys)
+        parts = [np.frombuffer(x, np.int64).reshape(3, -1) for f in frames for x in f["data"]]
+        client, keys, row_hash = np.concatenate(parts, axis=1)
+        tick = keys % 4 == TICK
+        client_, keys_ = _once(client[~tick], keys[~tick], row_hash[~tick])
+        bucket, out = Bucket(window_us, tuple(bytes(x) for x in state.get) if state.exists else None), []
+        for batch, watermark in sorted(zip(client[tick].tolist(), (keys[tick] // 4).tolist(), strict=True)):  # the last batch brings two
+            out += bucket.step(batch, watermark, client_, keys_)
+            client_, keys_ = client_[:0], keys_[:0]
         state.update(bucket.state())
-        yield pd.DataFrame(out, columns=["batch", "client_id", "opened_us", "due_us", "n_rows"])
+        if out:
+            yield pd.DataFrame(out, columns=["batch", "client_id", "opened_us", "due_us", "n_rows"])
 
     return run
 
@@ -152,19 +159,23 @@ def missing_follow_ups(clicks: DataFrame, sales: DataFrame, batches: int = 8, st
     latest = {r["batch"]: r["t"] for r in cut.groupBy("batch").agg(F.max("time_us").alias("t")).collect()}  # a row for each batch
     marks, seen = [], -NEVER
     for b in range(batches):
-        marks.append((b, seen))
+        marks.append((b, b, seen))
         seen = max(seen, latest[b] - slack_hours * HOUR) if b in latest else seen
-    ticks = spark.createDataFrame([*marks, (batches, NEVER)], "batch int, time_us long").crossJoin(spark.range(buckets).withColumnRenamed("id", "bucket"))
-    ticks.select("bucket", F.lit(None).cast("long").alias("client_id"), "time_us", F.lit(TICK).alias("kind"), "batch").repartition("batch").write.mode("append").partitionBy("batch").parquet(f"{folder}/cut")
+    marks.append((batches - 1, batches, NEVER))
+    each = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(m, ("batch", "client_id", "time_us"), strict=True)]) for m in marks])
+    ticks = spark.range(0, buckets, 1, -(-buckets // 10_000)).select(F.col("id").alias("bucket"), F.inline(each))
+    ticks = ticks.select("bucket", "client_id", "time_us", F.lit(TICK).alias("kind"), F.lit(0).cast("long").alias("row_hash"), F.col("batch").cast("int"))
+    ticks.write.mode("append").partitionBy("batch").parquet(f"{folder}/cut")
 
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{folder}/feed"))
-    for b in range(batches + 1):  # a whole batch comes in by one rename
+    for b in range(batches):  # a whole batch comes in by one rename
         fs.rename(path(f"{folder}/cut/batch={b}"), path(f"{folder}/feed/batch={b}"))
-        feed = spark.readStream.schema(EVENTS).parquet(f"{folder}/feed").select(columns)
-        rows = feed.mapInArrow(_packed, "bucket long, batch int, watermark long, data binary")
+        feed = spark.readStream.schema(EVENTS).parquet(f"{folder}/feed").select(columns[:-1])
+        rows = feed.mapInArrow(_packed, "bucket long, data binary")
         found = rows.groupBy("bucket").applyInPandasWithState(_stepped(window_hours * HOUR), ALERTS, "open binary, heap binary", "append", "NoTimeout")
+        found = found.coalesce(spark.sparkContext.defaultParallelism)  # state stays in its partitions; a task for each core writes
         query = found.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/alerts").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.schema(ALERTS).parquet(f"{folder}/alerts")
