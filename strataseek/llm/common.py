@@ -76,6 +76,12 @@ def frugal(df: DataFrame) -> DataFrame:
     return df
 
 
+def same_columns(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) with the columns that docs have, whatever their names hold; run sees them by place."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def lean(run):
     """run, an iterator function; afterwards the worker, which Spark keeps for later stages, gives its free
     memory back to the system."""

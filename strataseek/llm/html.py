@@ -5,6 +5,7 @@ All visible text is kept: nothing is judged to be boilerplate. Not visible: scri
 title, comments, elements with the hidden attribute, display:none or visibility:hidden, hidden inputs, passwords, and of svg
 what only names or defines (title, desc, metadata, defs, symbol) and of math its annotations. aria-hidden hides from screen
 readers only, so its text is kept. Text that an svg paints only by <use> of its defs isn't followed.
+A closed details element and the options of a closed select are a click away, and their text is kept as well.
 Null and empty pages give empty text. Broken markup never fails: open elements end with their parent or with the page, a tag
 that never ends is text. Any page takes time in proportion to its length and that of its text: tags are found by one scan,
 open elements by their names' places on the stack, and nested tables are rendered from an explicit stack. Indentation stops

@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per: int = 80, of: int = 10
        pairs grow with the members, not with their square. Pairs pass the signature check, then the full sets.
     3. Components of these links. Buckets that still hold several components are compared in squares of SIDE members,
        only across components: first the pairs that agree best, then all whose sharper signatures agree enough; so no link
-       between components is lost, while pairs within one, which can't change it, aren't made.
+       between components is lost but by SLACK, while pairs within one, which can't change it, aren't made.
     An empty table gives an empty one; extra columns are ignored."""
     least = _least(per / of, BANDS * ROWS)
     docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

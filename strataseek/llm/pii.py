@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, lean
+from .common import frugal, lean, same_columns
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -283,7 +283,7 @@ SPAN, LINES, EPOCHS, RATE = 72, 2560, 14, 0.012
 
 @lru_cache(1)
 def trained() -> Net:
-    """The net after EPOCHS of Adam over LINES generated lines, some seconds of one core; once for each process."""
+    """The net after EPOCHS of Adam over LINES generated lines, half a minute of one core or more; once for each process."""
     net = Net()
     x, y = labelled_lines(LINES)
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
@@ -459,5 +459,5 @@ def masked_documents(docs: DataFrame) -> DataFrame:
                 new = [None if t is None else masked(t, base + more) for t, (base, more) in zip(texts, find([t or "" for t in texts], shared.value), strict=True)]
                 yield batch.set_column(text_at, batch.schema.field(text_at), pa.array(new, batch.schema.field(text_at).type))
 
-    out = frugal(docs).mapInArrow(lean(run), docs.schema)
+    out = same_columns(frugal(docs), lean(run))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

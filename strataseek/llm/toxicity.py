@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, lean, saved
+from .common import frugal, lean, same_columns, saved
 
 #: Labelled rows learned from, least share of toxic documents and least odds of a learned insult, word beginnings' lengths,
 #: words in the shingles by which near copies are told. ODDS: of 5 to 50, what cross-validation on training rows found best.
@@ -322,12 +322,14 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     cues, weights = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((cues, weights))
 
+    text_at = docs.columns.index("text")
+
     def run(batches):
         cues, weights = shared.value
         g = Grammar(Lexicon(cues))
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = [x or "" for x in batch.column(text_at).to_pylist()]
             sums = np.array([g.patterns(t) for t in texts]).reshape(batch.num_rows, len(PATTERNS))
             yield batch.filter(pa.array(_features(sums) @ weights < 0))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return same_columns(docs, lean(run))

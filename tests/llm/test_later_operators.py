@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataseek.llm import alerts, packing, resampling
 from strataseek.llm.queries import piece_model
@@ -175,3 +176,13 @@ def test_alerts(spark):
 def test_alerts_of_empty_tables(spark):
     got = alerts.missing_follow_ups(spark.createDataFrame([], CLICKS), spark.createDataFrame([], SALES), buckets=2)
     assert got.collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """A name with a dot, and one that needs quotes, pass through the stages that rewrite whole rows."""
+    from strataseek.llm import pii, toxicity
+
+    d = docs.limit(20).withColumnsRenamed({"n": "x.y", "feature": "a `b"}).withColumn("text", F.coalesce(F.col("text"), F.lit("call +49 30 1234567 now")))
+    labels = spark.createDataFrame([(i, 0) for i in range(70)], "doc_id long, toxic int")
+    for out in (toxicity.clean_documents(d, labels), pii.masked_documents(d)):
+        assert out.columns == d.columns and out.select("`x.y`").first()[0] == 1
