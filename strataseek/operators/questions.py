@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import json
+import re
 from typing import Protocol
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataseek.functions.analysis import HAN_RUNS, cjk_tokens, tokens
+from strataseek.functions.analysis import HAN_RUNS, DictionaryTokens, cjk_tokens, tokens
+
+
+def contained(texts: DataFrame, words: list[str]) -> DataFrame:
+    """texts (query_id, text) -> (query_id, word): which of the words each text contains, each once. An automaton of all words
+    (Aho-Corasick) reads each text once, however many words there are; it is made once a task."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for b in batches:
+            found = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in {w for _, w in automaton.iter(t or "")}]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], b.schema.field(0).type), pa.array([w for _, w in found], pa.string())], names=["query_id", "word"])
+
+    kind = texts.schema["query_id"].dataType.simpleString()
+    return texts.select("query_id", "text").mapInArrow(run, f"query_id {kind}, word string")
 
 
 def keyword_scores(questions: DataFrame, keywords: DataFrame, analyze=tokens) -> DataFrame:
     """questions (query_id, text) -> (query_id, category_id, priority, threshold, score): over groups, weight times the
     share of listed words found; a one-character word is looked for among characters. Case counts. Words meet tokens in
     an equi-join; keywords are configuration and broadcast. With cjk_tokens, Han characters don't join the words beside them
-    and a word with Han characters is found wherever the text contains it."""
+    and a word with Han characters is found wherever the text contains it; with a dictionary, words are its tokens."""
     cjk = analyze is cjk_tokens
-    words = F.regexp_extract_all(F.col("text"), F.lit(HAN_RUNS if cjk else r"([\p{L}\p{N}]+)"), F.lit(1))
-    bits = questions.select("query_id", F.explode(F.array_union(words, F.filter(F.split("text", ""), lambda c: c != ""))).alias("word"))
+    own = analyze.words(F.col("text")) if isinstance(analyze, DictionaryTokens) else F.regexp_extract_all(F.col("text"), F.lit(HAN_RUNS if cjk else r"([\p{L}\p{N}]+)"), F.lit(1))
+    bits = questions.select("query_id", F.explode(F.array_distinct(F.concat(own, F.filter(F.split("text", ""), lambda c: c != "")))).alias("word"))
     inside = F.col("word").rlike(r"\p{IsHan}") & (F.length("word") > 1)
     hits = bits.join(F.broadcast(keywords.where(~inside) if cjk else keywords), "word")
-    if cjk:
-        held = questions.join(F.broadcast(keywords.where(inside)), F.contains("text", "word"))
-        hits = hits.unionByName(held.select(hits.columns))
+    if cjk and (words := [r["word"] for r in keywords.where(inside).select("word").distinct().collect()]):  # configuration
+        hits = hits.unionByName(contained(questions, words).join(F.broadcast(keywords), "word").select(hits.columns))
     return hits.groupBy("query_id", "category_id", "priority", "threshold").agg(F.round(F.sum(F.col("weight") / F.col("group_size")), 6).alias("score"))
 
 
@@ -49,17 +71,67 @@ class Failed(Exception):
     """Every attempt to extract failed; says how the last one did."""
 
 
+def read_answer(raw: str) -> str:
+    """A model's answer as the JSON that parsed_answers takes: a list of records with query (field -> text or null) and
+    filter.doc_ids. The answer is JSON, or holds JSON from its first brace to its last; one object is a list of one. ValueError
+    if it can't be read or a record lacks one of them."""
+    try:
+        got = json.loads(raw)
+    except ValueError:
+        inner = re.search(r"[{][\s\S]*[}]", raw)
+        if not inner:
+            raise ValueError(f"no JSON in the answer: {raw[:200]}") from None
+        try:
+            got = json.loads(inner[0])
+        except ValueError:
+            got = json.loads(f"[{inner[0]}]")
+    out = []
+    for record in got if isinstance(got, list) else [got]:
+        try:
+            ids, query = record["filter"]["doc_ids"], record["query"].items()
+        except (KeyError, TypeError, AttributeError):
+            raise ValueError(f"a record lacks its query or filter: {str(record)[:200]}") from None
+        out.append({"query": {str(k): None if v is None else str(v) for k, v in query}, "filter": {"doc_ids": [str(i) for i in ids or []]}})
+    return json.dumps(out, ensure_ascii=False)
+
+
 def extracted(extractor: Extractor, schema: dict, question: str, attempts: int = 2) -> str:
-    """The raw answer; Failed once every attempt has failed, which the caller turns into a warning and free text."""
+    """The answer as read_answer gives it; an answer that can't be read counts as a failed attempt. Failed once every attempt has
+    failed, which the caller turns into a warning and free text."""
     last: Exception | None = None
     for _ in range(attempts):
         try:
-            return extractor(question, extraction_prompt(schema, question))
+            return read_answer(extractor(question, extraction_prompt(schema, question)) or "")
         except Exception as e:  # whatever the model's client raises
             last = e
     raise Failed(f"{type(last).__name__}: {last}")
 
 
+def extracted_batch(questions: DataFrame, extractor: Extractor, schemas: dict[str, dict], attempts: int = 2) -> DataFrame:
+    """questions (query_id, text, schema_id) -> (query_id, fields, filters, fields_error, filters_error): both answers of each
+    question, or how they failed. The model is asked on the executors, once for each schema that has filters and once for the
+    fields; a failure stays with its question."""
+
+    def asked(text: str, schema: dict, key: str) -> tuple[str | None, str | None]:
+        try:
+            return extracted(extractor, schema | {"fields": schema[key]}, text, attempts), None
+        except Failed as e:
+            return None, str(e)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, text, name in b[["query_id", "text", "schema_id"]].itertuples(index=False):
+                schema = schemas[name]
+                fields, failed = asked(text or "", schema, "fields")
+                filters, unfiltered = asked(text or "", schema, "filters") if schema.get("filters") else (None, None)
+                out.append((i, fields, filters, failed, unfiltered))
+            yield pd.DataFrame(out, columns=["query_id", "fields", "filters", "fields_error", "filters_error"])
+
+    kind = questions.schema["query_id"].dataType.simpleString()
+    return questions.select("query_id", "text", "schema_id").mapInPandas(run, f"query_id {kind}, fields string, filters string, fields_error string, filters_error string")
+
+
 def parsed_answers(raw: F.Column) -> F.Column:
     """array<struct<query map, filter struct<doc_ids>>>: the answer as JSON, or the JSON from its first brace to its last;
     one object counts as a list of one; null if neither parses or a record lacks its query or filter."""
@@ -76,10 +148,16 @@ def with_fallback(fields: F.Column, question: F.Column) -> F.Column:
     return F.coalesce(fields, F.create_map(F.lit("query_text"), question))
 
 
+def _with_schema_fields(df: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """Each row with the fields of its schema_id, or with all where df has none; schemas are configuration."""
+    small = F.broadcast(schema_fields)
+    return df.join(small, "schema_id") if "schema_id" in df.columns else df.crossJoin(small)
+
+
 def query_fields(extracted: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """extracted (query_id, fields map) x schema_fields -> a row for each field with its value. A query without any value
-    gets one placeholder on content instead."""
-    f = extracted.crossJoin(F.broadcast(schema_fields)).withColumn("value", F.expr("try_element_at(fields, field_name)"))
+    """extracted (query_id, fields map, perhaps schema_id) x schema_fields -> a row for each field with its value. A query
+    without any value gets one placeholder on content instead."""
+    f = _with_schema_fields(extracted, schema_fields).withColumn("value", F.expr("try_element_at(fields, field_name)"))
     f = f.withColumn("some", F.max(F.col("value").isNotNull()).over(Window.partitionBy("query_id")))
     f = f.select("query_id", F.when(F.col("some"), F.col("field_name")).otherwise("query_text").alias("field_name"), F.when(F.col("some"), F.col("value")).otherwise("PLACEHOLDER").alias("value"), F.when(F.col("some"), F.col("target")).otherwise("content").alias("target"), F.when(F.col("some"), F.col("match_method")).otherwise("substring").alias("match_method"), F.when(F.col("some"), F.col("weight")).otherwise(1.0).alias("weight"), (~F.col("some")).alias("placeholder"))
     return f.where("not placeholder").unionByName(f.where("placeholder").distinct())
@@ -146,10 +224,11 @@ def answer_prompt(qid: F.Column, kind: F.Column, question: F.Column, text: F.Col
 
 
 def filter_groups(answers: DataFrame, filters: DataFrame) -> DataFrame:
-    """answers (query_id, raw) x a schema's filters -> (query_id, filter_ix, field_name, value, target, match_method, weight):
-    a group for each object in the model's answer, with the filters that it fills."""
-    groups = answers.select("query_id", F.posexplode(parsed_answers(F.col("raw")).getField("query")).alias("filter_ix", "fields"))
-    f = groups.crossJoin(F.broadcast(filters)).withColumn("value", F.expr("try_element_at(fields, field_name)"))
+    """answers (query_id, raw, perhaps schema_id) x the schemas' filters -> (query_id, filter_ix, field_name, value, target,
+    match_method, weight): a group for each object in the model's answer, with the filters that it fills."""
+    own = ["query_id", *[c for c in answers.columns if c == "schema_id"]]
+    groups = answers.select(*own, F.posexplode(parsed_answers(F.col("raw")).getField("query")).alias("filter_ix", "fields"))
+    f = _with_schema_fields(groups, filters).withColumn("value", F.expr("try_element_at(fields, field_name)"))
     return f.where("value is not null").select("query_id", "filter_ix", "field_name", "value", "target", "match_method", "weight")
 
 
@@ -216,5 +295,13 @@ def parsed_reply(raw: F.Column) -> F.Column:
 
 
 def skipped(df: DataFrame, n: int, by: str = "qid") -> DataFrame:
-    """df without the first n rows by `by`."""
-    return df.orderBy(by).offset(n)
+    """df without the first n rows by `by`; a row's place is the number of those before it. Only the n rows to leave out are
+    gathered (the n least, kept by each task as it sorts), the others stay where they are."""
+    if n <= 0:
+        return df
+    least = df.select(by).orderBy(F.col(by).asc_nulls_first()).limit(n)
+    last = least.groupBy(by).agg(F.count("*").alias("_gone"))
+    w = Window.partitionBy(by).orderBy(F.lit(1))
+    numbered = df.withColumn("_nth", F.row_number().over(w))
+    kept = numbered.join(F.broadcast(last).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return kept.where("_gone is null or _nth > _gone").drop("_nth", "_by", "_gone")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions.analysis import query_tokens, tokens
+from strataseek.functions.local import local_rows
+from strataseek.operators import language
+from strataseek.operators.vocabulary import deletions, near_terms
 
 # Scoring parameters, boosts, limits and the fields of each channel.
 K1, B = 1.2, 0.75
@@ -29,7 +32,7 @@ def field_terms(fields: DataFrame, alias_targets: bool = False, analyze=tokens)
     spark = fields.sparkSession
     if alias_targets:
         fields = fields.replace(ALIASES, subset=["target"])
-    places = spark.createDataFrame([(c, f) for c, fs in CHANNEL_FIELDS.items() for f in fs], "channel string, field string")
+    places = local_rows(spark, [(c, f) for c, fs in CHANNEL_FIELDS.items() for f in fs], "channel string, field string")
     t = fields.where("value is not null").join(F.broadcast(places), F.col("target") == F.col("field")).withColumn("term", F.explode(query_tokens(F.col("value"), analyze)))
     fuzzy = reduce(lambda c, m: c.when(F.col("match_method") == m[0], m[1]), FUZZY_BOOST.items(), F.when(F.lit(False), 0.0))
     kinds = F.array_compact(F.array(F.struct(F.lit("term").alias("kind"), F.lit(1.0).alias("x")), F.when(fuzzy.isNotNull() & (F.length("term") <= FUZZY_LENGTH), F.struct(F.lit("fuzzy").alias("kind"), fuzzy.alias("x")))))
@@ -41,36 +44,53 @@ def free_text_terms(texts: DataFrame, boost: float = FREE_TEXT_BOOST, analyze=to
     return texts.select("query_id", F.lit("content").alias("channel"), F.lit("content").alias("field"), F.explode(query_tokens(F.col("text"), analyze)).alias("term"), F.lit("term").alias("kind"), F.lit(boost).alias("boost"))
 
 
-def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, prefix: int = 1) -> DataFrame:
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, prefix: int = 1, keys: DataFrame | None = None, words: list[str] | None = None) -> DataFrame:
     """Fuzzy terms (field, term, ...) as the vocabulary's terms at edit distance 0 or 1 that share the first `prefix`
-    characters: an equi-join on field and prefix, then the length band, then the distance."""
-    t = terms.withColumnRenamed("term", "asked").withColumn("p", F.substring("asked", 1, prefix))
-    v = vocabulary.select("field", "term").withColumn("p", F.substring("term", 1, prefix))
-    near = (F.abs(F.length("term") - F.length("asked")) <= 1) & F.levenshtein("asked", "term", 1).between(0, 1)
-    return t.join(v, ["field", "p"]).where(near).drop("p")
-
-
-def asked_only(terms: DataFrame, *tables: DataFrame) -> list[DataFrame]:
-    """Each table's rows of the asked terms: by a filter that reaches sorted files, or by a semi join if there are many."""
-    words = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    characters, by vocabulary.near_terms; the asked term stays as `asked`. keys: the vocabulary's stored deletions; words:
+    the asked terms where they are known and few, whose own deletions are then looked up in the sorted keys."""
+    if keys is not None and words is not None and len(words) <= MOST_TERMS:
+        keys = keys.where(F.col("key").isin(sorted({w[:i] + w[i + 1 :] for w in words for i in range(len(w))} | set(words))))
+    near = near_terms(terms.select("field", "term").distinct(), deletions(vocabulary) if keys is None else keys, prefix)
+    return terms.withColumnRenamed("term", "asked").join(near, ["field", "asked"])
+
+
+def asked_only(terms: DataFrame, *tables: DataFrame, words: list[str] | None = None) -> list[DataFrame]:
+    """Each table's rows of the asked terms: by a filter that reaches sorted files, or by a semi join if there are many. words:
+    the asked terms, where they are known."""
+    if words is None:
+        words = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
     if len(words) <= MOST_TERMS:
         return [t.where(F.col("term").isin(words)) for t in tables]
     return [t.join(terms.select("field", "term").distinct(), ["field", "term"], "left_semi") for t in tables]
 
 
-def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """terms (query_id, channel, field, term, kind, boost) -> (query_id, channel, unit, score). A fuzzy match scores its
-    boost; the statistics are those of the whole index. docs (query_id, unit): restricts queries that have rows there.
+def inside(hits: DataFrame, docs: DataFrame, limited: DataFrame | None = None) -> DataFrame:
+    """The hits (query_id, and what docs have) that lie in their query's docs. Every query is restricted, also one without docs,
+    which has no hits then; with limited (query_id) only the queries named there are."""
+    on = ["query_id", *[c for c in docs.columns if c != "query_id"]]
+    if limited is None:
+        return hits.join(docs, on, "left_semi")
+    marked = hits.join(limited.select("query_id").distinct().withColumn("_limited", F.lit(True)), "query_id", "left")
+    found = marked.join(docs.select(*on).distinct().withColumn("_in", F.lit(True)), on, "left")
+    return found.where("_limited is null or _in").drop("_limited", "_in")
+
+
+def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFrame, docs: DataFrame | None = None, limited: DataFrame | None = None, cut: bool = True, words: list[str] | None = None) -> DataFrame:
+    """terms (query_id, channel, field, term, kind, boost) -> (query_id, channel, unit, score), with the chunk_id and doc_id that
+    postings may have. A fuzzy match scores its boost; the statistics are those of the whole index. docs (query_id and unit or
+    doc_id) and limited: as for inside(). cut: false if postings and statistics are those of the asked terms already; words: as for
+    asked_only().
 
     Postings and statistics are first cut to the asked terms, hits then to the documents; only hits meet the statistics."""
-    post, by_term = asked_only(terms, post, by_term)
-    hits = terms.join(post, ["field", "term"])
+    if cut:
+        post, by_term = asked_only(terms, post, by_term, words=words)
+    own = [c for c in ("chunk_id", "doc_id") if c in post.columns]
+    hits = terms.join(post.drop("positions"), ["field", "term"])
     if docs is not None:
-        limited = docs.select("query_id").distinct()
-        hits = hits.join(docs, ["query_id", "unit"], "left_semi").unionByName(hits.join(limited, "query_id", "left_anti"))
-    hits = hits.join(by_term.select("field", "term", "idf"), ["field", "term"]).join(F.broadcast(by_field), "field")  # a row for each field
+        hits = inside(hits, docs, limited)
+    hits = hits.join(by_term.select("field", "term", "idf"), ["field", "term"]).join(F.broadcast(by_field.select("field", "avgdl")), "field")  # a row for each field
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "channel", "unit").agg(F.sum(F.when(F.col("kind") == "fuzzy", F.col("boost")).otherwise(F.col("boost") * weight)).alias("score"))
+    return hits.groupBy("query_id", "channel", "unit", *own).agg(F.sum(F.when(F.col("kind") == "fuzzy", F.col("boost")).otherwise(F.col("boost") * weight)).alias("score"))
 
 
 def every(units: DataFrame, queries: DataFrame, channel: str = "content") -> DataFrame:
@@ -102,9 +122,12 @@ def normalized(scores: DataFrame) -> DataFrame:
 
 
 def fused(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum over channels; weights (channel, weight) are divided by the sum over the query's active channels."""
-    active = scores.select("query_id", "channel").distinct().join(F.broadcast(weights), "channel").groupBy("query_id").agg(F.sum("weight").alias("all"))
-    s = scores.join(F.broadcast(weights), "channel").join(active, "query_id")
+    """Weighted sum over channels; weights (channel, weight), or each query's own with query_id, are divided by the sum over the
+    query's active channels."""
+    each = ["query_id", "channel"] if "query_id" in weights.columns else ["channel"]
+    w = weights if len(each) > 1 else F.broadcast(weights)  # a row for each channel
+    active = F.array_sort(F.collect_set(F.struct("channel", "weight")).over(Window.partitionBy("query_id")))  # a few channels
+    s = scores.join(w, each).withColumn("all", F.aggregate(active, F.lit(0.0), lambda n, c: n + c["weight"]))
     return s.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") / F.when(F.col("all") == 0, 1.0).otherwise(F.col("all")) * F.col("score")).alias("score"))
 
 
@@ -136,70 +159,36 @@ def linked_neighbours(hits: DataFrame, chunks: DataFrame, n: int, pointer: str,
     return at.withColumn(out, F.array_compact(F.array(*names)) if n else F.array().cast("array<string>")).drop("_at", *[f"_h{i}" for i in range(n)])
 
 
-def parsed(text: str) -> list[tuple[str, tuple[str, ...]]]:
-    """A query string as (sign, tokens): words are required, after OR optional, after NOT or - excluded; a trailing * asks
-    for a prefix; a quoted phrase is one part of several tokens."""
-    import re
-
-    out, sign = [], "+"
-    for quoted, word in re.findall(r'"([^"]*)"|(\S+)', text):
-        if word in ("AND", "OR", "NOT"):
-            sign = {"AND": "+", "OR": "?", "NOT": "-"}[word]
-            if word == "OR" and out and out[-1][0] == "+":
-                out[-1] = ("?", out[-1][1])
-            continue
-        if word.startswith("-") and len(word) > 1:
-            sign, word = "-", word[1:]
-        if quoted:
-            if phrase := tuple(re.findall(r"\w+", quoted.lower())):
-                out.append((sign, phrase))
-        else:
-            star = "*" if word.endswith("*") else ""
-            out += [(sign, (t + star,)) for t in re.findall(r"\w+", word.lower())]
-        sign = "+"
-    return out
-
-
-def phrase_units(places: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
-    """places (field, unit, term, positions) -> unit, field that hold the tokens one after the other: each place, less the
-    token's place in the phrase, is a start; a start that every token has is a match. Token order in the text decides."""
-    at = F.create_map(*[F.lit(x) for t in dict.fromkeys(phrase) for x in (t, ",".join(str(i) for i, u in enumerate(phrase) if u == t))])
-    hits = places.where(F.col("term").isin(*set(phrase))).withColumn("i", F.explode(F.split(at[F.col("term")], ","))).withColumn("p", F.explode("positions"))
-    starts = hits.groupBy("field", "unit", (F.col("p") - F.col("i").cast("int")).alias("start")).agg(F.countDistinct("i").alias("n"))
-    return starts.where(F.col("n") == len(phrase)).select("unit", "field").distinct()
-
-
-def parsed_search(post: DataFrame, text: str, places: DataFrame | None = None) -> DataFrame:
-    """(unit, n_hits): units that satisfy the parsed query in any field; n_hits counts the parts found. Phrases are looked up
-    in places (field, unit, term, positions); without it, a phrase asks for all of its words."""
-    parts = parsed(text)
-    if places is None:
-        parts = [(s, (t,)) for s, ts in parts for t in ts]
-    test = lambda t: F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t
-    words = [(i, ts[0]) for i, (_, ts) in enumerate(parts) if len(ts) == 1]
-    found = [phrase_units(places, ts).select("unit", F.lit(i).alias("part")) for i, (_, ts) in enumerate(parts) if len(ts) > 1]
-    if not parts:
-        return post.select("unit").distinct().withColumn("n_hits", F.lit(0))
-    if words:
-        which = F.array_compact(F.array(*[F.when(test(t), i) for i, t in words]))
-        found.append(post.where(reduce(lambda a, b: a | b, [test(t) for _, t in words])).select("unit", F.explode(which).alias("part")))
-    u = reduce(lambda a, b: a.unionByName(b), found).groupBy("unit").agg(*[F.max((F.col("part") == i).cast("int")).alias(f"h{i}") for i in range(len(parts))])
-    c = lambda sign: [F.col(f"h{i}") for i, (s, _) in enumerate(parts) if s == sign]
-    ok = [x == 1 for x in c("+")] + [x == 0 for x in c("-")]
-    if c("?"):
-        ok.append(reduce(lambda a, b: a | b, [x == 1 for x in c("?")]))
-    return u.where(reduce(lambda a, b: a & b, ok)).select("unit", reduce(lambda a, b: a + b, c("+") + c("?"), F.lit(0)).alias("n_hits"))
-
-
-def direct_search(text: str, fields: list[str], post: DataFrame, by_term: DataFrame, by_field: DataFrame, limit: int = 10, places: DataFrame | None = None) -> DataFrame:
-    """(unit, score, rank): a parsed query over several fields, BM25 of its wanted words, the `limit` best by score and id."""
+def parsed_search(post: DataFrame, text: str, places: DataFrame | None = None, analyze=tokens) -> DataFrame:
+    """(unit, n_hits): units that satisfy a query of operators.language in any field; n_hits counts the wanted parts found.
+    Phrases are looked up in places (field, unit, term, positions); without it, a phrase asks for all of its words. A query that
+    asks for nothing has every unit with postings."""
+    fields = [r["field"] for r in post.select("field").distinct().collect()]  # a row for each field
+    tree = language.parse(text, post.sparkSession, fields, analyze)
+    terms = language.asked_terms(tree, fields, post.select("field", "term").distinct())
+    return language.satisfying(tree, terms, post, post.select("unit").distinct(), places)
+
+
+def direct_search(text: str, fields: list[str], post: DataFrame, by_term: DataFrame, by_field: DataFrame, limit: int = 10, places: DataFrame | None = None, analyze=tokens, grams: DataFrame | None = None, every: DataFrame | None = None, docs: list[str] | None = None) -> DataFrame:
+    """(unit, score, rank): a query of operators.language over several fields, BM25 of its wanted terms, the `limit` best by
+    score and id. analyze: the index's analyzer; grams: the vocabulary's, for patterns; every (unit): all units, else those with
+    postings; docs: only units of these documents (none if it is empty), where postings have doc_id. Phrases are looked up in
+    places, or in postings that have positions."""
     spark = post.sparkSession
-    words = sorted({t for s, ts in parsed(text) if s != "-" for t in ts})
-    exact = [(0, "direct", f, t, "term", 1.0) for f in fields for t in words if not t.endswith("*")]
-    terms = spark.createDataFrame(exact, "query_id long, channel string, field string, term string, kind string, boost double")
-    for t in (t[:-1] for t in words if t.endswith("*")):
-        more = by_term.where(F.col("field").isin(fields) & F.col("term").startswith(t)).select(F.lit(0).cast("long").alias("query_id"), F.lit("direct").alias("channel"), "field", "term", F.lit("term").alias("kind"), F.lit(1.0).alias("boost"))
-        terms = terms.unionByName(more)
-    inside = parsed_search(post.where(F.col("field").isin(fields)), text, places)
-    hits = inside.select("unit").join(bm25(terms.distinct(), post, by_term, by_field).select("unit", F.round("score", 6).alias("score")), "unit", "left").fillna(0.0, ["score"])
+    tree = language.parse(text, spark, fields, analyze)
+    post = post.where(F.col("field").isin(fields))
+    if docs is not None:
+        post = post.where(F.col("doc_id").isin(docs))
+        every = every.where(F.col("doc_id").isin(docs)) if every is not None else None
+    terms = language.asked_terms(tree, fields, by_term, grams)
+    if any(leaf.pattern is not None for leaf, _ in language.leaves(tree)):
+        own, stats = asked_only(terms, post, by_term)
+    else:  # a query's own words
+        words = sorted({t for leaf, _ in language.leaves(tree) for t in leaf.tokens})
+        own, stats = post.where(F.col("term").isin(words)), by_term.where(F.col("term").isin(words))
+    places = places if places is not None else own if "positions" in own.columns else None
+    found = language.satisfying(tree, terms, own, post.select("unit").distinct() if every is None else every, places)
+    wanted = terms.where("wanted").groupBy("field", "term").agg(F.sum("boost").alias("boost")).select(F.lit(0).cast("long").alias("query_id"), F.lit("direct").alias("channel"), "field", "term", F.lit("term").alias("kind"), "boost")
+    scores = bm25(wanted, own, stats, by_field, cut=False).select("unit", F.round("score", 6).alias("score"))
+    hits = found.select("unit").join(scores, "unit", "left").fillna(0.0, ["score"])
     return hits.orderBy(F.col("score").desc(), "unit").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "unit")))  # limit rows

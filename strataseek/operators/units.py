@@ -55,6 +55,24 @@ def places(units: DataFrame, unit: str, fields: list[str], analyze=tokens) -> Da
     return t.select("field", "unit", F.posexplode("words").alias("p", "term")).groupBy("field", "unit", "term").agg(F.array_sort(F.collect_list("p")).alias("positions"))
 
 
+def indexed(units: DataFrame, unit: str, fields: list[str], analyze=tokens) -> DataFrame:
+    """(field, unit, chunk_id, doc_id, term, tf, dl, positions): postings that say where they are. Units have a doc_id, and a
+    chunk_id unless they are documents."""
+    each = [F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("words")) for f in fields]
+    chunk = F.col("chunk_id") if "chunk_id" in units.columns else F.lit(None).cast("string")
+    t = units.select(F.col(unit).alias("unit"), chunk.alias("chunk_id"), "doc_id", F.inline(F.array(*each)))
+    own = ["field", "unit", "chunk_id", "doc_id"]
+    t = t.select(*own, F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("p", "term"))
+    p = t.groupBy(*own, "term", "dl").agg(F.array_sort(F.collect_list("p")).alias("positions"))
+    return p.select(*own, "term", F.size("positions").cast("long").alias("tf"), "dl", "positions")
+
+
+def with_idf(terms: DataFrame, fields: DataFrame) -> DataFrame:
+    """terms (field, term, df) and fields (field, units, total) -> (field, term, df, idf)."""
+    n, df = F.col("units"), F.col("df")
+    return terms.join(F.broadcast(fields.select("field", "units")), "field").select("field", "term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))  # a row for each field
+
+
 def statistics(post: DataFrame, units: int | F.Column) -> tuple[DataFrame, DataFrame]:
     """(by term: field, term, df, idf), (by field: field, avgdl)."""
     n = units if isinstance(units, F.Column) else F.lit(units)

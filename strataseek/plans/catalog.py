@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import analysis
+from strataseek.operators import vocabulary
 from strataseek.operators import questions as Q
 from strataseek.operators import search as S
 from strataseek.operators import units
@@ -68,7 +69,7 @@ def _questions(spark, sf_dir):
 
 def _index(units_df, unit, fields, sf_dir, name):
     """(postings, terms, fields) of a table, stored once for the session and read again by every later query."""
-    return D.stored_postings(units_df.sparkSession, D.scratch(units_df.sparkSession, f"{sf_dir}/{name}"), name, units_df, unit, fields)
+    return D.stored_postings(units_df.sparkSession, D.scratch(units_df.sparkSession, f"{sf_dir}/{name}", units_df), name, units_df, unit, fields)
 
 
 def _documents(spark, sf_dir):
@@ -513,7 +514,7 @@ select unit as query_id, round(sum(0.3 * ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 def cjk_search(spark, sf_dir):
     """A phrase inside longer runs of characters, by pairs."""
     t = _chinese(spark, sf_dir)
-    where = D.scratch(spark, f"{sf_dir}/chinese")
+    where = D.scratch(spark, f"{sf_dir}/chinese", t)
     post = D.stored_postings(spark, where, "chinese", t.withColumnRenamed("text", "content"), "query_id", ["content"], analysis.cjk_tokens)
     ask = S.free_text_terms(spark.createDataFrame([(0, _ASK_HAN)], "query_id long, text string"), analyze=analysis.cjk_tokens)
     return S.bm25(ask, *post).select(F.col("unit").alias("query_id"), F.round("score", 6).alias("score"))
@@ -655,3 +656,149 @@ def reverse_map(spark, sf_dir):
     n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.col("n_nationkey").cast("string")))).alias("m"))
     back = Q.reversed_map(F.col("m"))
     return n.select("region", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(back)))).alias("names"))
+
+
+# The query language, filters that hold, vocabularies, dictionaries, extraction on executors, trees
+
+
+@query(f"""with {_PAIRS}, docs as (select item_id as unit, t from h where contains(t, '等待期')),
+post as (select item_id as unit, term, count(*) as tf from pairs group by item_id, term), dl as (select unit, sum(tf) as dl from post group by unit),
+n as (select count(*) as n from benchmark), a as (select sum(dl) / (select n from n) as avgdl from dl), df as (select term, count(*) as df from post group by term),
+hits as (select unit, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from docs join post using (unit) join dl using (unit) join df using (term), n, a where term in ('等待', '待期') group by unit)
+select unit, score, row_number() over (order by score desc, unit)::int as rank from hits qualify rank <= 10""")
+def direct_search_chinese(spark, sf_dir):
+    """A word of three characters, which the index holds as two pairs: they are looked for side by side."""
+    t = _chinese(spark, sf_dir).withColumnRenamed("text", "content")
+    post = D.stored_postings(spark, D.scratch(spark, f"{sf_dir}/chinese", t), "chinese", t, "query_id", ["content"], analysis.cjk_tokens)
+    return S.direct_search("等待期", ["content"], *post, 10, units.places(t, "query_id", ["content"], analysis.cjk_tokens), analysis.cjk_tokens)
+
+
+@query(f"""with {_TURNS}, {_post_sql('turns', 'chunk_id', ['content', 'section_title'])},
+f as (select unit, bool_or(term = 'the') as a, bool_or(term = 'of') as b, bool_or(field = 'section_title' and term = 'to') as c, bool_or(field = 'section_title' and term = 'and') as d, bool_or(starts_with(term, 'der')) as e from post group by unit),
+p as (select distinct unit from (select chunk_id as unit, ' ' || array_to_string({_TOK.format('content')}, ' ') || ' ' as t from turns union all select chunk_id, ' ' || array_to_string({_TOK.format('section_title')}, ' ') || ' ' from turns) where contains(t, ' of the ')),
+inside as (select unit from f left join (select unit, true as ph from p) using (unit) where ((a and b) or coalesce(ph, false)) and (c or d) and not e),
+q(field, term, boost) as (select field, term, boost from (values ('the', 3.0), ('of', 3.0)) x(term, boost), (values ('content'), ('section_title')) y(field) union all values ('section_title', 'to', 1.0), ('section_title', 'and', 1.0)),
+hits as (select unit, round(sum(boost * {_BM25}), 6) as score from q join post using (field, term) join by_term using (field, term) join by_field using (field) where unit in (select unit from inside) group by unit)
+select unit, score, row_number() over (order by score desc, unit)::int as rank from hits qualify rank <= 20""")
+def nested_query(spark, sf_dir):
+    """Groups, a phrase, boosts, a field and a pattern left out, nested."""
+    t, i = _turns(spark, sf_dir), _turn_index(spark, sf_dir)
+    places = units.places(t, "chunk_id", ["content", "section_title"])
+    return S.direct_search('((the AND of) OR "of the"^2) section_title:(to OR and) -der*', ["content", "section_title"], i["postings"], i["terms"], i["fields"], 20, places)
+
+
+@query(f"with {_post_sql('documents', 'doc_id', ['text'])}, hits as (select unit from post where term = 'the') select 0::bigint as query_id, count(*) as n from hits having n > 0 union all select 1, count(*) from hits join documents on doc_id = unit where lang = 'de' having count(*) > 0")
+def filtered_queries(spark, sf_dir):
+    """One query without a filter, one restricted to some documents, one to documents that aren't there, which finds nothing."""
+    ask = spark.range(3).select(F.col("id").alias("query_id"), F.lit("content").alias("channel"), F.lit("text").alias("field"), F.lit("the").alias("term"), F.lit("term").alias("kind"), F.lit(1.0).alias("boost"))
+    d = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.lit(1).cast("long").alias("query_id"), F.col("doc_id").alias("unit"))
+    docs = d.unionByName(spark.createDataFrame([(2, -1)], "query_id long, unit long"))
+    limited = spark.createDataFrame([(1,), (2,)], "query_id long")
+    return S.bm25(ask, *_documents(spark, sf_dir), docs=docs, limited=limited).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+# by characters, which the engine's own edit distance doesn't count
+_WITHOUT = "list_contains(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), {1})"
+_ONE_EDIT = f"case length(asked) - length(term) when 0 then len(list_filter(range(1, length(term) + 1), lambda i: substr(asked, i, 1) <> substr(term, i, 1))) <= 1 when 1 then {_WITHOUT.format('asked', 'term')} when -1 then {_WITHOUT.format('term', 'asked')} else false end"
+
+
+@query(f"with v as (select distinct unnest({_TOK.format('text')}) as term from documents), q as (select distinct term as asked from (select unnest({_TOK.format('text')}) as term from benchmark) where length(term) <= 4) select asked, term from q, v where {_ONE_EDIT}")
+def fuzzy_any_start(spark, sf_dir):
+    """Terms one edit away, whatever their first characters."""
+    ask = _questions(spark, sf_dir).select(F.lit("text").alias("field"), F.explode(analysis.tokens(F.col("text"))).alias("term")).where("length(term) <= 4").distinct()
+    keys = vocabulary.deletions(_documents(spark, sf_dir)[1], S.FUZZY_LENGTH + 1)
+    return vocabulary.near_terms(ask, keys, prefix=0).select("asked", "term")
+
+
+_PATTERNS = {"*ance": "^.*ance$", "in*r": "^in.*r$", "?a?e*": "^.a.e.*$", "*o*": "^.*o.*$", "qu*": "^qu.*$"}
+
+
+@query(f"with v as (select distinct unnest({_TOK.format('text')}) as term from documents), q(pattern, r) as (values {', '.join(map(repr, _PATTERNS.items()))}) select pattern, count(*) as n, min(term) as first, max(term) as last from q, v where regexp_matches(term, r) group by pattern")
+def pattern_terms(spark, sf_dir):
+    """Terms by beginnings, ends and what lies within, looked up by their grams."""
+    terms = _documents(spark, sf_dir)[1]
+    where = D.scratch(spark, f"{sf_dir}/documents", table(spark, sf_dir, "documents"))
+    grams = D.stored_index(spark, where, {"documents_grams": vocabulary.grams(terms).repartitionByRange("gram").sortWithinPartitions("gram")})["documents_grams"]
+    out = None
+    for p in _PATTERNS:
+        found = vocabulary.pattern_terms(p, terms, grams).groupBy().agg(F.count("*").alias("n"), F.min("term").alias("first"), F.max("term").alias("last")).select(F.lit(p).alias("pattern"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out.where("n > 0")
+
+
+_DICT = {"保险": 50, "合同": 40, "保险合同": 3, "等待": 10, "等待期": 20, "期九": 2, "九十": 15, "九十天": 8, "十天": 9, "同等": 5}
+_DICT_COSTS = analysis.word_costs(_DICT)
+_SEGMENTED = f"""h as (select item_id, {_HAN_SQL} as t from benchmark), hr as (select row_number() over () as r, item_id, w from (select item_id, unnest({_HAN_WORDS}) as w from h)),
+m as (select map([{', '.join(repr(w) for w in _DICT_COSTS if w)}], [{', '.join(str(c) for w, c in _DICT_COSTS.items() if w)}]) as m),
+path(r, w, i, costs, ends) as (
+  select r, w, length(w), [0::bigint], [0::bigint] from hr where regexp_matches(w, '^\\p{{Han}}+$')
+  union all
+  select r, w, i - 1, list_prepend(best[1], costs), list_prepend(-best[2], ends) from (
+    select r, w, i, costs, ends, list_min(list_filter(list_transform(range(i, least(length(w), i + {max(map(len, _DICT_COSTS)) - 1}) + 1),
+      lambda j: [coalesce(m[substr(w, i, j - i + 1)]::bigint, case when j = i then {_DICT_COSTS[""]}::bigint end) + costs[j - i + 1], -j]), lambda x: x[1] is not null)) as best
+    from path, m where i > 0)),
+words(r, w, i, ends, term) as (
+  select r, w, 1::bigint, ends, null::varchar from path where i = 0
+  union all
+  select r, w, ends[i] + 1, ends, substr(w, i, ends[i] - i + 1) from words where i <= length(w)),
+terms as (select item_id, term from words join hr using (r) where term is not null union all select item_id, w from hr where not regexp_matches(w, '^\\p{{Han}}+$'))""".replace("\\\\", "\\")
+
+
+@query(f"with recursive {_SEGMENTED} select item_id as query_id, term, count(*) as tf from terms group by item_id, term")
+def dictionary_tokens(spark, sf_dir):
+    """Segmentation by a dictionary: the cheapest path of each run's lattice."""
+    analyze = analysis.DictionaryTokens(_DICT)
+    return _chinese(spark, sf_dir).select("query_id", F.explode(analyze(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(f"with recursive {_SEGMENTED}, k(category_id, priority, threshold, size, word) as (values ('term', 0, 0.5, 2, '等待期'), ('term', 0, 0.5, 2, '九十天'), ('cover', 1, 0.25, 3, '保险'), ('cover', 1, 0.25, 3, '合同'), ('cover', 1, 0.25, 3, '天')), hit as (select distinct item_id, word from (select item_id, term as word from terms union all select item_id, unnest(string_split(t, '')) from h)), s as (select item_id, category_id, priority, threshold, round(sum(1.0 / size), 6) as score from hit join k using (word) group by all), b as (select * from s where score >= threshold qualify row_number() over (partition by item_id order by score desc, priority) = 1) select h.item_id as query_id, coalesce(category_id, 'none') as category_id, coalesce(score, 0.0)::double as score from h left join b using (item_id)")
+def dictionary_classify(spark, sf_dir):
+    keys = [{"id": "term", "classification": {"method": "keyword", "threshold": 0.5, "keywords": [{"words": ["等待期", "九十天"], "weight": 1.0}]}}, _HAN_KEYS[1]]
+    return Q.classified(_chinese(spark, sf_dir), D.keyword_table(spark, keys), "none", analysis.DictionaryTokens(_DICT))
+
+
+_LOOKED_FOR = ["the", "of the", "an", "er d", "nothing like this", "a"]
+
+
+@query(f"with k as (select unnest({_LOOKED_FOR!r}) as word) select doc_id as query_id, word from documents, k where contains(text, word)")
+def contained_words(spark, sf_dir):
+    """Which of a list's words each document contains, by one automaton."""
+    d = table(spark, sf_dir, "documents")
+    return Q.contained(d.select(F.col("doc_id").alias("query_id"), "text"), _LOOKED_FOR)
+
+
+def _model(question, prompt):
+    """Answers by the question's length: no JSON, JSON in talk, JSON, a record without its filter."""
+    answer = '{"query": {"query_text": "%d", "topic": null}, "filter": {"doc_ids": []}}' % len(question)
+    return ("no idea", f"It is {answer}.", f"[{answer}, {answer}]", '{"query": {}}')[len(question) % 4]
+
+
+@query("select item_id as query_id, case length(text) % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 0 end::int as n_groups, case when length(text) % 4 in (1, 2) then length(text)::varchar end as first_text, length(text) % 4 in (0, 3) as failed from benchmark")
+def batch_extraction(spark, sf_dir):
+    """All questions' answers from a model, read on the executors; ones that can't be read are asked again, then kept as failed."""
+    schemas = {"s": {"fields": [{"field_name": "query_text", "field_type": "string", "description": "words"}]}}
+    q = _questions(spark, sf_dir).withColumn("schema_id", F.lit("s"))
+    got = Q.extracted_batch(q, _model, schemas).withColumn("g", F.coalesce(Q.parsed_answers(F.col("fields")), F.array()))
+    return got.select("query_id", F.size("g").alias("n_groups"), F.get("g", 0)["query"]["query_text"].alias("first_text"), F.col("fields_error").isNotNull().alias("failed"))
+
+
+@query(f"""with v as (select item_id as query_id, unnest(list_distinct({_TOK.format('text')}[1:6])) as term, item_id % 4 as m from benchmark),
+t as (select query_id, term, 'term' as kind, 0.5::double as boost, m from v union all select query_id, term, 'fuzzy', case m when 0 then 0.3 else 0.25 end, m from v where m in (0, 1) and length(term) <= 4)
+select query_id, case m when 3 then 'content' else 'title' end as channel, case m when 3 then 'content' else 'section_title' end as field, term, kind, boost from t""")
+def match_methods(spark, sf_dir):
+    """Each question's first words by one of the match methods."""
+    m = F.col("query_id") % 4
+    value = F.array_join(F.array_distinct(F.slice(analysis.tokens(F.col("text")), 1, 6)), " ")
+    f = _questions(spark, sf_dir).select("query_id", value.alias("value"), F.when(m == 3, "content").otherwise("section_title").alias("target"), F.when(m == 0, "exact_then_fuzzy").when(m == 1, "fuzzy").when(m == 2, "substring").otherwise("other").alias("match_method"), F.lit(0.5).alias("weight"))
+    return S.field_terms(f).select("query_id", "channel", "field", "term", "kind", F.round("boost", 6).alias("boost"))
+
+
+@query("with s as (select r_name, n_name, s_name from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey) select distinct 'world' as path, 1 as level from s union all select distinct 'world/' || r_name, 2 from s union all select distinct 'world/' || r_name || '/' || n_name, 3 from s union all select 'world/' || r_name || '/' || n_name || '/' || s_name, 4 from s")
+def tree_sections(spark, sf_dir):
+    """Trees as JSON text, to their sections by path."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = s.groupBy("r_name", "n_name").agg(F.collect_list(F.struct(F.col("s_name").alias("title"))).alias("children"))
+    r = n.groupBy("r_name").agg(F.collect_list(F.struct(F.col("n_name").alias("title"), "children")).alias("children"))
+    w = r.agg(F.collect_list(F.struct(F.col("r_name").alias("title"), "children")).alias("children"))
+    d = w.where(F.size("children") > 0).select(F.lit("d").alias("doc_id"), F.array(F.to_json(F.struct(F.lit("world").alias("title"), "children"))).alias("doc_tree"))
+    return D.sections(d).select(F.array_join("path", "/").alias("path"), "level")

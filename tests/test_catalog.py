@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "nation customer supplier part orders events documents pages benchmark conversations".split():
+    for t in "region nation customer supplier part orders events documents pages benchmark conversations".split():
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

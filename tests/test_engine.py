@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from conftest import document
 from pyspark.sql import functions as F
 
 from strataseek.functions import analysis
@@ -50,23 +51,6 @@ def test_options_and_config():
     assert D.categories("categories:\n  - {id: x}\n") == [] and set(D.schemas()) == {"growth", "money", "policy", "general"}
 
 
-def document(i, text, latest=False):
-    chunk = lambda k: {"chunk_id": f"d{i}_chunk_{k}_v1", "section_title": f"Section {k}", "section_path": f"A / {k}", "content": f"{text} part {k}", "chunk_index": k, "prev_chunk_id": f"d{i}_chunk_{k - 1}_v1" if k else None, "next_chunk_id": f"d{i}_chunk_{k + 1}_v1" if k < 2 else None, "entities": [{"name": f"Firm {i}", "desc": None}], "relations": [{"subject": "", "predicate": "covers", "object": text}], "doc_tree": {"title": "t", "children": []} if not k else None}
-    return {"doc_id": f"d{i}", "doc_type": "REG", "version_ts": 1, "structured_data": {"insurer": "Acme", "contract_name": text}, "chunks": [chunk(k) for k in range(3)]}
-
-
-@pytest.fixture
-def folder(tmp_path):
-    for i, text in enumerate(["flood damage", "fire damage", "theft"]):
-        d = tmp_path / "docs" / f"d{i}"
-        d.mkdir(parents=True)
-        for name in (f"d{i}_v1.json", "latest.json"):
-            (d / name).write_text(json.dumps(document(i, text)))
-    (tmp_path / "docs" / "bad.json").write_text("{")
-    (tmp_path / "docs" / "empty.json").write_text(json.dumps({"doc_id": "e", "chunks": []}))
-    return tmp_path
-
-
 def test_documents(spark, folder):
     assert {r.doc_id for r in D.json_documents(spark, str(folder / "docs")).collect()} == {"d0", "d1", "d2"}
     assert D.insurance_documents(spark, str(folder / "docs")).count() == 3
@@ -118,13 +102,6 @@ def test_chinese(spark, tmp_path):
     assert r.classify(asked) == "fire" and r.classify("火灾的损失") == "general"
 
 
-def test_stream(spark, folder):
-    q = index_stream(spark, str(folder / "docs" / "d0"), str(folder / "live"), str(folder / "cp"))
-    q.awaitTermination(120)
-    chunks = spark.read.parquet(str(folder / "live/chunks"))
-    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 3
-
-
 def test_stream_takes_what_a_scan_takes(spark, folder):
     """No latest copies, versions, broken files, documents without chunks or without a tree."""
     (folder / "docs/d0/versions").mkdir()
@@ -132,8 +109,9 @@ def test_stream_takes_what_a_scan_takes(spark, folder):
     bare = document(7, "no tree")
     bare["chunks"][0]["doc_tree"] = None
     (folder / "docs/bare.json").write_text(json.dumps(bare))
-    index_stream(spark, str(folder / "docs"), str(folder / "live2"), str(folder / "cp2")).awaitTermination(120)
-    assert spark.read.parquet(str(folder / "live2/chunks")).count() == 9
+    index_stream(spark, str(folder / "docs"), str(folder / "live"), str(folder / "cp")).awaitTermination(120)
+    chunks = Retriever(spark, str(folder / "docs"), str(folder / "live")).tables["chunks"]
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 9
 
 
 def test_direct_search(spark, folder):
@@ -190,7 +168,7 @@ def test_own_configuration(spark, folder):
     (c / "categories.yaml").write_text("categories:\n  - {id: own, name: Own, schema_file: own.json, classification: {method: keyword, threshold: 0.5, keywords: [{words: [zebra], weight: 1.0}]}}\n  - {id: rest, name: Rest, schema_file: rest.json, classification: {method: default}}\n")
     rest = {"fields": [], "default_channel_weights": dict.fromkeys(("entity_channel", "relation_channel", "title_channel", "content_channel"), 1.0)}
     (c / "schemas/rest.json").write_text(json.dumps(rest))
-    r = Retriever(spark, str(folder / "docs"), str(folder / "index"), config=str(c))
+    r = Retriever(spark, str(folder / "docs"), str(folder / "plain"), config=str(c))
     assert r.classify("a zebra") == "own" and r.classify("none") == "rest" and r.schema_of("own") == rest
 
 
