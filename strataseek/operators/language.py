@@ -9,7 +9,8 @@
     thef*  *ance  in?r     patterns: * any characters, ? one
     (...)                  groups, nested
 
-Words are read by the analyzer of the index; a word of several tokens is looked for as a phrase. A word without tokens asks for
+Words are read by the analyzer of the index; a word of several tokens is looked for as a phrase (pairs
+of characters side by side may also come from two runs, one ending as the next begins). A word without tokens asks for
 nothing, a name before a colon that is no searched field is a word, and brackets left open end with the query."""
 
 from __future__ import annotations

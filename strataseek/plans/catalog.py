@@ -661,16 +661,18 @@ def reverse_map(spark, sf_dir):
 # The query language, filters that hold, vocabularies, dictionaries, extraction on executors, trees
 
 
-@query(f"""with {_PAIRS}, docs as (select item_id as unit, t from h where contains(t, '等待期')),
+@query(f"""with {_PAIRS}, rows as (select item_id as unit, flatten(list_transform({_HAN_WORDS}, lambda w: case when regexp_matches(w, '^\\p{{Han}}{{2,}}$') then list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) else [w] end)) as words from h),
+docs as (select unit from rows where contains(' ' || array_to_string(words, ' ') || ' ', ' 九等 等保 ')),
 post as (select item_id as unit, term, count(*) as tf from pairs group by item_id, term), dl as (select unit, sum(tf) as dl from post group by unit),
 n as (select count(*) as n from benchmark), a as (select sum(dl) / (select n from n) as avgdl from dl), df as (select term, count(*) as df from post group by term),
-hits as (select unit, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from docs join post using (unit) join dl using (unit) join df using (term), n, a where term in ('等待', '待期') group by unit)
+hits as (select unit, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from docs join post using (unit) join dl using (unit) join df using (term), n, a where term in ('九等', '等保') group by unit)
 select unit, score, row_number() over (order by score desc, unit)::int as rank from hits qualify rank <= 10""")
 def direct_search_chinese(spark, sf_dir):
-    """A word of three characters, which the index holds as two pairs: they are looked for side by side."""
+    """A word of three characters, which the index holds as two pairs: they are looked for side by side (which two runs of
+    characters, one after the other, may be as well)."""
     t = _chinese(spark, sf_dir).withColumnRenamed("text", "content")
     post = D.stored_postings(spark, D.scratch(spark, f"{sf_dir}/chinese", t), "chinese", t, "query_id", ["content"], analysis.cjk_tokens)
-    return S.direct_search("等待期", ["content"], *post, 10, units.places(t, "query_id", ["content"], analysis.cjk_tokens), analysis.cjk_tokens)
+    return S.direct_search("九等保", ["content"], *post, 10, units.places(t, "query_id", ["content"], analysis.cjk_tokens), analysis.cjk_tokens)
 
 
 @query(f"""with {_TURNS}, {_post_sql('turns', 'chunk_id', ['content', 'section_title'])},
@@ -726,7 +728,7 @@ def pattern_terms(spark, sf_dir):
     return out.where("n > 0")
 
 
-_DICT = {"保险": 50, "合同": 40, "保险合同": 3, "等待": 10, "等待期": 20, "期九": 2, "九十": 15, "九十天": 8, "十天": 9, "同等": 5}
+_DICT = {"保险": 50, "合同": 40, "保险合同": 3, "等待": 10, "等待期": 20, "期九": 2, "九十": 15, "九十天": 8, "十天": 9, "同等": 5, "九等": 12, "等保": 9, "九等保": 3, "保九": 4}
 _DICT_COSTS = analysis.word_costs(_DICT)
 _SEGMENTED = f"""h as (select item_id, {_HAN_SQL} as t from benchmark), hr as (select row_number() over () as r, item_id, w from (select item_id, unnest({_HAN_WORDS}) as w from h)),
 m as (select map([{', '.join(repr(w) for w in _DICT_COSTS if w)}], [{', '.join(str(c) for w, c in _DICT_COSTS.items() if w)}]) as m),
