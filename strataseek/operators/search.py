@@ -84,13 +84,24 @@ def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFr
     Postings and statistics are first cut to the asked terms, hits then to the documents; only hits meet the statistics."""
     if cut:
         post, by_term = asked_only(terms, post, by_term, words=words)
-    own = [c for c in ("chunk_id", "doc_id") if c in post.columns]
     hits = terms.join(post.drop("positions"), ["field", "term"])
     if docs is not None:
         hits = inside(hits, docs, limited)
     hits = hits.join(by_term.select("field", "term", "idf"), ["field", "term"]).join(F.broadcast(by_field.select("field", "avgdl")), "field")  # a row for each field
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "channel", "unit", *own).agg(F.sum(F.when(F.col("kind") == "fuzzy", F.col("boost")).otherwise(F.col("boost") * weight)).alias("score"))
+    return summed(hits)
+
+
+def matched(boost: Column | str, tf: Column | str, dl: Column | str) -> Column:
+    """What a match adds to the score: its boost if it is fuzzy, else that times BM25 of the term, by idf and avgdl."""
+    boost, tf, dl = (F.col(c) if isinstance(c, str) else c for c in (boost, tf, dl))
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    return F.when(F.col("kind") == "fuzzy", boost).otherwise(boost * weight)
+
+
+def summed(hits: DataFrame) -> DataFrame:
+    """Hits with their term's statistics -> (query_id, channel, unit, score), with the chunk_id and doc_id they may have."""
+    own = [c for c in ("chunk_id", "doc_id") if c in hits.columns]
+    return hits.groupBy("query_id", "channel", "unit", *own).agg(F.sum(matched("boost", "tf", "dl")).alias("score"))
 
 
 def every(units: DataFrame, queries: DataFrame, channel: str = "content") -> DataFrame:

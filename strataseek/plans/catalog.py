@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import analysis
-from strataseek.operators import vocabulary
+from strataseek.operators import bounds, vocabulary
 from strataseek.operators import questions as Q
 from strataseek.operators import search as S
 from strataseek.operators import units
@@ -76,6 +76,14 @@ def _documents(spark, sf_dir):
     return _index(table(spark, sf_dir, "documents"), "doc_id", ["text"], sf_dir, "documents")
 
 
+def _lists(spark, sf_dir):
+    """The documents' packed lists, stored once for the session, in order of field, term and range."""
+    where = D.scratch(spark, f"{sf_dir}/documents", table(spark, sf_dir, "documents"))
+    lists = bounds.packed(_documents(spark, sf_dir)[0])
+    order = ("field", "term", "range")
+    return D.stored_index(spark, where, {"documents_lists": lists.repartitionByRange(*order).sortWithinPartitions(*order)})["documents_lists"]
+
+
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _CHUNKS = r"""chunks as (
   select doc_id || '_chunk_' || (i - 1) as chunk_id, doc_id, l[1] as section_title, l[i] as content, (i - 1)::int as chunk_index
@@ -188,6 +196,16 @@ def bm25_topk(spark, sf_dir):
     return S.ranked(h, ["query_id"], 10).select(F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {_post_sql('documents', 'doc_id', ['text'])}, q as (select item_id as query_id, unnest({_TOK.format('text')}) as term from benchmark), hits as (select query_id, unit, round(sum({_BM25}), 6) as score from q join post using (term) join by_term using (field, term) join by_field using (field) group by query_id, unit) select query_id, unit as doc_id, score, row_number() over (partition by query_id order by score desc, unit)::int as rank from hits qualify rank <= 10")
+def bounded_topk(spark, sf_dir):
+    """All questions' 10 best documents, by ranges that can reach them."""
+    q = _questions(spark, sf_dir)
+    ask = S.free_text_terms(q, 1.0).withColumn("field", F.lit("text"))
+    _, terms, fields = _documents(spark, sf_dir)
+    h = bounds.reaching(ask, _lists(spark, sf_dir), terms, fields, 10)
+    return S.ranked(h, ["query_id"], 10).select("query_id", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(_DOCS + " select unit as doc_id, score, row_number() over (order by score desc, unit)::int as rank from hits where unit in (select doc_id from documents where lang = 'de') qualify rank <= 10")
 def bm25_doc_filtered(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

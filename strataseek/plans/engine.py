@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strataseek.functions.local import brought_here, local_rows
+from strataseek.operators import bounds
 from strataseek.operators import questions as Q
 from strataseek.operators import search as S
 from strataseek.sources import documents as D
@@ -36,11 +37,15 @@ def structured_search(terms: DataFrame, index: dict[str, DataFrame], weights: Da
     doc_id) unless postings have chunk_id and doc_id themselves. Hits are limited in each channel, folded to chunks, normalized,
     fused, and cut. tokenless (query_id): queries whose free text has no tokens; every chunk matches their content. docs
     (query_id, doc_id) restrict all queries, or with limited (query_id) those named there; a restricted query without docs finds
-    nothing. weights: as for search.fused; words: as for search.asked_only."""
+    nothing. weights: as for search.fused; words: as for search.asked_only. With packed lists in the index (operators.bounds),
+    channels of few hits open only the ranges that can reach these."""
     own = "chunk_id" in index["postings"].columns
     owner = None if own else index["owner"]
     post = index["postings"] if own or docs is None else index["postings"].join(owner.select("unit", "doc_id"), "unit")
-    hits = S.bm25(terms, post, index["terms"], index["fields"], docs, limited, words=words)
+    few = F.col("channel").isin([c for c, n in S.CHANNEL_LIMIT.items() if n == S.CHANNEL_LIMIT["content"]])
+    hits = S.bm25(terms.where(~few) if "lists" in index else terms, post, index["terms"], index["fields"], docs, limited, words=words)
+    if "lists" in index:
+        hits = hits.unionByName(bounds.reaching(terms.where(few), index["lists"], index["terms"], index["fields"], S.CHANNEL_LIMIT["content"], docs, limited, words, index.get("dead")))
     hits = hits.select("query_id", "channel", "unit", *(["chunk_id"] if own else []), "score")
     if tokenless is not None:
         chunks = index["chunks"] if own else owner.where("unit = chunk_id").select("chunk_id", "doc_id")
@@ -66,14 +71,15 @@ class Retriever:
     """Over a folder of JSON documents, indexed under index_path (sources.store). kind: default or insurance (with metadata).
     analyzer: cjk, which reads Chinese as pairs of characters and other text as words, words, or dictionary, which segments
     Chinese by `dictionary` (word -> frequency, or the path of a file as of sources.documents.dictionary); each has an index of
-    its own, and so has each dictionary. config: a folder with categories.yaml and schemas, else the package's."""
+    its own, and so has each dictionary. config: a folder with categories.yaml and schemas, else the package's. bounded: an index built now
+    has packed lists too, by which batches of short questions score a part of the chunks that hold their words."""
 
-    def __init__(self, spark: SparkSession, documents: str, index_path: str, kind: str = "default", extractor: Q.Extractor | None = None, rebuild: bool = False, analyzer: str = "cjk", config: str | None = None, dictionary: dict[str, int] | str | None = None):
+    def __init__(self, spark: SparkSession, documents: str, index_path: str, kind: str = "default", extractor: Q.Extractor | None = None, rebuild: bool = False, analyzer: str = "cjk", config: str | None = None, dictionary: dict[str, int] | str | None = None, bounded: bool = False):
         self.spark, self.documents, self.kind, self.extractor = spark, documents, kind, extractor
         self.index_path, self.analyze = D.index_folder(spark, index_path, analyzer, dictionary)
         self.categories = D.categories(folder=config)
         self.schemas = D.schemas(self.categories, config)
-        self.store = Store(spark, self.index_path, kind, self.analyze)
+        self.store = Store(spark, self.index_path, kind, self.analyze, bounded)
         self.rebuild_index() if rebuild or self.store.manifest() is None else self.refresh()
 
     def rebuild_index(self) -> None:
@@ -217,7 +223,8 @@ class Retriever:
         channels = ("entity", "relation", "title", "content")
         w = local_rows(spark, [(i, c, float(s["default_channel_weights"][f"{c}_channel"])) for i, s in self.schemas.items() for c in channels], "schema_id string, channel string, weight double")
         weights = of_key.select("query_id", "schema_id").join(F.broadcast(w), "schema_id").drop("schema_id")
-        hits = structured_search(terms, self.index, weights, o.top_k, docs, o.min_score, S.tokenless(of_key, self.analyze), limited, words)
+        index = {n: df for n, df in self.index.items() if n != "lists"} if small else self.index  # bounds save rows, and cost stages
+        hits = structured_search(terms, index, weights, o.top_k, docs, o.min_score, S.tokenless(of_key, self.analyze), limited, words)
 
         near, n = hits.withColumnRenamed("query_id", "key").join(self.tables["chunks"], "chunk_id"), o.adjacent_count if o.include_adjacent else 0
         for pointer, out in (("prev_chunk_id", "prev_ids"), ("next_chunk_id", "next_ids")):

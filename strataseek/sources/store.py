@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions.analysis import tokens
-from strataseek.operators import units, vocabulary
+from strataseek.operators import bounds, units, vocabulary
 from strataseek.operators.search import FUZZY_LENGTH
 
 #: The fields of each stored unit, as searches look through them, by table.
@@ -39,16 +39,18 @@ TABLES = {
     "fields": "field string, units long, total long",
     "keys": "field string, key string, term string",
     "grams": "field string, gram string, term string",
+    "lists": "field string, term string, range long, most_tf long, least_dl long, hits array<struct<unit:string,chunk_id:string,doc_id:string,tf:long,dl:long>>",
     "dead": "doc_id string, segment string",
 }
-_EMPTY = {"segments": [], "deletes": [], "streams": {}, "metas": False}
+_EMPTY = {"segments": [], "deletes": [], "streams": {}, "metas": False, "bounded": False}
 
 
 class Store:
-    """kind insurance also has metas. analyze: how fields are read, the same for all segments of a path."""
+    """kind insurance also has metas. analyze: how fields are read, the same for all segments of a path. bounded: an index built
+    anew also has packed lists (operators.bounds); one that is there keeps what it has."""
 
-    def __init__(self, spark: SparkSession, path: str, kind: str = "default", analyze=tokens):
-        self.spark, self.path, self.kind, self.analyze = spark, path.rstrip("/"), kind, analyze
+    def __init__(self, spark: SparkSession, path: str, kind: str = "default", analyze=tokens, bounded: bool = False):
+        self.spark, self.path, self.kind, self.analyze, self.bounded = spark, path.rstrip("/"), kind, analyze, bounded
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -93,7 +95,7 @@ class Store:
             for done in [pool.submit(inheritable_thread_target(self.spark)(self._put), *p) for p in puts]:
                 done.result()
 
-    def _segment(self, tables: dict[str, DataFrame], postings: DataFrame | None = None) -> str:
+    def _segment(self, tables: dict[str, DataFrame], bounded: bool, postings: DataFrame | None = None) -> str:
         """A new segment of unit tables and their postings, by default read from the tables as they were written. Postings are
         kept while they are sampled for ranges and written."""
         name = f"segments/{uuid.uuid4().hex}"
@@ -109,7 +111,8 @@ class Store:
         post, docs = self._read("postings", [name]), self._read("docs", [name])
         self._put_all((post.groupBy("field", "term").agg(F.count("*").alias("df")), f"{name}/terms", "field", "term"), (self._field_sums(docs, post), f"{name}/fields"))
         terms = self._read("terms", [name])
-        self._put_all((vocabulary.deletions(terms, FUZZY_LENGTH + 1), f"{name}/keys", "key"), (vocabulary.grams(terms), f"{name}/grams", "gram"))
+        lists = [(bounds.packed(post, name), f"{name}/lists", "field", "term", "range")] if bounded else []
+        self._put_all((vocabulary.deletions(terms, FUZZY_LENGTH + 1), f"{name}/keys", "key"), (vocabulary.grams(terms), f"{name}/grams", "gram"), *lists)
         return name
 
     def _field_sums(self, docs: DataFrame, post: DataFrame) -> DataFrame:
@@ -132,12 +135,12 @@ class Store:
     def rebuild(self, docs: DataFrame) -> None:
         """An index of these documents alone; streams keep their places."""
         before = self.manifest()
-        self._commit(before, segments=[self._segment(self._tables(docs))], deletes=[], metas=self.kind == "insurance")
+        self._commit(before, segments=[self._segment(self._tables(docs), self.bounded)], deletes=[], metas=self.kind == "insurance", bounded=self.bounded)
 
     def upsert(self, docs: DataFrame, stream: str | None = None, number: int = 0) -> None:
         """Adds documents. One that is there is replaced, unless it has a later version; of several with one id the latest
         version counts. A stream's batch that was taken before changes nothing."""
-        before = self.manifest() or _EMPTY | {"number": 0}
+        before = self.manifest() or _EMPTY | {"number": 0, "bounded": self.bounded}
         if stream is not None and before["streams"].get(stream, -1) >= number:
             return
         w = Window.partitionBy("doc_id").orderBy(F.col("version_ts").desc_nulls_last(), F.xxhash64(F.to_json("chunks")))
@@ -150,10 +153,10 @@ class Store:
                 dead = old.where("_version is null or version_ts >= _version").select("doc_id", "segment")
                 kept = old.where("not coalesce(_version is null or version_ts >= _version, false)").select("doc_id")
                 removed = self._removed(dead, before)
-                segment = self._segment(self._tables(docs.join(kept, "doc_id", "left_anti")))
+                segment = self._segment(self._tables(docs.join(kept, "doc_id", "left_anti")), before.get("bounded", False))
                 changes = {"deletes": [*before["deletes"], removed]}
             else:
-                segment, changes = self._segment(self._tables(docs)), {}
+                segment, changes = self._segment(self._tables(docs), before.get("bounded", False)), {}
         finally:
             docs.unpersist()
         streams = before["streams"] | ({stream: number} if stream is not None else {})
@@ -185,7 +188,7 @@ class Store:
         if before and len(before["segments"]) + len(before["deletes"]) > 1:
             names = [n for n in ("docs", *SEARCHED) if n != "metas" or before["metas"]]
             tables = {n: self._live(n, before).drop("_segment") for n in names}
-            segment = self._segment(tables, self._live("postings", before).drop("_segment"))
+            segment = self._segment(tables, before.get("bounded", False), self._live("postings", before).drop("_segment"))
             self._commit(before, segments=[segment], deletes=[])
 
     def vacuum(self) -> None:
@@ -222,14 +225,18 @@ class Store:
         return {n: self._live(n, told).drop("_segment").select([x.split()[0] for x in TABLES[n].split(", ")]) for n in names}
 
     def index(self) -> dict[str, DataFrame]:
-        """postings, terms (field, term, df, idf), fields (field, units, total, avgdl), and the vocabulary's keys and grams."""
+        """postings, terms (field, term, df, idf), fields (field, units, total, avgdl), the vocabulary's keys and grams. Of a bounded
+        index also lists with their _segment, and the dead documents that these still hold, if there are any."""
         told = self.manifest() or _EMPTY
         parts = [*told["segments"], *told["deletes"]]
         terms, fields = self._read("terms", parts), self._read("fields", parts)
         if len(parts) > 1:
             terms = terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
             fields = fields.groupBy("field").agg(F.sum("units").alias("units"), F.sum("total").alias("total"))
-        return {
+        lists = {"lists": self._live("lists", told | {"deletes": []})} if told.get("bounded") else {}
+        if lists and told["deletes"]:
+            lists["dead"] = self._read("dead", told["deletes"]).withColumnRenamed("segment", "_segment")
+        return lists | {
             "postings": self._live("postings", told).drop("_segment"),
             "terms": units.with_idf(terms, fields),
             "fields": fields.withColumn("avgdl", F.try_divide(F.col("total").cast("double"), "units")),
