@@ -416,24 +416,24 @@ def _report(net: Net):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [(x or b"").decode(errors="replace") for x in batch.column(1).to_pylist()]
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(7)]
                 for base, more in find(texts, net):
                     both = [*base, *more]
-                    row = [sum(s[0] == k for s in both) for k in range(4)] + [hashlib.sha256(_written(base).encode()).hexdigest(), _written(both)]
+                    row = [sum(s[0] == k for s in base) for k in range(4)] + [hashlib.sha256(_written(base).encode()).hexdigest(), _written(both), len(both)]
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone (base and added), base_sha256, spans; one row
-    each. An empty table gives an empty one; extra columns are ignored."""
+    """docs (doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone (of base), base_sha256, spans and n_spans (base and
+    added); one row each. An empty table gives an empty one; extra columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
     docs = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return docs.mapInArrow(lean(lambda b: _report(shared.value)(b)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(lean(lambda b: _report(shared.value)(b)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list) -> str:
