@@ -20,6 +20,10 @@ CHANNEL_FIELDS = {"title": ["section_title", "section_path"], "content": ["conte
 CHANNEL_LIMIT = {"title": 20, "content": 20, "entity": 10000, "relation": 10000, "meta": 10000}
 #: Up to so many distinct asked terms, postings are read by term (pushed to the files); beyond, they are joined.
 MOST_TERMS = 2000
+#: Up to so many asked terms, each query's own, with their statistics go to every task that reads postings; beyond, they are joined.
+MOST_ASKED = 200_000
+#: Matches (a query's term in a unit) that one task scores, about.
+MATCHES = 2_000_000
 #: Names that schemas use for channel fields, followed only on request.
 ALIASES = {"entity_name": "name", "entity_names": "name", "relation_predicates": "predicate"}
 
@@ -81,16 +85,28 @@ def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFr
     doc_id) and limited: as for inside(). cut: false if postings and statistics are those of the asked terms already; words: as for
     asked_only().
 
-    Postings and statistics are first cut to the asked terms, hits then to the documents; only hits meet the statistics."""
+    Postings and statistics are first cut to the asked terms, hits then to the documents. The asked terms' document frequencies
+    tell how many matches there are: many are dealt by unit before the queries meet them, so that what is shuffled is a posting for
+    all queries, a unit's scores are summed where they arise, and no task holds more than its share however many units there are."""
     if cut:
         post, by_term = asked_only(terms, post, by_term, words=words)
-    hits = terms.join(post.drop("positions"), ["field", "term"])
+    asked = with_statistics(terms, by_term, by_field)
+    rows, matches = asked.agg(F.count("*"), F.sum("df")).first()
+    few = rows <= MOST_ASKED
+    if docs is None and few and (matches or 0) > MATCHES:
+        post = post.repartition(max(-(-matches // MATCHES), post.sparkSession.sparkContext.defaultParallelism), "unit")
+    asked = asked.drop("df")
+    hits = post.drop("positions").join(F.broadcast(asked) if few else asked, ["field", "term"])
     if docs is not None:
         hits = inside(hits, docs, limited)
-    hits = hits.join(by_term.select("field", "term", "idf"), ["field", "term"]).join(F.broadcast(by_field.select("field", "avgdl")), "field")  # a row for each field
     return summed(hits)
 
 
+def with_statistics(terms: DataFrame, by_term: DataFrame, by_field: DataFrame) -> DataFrame:
+    """Asked terms with df, idf and avgdl; those that no unit holds fall out."""
+    return terms.join(by_term.select("field", "term", "df", "idf"), ["field", "term"]).join(F.broadcast(by_field.select("field", "avgdl")), "field")  # a row for each field
+
+
 def matched(boost: Column | str, tf: Column | str, dl: Column | str) -> Column:
     """What a match adds to the score: its boost if it is fuzzy, else that times BM25 of the term, by idf and avgdl."""
     boost, tf, dl = (F.col(c) if isinstance(c, str) else c for c in (boost, tf, dl))
@@ -177,7 +193,10 @@ def parsed_search(post: DataFrame, text: str, places: DataFrame | None = None, a
     fields = [r["field"] for r in post.select("field").distinct().collect()]  # a row for each field
     tree = language.parse(text, post.sparkSession, fields, analyze)
     terms = language.asked_terms(tree, fields, post.select("field", "term").distinct())
-    return language.satisfying(tree, terms, post, post.select("unit").distinct(), places)
+    own = post
+    if all(leaf.pattern is None for leaf, _ in language.leaves(tree)):  # a query's own words, by a filter that reaches the files
+        own = post.where(F.col("term").isin(sorted({t for leaf, _ in language.leaves(tree) for t in leaf.tokens})))
+    return language.satisfying(tree, terms, own, post.select("unit").distinct(), places)
 
 
 def direct_search(text: str, fields: list[str], post: DataFrame, by_term: DataFrame, by_field: DataFrame, limit: int = 10, places: DataFrame | None = None, analyze=tokens, grams: DataFrame | None = None, every: DataFrame | None = None, docs: list[str] | None = None) -> DataFrame:

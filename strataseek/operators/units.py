@@ -42,7 +42,7 @@ def metas(docs: DataFrame) -> DataFrame:
 
 
 def postings(units: DataFrame, unit: str, fields: list[str], analyze=tokens) -> DataFrame:
-    """(field, unit, term, tf, dl): one pass over the units; counted within each unit, so nothing is shuffled."""
+    """(field, unit, term, tf, dl): one pass over the units. Where they are partitioned by unit, no posting is shuffled."""
     each = [F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("words")) for f in fields]
     t = units.select(F.col(unit).alias("unit"), F.inline(F.array(*each)))
     return t.select("field", "unit", F.explode("words").alias("term"), F.size("words").cast("long").alias("dl")).groupBy("field", "unit", "term", "dl").agg(F.count("*").alias("tf"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,14 @@ def structured_search(terms: DataFrame, index: dict[str, DataFrame], weights: Da
             found.append(S.every(chunks.select(F.col("chunk_id").alias("unit")).orderBy("unit").limit(S.CHANNEL_LIMIT["content"]), free))
         for f in found:
             hits = hits.unionByName(f.withColumn("chunk_id", F.col("unit")) if own else f)
-    limit = F.create_map(*[F.lit(x) for kv in S.CHANNEL_LIMIT.items() for x in kv])
-    hits = S.ranked(hits.withColumn("score", F.round("score", 6)), ["query_id", "channel"], limit[F.col("channel")])
+    # channels of one limit together: a limit that is a number cuts hits before they are shuffled
+    asked = {r["channel"] for r in terms.select("channel").distinct().collect()} | ({"content"} if tokenless is not None else set())
+    limits = sorted({n for c, n in S.CHANNEL_LIMIT.items() if c in asked}) or [0]
+    hits, parts = hits.withColumn("score", F.round("score", 6)), []
+    for n in limits:
+        some = hits.where(F.col("channel").isin([c for c, m in S.CHANNEL_LIMIT.items() if m == n])) if len(limits) > 1 else hits
+        parts.append(S.ranked(some, ["query_id", "channel"], n))
+    hits = reduce(DataFrame.unionByName, parts)
     best = hits.groupBy("query_id", "channel", "chunk_id").agg(F.max("score").alias("score")) if own else S.best_per_chunk(hits, owner.select("unit", "chunk_id"))
     return S.top(S.fused(S.normalized(best), weights), top_k, least)
 

@@ -182,18 +182,32 @@ def stored_index(spark: SparkSession, path: str, tables: dict[str, DataFrame], r
     return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
+#: Bytes of a table's files whose postings make a file, about.
+PART_BYTES = 4 << 20
+
+
+def _parts(df: DataFrame) -> int:
+    """Into how many parts a table is dealt, by the size of its files; small tables by the cores there are."""
+    spark, size = df.sparkSession, 0
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return max(-(-size // PART_BYTES), min(cores, -(-size // (1 << 20))), 1) if files else cores
+
+
 def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str], analyze=tokens, rebuild: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, terms with df and idf, fields with avgdl) of a table's units, stored under path; the first two in order of
-    field and term, so that a filter on terms skips files and row groups. Ranges end within a term too, so a term that most
-    units hold spreads over many. Postings are kept while they are sampled for the ranges and then written."""
-    order = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
-    raw = units.postings(table, unit, fields, analyze).persist()
-    try:
-        post = stored_index(spark, path, {f"{name}_postings": order(raw, "field", "term", "unit")}, rebuild)[f"{name}_postings"]
-    finally:
-        raw.unpersist()
+    """(postings, terms with df and idf, fields with avgdl) of a table's units, stored under path.
+
+    The units are dealt by a hash to parts of about PART_BYTES of the table's files, and each part's postings are counted and
+    sorted by field and term where it is read: what moves is the text, once, and not its postings. A filter on terms skips the
+    other pages of each file; a term that most units hold spreads over all files."""
+    dealt = table.select(unit, *fields).repartition(_parts(table), unit)
+    raw = units.postings(dealt, unit, fields, analyze).sortWithinPartitions("field", "term", "unit")
+    post = stored_index(spark, path, {f"{name}_postings": raw}, rebuild)[f"{name}_postings"]
     terms, by_field = units.statistics(post, table.count() if rebuild or not _stored(spark, f"{path}/{name}_fields") else 0)
-    stats = stored_index(spark, path, {f"{name}_terms": order(terms, "field", "term"), f"{name}_fields": by_field}, rebuild)
+    stats = stored_index(spark, path, {f"{name}_terms": terms.sortWithinPartitions("field", "term"), f"{name}_fields": by_field}, rebuild)
     return post, stats[f"{name}_terms"], stats[f"{name}_fields"]
 
 
