@@ -47,8 +47,12 @@ def reaching(terms: DataFrame, lists: DataFrame, by_term: DataFrame, by_field: D
     what is given holds these k whole. dead (doc_id, _segment): documents taken out since lists with a _segment were packed."""
     by = ["query_id", "channel"]
     lists, by_term = S.asked_only(terms, lists, by_term, words=words)
-    asked = terms.join(by_term.select("field", "term", "idf"), ["field", "term"]).join(F.broadcast(by_field.select("field", "avgdl")), "field")  # a row for each field
-    heads = asked.join(lists.drop("hits"), ["field", "term"])
+    asked = S.with_statistics(terms, by_term, by_field)
+    rows, queries = asked.agg(F.count("*"), F.countDistinct(*by)).first()
+    asked = asked.drop("df")
+    # few asked terms go to the lists: joined by term, a frequent term's lists would meet in one task
+    heads = lists.drop("hits").join(F.broadcast(asked) if rows <= S.MOST_ASKED else asked, ["field", "term"])
+    little = lambda df, n: F.broadcast(df) if n * queries <= S.MOST_ASKED else df
     # what speaks against a unit may be lacking in its neighbours
     bound = F.sum(S.matched(F.greatest("boost", F.lit(0.0)), F.col("most_tf"), F.col("least_dl")))
     bounds = heads.groupBy(*by, "range").agg(bound.alias("bound"))
@@ -64,6 +68,6 @@ def reaching(terms: DataFrame, lists: DataFrame, by_term: DataFrame, by_field: D
             hits = S.inside(hits, docs, limited)
         return S.summed(hits)
 
-    first = S.ranked(bounds, by, FIRST * k, "range", "bound")
+    first = little(S.ranked(bounds, by, FIRST * k, "range", "bound").select(*by, "range"), FIRST * k)
     reach = S.ranked(opened(first), by, k).groupBy(*by).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    return opened(bounds.join(reach, by, "left").where(f"least is null or bound >= least - {SLACK}"))
+    return opened(bounds.join(little(reach, 1), by, "left").where(f"least is null or bound >= least - {SLACK}"))

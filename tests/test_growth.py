@@ -1,9 +1,11 @@
 """What is shuffled and held as tables grow: by the plan of small tables."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from strataseek.operators import bounds
 from strataseek.operators import search as S
 from strataseek.operators import units
 from strataseek.plans.engine import structured_search
@@ -72,3 +74,16 @@ def test_limits_cut_before_the_shuffle(spark):
     kept = S.ranked(h, ["query_id", "channel"], F.when(F.col("channel") == "content", 20).otherwise(10000))
     want = S.top(S.fused(S.normalized(kept.withColumnRenamed("unit", "chunk_id").groupBy("query_id", "channel", "chunk_id").agg(F.max("score").alias("score"))), weights), 100, 0.0)
     assert _rows(found.select("query_id", "chunk_id", "score", "rank")) == _rows(want.select("query_id", "chunk_id", "score", "rank"))
+
+
+def test_lists_of_a_term_do_not_meet(spark):
+    """Asked terms go to the packed lists, which are not shuffled by term; the best are those of plain BM25."""
+    post = units.postings(_units(spark), "unit", ["content"])
+    stats = units.statistics(post, 401)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        h = bounds.reaching(_asked(spark), bounds.packed(post), *stats, 5)
+        best = lambda x: _rows(S.ranked(x, ["query_id"], 5).select("query_id", "unit", F.round("score", 6)))
+        assert re.search(r"BroadcastHashJoin \[field#\d+, term#\d+\]", _plan(h)) and best(h) == best(S.bm25(_asked(spark), post, *stats))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
