@@ -79,21 +79,26 @@ def inside(hits: DataFrame, docs: DataFrame, limited: DataFrame | None = None) -
     return found.where("_limited is null or _in").drop("_limited", "_in")
 
 
-def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFrame, docs: DataFrame | None = None, limited: DataFrame | None = None, cut: bool = True, words: list[str] | None = None) -> DataFrame:
+def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFrame, docs: DataFrame | None = None, limited: DataFrame | None = None, cut: bool = True, words: list[str] | None = None, limits: dict[str, int] | None = None) -> DataFrame:
     """terms (query_id, channel, field, term, kind, boost) -> (query_id, channel, unit, score), with the chunk_id and doc_id that
     postings may have. A fuzzy match scores its boost; the statistics are those of the whole index. docs (query_id and unit or
     doc_id) and limited: as for inside(). cut: false if postings and statistics are those of the asked terms already; words: as for
-    asked_only().
+    asked_only(). limits: where only so many best by channel are wanted of each query; what is given holds these.
 
     Postings and statistics are first cut to the asked terms, hits then to the documents. The asked terms' document frequencies
     tell how many matches there are: many are dealt by unit before the queries meet them, so that what is shuffled is a posting for
-    all queries, a unit's scores are summed where they arise, and no task holds more than its share however many units there are."""
+    all queries, a unit's scores are summed where they arise, and no task holds more than its share however many units there are.
+    With limits they are summed in blocks (operators.blocks), which give out their best only."""
     if cut:
         post, by_term = asked_only(terms, post, by_term, words=words)
     asked = with_statistics(terms, by_term, by_field)
-    rows, matches = asked.agg(F.count("*"), F.sum("df")).first()
+    rows, boosts, matches = asked.agg(F.count("*"), F.count("boost"), F.sum("df")).first()
     few = rows <= MOST_ASKED
     if docs is None and few and (matches or 0) > MATCHES:
+        if limits is not None and boosts == rows:
+            from strataseek.operators import blocks  # it imports this module
+
+            return blocks.best(post, asked, matches, limits)
         post = post.repartition(max(-(-matches // MATCHES), post.sparkSession.sparkContext.defaultParallelism), "unit")
     asked = asked.drop("df")
     hits = post.drop("positions").join(F.broadcast(asked) if few else asked, ["field", "term"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataseek.functions import analysis
+from strataseek.functions.local import local_rows
 from strataseek.operators import bounds, vocabulary
 from strataseek.operators import questions as Q
 from strataseek.operators import search as S
@@ -277,7 +278,7 @@ def _turn_terms(spark, sf_dir):
 
 def _cut(spark, sf_dir, channel=None):
     i, terms = _turn_index(spark, sf_dir), _turn_terms(spark, sf_dir)
-    h = S.bm25(terms.where(F.col("channel") == channel) if channel else terms, i["postings"], i["terms"], i["fields"]).withColumn("score", F.round("score", 6))
+    h = S.bm25(terms.where(F.col("channel") == channel) if channel else terms, i["postings"], i["terms"], i["fields"], limits=S.CHANNEL_LIMIT).withColumn("score", F.round("score", 6))
     return S.ranked(h, ["query_id", "channel"], 20)
 
 
@@ -321,7 +322,7 @@ fused as (select query_id, chunk_id, round(sum(w / all_ * score), 6) as score fr
 @query(f"{_FUSED} select query_id, chunk_id, score from fused")
 def weighted_fusion(spark, sf_dir):
     both = _cut(spark, sf_dir)
-    w = spark.createDataFrame([("content", 0.1), ("title", 0.2)], "channel string, weight double")
+    w = local_rows(spark, [("content", 0.1), ("title", 0.2)], "channel string, weight double")
     return S.fused(S.normalized(both.withColumnRenamed("unit", "chunk_id")), w).withColumn("score", F.round("score", 6))
 
 
@@ -329,7 +330,7 @@ _FOUND = f"{_FUSED}, best as (select query_id, chunk_id, score, row_number() ove
 
 
 def _found(spark, sf_dir):
-    w = spark.createDataFrame([("entity", 0.4), ("relation", 0.3), ("title", 0.2), ("content", 0.1)], "channel string, weight double")
+    w = local_rows(spark, [("entity", 0.4), ("relation", 0.3), ("title", 0.2), ("content", 0.1)], "channel string, weight double")
     return _search(_turn_terms(spark, sf_dir), _turn_index(spark, sf_dir), w, 10)
 
 

@@ -44,7 +44,7 @@ def structured_search(terms: DataFrame, index: dict[str, DataFrame], weights: Da
     owner = None if own else index["owner"]
     post = index["postings"] if own or docs is None else index["postings"].join(owner.select("unit", "doc_id"), "unit")
     few = F.col("channel").isin([c for c, n in S.CHANNEL_LIMIT.items() if n == S.CHANNEL_LIMIT["content"]])
-    hits = S.bm25(terms.where(~few) if "lists" in index else terms, post, index["terms"], index["fields"], docs, limited, words=words)
+    hits = S.bm25(terms.where(~few) if "lists" in index else terms, post, index["terms"], index["fields"], docs, limited, words=words, limits=S.CHANNEL_LIMIT)
     if "lists" in index:
         hits = hits.unionByName(bounds.reaching(terms.where(few), index["lists"], index["terms"], index["fields"], S.CHANNEL_LIMIT["content"], docs, limited, words, index.get("dead")))
     hits = hits.select("query_id", "channel", "unit", *(["chunk_id"] if own else []), "score")

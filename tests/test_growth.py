@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from strataseek.operators import bounds
+from strataseek.operators import blocks, bounds
 from strataseek.operators import search as S
 from strataseek.operators import units
 from strataseek.plans.engine import structured_search
@@ -60,6 +61,28 @@ def test_many_matches_are_dealt_by_unit(spark, monkeypatch):
     assert _rows(h.select("query_id", "unit", F.round("score", 6))) == _rows(want)
 
 
+def test_blocks_give_their_best(spark, monkeypatch):
+    """Of many matches each block gives the best of each query and channel: by their limits, with ties, repeated and fuzzy terms,
+    composed query ids, and the columns that postings have."""
+    u = _units(spark)
+    post = units.postings(u, "unit", ["content"]).withColumn("chunk_id", F.concat(F.lit("c"), "unit")).withColumn("doc_id", F.col("unit") % 7)
+    stats = units.statistics(post, 401)
+    asked = _asked(spark).unionByName(_asked(spark, 3)).unionByName(_asked(spark, 9).withColumn("kind", F.lit("fuzzy")))
+    asked = asked.unionByName(_asked(spark).withColumn("channel", F.lit("title")).withColumn("boost", F.col("query_id") * 0.3))
+    asked = asked.withColumn("query_id", F.struct(F.col("query_id").alias("qid"), F.lit(0).alias("seq")))
+    limits = {"content": 5, "title": 3}
+    cut = lambda h: S.ranked(h.withColumn("score", F.round("score", 6)), ["query_id", "channel"], F.when(F.col("channel") == "content", 5).otherwise(3))
+    own = ["query_id", "channel", "unit", "chunk_id", "doc_id", "score", "rank"]
+    all_hits = S.bm25(asked, post, *stats)
+    want, n = _rows(cut(all_hits).select(*own)), all_hits.count()
+    for matches in (100, 3000):
+        monkeypatch.setattr(S, "MATCHES", matches)
+        h = S.bm25(asked, post, *stats, limits=limits)
+        assert "MapInArrow" in _plan(h) and h.count() < n
+        assert _rows(cut(h).select(*own)) == want
+    assert blocks.rounded(np.array([0.1234565, 2.5e-6, -0.1234565, 1.0])).tolist() == [123457, 3, -123457, 1000000]
+
+
 def test_limits_cut_before_the_shuffle(spark):
     """Channels of different limits each keep theirs, and Spark cuts those of few hits within the tasks."""
     u = _units(spark)
