@@ -8,12 +8,13 @@ import json
 import re
 import tempfile
 import uuid
+from functools import reduce
 from importlib import resources
 from pathlib import Path
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,28 +183,27 @@ def stored_index(spark: SparkSession, path: str, tables: dict[str, DataFrame], r
     return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()}
 
 
-#: Bytes of a table's files whose postings make a file, about.
+#: Bytes of a table's texts whose postings make a file, about.
 PART_BYTES = 4 << 20
 
 
 def _parts(df: DataFrame) -> int:
-    """Into how many parts a table is dealt, by the size of its files; small tables by the cores there are."""
-    spark, size = df.sparkSession, 0
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    for f in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return max(-(-size // PART_BYTES), min(cores, -(-size // (1 << 20))), 1) if files else cores
+    """Into how many parts a table is dealt, by the bytes of its values, as files hold repeated texts in little room; small tables
+    by the cores there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    long = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns]
+    size = df.agg(F.sum(reduce(Column.__add__, long))).first()[0] or 0
+    return max(-(-size // PART_BYTES), min(cores, -(-size // (1 << 20))), 1)
 
 
 def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str], analyze=tokens, rebuild: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, terms with df and idf, fields with avgdl) of a table's units, stored under path.
 
-    The units are dealt by a hash to parts of about PART_BYTES of the table's files, and each part's postings are counted and
+    The units are dealt by a hash to parts of about PART_BYTES of text, and each part's postings are counted and
     sorted by field and term where it is read: what moves is the text, once, and not its postings. A filter on terms skips the
     other pages of each file; a term that most units hold spreads over all files."""
-    dealt = table.select(unit, *fields).repartition(_parts(table), unit)
+    parts = _parts(table.select(*fields)) if rebuild or not _stored(spark, f"{path}/{name}_postings") else 1
+    dealt = table.select(unit, *fields).repartition(parts, unit)
     raw = units.postings(dealt, unit, fields, analyze).sortWithinPartitions("field", "term", "unit")
     post = stored_index(spark, path, {f"{name}_postings": raw}, rebuild)[f"{name}_postings"]
     terms, by_field = units.statistics(post, table.count() if rebuild or not _stored(spark, f"{path}/{name}_fields") else 0)

@@ -83,6 +83,13 @@ def test_blocks_give_their_best(spark, monkeypatch):
     assert blocks.rounded(np.array([0.1234565, 2.5e-6, -0.1234565, 1.0])).tolist() == [123457, 3, -123457, 1000000]
 
 
+def test_parts_follow_the_text(spark, tmp_path):
+    """Repeated texts take little room in files, but as much work and memory as others."""
+    spark.range(3000).select("id", F.repeat(F.lit("sea salt "), 1000).alias("content")).write.parquet(str(tmp_path / "units"))
+    u = spark.read.parquet(str(tmp_path / "units"))
+    assert D._parts(u.select("content")) == -(-3000 * 9000 // D.PART_BYTES)
+
+
 def test_limits_cut_before_the_shuffle(spark):
     """Channels of different limits each keep theirs, and Spark cuts those of few hits within the tasks."""
     u = _units(spark)
