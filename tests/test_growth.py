@@ -3,12 +3,15 @@
 import random
 import re
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strataseek.operators import blocks, bounds
 from strataseek.operators import search as S
 from strataseek.operators import units
+from strataseek.plans import catalog
 from strataseek.plans.engine import structured_search
 from strataseek.sources import documents as D
 
@@ -117,3 +120,16 @@ def test_lists_of_a_term_do_not_meet(spark):
         assert re.search(r"BroadcastHashJoin \[field#\d+, term#\d+\]", _plan(h)) and best(h) == best(S.bm25(_asked(spark), post, *stats))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["score_cut", "minmax_normalize", "weighted_fusion"])
+def test_rows_go_by_blocks(spark, monkeypatch, name):
+    """Where matches are many, the rows that share the step score them in blocks, and still equal their SQL."""
+    at = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("benchmark", "conversations"):
+        duck.sql(f"create view {t} as select * from '{at}/{t}.parquet'")
+    monkeypatch.setattr(S, "MATCHES", 1000)
+    got, want = catalog.QUERIES[name](spark, at), duck.sql(catalog.ORACLES[name])
+    assert "MapInArrow" in _plan(got)
+    assert _rows(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
