@@ -122,7 +122,7 @@ def test_lists_of_a_term_do_not_meet(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["score_cut", "minmax_normalize", "weighted_fusion", "dedupe_first", "structured_search"])
+@pytest.mark.parametrize("name", ["score_cut", "minmax_normalize", "weighted_fusion", "dedupe_first", "structured_search", "top1_per_doc"])
 def test_rows_go_by_blocks(spark, monkeypatch, name):
     """Where matches are many, the rows that share the step score them in blocks, and still equal their SQL."""
     at = "/root/testdata/sf0.001"
