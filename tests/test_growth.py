@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,30 @@ def test_blocks_give_their_best(spark, monkeypatch):
     assert blocks.rounded(np.array([0.1234565, 2.5e-6, -0.1234565, 1.0])).tolist() == [123457, 3, -123457, 1000000]
 
 
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_dense_blocks_sort_no_match(monkeypatch, dense):
+    """Both ways of summing a block give each query's best, with ties by unit; where cells are few, matches are not sorted."""
+    r = np.random.default_rng(5)
+    got = {(int(u), int(k)): float(w) for u, k, w in zip(r.integers(0, 60, 900), r.integers(0, 9, 900), r.integers(1, 4, 900), strict=True)}
+    rows = [(f"u{u}", k, w) for (u, k), w in got.items()]  # in no order
+    asks = [sorted({int(q) for q in r.integers(0, 7, 3)}) for _ in range(9)]
+    starts, query = np.cumsum([0, *map(len, asks)]), np.array([q for a in asks for q in a])
+    boost, most = r.integers(1, 3, len(query)).astype(float), np.array([1, 2, 3, 5, 59, 60, 1000])
+    want, sums = [], {}
+    for u, k, w in rows:
+        for i in range(starts[k], starts[k + 1]):
+            sums[int(query[i]), u] = sums.get((int(query[i]), u), 0.0) + boost[i] * w
+    for q in range(7):
+        want += sorted(((q, u, x) for (p, u), x in sums.items() if p == q), key=lambda t: (-t[2], t[1]))[: most[q]]
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(blocks.np, "unique", lambda x, **how: (sizes.append(len(x)), unique(x, **how))[1])
+    unit, key, weight = zip(*rows, strict=True)
+    out = blocks._block_best(pa.table({"unit": unit, "key": pa.array(key, pa.int32()), "weight": weight}), starts, query, boost, most)
+    assert sorted(zip(*(out[c].to_pylist() for c in ("query", "unit", "score")), strict=True)) == sorted(want)
+    assert max(sizes) <= 7 if dense else max(sizes) > 900
+
+
 def test_parts_follow_the_text(spark, tmp_path):
     """Repeated texts take little room in files, but as much work and memory as others."""
     spark.range(3000).select("id", F.repeat(F.lit("sea salt "), 1000).alias("content")).write.parquet(str(tmp_path / "units"))
