@@ -89,6 +89,7 @@ def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFr
     tell how many matches there are: many are dealt by unit before the queries meet them, so that what is shuffled is a posting for
     all queries, a unit's scores are summed where they arise, and no task holds more than its share however many units there are.
     With limits they are summed in blocks (operators.blocks), which give out their best only."""
+    every = post
     if cut:
         post, by_term = asked_only(terms, post, by_term, words=words)
     asked = with_statistics(terms, by_term, by_field)
@@ -98,7 +99,7 @@ def bm25(terms: DataFrame, post: DataFrame, by_term: DataFrame, by_field: DataFr
         if limits is not None and boosts == rows:
             from strataseek.operators import blocks  # it imports this module
 
-            return blocks.best(post, asked, matches, limits)
+            return blocks.best(every, asked, matches, limits)
         post = post.repartition(max(-(-matches // MATCHES), post.sparkSession.sparkContext.defaultParallelism), "unit")
     asked = asked.drop("df")
     hits = post.drop("positions").join(F.broadcast(asked) if few else asked, ["field", "term"])

@@ -111,6 +111,19 @@ def test_dense_blocks_sort_no_match(monkeypatch, dense):
     assert max(sizes) <= 7 if dense else max(sizes) > 900
 
 
+def test_asked_postings_meet_once(spark, monkeypatch):
+    """Beyond the terms that a filter takes, postings meet the asked ones in one join, not in a semi join before it too."""
+    post = units.postings(_units(spark), "unit", ["content"])
+    stats = units.statistics(post, 401)
+    want = _rows(S.ranked(S.bm25(_asked(spark), post, *stats), ["query_id"], 5).select("query_id", "unit", F.round("score", 6)))
+    monkeypatch.setattr(S, "MATCHES", 100)
+    assert "Filter" in _plan(S.bm25(_asked(spark), post, *stats, limits={"content": 5}))
+    monkeypatch.setattr(S, "MOST_TERMS", 1)
+    h = S.bm25(_asked(spark), post, *stats, limits={"content": 5})
+    assert "MapInArrow" in _plan(h) and "LeftSemi" not in _plan(h)
+    assert _rows(S.ranked(h, ["query_id"], 5).select("query_id", "unit", F.round("score", 6))) == want
+
+
 def test_parts_follow_the_text(spark, tmp_path):
     """Repeated texts take little room in files, but as much work and memory as others."""
     spark.range(3000).select("id", F.repeat(F.lit("sea salt "), 1000).alias("content")).write.parquet(str(tmp_path / "units"))
