@@ -200,11 +200,11 @@ def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame,
     """(postings, terms with df and idf, fields with avgdl) of a table's units, stored under path.
 
     The units are dealt by a hash to parts of about PART_BYTES of text, and each part's postings are counted and
-    sorted by field and term where it is read: what moves is the text, once, and not its postings. A filter on terms skips the
+    sorted by term and field where it is read: what moves is the text, once, and not its postings. A filter on terms skips the
     other pages of each file; a term that most units hold spreads over all files."""
     parts = _parts(table.select(*fields)) if rebuild or not _stored(spark, f"{path}/{name}_postings") else 1
     dealt = table.select(unit, *fields).repartition(parts, unit)
-    raw = units.postings(dealt, unit, fields, analyze).sortWithinPartitions("field", "term", "unit")
+    raw = units.postings(dealt, unit, fields, analyze).sortWithinPartitions("term", "field", "unit")
     post = stored_index(spark, path, {f"{name}_postings": raw}, rebuild)[f"{name}_postings"]
     terms, by_field = units.statistics(post, table.count() if rebuild or not _stored(spark, f"{path}/{name}_fields") else 0)
     stats = stored_index(spark, path, {f"{name}_terms": terms.sortWithinPartitions("field", "term"), f"{name}_fields": by_field}, rebuild)

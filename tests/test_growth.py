@@ -124,6 +124,14 @@ def test_asked_postings_meet_once(spark, monkeypatch):
     assert _rows(S.ranked(h, ["query_id"], 5).select("query_id", "unit", F.round("score", 6))) == want
 
 
+def test_postings_are_in_order_of_terms(spark, tmp_path):
+    """Terms tell rows apart by their first bytes, fields don't; and a term's postings of all fields lie together."""
+    u = _units(spark).withColumn("title", F.col("content"))
+    post, _, _ = D.stored_postings(spark, str(tmp_path / "index"), "u", u, "unit", ["content", "title"])
+    rows = [tuple(r) for r in post.select("term", "field", "unit").collect()]
+    assert len(list((tmp_path / "index" / "u_postings").glob("part-*"))) == 1 and rows == sorted(rows)
+
+
 def test_parts_follow_the_text(spark, tmp_path):
     """Repeated texts take little room in files, but as much work and memory as others."""
     spark.range(3000).select("id", F.repeat(F.lit("sea salt "), 1000).alias("content")).write.parquet(str(tmp_path / "units"))
