@@ -132,6 +132,19 @@ def test_postings_are_in_order_of_terms(spark, tmp_path):
     assert len(list((tmp_path / "index" / "u_postings").glob("part-*"))) == 1 and rows == sorted(rows)
 
 
+def test_blocks_sort_one_number(spark, monkeypatch):
+    """Postings are put by units through a number, and units of one number stay in one block."""
+    post = units.postings(_units(spark), "unit", ["content"])
+    stats = units.statistics(post, 401)
+    best = lambda h: _rows(S.ranked(h, ["query_id"], 5).select("query_id", "unit", F.round("score", 6)))
+    want = best(S.bm25(_asked(spark), post, *stats))
+    monkeypatch.setattr(S, "MATCHES", 100)
+    h = S.bm25(_asked(spark), post, *stats, limits={"content": 5})
+    assert re.search(r"Sort \[at#\d+L ASC NULLS FIRST\]", _plan(h)) and best(h) == want
+    monkeypatch.setattr(blocks, "PLACE", lambda unit: F.pmod(F.hash(unit), F.lit(3)).cast("long"))
+    assert best(S.bm25(_asked(spark), post, *stats, limits={"content": 5})) == want
+
+
 def test_parts_follow_the_text(spark, tmp_path):
     """Repeated texts take little room in files, but as much work and memory as others."""
     spark.range(3000).select("id", F.repeat(F.lit("sea salt "), 1000).alias("content")).write.parquet(str(tmp_path / "units"))
