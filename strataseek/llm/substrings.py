@@ -10,10 +10,11 @@ not one for each byte, has to travel.
    strings, dealt by the strings' hashes among the buckets that the splitter spans, so no one of them gets a heavy suffix
    whole. Equal runs of a block travel once, with the smallest doc_id, so a passage that a third of all documents hold
    reaches a bucket once a block.
-3. A bucket sorts the strings of its suffixes by multikey quicksort over 8-byte symbols, in pieces that end between unlike
-   first symbols, compares neighbours, and answers each run with the smallest doc_id of each of its strings. Strings that
-   are equal have equal grams, so they never lie on both sides of a bucket's or a piece's boundary; what lies next to one
-   need not be compared across it.
+3. A bucket folds equal runs of all blocks into one and sorts the strings of its suffixes by multikey quicksort over 8-byte
+   symbols, in pieces that end between unlike first symbols, compares neighbours, and answers each run with the smallest
+   doc_id of each of its strings. Strings that are equal have equal grams, so they never lie on both sides of a bucket's or a
+   piece's boundary; what lies next to one need not be compared across it, and strings of a gram that only one run is left
+   with need no sorting.
 4. Blocks mark what their documents repeat from a smaller doc_id.
 
 Null texts are empty. A null doc_id stands after all others. Rows with equal doc_id don't repeat each other.
@@ -57,10 +58,8 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 def symbols(data: np.ndarray) -> np.ndarray:
     """At each place the 8 bytes from there on, as a number that sorts like the bytes; zeros follow the end."""
-    out = np.zeros(len(data), _U)
-    for k in range(8):
-        out[: len(data) - k] |= data[k:].astype(_U) << _U(56 - 8 * k)
-    return out
+    padded = np.append(data, np.zeros(7, np.uint8))
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(_U)
 
 
 def leads(data: np.ndarray, at: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -181,10 +180,10 @@ def _ask_runs(splitters: np.ndarray):
     def run(t: pa.Table, bits: pa.Table) -> pa.Table:
         ids, texts = _texts(t)
         r = runs(texts)
-        keys = np.unique(r["gram"])
+        keys, at = np.unique(r["gram"], return_inverse=True)
         said = sorted(bits.to_pylist(), key=lambda x: x["shard"])
         shared = np.concatenate([np.unpackbits(unpack(x["bits"], np.uint8), count=x["n"]) for x in said]) > 0 if said else np.zeros(0, bool)
-        hot = np.flatnonzero(shared[np.searchsorted(keys, r["gram"])]) if len(keys) else np.zeros(0, np.int64)
+        hot = np.flatnonzero(shared[at])
         r = {k: v[hot] for k, v in r.items()}
         begin = np.cumsum([0, *map(len, texts)])
         whole = np.frombuffer(b"".join(texts), np.uint8)
@@ -235,9 +234,9 @@ def multikey_groups(symbol: np.ndarray, at: np.ndarray, length: int) -> tuple[np
     for i, k in enumerate(steps):
         if not len(todo):
             break
-        same = np.ones(len(todo), bool)
+        same, own, first = np.ones(len(todo), bool), at[order[todo]], at[order[group[todo]]]
         for j in steps[i:]:
-            same &= symbol[at[order[todo]] + j] == symbol[at[order[group[todo]]] + j]
+            same &= symbol[own + j] == symbol[first + j]
         heads = np.flatnonzero(np.append(True, group[todo][1:] != group[todo][:-1]))
         mixed = ~np.logical_and.reduceat(same, heads)
         todo = todo[np.repeat(mixed, np.diff(np.append(heads, len(todo))))]
@@ -253,6 +252,34 @@ def multikey_groups(symbol: np.ndarray, at: np.ndarray, length: int) -> tuple[np
     return order, group
 
 
+def _equal_runs(symbol: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one run of each content, and of each run its place among these. The first and the last string together hold
+    all bytes of a run of up to LENGTH + 1 strings; longer ones stay apart."""
+    ends = []
+    for at in (begin, begin + n - 1):
+        order, group = multikey_groups(symbol, at, LENGTH)
+        ends.append(np.empty(len(at), np.int64))
+        ends[-1][order] = group
+    long = n > LENGTH + 1
+    key = [np.where(long, np.arange(len(n)), ends[0]), np.where(long, -1, ends[1]), n]
+    order = np.lexsort(key)
+    new = np.append(True, np.any([k[order[1:]] != k[order[:-1]] for k in key], 0)) if len(n) else np.zeros(0, bool)
+    of = np.empty(len(n), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def _least_grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of the least gram of the string at each place."""
+    out = np.empty(len(at), _U)
+    for lo in range(0, len(at), 1 << 12):
+        rows = data[at[lo : lo + (1 << 12), None] + np.arange(LENGTH)]
+        sums = np.zeros((len(rows), LENGTH + 1), _U)
+        np.cumsum(_BYTE[rows] * _power(_BASE, LENGTH), axis=1, out=sums[:, 1:])
+        out[lo : lo + (1 << 12)] = mix((sums[:, GRAM:] - sums[:, :-GRAM]) * _power(_BACK, LENGTH - GRAM + 1)).min(1)
+    return out
+
+
 #: Bytes of runs for each piece that a bucket sorts at a time.
 SORT_BYTES = 8 << 20
 
@@ -263,13 +290,22 @@ def _answer_runs(t: pa.Table) -> pa.Table:
     counts, doc = np.concatenate(n), np.concatenate([unpack(r["doc"], np.int64) for r in rows])
     data = np.frombuffer(b"".join(unpack_bytes(r["data"]) for r in rows), np.uint8)
     begin = np.cumsum(counts + LENGTH - 1) - (counts + LENGTH - 1)
-    first = np.cumsum(counts) - counts
-    whose = np.repeat(np.arange(len(counts)), counts)
-    at = begin[whose] + np.arange(len(whose)) - first[whose]
-    least = doc[whose]
-    # pieces are ranges of the first symbol: equal strings fall in the same piece
-    pieces = max(1, -(-len(data) // SORT_BYTES))
     symbol = symbols(data)
+    # equal runs of all blocks are one
+    rep, of = _equal_runs(symbol, begin, counts)
+    doc, low = doc[rep], doc
+    np.minimum.at(doc, of, low)
+    begin, own = begin[rep], counts[rep]
+    first = np.cumsum(own) - own
+    least = np.repeat(doc, own)
+    # strings of a gram that no other content has are nowhere else, the others are sorted
+    _, gram, contents = np.unique(_least_grams(data, begin), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(contents[gram] > 1)
+    some = own[several]
+    place = np.repeat(first[several] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+    at = np.repeat(begin[several] - first[several], some) + place
+    # pieces are ranges of the first symbol: equal strings fall in the same piece
+    pieces = max(1, -(-int((some + LENGTH - 1).sum()) // SORT_BYTES))
     edges = np.sort(symbol[at[:: max(1, len(at) // (256 * pieces))]]) if pieces > 1 else symbol[:0]
     edges = np.unique(edges[(np.arange(1, pieces) * len(edges)) // pieces])
     piece = np.searchsorted(edges, symbol[at], "right") if len(edges) else np.zeros(len(at), np.int64)
@@ -278,9 +314,10 @@ def _answer_runs(t: pa.Table) -> pa.Table:
         if len(own):
             order, group = multikey_groups(symbol, at[own], LENGTH)
             head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            low = np.minimum.reduceat(least[own[order]], head)
-            least[own[order]] = np.repeat(low, np.diff(np.append(head, len(own))))
-    # a run's answers differ little from string to string
+            sorted_ = place[own[order]]
+            least[sorted_] = np.repeat(np.minimum.reduceat(least[sorted_], head), np.diff(np.append(head, len(own))))
+    # each run gets its strings' answers, which differ little from string to string
+    least = least[np.repeat(first[of] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
     ends = np.cumsum([x.sum() for x in n])
     answers = [pack(least[e - x.sum() : e], delta=True) for e, x in zip(ends, n, strict=True)]
     return pa.table({"_b": pa.array([r["_b"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "at": pa.array([r["at"] for r in rows], pa.int64()), "n": pa.array([r["n"] for r in rows], pa.binary()), "least": pa.array(answers, pa.binary()), "hot": pa.array([r["hot"] for r in rows], pa.binary())})
@@ -346,7 +383,8 @@ def without_repeats(docs: DataFrame, with_text: bool = True, block_bytes: int =
     n = block_count(docs, "text", block_bytes)
     count = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("splitters")), F.lit(max(1, count // SAMPLE))) == 0)
-    found = np.sort(np.array([r["lead"] for r in some.select("text").mapInArrow(_leads, "lead long").limit(128 * SAMPLE).collect()], np.int64).view(_U))
+    # gathered in one pass; a limit that is collected reads a part of the table after another
+    found = np.sort(np.array(some.select("text").mapInArrow(_leads, "lead long").limit(128 * SAMPLE).agg(F.collect_list("lead")).first()[0], np.int64).view(_U))
     splitters = found[(np.arange(1, n) * len(found)) // n] if len(found) else found
     shared = spark.sparkContext.broadcast(splitters)  # n numbers
     dealt = blocked(docs, n)
@@ -354,5 +392,6 @@ def without_repeats(docs: DataFrame, with_text: bool = True, block_bytes: int =
     grams = route.send(dealt.groupBy("_b"), _ask_grams(n), "_b long, shard int, keys binary, several binary", "_b", "shard")
     bits = route.send(grams.groupBy("shard"), route.open(_answer_grams), "_b long, shard int, n long, bits binary", "shard", "_b")
     runs_asked = route.send(dealt.groupBy("_b").cogroup(bits.groupBy("_b")), route.open(lambda t, b: _ask_runs(shared.value)(t, b)), "_b long, bucket int, at long, n binary, doc binary, data binary, hot binary", "_b", "bucket")
-    answers = route.send(runs_asked.groupBy("bucket"), route.open(_answer_runs), "_b long, bucket int, at long, n binary, least binary, hot binary", "bucket", "_b")
+    # buckets are small as packed and long to sort, so they are not put together by size
+    answers = route.send(runs_asked.repartition(n, "bucket").groupBy("bucket"), route.open(_answer_runs), "_b long, bucket int, at long, n binary, least binary, hot binary", "bucket", "_b")
     return dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(route.open(_apply(with_text)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if with_text else 'string'}")

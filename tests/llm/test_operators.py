@@ -188,6 +188,33 @@ def test_heavy_suffixes(spark, monkeypatch):
     assert singled and {x["doc_id"]: x["kept"].decode() for x in out} == want and asked.num_rows > 20
 
 
+def test_equal_runs_are_sorted_once(monkeypatch):
+    """A passage that many blocks hold is no more to sort than that of one block; long runs of one gram, which are dealt in parts, too."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = noise(2000), noise(300)
+    texts = [noise(60) + passage + noise(60) for _ in range(60)] + [other + "z" * 700 + noise(9), "z" * 700, other[5:], passage[7:]]
+    tables = [pa.table({"_b": pa.array([b] * 4), "doc_id": pa.array(range(4 * b, 4 * b + 4), pa.int64()), "text": pa.array([t.encode() for t in texts[4 * b : 4 * b + 4]], pa.binary())}) for b in range(16)]
+    own = lambda t, b: t.filter(pa.compute.equal(t["_b"], b))
+    bits = substrings._answer_grams(pa.concat_tables(substrings._ask_grams(1)(t) for t in tables))
+    asked = pa.concat_tables(substrings._ask_runs(np.zeros(0, np.uint64))(t, own(bits, b)) for b, t in enumerate(tables))
+    sorted_, real = [], substrings.multikey_groups
+    monkeypatch.setattr(substrings, "multikey_groups", lambda s, at, n: sorted_.append(len(at)) or real(s, at, n))
+    answers = substrings._answer_runs(asked)
+    got = [x["kept"].decode() for b, t in enumerate(tables) for x in substrings._apply(True)(t, own(answers, b)).to_pylist()]
+    assert sum(sorted_) < 10_000  # 15 blocks hold some 2,000 strings of the passage each
+    least: dict = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            least.setdefault(t[p : p + 50], i)
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if least[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        assert got[i] == "".join(c for c, g in zip(t, gone, strict=True) if not g)
+
+
 def _run_leads(texts):
     r, begin = substrings.runs(texts), np.cumsum([0, *map(len, texts)])
     return np.frombuffer(b"".join(texts), np.uint8), begin[r["doc"]] + r["start"] + r["n"] - 1, r["gram"]
