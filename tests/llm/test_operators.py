@@ -627,6 +627,46 @@ def test_media(spark):
     assert len(media.fingerprint(None)) == len(media.fingerprint(b"RIFF")) == 0
 
 
+def test_bounds_leave_few_offsets_to_count(spark, monkeypatch):
+    """Of recordings of several lengths, some of them copies with errors, few offsets are counted and none is lost; blocks of any
+    size give the same."""
+    r = np.random.default_rng(12)
+    draw = lambda n: media.fingerprint(media.melody(r.standard_normal(n).tolist()))
+    prints = [draw(int(n)) for n in r.integers(20, 64, 40)]
+    prints += [x[k:] ^ (np.uint32(1) << r.integers(0, 32, len(x) - k).astype(np.uint32)) for k, x in enumerate(prints[:12])]
+    want = {}
+    for i, x in enumerate(prints[:20]):
+        for j, y in enumerate(prints):
+            for k in range(-(len(x) - media.OVERLAP), len(y) - media.OVERLAP + 1):
+                over = min(len(x), len(y) - k) - max(0, -k)
+                error = int(np.bitwise_count(x[max(0, -k) :][:over] ^ y[max(0, k) :][:over]).sum()) / (32 * over)
+                if error <= media.ERROR:
+                    want[i, j] = min(want.get((i, j), (9.0,)), (error, abs(k), k, over))
+    counted, real = [], media._counted
+    monkeypatch.setattr(media, "_counted", lambda *a: counted.append(len(a[2])) or real(*a))
+    got = {(i, j): (error, abs(k), k, over) for i, j, k, over, error in media.alignments(prints[:20], prints)}
+    assert got == want and len(want) > 30 and sum(counted) < 2 * 20 * len(prints)
+    monkeypatch.setattr(media, "KEPT", 1)
+    monkeypatch.setattr(media, "HELD", 1 << 12)
+    assert sorted(media.alignments(prints[:20], prints)) == sorted((i, j, k, over, error) for (i, j), (error, _, k, over) in want.items())
+    table = spark.createDataFrame([(i, x.astype(np.int64).tolist()) for i, x in enumerate(prints)], "rec_id long, prints array<long>")
+    made = [str(x) for x in media.aligned(table, 3).sort("rec_id").collect()]
+    monkeypatch.setattr(media, "BLOCK_PRINTS", 200)
+    assert made == [str(x) for x in media.aligned(table, 3).sort("rec_id").collect()]
+
+
+def test_recordings_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    table = spark.createDataFrame([(i, list(range(i, i + 40))) for i in range(30)], "rec_id long, prints array<long>").mapInArrow(run, "rec_id long, prints array<long>")
+    assert media.aligned(table).count() == 2 and read.value == 30
+
+
 def test_alignments_against_brute_force(spark):
     """Recall over all offsets: bit errors spread evenly, long held tones, several lengths, shifted copies."""
     r = np.random.default_rng(6)
