@@ -79,11 +79,12 @@ def _block_best(table: pa.Table, starts: np.ndarray, query: np.ndarray, boost: n
     return out.append_column("query", pa.array(q[kept], pa.int32())).append_column("score", pa.array(score[kept]))
 
 
-def best(post: DataFrame, asked: DataFrame, matches: int, limits: dict[str, int]) -> DataFrame:
-    """Postings, of any terms, and asked terms with their statistics, few enough for every task -> (query_id, channel, unit, score), with the
-    chunk_id and doc_id that postings may have: hits that hold the best of each query and channel, as many as limits say by
-    channel, by score of six places and then by unit."""
-    spark, size = post.sparkSession, S.MATCHES
+KEYS = "field string, term string, kind string, idf double, avgdl double, key int"
+
+
+def numbered(asked: DataFrame) -> tuple[dict, dict, np.ndarray, np.ndarray, np.ndarray]:
+    """Asked terms with their statistics, collected -> numbers of queries (query_id, channel) and of keys (as KEYS), and each key's
+    queries and boosts, from starts[key] to starts[key + 1]."""
     queries, keys, boosts = {}, {}, {}
     for r in asked.collect():
         q = queries.setdefault((r["query_id"], r["channel"]), len(queries))
@@ -91,7 +92,20 @@ def best(post: DataFrame, asked: DataFrame, matches: int, limits: dict[str, int]
         boosts[k, q] = boosts.get((k, q), 0.0) + r["boost"]
     pairs = sorted(boosts)
     starts = np.searchsorted(np.array([k for k, _ in pairs]), np.arange(len(keys) + 1))
-    query, boost = np.array([q for _, q in pairs], np.int64), np.array([boosts[p] for p in pairs])
+    return queries, keys, starts, np.array([q for _, q in pairs], np.int64), np.array([boosts[p] for p in pairs])
+
+
+def named(asked: DataFrame, queries: dict) -> DataFrame:
+    plain = lambda x: x.asDict(True) if isinstance(x, Row) else x
+    return local_rows(asked.sparkSession, [(n, plain(q), c) for (q, c), n in queries.items()], f"query int, query_id {asked.schema['query_id'].dataType.simpleString()}, channel string")
+
+
+def best(post: DataFrame, asked: DataFrame, matches: int, limits: dict[str, int]) -> DataFrame:
+    """Postings, of any terms, and asked terms with their statistics, few enough for every task -> (query_id, channel, unit, score), with the
+    chunk_id and doc_id that postings may have: hits that hold the best of each query and channel, as many as limits say by
+    channel, by score of six places and then by unit."""
+    spark, size = post.sparkSession, S.MATCHES
+    queries, keys, starts, query, boost = numbered(asked)
     most = np.array([limits[channel] for _, channel in queries])
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +125,7 @@ def best(post: DataFrame, asked: DataFrame, matches: int, limits: dict[str, int]
         if n:
             yield from _block_best(pa.Table.from_batches(held).drop_columns(["at"]), starts, query, boost, most).to_batches()
 
-    told = local_rows(spark, [(*k, n) for k, n in keys.items()], "field string, term string, kind string, idf double, avgdl double, key int")
+    told = local_rows(spark, [(*k, n) for k, n in keys.items()], KEYS)
     own = ["unit", *[c for c in ("chunk_id", "doc_id") if c in post.columns]]
     words = sorted({k[1] for k in keys})
     if len(words) <= S.MOST_TERMS:  # a filter that reaches the files; of more words the join alone tells the asked postings
@@ -121,6 +135,4 @@ def best(post: DataFrame, asked: DataFrame, matches: int, limits: dict[str, int]
     # by one number: Spark sorts it without comparing rows, and equal units have equal ones
     dealt = dealt.withColumn("at", PLACE(F.col("unit"))).sortWithinPartitions("at")
     kinds = StructType([*[post.schema[c] for c in own], StructField("query", IntegerType()), StructField("score", DoubleType())])
-    plain = lambda x: x.asDict(True) if isinstance(x, Row) else x
-    named = local_rows(spark, [(n, plain(q), c) for (q, c), n in queries.items()], f"query int, query_id {asked.schema['query_id'].dataType.simpleString()}, channel string")
-    return dealt.mapInArrow(scored, kinds).join(F.broadcast(named), "query").select("query_id", "channel", *own, "score")
+    return dealt.mapInArrow(scored, kinds).join(F.broadcast(named(asked, queries)), "query").select("query_id", "channel", *own, "score")

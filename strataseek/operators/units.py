@@ -41,11 +41,12 @@ def metas(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _or_blank("meta.contract_name"), _or_blank("meta.insurer"))
 
 
-def postings(units: DataFrame, unit: str, fields: list[str], analyze=tokens) -> DataFrame:
-    """(field, unit, term, tf, dl): one pass over the units. Where they are partitioned by unit, no posting is shuffled."""
+def postings(units: DataFrame, unit: str, fields: list[str], analyze=tokens, own: tuple[str, ...] = ()) -> DataFrame:
+    """(field, unit, term, tf, dl): one pass over the units. Where they are partitioned by unit, no posting is shuffled. own: further
+    columns, which a unit determines; those by which the units are partitioned do as well as the unit."""
     each = [F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("words")) for f in fields]
-    t = units.select(F.col(unit).alias("unit"), F.inline(F.array(*each)))
-    return t.select("field", "unit", F.explode("words").alias("term"), F.size("words").cast("long").alias("dl")).groupBy("field", "unit", "term", "dl").agg(F.count("*").alias("tf"))
+    t = units.select(F.col(unit).alias("unit"), *own, F.inline(F.array(*each)))
+    return t.select("field", "unit", *own, F.explode("words").alias("term"), F.size("words").cast("long").alias("dl")).groupBy("field", "unit", *own, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def places(units: DataFrame, unit: str, fields: list[str], analyze=tokens) -> DataFrame:

@@ -78,12 +78,10 @@ def _documents(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    """The documents' packed lists, stored once for the session, each file in order of field, term and range; no ranges are sampled,
-    for which all lists would be packed twice."""
-    where = D.scratch(spark, f"{sf_dir}/documents", table(spark, sf_dir, "documents"))
-    lists = bounds.packed(_documents(spark, sf_dir)[0])
-    order = ("field", "term", "range")
-    return D.stored_index(spark, where, {"documents_lists": lists.sortWithinPartitions(*order)})["documents_lists"]
+    """The documents' packed lists, stored once for the session, each file in order of field, term and range: made of the texts, as
+    postings would be shuffled twice."""
+    docs = table(spark, sf_dir, "documents")
+    return D.stored_lists(spark, D.scratch(spark, f"{sf_dir}/documents", docs), "documents", docs, "doc_id", ["text"])
 
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from strataseek.functions.analysis import ANALYZERS, MOST_WORDS, DictionaryTokens, tokens
 from strataseek.functions.local import local_rows
-from strataseek.operators import units
+from strataseek.operators import bounds, units
 
 _s = T.StringType()
 
@@ -211,6 +211,12 @@ def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame,
     return post, stats[f"{name}_terms"], stats[f"{name}_fields"]
 
 
+def stored_lists(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str]) -> DataFrame:
+    """The packed lists (operators.bounds) of a table's units, stored under path in parts as stored_postings() makes them."""
+    parts = 1 if _stored(spark, f"{path}/{name}_lists") else _parts(table.select(*fields))
+    return stored_index(spark, path, {f"{name}_lists": bounds.packed_units(table, unit, fields, parts)})[f"{name}_lists"]
+
+
 _scratch: dict[tuple[str, str, str], str] = {}
 
 

@@ -181,6 +181,29 @@ def test_lists_of_a_term_do_not_meet(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_lists_move_once(spark, monkeypatch):
+    """Lists are packed where their texts are dealt, and asked lists are dealt by range: neither postings nor hits are shuffled.
+    Blocks of any size, a repeated unit included, give what plain BM25 gives, and bounds save hits."""
+    u = _units(spark)
+    made = bounds.packed_units(u, "unit", ["content"], 3)
+    assert _plan(made).count("Exchange") == 1
+    post = units.postings(u, "unit", ["content"])
+    stats = units.statistics(post, 401)
+    each = made.select("field", "term", F.inline("hits"))
+    assert _rows(each.select("field", "unit", "term", "dl", "tf")) == _rows(post.select("field", "unit", "term", "dl", "tf"))
+    assert each.join(made.select("term", "range", F.explode("hits.unit").alias("unit")), ["term", "unit"]).groupBy("unit").agg(F.countDistinct("range").alias("n")).where("n > 1").count() == 0
+    assert made.groupBy("range").agg(F.countDistinct("term")).count() >= 401 / bounds.UNITS / 2 and made.select(F.max(F.size("hits"))).first()[0] <= bounds.UNITS + 1
+    asked = _asked(spark).unionByName(_asked(spark).limit(2).withColumn("boost", F.lit(-0.5)))
+    h = bounds.reaching(asked, made, *stats, 3)
+    assert "Exchange hashpartitioning(query_id" not in _plan(h) and len(re.findall(r"Exchange hashpartitioning\(range", _plan(h))) == 1
+    best = lambda x: _rows(S.ranked(x, ["query_id", "channel"], 3).select("query_id", "channel", "unit", F.round("score", 6), "rank"))
+    want = best(S.bm25(asked, post, *stats))
+    assert best(h) == want
+    monkeypatch.setattr(S, "MATCHES", 500)
+    monkeypatch.setattr(bounds, "FIRST", 1)
+    assert best(bounds.reaching(asked, made, *stats, 3)) == want
+
+
 @pytest.mark.parametrize("name", ["score_cut", "minmax_normalize", "weighted_fusion", "dedupe_first", "structured_search", "top1_per_doc"])
 def test_rows_go_by_blocks(spark, monkeypatch, name):
     """Where matches are many, the rows that share the step score them in blocks, and still equal their SQL."""
