@@ -63,6 +63,13 @@ def packed_units(table: DataFrame, unit: str, fields: list[str], parts: int) ->
     return lists.drop("part").sortWithinPartitions("field", "term", "range")
 
 
+def statistics(lists: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """units.statistics() of the lists' postings."""
+    own = lists.select("field", "term", F.size("hits").cast("long").alias("df"), F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["tf"]).alias("tf"))
+    terms = own.groupBy("field", "term").agg(F.sum("df").alias("df")).withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return terms, own.groupBy("field").agg((F.sum("tf") / F.lit(n)).alias("avgdl"))
+
+
 def _opened(t: pa.Table, starts: np.ndarray, query: np.ndarray, boost: np.ndarray, k: int) -> pa.Table:
     """Lists of whole ranges (range, key, bound, hits) -> (unit, ..., query, score): the k best of each query, of ranges that can
     reach them."""

@@ -78,8 +78,8 @@ def _documents(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    """The documents' packed lists, stored once for the session, each file in order of field, term and range: made of the texts, as
-    postings would be shuffled twice."""
+    """The documents' packed lists and statistics, stored once for the session, each file in order of field, term and range: made of the
+    texts, as postings would be shuffled twice, and a table as large as the lists."""
     docs = table(spark, sf_dir, "documents")
     return D.stored_lists(spark, D.scratch(spark, f"{sf_dir}/documents", docs), "documents", docs, "doc_id", ["text"])
 
@@ -201,8 +201,7 @@ def bounded_topk(spark, sf_dir):
     """All questions' 10 best documents, by ranges that can reach them."""
     q = _questions(spark, sf_dir)
     ask = S.free_text_terms(q, 1.0).withColumn("field", F.lit("text"))
-    _, terms, fields = _documents(spark, sf_dir)
-    h = bounds.reaching(ask, _lists(spark, sf_dir), terms, fields, 10)
+    h = bounds.reaching(ask, *_lists(spark, sf_dir), 10)
     return S.ranked(h, ["query_id"], 10).select("query_id", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 

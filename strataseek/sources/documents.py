@@ -211,10 +211,14 @@ def stored_postings(spark: SparkSession, path: str, name: str, table: DataFrame,
     return post, stats[f"{name}_terms"], stats[f"{name}_fields"]
 
 
-def stored_lists(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str]) -> DataFrame:
-    """The packed lists (operators.bounds) of a table's units, stored under path in parts as stored_postings() makes them."""
+def stored_lists(spark: SparkSession, path: str, name: str, table: DataFrame, unit: str, fields: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packed lists (operators.bounds), terms with df and idf, fields with avgdl) of a table's units, stored under path in parts as
+    stored_postings() makes them. Statistics are those of its postings, which are not needed here, so either finds the other's."""
     parts = 1 if _stored(spark, f"{path}/{name}_lists") else _parts(table.select(*fields))
-    return stored_index(spark, path, {f"{name}_lists": bounds.packed_units(table, unit, fields, parts)})[f"{name}_lists"]
+    lists = stored_index(spark, path, {f"{name}_lists": bounds.packed_units(table, unit, fields, parts)})[f"{name}_lists"]
+    terms, by_field = bounds.statistics(lists, 0 if _stored(spark, f"{path}/{name}_fields") else table.count())
+    stats = stored_index(spark, path, {f"{name}_terms": terms.sortWithinPartitions("field", "term"), f"{name}_fields": by_field})
+    return lists, stats[f"{name}_terms"], stats[f"{name}_fields"]
 
 
 _scratch: dict[tuple[str, str, str], str] = {}

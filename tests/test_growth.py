@@ -204,6 +204,28 @@ def test_lists_move_once(spark, monkeypatch):
     assert best(bounds.reaching(asked, made, *stats, 3)) == want
 
 
+def test_lists_need_no_postings(spark, tmp_path):
+    """Statistics of the lists are those of the postings, and each finds what the other has stored."""
+    u = _units(spark)
+    _, terms, fields = D.stored_lists(spark, str(tmp_path / "a"), "u", u, "unit", ["content"])
+    assert not (tmp_path / "a" / "u_postings").exists()
+    _, *want = D.stored_postings(spark, str(tmp_path / "b"), "u", u, "unit", ["content"])
+    assert [_rows(terms), _rows(fields)] == [_rows(x) for x in want] and [x.dtypes for x in want] == [terms.dtypes, fields.dtypes]
+    _, *again = D.stored_postings(spark, str(tmp_path / "a"), "u", u, "unit", ["content"])
+    assert [_rows(x) for x in again] == [_rows(x) for x in want]
+
+
+def test_bounded_row_equals_its_sql(spark, monkeypatch):
+    at = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        duck.sql(f"create view {t} as select * from '{at}/{t}.parquet'")
+    monkeypatch.setattr(S, "MATCHES", 1000)
+    got, want = catalog.QUERIES["bounded_topk"](spark, at), duck.sql(catalog.ORACLES["bounded_topk"])
+    assert "MapInArrow" in _plan(got)
+    assert _rows(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("name", ["score_cut", "minmax_normalize", "weighted_fusion", "dedupe_first", "structured_search", "top1_per_doc"])
 def test_rows_go_by_blocks(spark, monkeypatch, name):
     """Where matches are many, the rows that share the step score them in blocks, and still equal their SQL."""
